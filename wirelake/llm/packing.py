@@ -66,6 +66,7 @@ class Packer:
     def __init__(self, first_id: int, tiers: tuple[int, ...] = TIERS, pending: int = PENDING):
         self.tiers, self.pending, self.next_id = tiers, pending, first_id
         self.waiting: list[list[tuple]] = [[] for _ in tiers]  # (length, order, doc, start, total, ids), by length
+        self.tokens = [0] * len(tiers)  # that wait in each tier
         self.made = [0] * len(tiers)
         self.order = 0
         self.out: dict[str, list] = {n: [] for n in _ARROW.names}
@@ -79,25 +80,32 @@ class Packer:
             self._wait(doc, whole, total, ids[whole:])
 
     def _wait(self, doc, start: int, total: int, ids: np.ndarray) -> None:
-        """Queue a piece in the smallest tier that holds it."""
+        """Queue a piece in the smallest tier that holds it; a tier with many pieces packs half of them."""
+        tier = self._queue(doc, start, total, ids)
+        if len(self.waiting[tier]) >= self.pending:
+            self._pack(tier, self.pending // 2)
+
+    def _queue(self, doc, start: int, total: int, ids: np.ndarray) -> int:
         tier = max(i for i, size in enumerate(self.tiers) if size >= len(ids))
         self.order += 1
         bisect.insort(self.waiting[tier], (len(ids), self.order, doc, start, total, ids))
-        if len(self.waiting[tier]) >= self.pending:
-            self._pack(tier, self.pending // 2)
+        self.tokens[tier] += len(ids)
+        return tier
 
     def _take(self, tier: int, gap: int) -> tuple | None:
         """The longest waiting piece of this tier or a shorter one that fits the gap; else None."""
         for i in range(tier, len(self.tiers)):
             k = bisect.bisect_right(self.waiting[i], gap, key=lambda x: x[0])
             if k:
-                return self.waiting[i].pop(k - 1)
+                piece = self.waiting[i].pop(k - 1)
+                self.tokens[i] -= piece[0]
+                return piece
         return None
 
     def _pack(self, tier: int, leave: int) -> None:
         """Make full windows of a tier until at most so many of its pieces wait or they don't fill a window."""
         size = self.tiers[tier]
-        while len(self.waiting[tier]) > leave and sum(x[0] for w in self.waiting[tier:] for x in w[-size:]) >= size:
+        while len(self.waiting[tier]) > leave and sum(self.tokens[tier:]) >= size:
             window, gap = [], size
             while gap:
                 piece = self._take(tier, gap)
@@ -105,20 +113,16 @@ class Packer:
                     shortest = min((w[0] for w in self.waiting[tier:] if w), key=lambda x: x[:2])
                     i = next(i for i in range(tier, len(self.tiers)) if self.waiting[i] and self.waiting[i][0] is shortest)
                     self.waiting[i].pop(0)
+                    self.tokens[i] -= shortest[0]
                     length, _, doc, start, total, ids = shortest
                     window.append((gap, 0, doc, start, total, ids[:gap]))
-                    self._requeue(doc, start + gap, total, ids[gap:])
+                    self._queue(doc, start + gap, total, ids[gap:])
                     gap = 0
                 else:
                     window.append(piece)
                     gap -= piece[0]
             self._place(window, tier)
 
-    def _requeue(self, doc, start: int, total: int, ids: np.ndarray) -> None:
-        tier = max(i for i, size in enumerate(self.tiers) if size >= len(ids))
-        self.order += 1
-        bisect.insort(self.waiting[tier], (len(ids), self.order, doc, start, total, ids))
-
     def _place(self, window: list[tuple], tier: int) -> None:
         offset, group = 0, self.made[tier] // max(1, STEP_TOKENS // self.tiers[tier])
         for length, _, doc, start, total, ids in window:
@@ -133,7 +137,7 @@ class Packer:
         for tier in range(len(self.tiers)):
             self._pack(tier, 0)
         rest = [x for w in self.waiting for x in reversed(w)]
-        self.waiting = [[] for _ in self.tiers]
+        self.waiting, self.tokens = [[] for _ in self.tiers], [0] * len(self.tiers)
         left = sum(x[0] for x in rest)
         while left:
             size = 1 << (left.bit_length() - 1)
