@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import chat, packing, pii, secrets, toxicity
+from wirelake.llm import ann, chat, fingerprint, packing, pii, secrets, toxicity
 from wirelake.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,6 +33,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.find_personal_data(documents, pii.fit(documents)), pii.KINDS)
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
@@ -44,6 +48,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -51,8 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_personal_data": op4_personal_data,
+    "op6_neighbours": op6_neighbours,
     "op7_chat_format": op7_chat_format,
     "op8_secrets": op8_secrets,
+    "op9_fingerprint": op9_fingerprint,
     "op10_packing": op10_packing,
 }
 SQL: dict[str, str] = {}
