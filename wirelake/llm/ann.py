@@ -1,7 +1,7 @@
 """Nearest neighbours by an adaptive dimension scan within probed lists.
 
-A bounded sample fixes the centres of the lists; every vector goes to the list of its nearest centre. A query
-probes its nearest lists. Within a list, vectors and query are turned by one random rotation, and distances
+A bounded sample fixes the centres of the lists and how many a query has to probe to meet most of its true
+neighbours; every vector goes to the list of its nearest centre. Within a list, vectors and query are turned by one random rotation, and distances
 are summed block of columns by block: after each block a test compares the partial distance, scaled to all
 columns, with the tenth best distance so far; a candidate that is farther beyond chance is given up. What is
 left is measured exactly on the original vectors.
@@ -29,8 +29,8 @@ from wirelake.llm.common import batch_of, bounded_batches
 #: Vectors at most that the centres are fitted on, taken in the order of a hash of the id.
 SAMPLE = 20_000
 MOST_LISTS = 1024
-#: Part of the lists that a query probes, and how many at least.
-PROBED, LEAST_PROBED = 0.2, 12
+#: Share of the true neighbours that should lie in the probed lists, and sample rows that tell how many these are.
+COVERED, JUDGES = 0.97, 200
 #: Vectors in one chunk of a list, and queries in one group that probes it.
 CHUNK, QUERY_CHUNK = 4096, 512
 #: Columns in a block, and the strictness of the test (larger: fewer neighbours lost).
@@ -74,6 +74,21 @@ def centres(sample: np.ndarray, lists: int, seed: int = 5, rounds: int = 8) -> n
     return c
 
 
+def probes_for(sample: np.ndarray, c: np.ndarray, k: int, covered: float = COVERED) -> int:
+    """So many nearest lists hold that share of the k nearest sample rows of some sample rows."""
+    lists = _squares(sample, c).argmin(axis=1)
+    ranks: list[np.ndarray] = []
+    for i in range(0, len(sample), max(1, len(sample) // JUDGES)):
+        squares = ((sample - sample[i]) ** 2).sum(axis=1)
+        squares[i] = np.inf
+        nearest = np.argsort(squares, kind="stable")[: min(k, len(sample) - 1)]
+        place = np.empty(len(c), np.int64)
+        place[np.argsort(_squares(sample[i : i + 1], c)[0], kind="stable")] = np.arange(1, len(c) + 1)
+        ranks.append(place[lists[nearest]])
+    ranks = np.concatenate(ranks)
+    return int(np.ceil(np.quantile(ranks, covered))) if len(ranks) else 1
+
+
 def rotation(dim: int, seed: int = 6) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
@@ -161,7 +176,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     for r in sizes:
         at.sizes[r["list"]] = r["count"]
     index = spark.sparkContext.broadcast(at)
-    asked = _listed(rows.filter("asked").select("vec_id", "embedding"), index, dim, max(LEAST_PROBED, round(PROBED * len(at.centres))))
+    asked = _listed(rows.filter("asked").select("vec_id", "embedding"), index, dim, probes_for(sample, at.centres, k))
     probed = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
     chunks = F.array(*(F.lit(int(-(-max(n, 1) // CHUNK))) for n in at.sizes))
     groups = F.array(*(F.lit(int(-(-max(probed.get(i, 0), 1) // QUERY_CHUNK))) for i in range(len(at.sizes))))
