@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import ann, chat, fingerprint, packing, pii, secrets, toxicity
+from wirelake.llm import ann, chat, fingerprint, jaccard, linetemplates, mixing, packing, pii, secrets, toxicity
 from wirelake.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,14 @@ def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(read_table(spark, sf_dir, "documents"))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     scored = toxicity.score(documents, toxicity.fit(documents, read_table(spark, sf_dir, "labels")))
@@ -33,6 +41,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.find_personal_data(documents, pii.fit(documents)), pii.KINDS)
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linetemplates.report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -57,8 +69,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_personal_data": op4_personal_data,
+    "op5_line_templates": op5_line_templates,
     "op6_neighbours": op6_neighbours,
     "op7_chat_format": op7_chat_format,
     "op8_secrets": op8_secrets,
