@@ -1,0 +1,177 @@
+"""Order-dependent operators against plain loops, and scenarios."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from wirelake import fixtures, refdata
+from wirelake.operators import assets, detections, hunts, identity, matching, normalize
+from wirelake.sources import files
+
+
+def bindings(spark, rows):
+    return spark.createDataFrame(rows, "event_time long, mac string, ip string, hostname string, lease_s int")
+
+
+def walk(rows):
+    """The resolver as a loop: asset number of each MAC."""
+    mac_asset, name_asset, made = {}, {}, []
+    for _, mac, _, name, _ in sorted(rows):
+        if mac not in mac_asset:
+            local = int(mac[:2], 16) & 2
+            if local and name and name in name_asset:
+                mac_asset[mac] = name_asset[name]
+                continue
+            mac_asset[mac] = mac
+            made.append(mac)
+        if name:
+            name_asset[name] = mac_asset[mac]
+    return mac_asset
+
+
+def test_mac_assets_loop(spark):
+    rng = random.Random(3)
+    rows = [(t, f"{rng.choice(['00', '02', '06'])}:00:00:00:00:{rng.randrange(40):02X}", f"10.0.0.{rng.randrange(20)}", rng.choice(["", "a", "b", "c"]), 3600) for t in range(300)]
+    found = {r["mac"]: r["root"] for r in identity.mac_assets(bindings(spark, rows)).collect()}
+    assert found == walk(rows)
+
+
+def test_resolution_follows_the_last_binding(spark):
+    b = bindings(spark, [(10, "00:A", "10.0.0.1", "", 1), (86_400_000 * 3, "00:B", "10.0.0.1", "", 1)])
+    events = spark.createDataFrame([(5, "10.0.0.1"), (10, "10.0.0.1"), (86_400_000 * 2, "10.0.0.1"), (86_400_000 * 3 + 1, "10.0.0.1"), (86_400_000 * 9, "10.0.0.1"), (50, "10.0.0.2")], "event_time long, src_ip string")
+    found = sorted((r["event_time"], r["src_ip"], r["mac"]) for r in identity.resolve_ip(events, b).collect())
+    assert [m for _, _, m in found] == [None, "00:A", None, "00:A", "00:B", "00:B"]
+
+
+def test_conflict_and_fallback(spark):
+    b = bindings(spark, [(1, "00:A", "10.0.0.1", "", 1), (2, "00:B", "10.0.0.1", "", 1)])
+    assert identity.ip_conflicts(b).collect()[0].asDict() == {"event_time": 2, "ip": "10.0.0.1", "old_mac": "00:A", "mac": "00:B"}
+    events = spark.createDataFrame([(5, "10.9.9.9"), (4, "10.9.9.9"), (5, "8.8.8.8"), (5, "")], "event_time long, src_ip string")
+    assert [tuple(r) for r in identity.fallback_assets(identity.resolve_ip(events, b)).collect()] == [("10.9.9.9", 4)]
+
+
+def test_risk_decay_loop(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("xyz"), rng.randrange(40_000_000), rng.choice([20, 40, 60, 80])) for i in range(400)]
+    found = {r["id"]: r["risk"] for r in detections.risk_decay(spark.createDataFrame(rows, "id long, asset_id string, event_time long, points int")).collect()}
+    for entity in "xyz":
+        own = sorted((t, i, p) for i, e, t, p in rows if e == entity)
+        for (_, i, _), risk in zip(own, detections.decayed([t for t, _, _ in own], [p for _, _, p in own])):
+            assert found[i] == risk
+
+
+def test_dedup_loop(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("st"), rng.choice("ab"), rng.randrange(20_000_000)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, signal_id string, asset_id string, event_time long")
+    found = {r["id"] for r in detections.dedup_alerts(frame, per_hour=10**6).collect()}
+    expected = set()
+    for key in {(s, a) for _, s, a, _ in rows}:
+        own = sorted((t, i) for i, s, a, t in rows if (s, a) == key)
+        expected |= {i for (_, i), keep in zip(own, detections.kept_alerts([t for t, _ in own], 300_000, 900_000)) if keep}
+    assert found == expected
+
+
+def test_correlation_loop(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["A", "B", "C", "D"]), rng.choice("pq"), rng.randrange(5_000_000)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "id long, signal_id string, asset_id string, event_time long")
+    found = sorted((r["asset_id"], r["start_time"], r["signal_ids"]) for r in detections.correlate_use_case(frame, ("A", "B", "C"), 600_000).collect())
+    expected = []
+    for entity in "pq":
+        own = sorted((t, i, s) for i, s, a, t in rows if a == entity)
+        for k, (t, i, s) in enumerate(own):
+            if s != "A":
+                continue
+            ends = [(tc, [i, ib, ic]) for m, (tb, ib, sb) in enumerate(own) if m > k and sb == "B" for n, (tc, ic, sc) in enumerate(own) if n > m and sc == "C"]
+            if ends and min(ends)[0] - t <= 600_000:
+                expected.append((entity, t, ",".join(map(str, min(ends)[1]))))
+    assert found == sorted(expected)
+
+
+def test_envelope_shapes(spark):
+    rows = ['{"conn": {"ts": 1700000000.123, "uid": "C1", "id.orig_h": "192.168.1.100", "id.orig_p": 50000, "id.resp_h": "8.8.8.8", "id.resp_p": 443, "proto": "tcp", "tunnel_parents": ["a", "b"]}}', '{"log_type": "dns", "ts": "1700000000", "uid": "D1", "query": "x.y", "id.orig_p": "53"}', '{"_path": "http", "ts": "2023-11-14T22:13:20Z", "uid": "H1"}', "{broken", "{}", '{"foo": {"a": 1}}', ""]
+    good, bad = normalize.split_dead_letters(normalize.parse_envelope(spark.createDataFrame([(r,) for r in rows], "value string")))
+    conn = normalize.project_table(good, "conn").collect()[0]
+    assert (conn["event_time"], conn["direction"], conn["service"], conn["event_hour"], conn["event_weekday"], conn["tunnel_parents"]) == (1700000000123, "outbound", "https", 22, 2, '["a","b"]')
+    dns = normalize.project_table(good, "dns", zero_fill=True).collect()[0]
+    assert (dns["event_time"], dns["query"], dns["id_orig_p"], dns["rcode"], dns["AA"]) == (1700000000000, "x.y", 0, 0, False)
+    assert normalize.project_table(good, "http").collect()[0]["event_time"] == 1700000000000
+    assert sorted(r["error_type"] for r in bad.collect()) == ["missing_log_type", "parse_error", "parse_error", "unknown_log_type"]
+
+
+@pytest.mark.parametrize("log_type", normalize.schemas.LOG_TYPES)
+def test_every_type_has_a_table(spark, log_type):
+    value = '{"%s": {"ts": 1, "uid": "u"}}' % log_type
+    good, _ = normalize.split_dead_letters(normalize.parse_envelope(spark.createDataFrame([(value,)], "value string")))
+    table = normalize.project_table(good, log_type)
+    assert len(set(table.columns)) == len(table.columns)
+    assert table.first()["event_time"] == 1000
+
+
+def test_lake_round_trip(spark, sf, tmp_path):
+    conn = fixtures.table(spark, sf, "conn").limit(500).withColumn("log_type", F.lit("conn")).withColumn("ingest_time", F.col("event_time")).withColumn("ftx_id", F.col("flow_id"))
+    files.write_lake(conn, str(tmp_path / "lake"), files_per_hour=2)
+    lake = files.open_lake(spark, str(tmp_path / "lake"), views=False)
+    assert list(lake) == ["conn"] and lake["conn"].count() == 500
+    assert lake["conn"].filter("day = '05'").count() == conn.filter("event_time >= 1704412800000 AND event_time < 1704499200000").count()
+    assert {r["status"] for r in files.table_counts(lake).collect()} == {"active"}
+    assert files.schema_catalog(spark, lake).filter("field = 'orig_bytes'").first()["type"] == "bigint"
+
+
+def test_reference_csv(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("# head\n\n a , b,c, d \nx,y,z\n")
+    assert sorted(tuple(r) for r in files.load_reference_csv(spark, str(tmp_path / "x.csv"), ["p", "q", "r"]).collect()) == [("a", "b", "c, d"), ("x", "y", "z")]
+
+
+def test_zeek_json(spark, tmp_path):
+    (tmp_path / "dns.log").write_text('{"ts": 1.5, "uid": "a", "id.orig_h": "10.0.0.1", "query": "q"}\nnot json\n')
+    row = files.read_zeek_json(spark, str(tmp_path / "dns.log"), "dns").collect()
+    assert len(row) == 1 and (row[0]["event_time"], row[0]["src_ip"], row[0]["query"]) == (1500, "10.0.0.1", "q")
+
+
+def test_triage(spark):
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(["ok", "an ERROR", "critical drop", "warn x", "y" * 500 + " failed"])], "file string, line_no long, value string")
+    found = {r["line_no"]: (r["level"], len(r["line"])) for r in files.triage_lines(lines).collect()}
+    assert found == {1: ("error", 8), 2: ("critical", 13), 3: ("warning", 6), 4: ("info", 400)}
+
+
+def test_merge_equals_whole(spark, sf):
+    lake = fixtures.lake(spark, sf, "conn", "dns")
+    cut = 1705300000000
+    a = assets.asset_profiles({n: d.filter(F.col("event_time") < cut) for n, d in lake.items()})
+    b = assets.asset_profiles({n: d.filter(F.col("event_time") >= cut) for n, d in lake.items()})
+    assert sorted(map(tuple, assets.merge_profiles(a, b).collect())) == sorted(map(tuple, assets.asset_profiles(lake).collect()))
+
+
+def test_suffixes_and_blocks(spark):
+    names = spark.createDataFrame([("a.evil-domain.com",), ("evil-domain.com.",), ("notevil-domain.com",), (None,), ("",)], "query string")
+    assert sorted(r["query"] for r in matching.threat_domains(names).collect()) == ["a.evil-domain.com", "evil-domain.com."]
+    ips = spark.createDataFrame([("162.142.125.7",), ("162.142.126.7",), ("71.6.135.131",), ("bad",), (None,)], "src_ip string")
+    assert sorted(r["src_ip"] for r in matching.scanner_hits(ips).collect()) == ["162.142.125.7", "71.6.135.131"]
+    assert matching.suppress_scanners(ips).count() == 3
+
+
+def test_matches_any_takes_patterns_literally(spark):
+    rows = spark.createDataFrame([("x' OR 1=1 --",), ("sleep(5)",), ("CHAR(64)",), ("fine",)], "uri string")
+    assert matching.sqli_patterns(rows).count() == 3
+    assert all(matching.first_match(F.lit("x"), refdata.SQLI_PATTERNS) is not None for _ in range(1))
+
+
+def test_sql_guard():
+    assert hunts.read_only("SELECT 1;") == "SELECT 1"
+    for bad in ("DROP TABLE x", "select 1; select 2", "with a as (select 1) insert into b select * from a", ""):
+        with pytest.raises(ValueError):
+            hunts.read_only(bad)
+
+
+def test_conditions(spark):
+    df = spark.createDataFrame([("1", 9), ("2", 10), ("3", 100)], "flow_id string, port int")
+    assert hunts.hunt_rows(df, ("port", "GREATER", "9")).count() == 2
+    assert df.filter(hunts.search_condition(df, ("port", ">", "9"))).count() == 0  # by characters
+    assert hunts.search_condition(df, ("none", "==", "x")) is None
+    with pytest.raises(ValueError):
+        hunts.search_condition(df, ("a b", "==", "x"))
