@@ -119,22 +119,22 @@ class Window:
 
 def windows(text: str) -> Iterator[tuple[int, str]]:
     """(offset, text) round all triggers; overlapping ones are one window, cut at spaces."""
-    lo = hi = -1
+    lo = hi = 0
     for m in _TRIGGER.finditer(text):
-        if m.start() - BEFORE > hi or hi - lo > 1500:
-            if hi > lo:
+        if hi == 0 or m.start() - BEFORE > hi or hi - lo > 1500:
+            if hi:
                 yield lo, text[lo:hi]
-            lo = max(hi, 0, m.start() - BEFORE)
+            lo = max(hi, m.start() - BEFORE)
             while 0 < lo < m.start() and not text[lo - 1].isspace():
                 lo += 1
         hi = min(len(text), m.end() + AFTER)
         while hi < len(text) and hi < m.end() + AFTER + 24 and not text[hi].isspace():
             hi += 1
-    if hi > lo:
+    if hi:
         yield lo, text[lo:hi]
 
 
-N_FEATURES = 33
+N_FEATURES = 35
 
 
 def _features(text: str, start: int, end: int, cue: str) -> list[int]:
@@ -142,7 +142,7 @@ def _features(text: str, start: int, end: int, cue: str) -> list[int]:
     span = text[start:end]
     groups = _DIGIT_RUNS.findall(span)
     n = sum(map(len, groups))
-    on = [0, 1 if n == 0 else 2 if n < 8 else 3 if n < 12 else 4 if n <= 15 else 5 if n <= 19 else 6]
+    on = [0, 1 if n == 0 else 2 if n < 8 else 33 if n == 8 else 34 if n == 9 else 3 if n < 12 else 4 if n <= 15 else 5 if n <= 19 else 6]
     letters = any(c.isalpha() for c in span)
     marks = {c for c in span if not c.isalnum()}
     at = span.count("@")
@@ -344,7 +344,8 @@ def train(texts: list[str], seed: int = 7, rounds: int = 12) -> Field:
         if w.segments:
             examples.append((w, truth))
 
-    for text in [*_EXAMPLES, *sorted(texts)[:TRAIN_WINDOWS]]:
+    texts = sorted(texts)
+    for text in [*_EXAMPLES, *(rng.sample(texts, TRAIN_WINDOWS) if len(texts) > TRAIN_WINDOWS else texts)]:
         spans = base_spans(text)
         take(text, spans)
         if spans:
