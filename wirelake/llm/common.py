@@ -47,6 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few bytes each that may be broadcast.
+MOST_BROADCAST = 300_000
+
+
+def few(df: DataFrame, name: str) -> DataFrame:
+    """A narrow table written down, to be broadcast if it is counted to be small; else joined by shuffle."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A null text counts as the empty one."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree.
 
-Lines are parsed at a fixed depth: by token count, then by their first ``LEADING`` tokens, tokens with a digit
+Tokens lie between single spaces. Lines are parsed at a fixed depth: by token count, then by their first ``LEADING`` tokens, tokens with a digit
 standing for any such token. Lines that agree so far lie in one leaf. Within a leaf a position whose most
 common token makes up ``STEADY`` of the leaf's lines is fixed, any other is a variable field; if at least
 ``FIXED`` of the positions are fixed, the lines that have all fixed tokens share the leaf's template. Every
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import text_of, written
+from wirelake.llm.common import few, text_of, written
 
 LEADING = 3
 MIN_TOKENS = 4
@@ -39,28 +39,25 @@ def lines_of(text: Column) -> Column:
 
 
 def masked(line: Column) -> Column:
-    """The line with every token that holds a digit as a variable field."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(line)
-
-
-def template_hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(masked(line)))
+    """The line between its outer spaces, with every token that holds a digit as a variable field."""
+    line = F.trim(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
 
 
 def line_table(documents: DataFrame) -> DataFrame:
-    """A row for each different line of each document: doc_id, its template's hash, its leaf, its size."""
+    """A row for each different line of each document: doc_id, its template's hash, its leaf, its size.
+
+    Counts and leading tokens come from the text itself; only lines that need it are cut into tokens later.
+    """
     lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(lines_of(text_of()))).alias("line"))
-    lines = lines.select("doc_id", F.char_length("line").alias("chars"), F.trim(masked(F.col("line"))).alias("masked"))
-    lines = lines.select("doc_id", "chars", "masked", F.split("masked", r"\s+").alias("tokens"))
-    lines = lines.filter(F.size("tokens") >= MIN_TOKENS)
-    lead = [F.get(F.col("tokens"), i) for i in range(LEADING)]
-    return lines.select("doc_id", "chars", "masked", "tokens", F.xxhash64("masked").alias("line_hash"), F.xxhash64(F.size("tokens"), *lead).alias("leaf"))
+    lines = lines.select("doc_id", F.char_length("line").alias("chars"), masked(F.col("line")).alias("masked"))
+    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    lines = lines.withColumn("n", n).filter(F.col("n") >= MIN_TOKENS)
+    return lines.select("doc_id", "chars", "masked", F.xxhash64("masked").alias("line_hash"), F.xxhash64("n", F.substring_index("masked", " ", LEADING)).alias("leaf"))
 
 
-def recurring(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """line_hash of all lines whose template recurs."""
-    parsed = line_table(documents)
-    lines = written(parsed.select("doc_id", "line_hash", "leaf", "chars"), "lines")
+def recurring(lines: DataFrame, parsed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """line_hash of all lines whose template recurs. lines: the written line table; parsed: the same with the masked text."""
     counts = lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf"))
     counts = written(counts, "counts")
     again = counts.filter("docs > 1").select("line_hash", F.lit(True).alias("again"))
@@ -68,7 +65,7 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     own = shares.filter("own").select(F.col("doc_id").alias("own_id"))
     # leaves in which several templates might be one
     mixed = counts.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds")).filter((F.col("docs") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
-    template = written(leaf_templates(parsed.join(mixed, "leaf", "left_semi").select("leaf", "line_hash", "tokens")), "templates")
+    template = written(leaf_templates(parsed.join(few(mixed, "leaves"), "leaf", "left_semi").select("leaf", "line_hash", F.split("masked", " ").alias("tokens"))), "templates")
     # documents per line, then per template: only lines that could reach the count are followed
     maybe = counts.filter(F.col("docs") >= min_docs).select("line_hash").unionByName(template.select("line_hash")).distinct()
     followed = lines.join(maybe, "line_hash", "left_semi").join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi").select("doc_id", "line_hash")
@@ -95,15 +92,15 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
 
 def _with_drops(documents: DataFrame, min_docs: int) -> DataFrame:
     """The documents with _drop, the hashes of their lines that recur (null: none)."""
-    gone = recurring(documents, min_docs)
-    lines = line_table(documents).select("doc_id", "line_hash")
-    drops = lines.join(gone, "line_hash", "left_semi").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_hash").alias("_drop"))
+    parsed = line_table(documents)
+    lines = written(parsed.select("doc_id", "line_hash", "leaf", "chars"), "lines")
+    drops = lines.join(recurring(lines, parsed, min_docs), "line_hash", "left_semi").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_hash").alias("_drop"))
     return documents.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
 
 
 def _kept(lines: Column, drop: Column) -> Column:
-    """A line goes if its template is among the document's drops; short lines have no template."""
-    return F.filter(lines, lambda x: (F.size(F.split(F.trim(x), r"\s+")) < MIN_TOKENS) | ~F.array_contains(drop, template_hash(x)))
+    """A line goes if its template is among the document's drops (which hold no short ones)."""
+    return F.filter(lines, lambda x: ~F.array_contains(drop, F.xxhash64(masked(x))))
 
 
 def report(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
