@@ -8,83 +8,89 @@ from pyspark.sql import functions as F
 from wirelake import schemas
 from wirelake.functions import scalars as S
 
-_NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
-
-
 def parse_envelope(df: DataFrame, value: str = "value") -> DataFrame:
     """log_type, data (variant), raw: the first known type whose key holds an object, else log_type, else _path.
 
-    Rows that hold none of these, or no JSON, keep a null log_type.
+    Rows that hold none of these, or no JSON, keep a null log_type. One parse finds the known keys; what is
+    rarer (flat messages, unknown nested types) is parsed only where it occurs.
     """
-    whole = F.try_parse_json(F.col(value))
-    rows = df.withColumn("_whole", whole)
-    fields = F.from_json(F.col(value), "map<string,string>")
-    objects = F.map_keys(F.map_filter(fields, lambda k, v: F.ltrim(v).startswith("{")))
-    known = F.array(*(F.lit(t) for t in schemas.LOG_TYPES))
-    rows = rows.withColumn("_objects", objects)
-    nested = F.coalesce(F.get(F.array_intersect(known, F.col("_objects")), F.lit(0)), F.get(F.array_sort("_objects"), F.lit(0)))
-    flat = F.coalesce(_text(F.col("_whole"), "log_type"), _text(F.col("_whole"), "_path"))
-    rows = rows.withColumn("_nested", nested).withColumn("log_type", F.when(F.col("_whole").isNotNull(), F.coalesce("_nested", flat)))
-    inner = F.try_parse_json(F.element_at(fields, F.col("_nested")))
-    return rows.withColumn("data", F.when(F.col("_nested").isNotNull(), inner).otherwise(F.col("_whole"))).withColumn("raw", F.col(value)).drop("_whole", "_objects", "_nested")
+    keys = ("log_type", "_path", *schemas.LOG_TYPES)
+    schema = "struct<" + ", ".join(f"{k} variant" for k in keys) + ", _corrupt_record string>"
+    # a generator's output is worked out once: a filter on what follows can't pull the parse into itself
+    rows = df.select(*df.columns, F.explode(F.array(F.from_json(F.col(value), schema))).alias("_m"))
+    nested = F.coalesce(*(F.when(F.col("_m")[t].isNotNull() & F.to_json(F.col("_m")[t]).startswith("{"), t) for t in schemas.LOG_TYPES))
+    inner = F.coalesce(*(F.when(F.col("_nested") == t, F.col("_m")[t]) for t in schemas.LOG_TYPES))
+    flat = F.coalesce(_string(F.col("_m")["log_type"]), _string(F.col("_m")["_path"]))
+    objects = F.map_filter(F.from_json(F.col(value), "map<string,variant>"), lambda k, v: F.coalesce(F.to_json(v).startswith("{"), F.lit(False)))
+    other = F.get(F.array_sort(F.map_keys(objects)), F.lit(0))
+    sound = F.col("_m").isNotNull() & F.col("_m._corrupt_record").isNull() & (F.trim(value) != "")
+    rows = rows.withColumn("_nested", nested).withColumn("log_type", F.when(sound, F.coalesce("_nested", flat, other)))
+    data = F.when(F.col("_nested").isNotNull(), inner).otherwise(F.try_parse_json(F.col(value)))
+    return rows.select(*df.columns, "log_type", F.when(sound, data).alias("data"), F.col(value).alias("raw"), sound.alias("sound"))
 
 
 def split_dead_letters(parsed: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(rows of known types, dead letters with error_type and a preview of the message)."""
-    error = F.when(F.try_parse_json(F.col(value)).isNull(), "parse_error").when(F.col("log_type").isNull(), "missing_log_type").when(~F.col("log_type").isin(*schemas.LOG_TYPES), "unknown_log_type")
+    error = F.when(~F.col("sound"), "parse_error").when(F.col("log_type").isNull(), "missing_log_type").when(~F.col("log_type").isin(*schemas.LOG_TYPES), "unknown_log_type")
     rows = parsed.withColumn("error_type", error)
     preview = F.when(F.col("error_type") == "parse_error", F.substring(value, 1, 100)).otherwise(F.substring(value, 1, 200))
-    return rows.filter("error_type IS NULL").drop("error_type"), rows.filter("error_type IS NOT NULL").select("error_type", preview.alias("preview"))
+    return rows.filter("error_type IS NULL").drop("error_type", "sound"), rows.filter("error_type IS NOT NULL").select("error_type", preview.alias("preview"))
 
 
-def _path(field: str) -> str:
-    return f"$['{field}']"
+def _string(v: Column) -> Column:
+    """A variant that is a JSON string; else null."""
+    return F.when(F.to_json(v).startswith('"'), F.try_variant_get(v, "$", "string"))
 
 
-def _kind(data: Column, field: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(data, _path(field), "variant"))
+def _fields(log_type: str) -> dict[str, str]:
+    """Parse types: numbers and flags as such, so other JSON types come out null; text fields as variants."""
+    kinds = {"int": "double", "bigint": "double", "double": "double", "boolean": "boolean", "string": "variant"}
+    return {f: "variant" if f == "ts" else kinds[k] for f, k in schemas.raw_fields(log_type).items()}
 
 
-def _text(data: Column, field: str) -> Column:
-    """A field that is a JSON string; else null."""
-    return F.when(_kind(data, field) == "STRING", F.try_variant_get(data, _path(field), "string"))
+def _read(data: Column, fields: dict[str, str]) -> Column:
+    return F.from_json(F.to_json(data), "struct<" + ", ".join(f"`{f}`: {k}" for f, k in fields.items()) + ">")
 
 
-def _typed(data: Column, field: str, kind: str) -> Column:
-    """A field as its declared type if its JSON type fits; arrays as JSON text; else null."""
-    found = _kind(data, field)
-    value = lambda t: F.try_variant_get(data, _path(field), t)
+def _typed(record: Column, field: str, kind: str) -> Column:
+    """A parsed field as its declared type; arrays as JSON text; a misfit is null."""
+    v = record.getField(field)
     if kind in ("int", "bigint"):
-        return F.when(found.rlike(_NUMBER), value("double").try_cast("bigint").try_cast(kind))
-    if kind == "double":
-        return F.when(found.rlike(_NUMBER), value("double"))
-    if kind == "boolean":
-        return F.when(found == "BOOLEAN", value("boolean"))
-    return F.when(found == "STRING", value("string")).when(found.startswith("ARRAY"), F.to_json(value("variant")))
+        return v.try_cast("bigint").try_cast(kind)
+    if kind in ("double", "boolean"):
+        return v
+    text = F.to_json(v)
+    return F.when(text.startswith("["), text).otherwise(_string(v))
+
+
+def _time(record: Column) -> Column:
+    v = record.getField("ts")
+    return S.event_ms(F.coalesce(_string(v), F.to_json(v)))
 
 
 def project_table(parsed: DataFrame, log_type: str, ingest_ms: Column | None = None, zero_fill: bool = False) -> DataFrame:
     """The typed, enriched rows of one log type. zero_fill: missing values become 0, false or empty text."""
-    data = F.col("data")
+    record = F.col("_record")
     promoted = schemas.promotions(log_type)
     canonical = set(promoted.values())
-    event_time = S.event_ms(F.try_variant_get(data, _path("ts"), "string"))
+    event_time = _time(record)
     columns = {
         "ftx_id": F.sha2(F.concat(F.lit(log_type), F.col("raw")).cast("binary"), 256),
         "event_type": F.lit(schemas.EVENT_TYPE[log_type]),
         "event_class": F.lit(schemas.EVENT_CLASS[log_type]),
         "event_time": event_time,
         "ingest_time": F.coalesce(ingest_ms, event_time) if ingest_ms is not None else event_time,
-        "flow_id": _text(data, "uid"),
+        "flow_id": _typed(record, "uid", "string") if "uid" in schemas.raw_fields(log_type) else F.lit(None).cast("string"),
     }
     if "src_ip" in canonical:
-        columns |= {"src_ip": _text(data, "id.orig_h"), "dst_ip": _text(data, "id.resp_h")}
+        columns |= {"src_ip": _string(record.getField("id.orig_h")), "dst_ip": _string(record.getField("id.resp_h"))}
     if "src_port" in canonical:
-        columns |= {"src_port": _typed(data, "id.orig_p", "int"), "dst_port": _typed(data, "id.resp_p", "int")}
+        columns |= {"src_port": _typed(record, "id.orig_p", "int"), "dst_port": _typed(record, "id.resp_p", "int")}
     if "protocol" in canonical:
-        columns["protocol"] = _text(data, "proto")
-    raw = {schemas.table_column(log_type, f): _typed(data, f, k) for f, k in schemas.raw_fields(log_type).items() if f not in promoted and not (log_type == "conn" and f == "service")}
-    rows = parsed.filter(F.col("log_type") == log_type).select(*(c.alias(n) for n, c in {**columns, **raw}.items()), F.col("raw").alias("raw_log"))
+        columns["protocol"] = _string(record.getField("proto"))
+    raw = {schemas.table_column(log_type, f): _typed(record, f, k) for f, k in schemas.raw_fields(log_type).items() if f not in promoted and not (log_type == "conn" and f == "service")}
+    rows = parsed.filter(F.col("log_type") == log_type).select("raw", F.explode(F.array(_read(F.col("data"), _fields(log_type)))).alias("_record"))
+    rows = rows.select(*(c.alias(n) for n, c in {**columns, **raw}.items()), F.col("raw").alias("raw_log"))
     rows = enrich(rows, schemas.has_network(log_type))
     if zero_fill:
         zeros = {"string": F.lit(""), "boolean": F.lit(False)}
@@ -115,14 +121,14 @@ def details_map(data: Column, promoted: tuple[str, ...] = ("ts", "uid", "id.orig
 
 def to_stream_record(parsed: DataFrame, ingest_ms: Column | None = None) -> DataFrame:
     """The flat record of the enriched stream for rows of any known type."""
-    data = F.col("data")
-    has_service = _kind(data, "service").isNotNull()
-    rows = parsed.select(
-        "log_type", "data", "raw",
-        S.event_ms(F.try_variant_get(data, _path("ts"), "string")).alias("event_time"),
-        _text(data, "uid").alias("uid"), _text(data, "id.orig_h").alias("src_ip"), _text(data, "id.resp_h").alias("dst_ip"),
-        _typed(data, "id.orig_p", "int").alias("src_port"), _typed(data, "id.resp_p", "int").alias("dst_port"), _text(data, "proto").alias("protocol"),
-        F.when(has_service, F.coalesce(_text(data, "service"), F.lit(""))).alias("own_service"),
+    fields = {f: "variant" for f in ("ts", "uid", "id.orig_h", "id.resp_h", "proto", "service")} | {"id.orig_p": "double", "id.resp_p": "double"}
+    record = F.col("_record")
+    service = record.getField("service")
+    rows = parsed.select("log_type", "data", "raw", F.explode(F.array(_read(F.col("data"), fields))).alias("_record")).select(
+        "log_type", "data", "raw", _time(record).alias("event_time"),
+        *(_string(record.getField(f)).alias(n) for f, n in (("uid", "uid"), ("id.orig_h", "src_ip"), ("id.resp_h", "dst_ip"), ("proto", "protocol"))),
+        _typed(record, "id.orig_p", "int").alias("src_port"), _typed(record, "id.resp_p", "int").alias("dst_port"),
+        F.when(service.isNotNull(), F.coalesce(_string(service), F.lit(""))).alias("own_service"),
     )
     rows = enrich(rows)
     table = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))[F.col("log_type")]
