@@ -48,6 +48,8 @@ BUCKET_CHARS, LEAST_BUCKETS = 8_000_000, 32
 FLUSH, FLUSH_DOCS = 2_000_000, 60_000
 #: Members verified against one hub in one group.
 GROUP = 48
+#: Runs of a class that are listed with it, to form a pair in one run alone.
+FIRST_RUNS = 128
 #: Bits of the parity map: 64 for each of its columns.
 MAP_WORDS = 8
 NULL_ID = -(1 << 63)
@@ -300,10 +302,15 @@ def join(documents: DataFrame) -> DataFrame:
     held = held.join(found.withColumnRenamed("id", "class"), "class", "left").select("run", "class", place.alias("component"))
     wide = held.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("run")
     facts = member.filter("id = class").dropDuplicates(["class"]).select("class", "n", *_MAP)
-    rest = written(held.join(wide, "run", "left_semi").join(facts, "class"), "rest")
-    other = rest.select(F.col("run").alias("run2"), F.col("class").alias("class2"), F.col("component").alias("component2"), F.col("n").alias("n2"), *(F.col(m).alias(f"{m}2") for m in _MAP))
+    rest = written(held.join(wide, "run", "left_semi"), "wide")
+    first = rest.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("run")), 1, FIRST_RUNS).alias("runs"))
+    rest = written(rest.join(facts, "class").join(first, "class"), "rest")
+    other = rest.select(F.col("run").alias("run2"), F.col("class").alias("class2"), F.col("component").alias("component2"), F.col("n").alias("n2"), F.col("runs").alias("runs2"), *(F.col(m).alias(f"{m}2") for m in _MAP))
     flips = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}2"))) for m in _MAP), F.lit(0))
     near = (F.col("component") < F.col("component2")) & (5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2")) & (9 * flips <= F.col("n") + F.col("n2"))
+    # a pair is formed in the first run that both lie in; where that is beyond the lists kept, in all of them
+    common = F.array_min(F.array_intersect("runs", "runs2"))
+    near = near & (F.coalesce(common, F.col("run")) == F.col("run"))
     across = rest.join(other, (F.col("run") == F.col("run2")) & near).select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
     across = written(across.join(links.select("a", "b"), ["a", "b"], "left_anti"), "across")
     more = written(verified(texts, across).filter("linked").select("a", "b"), "more")
