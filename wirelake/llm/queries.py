@@ -80,4 +80,72 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_packing": op10_packing,
 }
-SQL: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
+_M = mixing.DEFAULT
+
+
+def _weights(name: str, weights: dict) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {_M.other} END" if weights else str(_M.other)
+
+
+def _shared(children: str, parent: str, name: str) -> str:
+    """children (capacity, weight, total, and names) with budget: the parent's total shared among them."""
+    order = f"PARTITION BY {parent} ORDER BY capacity / weight, {name} NULLS FIRST"
+    return f"""(SELECT * EXCLUDE (short, before, rest, heavy), CASE WHEN short THEN capacity ELSE least(capacity, (rest * weight) // heavy) END AS budget FROM
+ (SELECT *, total - coalesce(sum(capacity) FILTER (short) OVER (PARTITION BY {parent}), 0)::BIGINT AS rest, (sum(weight) FILTER (NOT short) OVER (PARTITION BY {parent}))::BIGINT AS heavy FROM
+ (SELECT * EXCLUDE (short), min(short::INT) OVER ({order} ROWS UNBOUNDED PRECEDING) = 1 AS short FROM
+ (SELECT *, capacity * (sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) <= (total - before) * weight AS short FROM
+ (SELECT *, coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM {children})))))"""
+
+
+SQL: dict[str, str] = {
+    "op1_mixing": rf"""
+WITH d AS (SELECT doc_id, lang, source, sum(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')))::BIGINT AS n_tokens FROM documents GROUP BY ALL),
+ r AS (SELECT *, CASE WHEN k < 8 THEN 'web' WHEN k < 13 THEN 'forum' WHEN k < 17 THEN 'news' ELSE 'reference' END AS domain FROM (SELECT *, TRY_CAST(regexp_extract(source, '[0-9]+$') AS INT) AS k FROM d)),
+ leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply, sum(n_tokens)::BIGINT * {_M.epochs} AS capacity FROM r GROUP BY ALL),
+ dom AS (SELECT domain, 1 AS one, sum(capacity)::BIGINT AS capacity, {_weights('domain', _M.domains)} AS weight, least((SELECT sum(supply)::BIGINT FROM leaf) * {_M.share} // {_M.of}, (SELECT sum(capacity)::BIGINT FROM leaf)) AS total FROM leaf GROUP BY 1),
+ dom2 AS {_shared('dom', 'one', 'domain')},
+ lng AS (SELECT l.domain, l.lang, sum(l.capacity)::BIGINT AS capacity, {_weights('l.lang', _M.langs)} AS weight, any_value(dom2.budget) AS total FROM leaf l JOIN dom2 USING (domain) GROUP BY 1, 2),
+ lng2 AS {_shared('lng', 'domain', 'lang')},
+ src AS (SELECT l.domain, l.lang, l.source, l.supply, l.capacity, {_weights('l.source', _M.sources)} AS weight, lng2.budget AS total FROM leaf l JOIN lng2 ON l.domain = lng2.domain AND l.lang IS NOT DISTINCT FROM lng2.lang),
+ src2 AS {_shared('src', 'domain, lang', 'source')},
+ f AS (SELECT r.*, s.supply, s.budget, CASE WHEN s.supply > 0 THEN s.budget // s.supply ELSE 1 END AS whole FROM r JOIN src2 s ON r.domain = s.domain AND r.lang IS NOT DISTINCT FROM s.lang AND r.source IS NOT DISTINCT FROM s.source),
+ g AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{_M.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - n_tokens AS start FROM f)
+SELECT doc_id, domain, lang, source, n_tokens, (whole + CASE WHEN start < budget - whole * supply AND whole < {_M.epochs} THEN 1 ELSE 0 END)::INT AS n_copies FROM g""",
+    "op2_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+ s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+ t AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT c.doc_id, t.b FROM c JOIN t ON t.a = c.r)
+SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY 1""",
+    "op5_line_templates": rf"""
+WITH l AS (SELECT doc_id, pos, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END for x in string_split(trim(line), ' ')] AS tokens
+  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+ u AS (SELECT doc_id, tokens, length(line) AS chars FROM (SELECT DISTINCT doc_id, line, tokens FROM l) WHERE len(tokens) >= {linetemplates.MIN_TOKENS}),
+ k AS (SELECT tokens, count(*) AS docs, [len(tokens)::VARCHAR] || tokens[1:{linetemplates.LEADING}] AS leaf FROM u GROUP BY tokens),
+ own AS (SELECT doc_id FROM u JOIN k USING (tokens) GROUP BY 1 HAVING sum(CASE WHEN docs > 1 THEN chars ELSE 0 END) <= {linetemplates.COPIED} * sum(chars)),
+ mixed AS (SELECT leaf FROM k GROUP BY 1 HAVING sum(docs) >= {linetemplates.MIN_DOCS} AND count(*) > 1),
+ parts AS (SELECT leaf, tokens, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM k JOIN mixed USING (leaf)),
+ common AS (SELECT leaf, pos, token, sum(docs) AS docs FROM parts GROUP BY ALL),
+ fixed AS (SELECT leaf, pos, token FROM (SELECT *, sum(docs) OVER (PARTITION BY leaf, pos) AS every FROM common) WHERE docs >= {linetemplates.STEADY} * every),
+ sizes AS (SELECT leaf, count(*) AS n_fixed FROM fixed GROUP BY 1),
+ template AS (SELECT leaf, tokens FROM (SELECT leaf, tokens, count(*) AS met FROM parts JOIN fixed USING (leaf, pos, token) GROUP BY ALL) JOIN sizes USING (leaf) WHERE met = n_fixed AND n_fixed >= {linetemplates.FIXED} * len(tokens)),
+ followed AS (SELECT doc_id, tokens FROM u JOIN own USING (doc_id)),
+ gone AS (SELECT tokens FROM followed GROUP BY 1 HAVING count(*) >= {linetemplates.MIN_DOCS}
+  UNION SELECT tokens FROM template WHERE leaf IN (SELECT leaf FROM followed JOIN template USING (tokens) GROUP BY 1 HAVING count(DISTINCT doc_id) >= {linetemplates.MIN_DOCS})),
+ kept AS (SELECT l.doc_id, pos, line, gone.tokens IS NOT NULL AS out FROM l LEFT JOIN gone ON gone.tokens = l.tokens AND len(l.tokens) >= {linetemplates.MIN_TOKENS})
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out)::INT AS n_dropped, length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT out), '')) AS kept_chars, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT out), '')) AS kept_sha256 FROM kept GROUP BY 1""",
+    "op7_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+ t AS (SELECT *, coalesce(lag(role) OVER w, '') AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS last,
+  length(text) + len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '#')) - len(regexp_extract_all(text, '#+')) + len(regexp_extract_all(text, '#:')) + len(regexp_extract_all(text, '</')) + length(role) + 14 AS size
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars,
+ bool_and(before || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AND (NOT last OR role = 'assistant')) AS valid FROM t GROUP BY 1""",
+}
