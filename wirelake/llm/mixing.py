@@ -47,8 +47,6 @@ class Mixture:
 
 
 DEFAULT = Mixture()
-#: Rows of one leaf in one bucket of the hash, at about.
-BUCKET_ROWS = 4096
 
 
 def domain_of(source: Column) -> Column:
@@ -113,7 +111,7 @@ def copies(documents: DataFrame, mixture: Mixture = DEFAULT) -> DataFrame:
     given = budgets(leaves, mixture)
     most = leaves.agg(F.max("rows")).first()[0] or 0
     digits = 0
-    while most > BUCKET_ROWS * 16**digits and digits < 8:
+    while most > 256**digits:  # about as many buckets in the largest leaf as rows in each of them
         digits += 1
     given = given.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), "supply", "budget")
     same = [rows[c].eqNullSafe(given[f"_{c}"]) for c in LEVELS]
