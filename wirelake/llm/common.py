@@ -47,7 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few bytes each that may be broadcast.
+#: Rows of at most about 100 bytes each that may be broadcast.
 MOST_BROADCAST = 300_000
 
 

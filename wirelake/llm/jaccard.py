@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import batch_of, bounded_batches, text_of, written
+from wirelake.llm.common import batch_of, bounded_batches, few, text_of, written
 
 WORDS = 5
 #: Documents link from this similarity on, in percent; the bands' growth of 5/4 goes with it.
@@ -255,10 +255,13 @@ def _verify(table: pa.Table) -> pa.Table:
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, linked of pairs (a: hub, b: member), in groups of about GROUP members with their hub's text."""
-    members = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("parts")), "a")
-    members = members.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    # hubs of many members are cut into parts; of the others no count has to be joined
+    parts = F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("parts")
+    large = few(pairs.groupBy(F.col("a").alias("large")).agg(parts).filter("parts > 1"), "hubs")
+    members = pairs.join(large, pairs["a"] == large["large"], "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     hubs = members.select("a", "part").distinct()
     routes = members.select(F.col("b").alias("id"), F.col("a").alias("hub"), "part", F.col("b").alias("member")).unionByName(hubs.select(F.col("a").alias("id"), F.col("a").alias("hub"), "part", F.lit(None).cast("long").alias("member")))
+    routes = few(routes, "routes")  # few ones go to the texts, so that these are shuffled to their groups alone
     return texts.join(routes, "id").select("hub", "part", "member", "text").groupBy("hub", "part").applyInArrow(_verify, VERIFIED)
 
 
@@ -288,8 +291,12 @@ def join(documents: DataFrame) -> DataFrame:
     dealt = rows.mapInArrow(lambda batches: Dealer(buckets).batches(batches), DEALT)
     met = written(dealt.repartition(int(buckets), "bucket").groupBy("bucket").applyInArrow(_meet, MET), "met")
     docs = met.filter("kind = 'd'")
-    classes = docs.filter("n > 0").groupBy("set_key").agg(F.min("a").alias("class"), F.min("n").alias("n"), *(F.min(m).alias(m) for m in _MAP))
-    member = written(docs.select(F.col("a").alias("id"), "n", "set_key").join(classes.drop("n"), "set_key", "left").select("id", "n", "class", *_MAP), "classes")
+    # sets of several documents; any other document is a class of its own
+    several = docs.filter("n > 0").groupBy("set_key").agg(F.min("a").alias("class"), F.count(F.lit(1)).alias("size"), *(F.min(m).alias(f"{m}_all") for m in _MAP))
+    several = few(several.filter("size > 1").drop("size"), "several")
+    maps = [F.coalesce(f"{m}_all", m).alias(m) for m in _MAP]
+    own = F.coalesce("class", F.when(F.col("n") > 0, F.col("a")))
+    member = written(docs.join(several, "set_key", "left").select(F.col("a").alias("id"), "n", own.alias("class"), *maps), "classes")
     named = member.filter("n > 0").select("id", "class").distinct()
     pairs = met.filter("kind = 'p'").select("a", "b").distinct()
     pairs = _in_classes(pairs, named)
