@@ -525,6 +525,22 @@ def test_packing_fills_and_balances(spark):
         assert all(n == packing.STEP_TOKENS for (t, g), n in groups.items() if t == tier and g < last)
 
 
+def test_step_groups_are_full_across_tasks(spark):
+    rng = random.Random(17)
+    rows = [(i, "word " * rng.choice([1, 7, 30, 100, 200, 400, 900, 3000])) for i in range(600)]
+    pieces = check_packing(packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), queries.VOCABULARY), rows)
+    assert len({r["sequence_id"] >> 40 for r in pieces}) == 5
+    groups, sequences = collections.Counter(), collections.defaultdict(set)
+    for r in pieces:
+        groups[(r["tier"], r["step_group"])] += r["length"]
+        sequences[r["sequence_id"]].add((r["tier"], r["step_group"]))
+    assert all(len(x) == 1 for x in sequences.values())
+    for tier in {t for t, _ in groups}:
+        own = [groups[t, g] for t, g in sorted(groups) if t == tier]
+        assert own[:-1] == [packing.STEP_TOKENS] * (len(own) - 1) and own[-1] <= packing.STEP_TOKENS
+    assert max(g for t, g in groups if t == 1024) > 5
+
+
 def test_packing_odd(odd, empty):
     assert packing.pack(empty, queries.VOCABULARY).count() == 0
     rows = [(d, t) for d, t in ODD if d not in (4, None)]

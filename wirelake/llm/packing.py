@@ -3,11 +3,14 @@
 A document becomes the ids of its text and an end id. Whole long windows are cut off its front; what is
 left goes to the smallest context-size tier that holds it. Each tier packs its pieces best fit first; a
 window's gap is filled from shorter tiers, the last piece cut to measure, so no window of a tier is
-padded. What a task has left at its end becomes windows of powers of two. Every window gets a step
-group: the windows of one tier and group hold the same number of tokens in every full group.
+padded. What a task has left at its end becomes windows of powers of two.
 
-Each task packs what it reads, holding at most ``PENDING`` pieces of each tier: no shuffle, and nothing
-grows with the table.
+Every window gets a step group: a tier's windows of all tasks stand in one row, the longest first, and the row is cut
+by tokens. As the lengths are powers of two, no window lies across a cut; so every group of a tier holds the
+same number of tokens but for the tier's last one.
+
+Each task packs what it reads, holding at most ``PENDING`` pieces of each tier. The pieces are written; of them,
+only the number of windows of each task, tier and length is shuffled to find where each task's windows begin.
 
 Defined cases: a null text is the empty one and yields the end id alone; equal rows are packed each for
 itself; an empty table yields no pieces; further columns are ignored. doc_id may be null.
@@ -18,15 +21,17 @@ from __future__ import annotations
 import base64
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from wirelake.llm.common import batch_of, bounded_batches, text_of
+from wirelake.llm.common import batch_of, bounded_batches, few, text_of, written
 
 #: Context sizes of the tiers, longest first; all are powers of two.
 TIERS = (1024, 512, 256, 128)
@@ -36,8 +41,13 @@ PENDING = 512
 #: Tokens of one tier's windows in one step group.
 STEP_TOKENS = 16 * 1024
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-_ARROW = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")])
+#: The bits of a sequence id below its task's number.
+TASK_BITS = 40
+
+#: window: the tokens of the piece's window; nth: the number of the window among the task's of this tier and length.
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, window long, nth long"
+_ARROW = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "window", "nth")])
+_COLUMNS = (*_ARROW.names[:-2], "step_group")
 
 
 @lru_cache(maxsize=2)
@@ -67,7 +77,7 @@ class Packer:
         self.tiers, self.pending, self.next_id = tiers, pending, first_id
         self.waiting: list[list[tuple]] = [[] for _ in tiers]  # (length, order, doc, start, total, ids), by length
         self.tokens = [0] * len(tiers)  # that wait in each tier
-        self.made = [0] * len(tiers)
+        self.made: Counter[tuple[int, int]] = Counter()  # windows, by tier and length
         self.order = 0
         self.out: dict[str, list] = {n: [] for n in _ARROW.names}
 
@@ -124,13 +134,13 @@ class Packer:
             self._place(window, tier)
 
     def _place(self, window: list[tuple], tier: int) -> None:
-        offset, group = 0, self.made[tier] // max(1, STEP_TOKENS // self.tiers[tier])
+        offset, size = 0, sum(x[0] for x in window)
         for length, _, doc, start, total, ids in window:
-            for name, value in zip(_ARROW.names, (doc, start, length, zlib.crc32(ids.astype("<u4").tobytes()), total, self.next_id, offset, self.tiers[tier], group), strict=True):
+            for name, value in zip(_ARROW.names, (doc, start, length, zlib.crc32(ids.astype("<u4").tobytes()), total, self.next_id, offset, self.tiers[tier], size, self.made[tier, size]), strict=True):
                 self.out[name].append(value)
             offset += length
         self.next_id += 1
-        self.made[tier] += 1
+        self.made[tier, size] += 1
 
     def finish(self) -> None:
         """Full windows tier by tier, then the rest in windows of ever smaller powers of two."""
@@ -167,7 +177,7 @@ def pack(documents: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS,
     bounded_batches(documents.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(TaskContext.get().partitionId() << 40, tiers, pending)
+        packer = Packer(TaskContext.get().partitionId() << TASK_BITS, tiers, pending)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc, np.append(token_ids(vocabulary, text.as_py()), np.uint32(END_ID)))
@@ -175,4 +185,15 @@ def pack(documents: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS,
         packer.finish()
         yield packer.pieces()
 
-    return documents.select(documents["doc_id"].cast("long").alias("doc_id"), text_of(documents["text"]).alias("text")).mapInArrow(task, SCHEMA)
+    pieces = documents.select(documents["doc_id"].cast("long").alias("doc_id"), text_of(documents["text"]).alias("text")).mapInArrow(task, PIECES)
+    return with_step_groups(written(pieces, "pieces"))
+
+
+def with_step_groups(pieces: DataFrame) -> DataFrame:
+    """The written pieces with step_group: a tier's windows of all tasks, the longest first, cut at equal numbers of tokens."""
+    pieces = pieces.withColumn("task", F.shiftright("sequence_id", TASK_BITS))
+    made = pieces.groupBy("tier", "window", "task").agg((F.max("nth") + 1).alias("made"))
+    earlier = Window.partitionBy("tier").orderBy(F.desc("window"), "task").rowsBetween(Window.unboundedPreceding, -1)
+    before = made.select("tier", "window", "task", F.coalesce(F.sum(F.col("made") * F.col("window")).over(earlier), F.lit(0)).alias("before"))
+    group = F.expr(f"(before + nth * window) div (tier * greatest(1, {STEP_TOKENS} div tier))")
+    return pieces.join(few(before, "windows"), ["tier", "window", "task"]).withColumn("step_group", group).select(*_COLUMNS)
