@@ -310,6 +310,32 @@ def test_field_finds_altered_writing():
     assert {tuple(s) for s in plain_pii(text)} <= {(s["kind"], s["start"], s["end"]) for s in pii.all_spans(text, field)}
 
 
+def test_field_sees_every_trigger_and_cuts_no_entity():
+    rng = random.Random(11)
+    field = pii.Field()
+    field.spans[11, pii.KINDS.index("email")] = 1.0  # an at sign or word, dotted, a letter last
+    for text in ("jane[at]example.com", "jane (at) example.com"):
+        assert [(s["kind"], text[s["start"] : s["end"]]) for s in pii.all_spans(text, field)] == [("email", text)]
+    field = pii.train([f"call +1 ({200 + i + rng.randrange(9)}) 555-{1000 + i} later" for i in range(60)])
+    for between in (" ; ", " and ", ", "):
+        numbers = [f"{210 + i % 7}-555-{1000 + i}" for i in range(600)]
+        text = "x " + between.join(numbers)
+        assert [(s["kind"], text[s["start"] : s["end"]]) for s in pii.all_spans(text, field)] == [("phone", x) for x in numbers]
+
+
+def test_windows_hold_all_segments():
+    """Each segment that could be an entity lies whole in the window in whose own part it begins."""
+    rng = random.Random(12)
+    text = " ".join(rng.choice(["7", "12", "a@b.c", "x", "4111 1111", "(at)", "9" * 30]) for _ in range(3000))
+    whole = pii.window_of(text)
+    spans = {(whole.tokens[i][0], whole.tokens[j - 1][1]) for i, j in whole.segments}
+    found = []
+    for at, part, start, end in pii.windows(text):
+        w = pii.window_of(part)
+        found += [s for i, j in w.segments if start <= (s := (at + w.tokens[i][0], at + w.tokens[j - 1][1]))[0] < end]
+    assert len(found) == len(set(found)) and set(found) == spans
+
+
 def test_field_gradient():
     field = pii.Field()
     rng = np.random.default_rng(0)

@@ -35,6 +35,8 @@ TRAIN_WINDOWS = 300
 MAX_TOKENS = 16
 #: Characters round a trigger that a window holds.
 BEFORE, AFTER = 48, 48
+#: Characters from which a run of triggers is cut into several windows.
+RUN = 1500
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -117,21 +119,44 @@ class Window:
     features: np.ndarray  # segments x features
 
 
-def windows(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, text) round all triggers; overlapping ones are one window, cut at spaces."""
+def windows(text: str) -> Iterator[tuple[int, str, int, int]]:
+    """(offset, text, start, end) round all triggers; overlapping ones are one window, cut at spaces.
+
+    A run of over RUN characters is cut at each end; there the window goes on by more tokens than an entity
+    may have. Start and end bound the window's own part: its spans are those that begin there.
+    """
     lo = hi = 0
+    inside = False  # lo is a cut inside a run
     for m in _TRIGGER.finditer(text):
-        if hi == 0 or m.start() - BEFORE > hi or hi - lo > 1500:
+        apart = hi == 0 or m.start() - BEFORE > hi
+        if apart or hi - lo > RUN:
             if hi:
-                yield lo, text[lo:hi]
-            lo = max(hi, m.start() - BEFORE)
-            while 0 < lo < m.start() and not text[lo - 1].isspace():
+                yield _padded(text, lo, hi, inside, not apart)
+            inside = not apart
+            lo = hi if inside else max(hi, m.start() - BEFORE)
+            while not inside and 0 < lo < m.start() and not text[lo - 1].isspace():
                 lo += 1
-        hi = min(len(text), m.end() + AFTER)
+        hi = max(hi, min(len(text), m.end() + AFTER))
         while hi < len(text) and hi < m.end() + AFTER + 24 and not text[hi].isspace():
             hi += 1
     if hi:
-        yield lo, text[lo:hi]
+        yield _padded(text, lo, hi, inside, False)
+
+
+def _padded(text: str, lo: int, hi: int, left: bool, right: bool) -> tuple[int, str, int, int]:
+    """The window of the part from lo to hi, with MAX_TOKENS tokens and one more beyond each end that is a cut."""
+    start, end, size = lo, hi, 256
+    while left and start:
+        start = max(0, lo - size)
+        before = [m.start() + start for m in _TOKEN.finditer(text[start:lo])]
+        if len(before) > MAX_TOKENS + 1:  # the first may be the rest of a longer one
+            start = before[-MAX_TOKENS - 1]
+            break
+        size *= 2
+    if right:
+        for _, m in zip(range(MAX_TOKENS + 1), _TOKEN.finditer(text, hi)):
+            end = m.end()
+    return start, text[start:end], lo, hi
 
 
 N_FEATURES = 35
@@ -376,7 +401,7 @@ def fit(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"window": [w for text in batch.column(0).to_pylist() for _, w in windows(text) if len(w) <= 400]}, schema=pa.schema([("window", pa.string())]))
+            yield pa.RecordBatch.from_pydict({"window": [w for text in batch.column(0).to_pylist() for _, w, _, _ in windows(text) if len(w) <= 400]}, schema=pa.schema([("window", pa.string())]))
 
     kept = documents.filter(order <= last).select(text_of().alias("text")).mapInArrow(task, "window string")
     rows = kept.groupBy("window").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("window"), "window").limit(TRAIN_WINDOWS).collect()
@@ -391,12 +416,15 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
 def all_spans(text: str, field: Field) -> list[dict]:
     base = base_spans(text)
     found = [{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base]
-    if "@" in text or " dot " in text or "(dot)" in text or "[dot]" in text or _DIGIT.search(text):
-        taken = sorted((a, b) for _, a, b in base)
-        for at, part in windows(text):
-            for kind, a, b in field.best(window_of(part)):
-                if not any(x < at + b and at + a < y for x, y in taken):
-                    found.append({"kind": kind, "start": at + a, "end": at + b, "base": False})
+    taken = sorted((a, b) for _, a, b in base)
+    done = 0
+    for at, part, start, end in windows(text):
+        for kind, a, b in field.best(window_of(part)):
+            if not max(start, done) <= at + a < end:
+                continue
+            done = at + b
+            if not any(x < at + b and at + a < y for x, y in taken):
+                found.append({"kind": kind, "start": at + a, "end": at + b, "base": False})
     found.sort(key=lambda x: (KINDS.index(x["kind"]), x["start"], x["end"]))
     return found
 
