@@ -376,6 +376,11 @@ def test_secret_base(docs):
         ('pwd = "changeme"', None),
         ('name = "Zx9!kfPq02LmRt77"', None),
         ("the note: see page 3", None),
+        ("\n".join(['n0 = "Zx9!kfPq02LmRt77"', *(f"n{i + 1} = n{i}" for i in range(30)), "db_password = n30"]), "Zx9!kfPq02LmRt77"),
+        ('x = "a b"\n' + 'x = x + "c d"\n' * 100 + 'x = x + "Zx9!kfPq02LmRt77"\npwd = x', "Zx9!kfPq02LmRt77"),
+        ("<user>bob</user><password>hT5$kk29Lm0Q</password>", "hT5$kk29Lm0Q"),
+        ("<c:password type='x'>\n  hT5$kk29Lm0Q\n</c:password>", "hT5$kk29Lm0Q"),
+        ("<name>hT5$kk29Lm0Q</name> <password>see page 3</password>", None),
     ],
 )
 def test_lexing(text, literal):
@@ -383,6 +388,11 @@ def test_lexing(text, literal):
     assert found == ([literal] if literal else [])
 
 
+def test_long_sums_take_linear_time():
+    text = 'x = "a b"\n' + 'x = x + "c d"\n' * 100_000 + 'x = x + "Zx9!kfPq02LmRt77"\npwd = x'
+    assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == ["Zx9!kfPq02LmRt77"]
+
+
 def test_scans_odd(odd, empty):
     for scan in (lambda d: pii.find_personal_data(d, pii.fit(d)), secrets.find_secrets):
         found = scan(odd).collect()

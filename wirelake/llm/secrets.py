@@ -1,8 +1,8 @@
 """Secrets by base patterns and by assignment-aware lexing.
 
 The base patterns fix what is always reported. Lines that assign something are then lexed as source or
-configuration syntax (``name = "literal"``, ``name: literal``, ``name => literal``, JSON pairs, XML and
-``export``/``--name value`` forms) into name-literal pairs. Constants propagate: a name on the right side
+configuration syntax (``name = "literal"``, ``name: literal``, ``name => literal``, JSON pairs, XML attributes
+and elements that hold one word, ``export``/``--name value`` forms) into name-literal pairs. Constants propagate: a name on the right side
 stands for the literals assigned to it earlier in the text, so the sensitivity of ``db_password = K`` reaches
 the literal of ``K = "..."``, also through sums of parts. A literal is scored by the most sensitive name that
 it reaches and by its own form (length, character classes, entropy, placeholder words); from ``MIN_SCORE``
@@ -14,6 +14,7 @@ rows; further columns are ignored; offsets are code points.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -28,8 +29,6 @@ from wirelake.llm.common import batch_of, bounded_batches, text_of
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "literal")
 MIN_SCORE = 1.0
-#: Assignments away that a constant may be propagated.
-MAX_HOPS = 8
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -65,6 +64,7 @@ _LEX = re.compile(
     r"""|(?P<word>[A-Za-z0-9_$/.@+~!%^&*-]+)|(?P<line>\n)|(?P<other>\S)"""
 )
 _ASSIGNS = ("=", ":", "=>", ":=")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<\s]+)\s*</\1\s*>")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -111,6 +111,13 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
         yield name, parts
 
 
+def elements(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """The same for XML elements whose text is one word, of sort text."""
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            yield m.group(1), [("text", *m.span(2))]
+
+
 def sensitivity(name: str) -> float:
     """The sum of what a name's parts tell, 1 at most."""
     parts = [p.lower() for p in _PART.findall(name)]
@@ -134,27 +141,39 @@ def form(literal: str) -> float:
 
 
 def literal_spans(text: str) -> list[tuple[str, int, int]]:
-    if not any(c in text for c in "=:") and "--" not in text:
+    if not any(c in text for c in "=:") and "--" not in text and "</" not in text:
         return []
-    known: dict[str, tuple[frozenset, int]] = {}  # name: the literals it stands for, assignments away
-    reach: dict[tuple[int, int], float] = {}
-    for name, parts in assignments(text):
-        literals, hops = set(), 0
+    # a node for each assignment: its own literals, and the earlier assignments whose literals it stands for too
+    nodes: list[tuple[list[tuple[int, int]], list[int]]] = []
+    tells: list[float] = []
+    known: dict[str, int] = {}
+    for name, parts in heapq.merge(assignments(text), elements(text), key=lambda x: x[1][0][1]):
+        literals, earlier = [], []
         for sort, a, b in parts:
             value = text[a:b]
             if sort == "word" and value in known:
-                literals |= known[value][0]
-                hops = max(hops, known[value][1] + 1)
+                earlier.append(known[value])
             elif sort == "string":
-                literals.add((a + 1, b - 1))
+                literals.append((a + 1, b - 1))
+            elif sort == "text":
+                literals.append((a, b))
             else:
-                literals.add((a, a + len(value.rstrip(".,;"))))
-        if hops <= MAX_HOPS and len(literals) <= 64:
-            known[name] = (frozenset(literals), hops)
-        if (s := sensitivity(name)) > 0:
-            for x in literals:
-                reach[x] = max(reach.get(x, 0.0), s)
-    return [("literal", a, b) for (a, b), s in sorted(reach.items()) if b > a and s + form(text[a:b]) >= MIN_SCORE]
+                literals.append((a, a + len(value.rstrip(".,;"))))
+        known[name] = len(nodes)
+        nodes.append((literals, earlier))
+        tells.append(sensitivity(name))
+    reach: dict[tuple[int, int], float] = {}
+    for i in range(len(nodes) - 1, -1, -1):  # what a name tells goes back to all that it stands for
+        if tells[i] > 0:
+            for x in nodes[i][0]:
+                reach[x] = max(reach.get(x, 0.0), tells[i])
+            for k in nodes[i][1]:
+                tells[k] = max(tells[k], tells[i])
+    found: list[tuple[str, int, int]] = []
+    for (a, b), s in sorted(reach.items()):
+        if b > a and s + form(text[a:b]) >= MIN_SCORE and not (found and a < found[-1][2]):  # an element's text may hold a pair
+            found.append(("literal", a, b))
+    return found
 
 
 def all_spans(text: str) -> list[dict]:
