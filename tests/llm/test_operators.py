@@ -122,6 +122,16 @@ def test_signatures_are_shared(spark):
             assert 9 * flips <= len(s) + len(t)
 
 
+def test_document_rows_are_spread():
+    """A group of copies, even of one id, lies in no single bucket."""
+    import pyarrow as pa
+
+    for same in ("", SAME):
+        texts = pa.RecordBatch.from_arrays([pa.array([5] * 6400, pa.int64()), pa.array([same] * 6400)], names=["id", "text"])
+        rows = [r for b in jaccard.Dealer(32).batches(iter([texts])) for r in b.to_pylist() if r["signature"] is None]
+        assert len(rows) == 6400 and max(collections.Counter(r["bucket"] for r in rows).values()) == 200
+
+
 # --- line templates ----------------------------------------------------------------------------------
 
 

@@ -44,6 +44,8 @@ WORDS = 5
 PERCENT = 80
 #: Characters of text behind the signatures of one bucket, at about, and buckets at least.
 BUCKET_CHARS, LEAST_BUCKETS = 8_000_000, 32
+#: A document's own row weighs about as much in its bucket as so many characters of text.
+ROW_CHARS = 100
 #: Signatures that a task gathers before it hands them on, and documents.
 FLUSH, FLUSH_DOCS = 2_000_000, 60_000
 #: Members verified against one hub in one group.
@@ -136,7 +138,7 @@ class Dealer:
     """Gathers one task's signatures and hands them on by bucket, with a row for each document."""
 
     def __init__(self, buckets: int):
-        self.buckets = buckets
+        self.buckets, self.rows = buckets, 0
         self._clear()
 
     def _clear(self) -> None:
@@ -157,7 +159,10 @@ class Dealer:
         new = len(s) and key not in self.seen
         if new:
             maps = dict(zip(_MAP, parity(s).tolist(), strict=True))
-        self.row(bucket=int.from_bytes(key[:4], "little") % self.buckets, doc_id=doc_id, n=len(s), set_key=key, **maps)
+        # documents may lie in any bucket: dealt out by id and set, equal rows in turn
+        self.rows += 1
+        bucket = (xxhash.xxh3_64_intdigest(key + doc_id.to_bytes(8, "little", signed=True)) + self.rows) % self.buckets
+        self.row(bucket=bucket, doc_id=doc_id, n=len(s), set_key=key, **maps)
         if new:
             self.seen.add(key)
             found = all_signatures(s)
@@ -286,7 +291,7 @@ def join(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     bounded_batches(spark)
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_of().alias("text"))
-    chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    chars = rows.agg(F.sum(F.char_length("text") + ROW_CHARS)).first()[0] or 0
     buckets = max(LEAST_BUCKETS, chars // BUCKET_CHARS)
     dealt = rows.mapInArrow(lambda batches: Dealer(buckets).batches(batches), DEALT)
     met = written(dealt.repartition(int(buckets), "bucket").groupBy("bucket").applyInArrow(_meet, MET), "met")
