@@ -132,6 +132,21 @@ def test_document_rows_are_spread():
         assert len(rows) == 6400 and max(collections.Counter(r["bucket"] for r in rows).values()) == 200
 
 
+def test_tiny_sets_send_no_signatures():
+    """Sets that link with equal ones alone aren't dealt."""
+    import pyarrow as pa
+
+    tiny = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([" ".join(f"{i}w{j}" for j in range(1 + i % 7)) for i in range(200)])], names=["id", "text"])
+    rows = [r for b in jaccard.Dealer(32).batches(iter([tiny])) for r in b.to_pylist()]
+    assert len(rows) == 200 and all(r["signature"] is None for r in rows)
+
+
+def test_join_on_tiny_sets(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 11)))) for i in range(300)]
+    check_join(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 # --- line templates ----------------------------------------------------------------------------------
 
 

@@ -123,6 +123,11 @@ def all_signatures(s: np.ndarray) -> np.ndarray:
     return own if largest <= top else np.concatenate([own, signatures(s, band + 1, largest)])
 
 
+def links_with_others(n: int) -> bool:
+    """Whether a set of n features may link with a different one; equal ones are one class from the start."""
+    return (n + n * 5 // 4) // 9 > 0
+
+
 def parity(s: np.ndarray) -> np.ndarray:
     """Bit i of the map: the parity of the number of features with this hash; a difference flips one bit at most."""
     bits = np.bincount((s & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
@@ -165,6 +170,7 @@ class Dealer:
         self.row(bucket=bucket, doc_id=doc_id, n=len(s), set_key=key, **maps)
         if new:
             self.seen.add(key)
+        if new and links_with_others(len(s)):
             found = all_signatures(s)
             self.owners.append(np.full(len(found), len(self.ids), np.uint16))
             self.parts.append(found)
