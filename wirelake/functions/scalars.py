@@ -37,10 +37,14 @@ def ipv4_number(ip: Column) -> Column:
 
 def direction(src: Column, dst: Column) -> Column:
     """outbound, inbound, internal or external; empty unless both addresses are there."""
-    a, b = is_private_ip(src), is_private_ip(dst)
+    return direction_of(src, dst, is_private_ip(src), is_private_ip(dst))
+
+
+def direction_of(src: Column, dst: Column, src_private: Column, dst_private: Column) -> Column:
+    """The same where it is known already which address is private."""
     return (
         F.when((F.coalesce(src, F.lit("")) == "") | (F.coalesce(dst, F.lit("")) == ""), "")
-        .when(a & b, "internal").when(a, "outbound").when(b, "inbound").otherwise("external")
+        .when(src_private & dst_private, "internal").when(src_private, "outbound").when(dst_private, "inbound").otherwise("external")
     )
 
 

@@ -73,6 +73,6 @@ def unusual_external(conn: DataFrame, n: int = 10) -> DataFrame:
 
 def service_risk(conn: DataFrame, n: int = 20) -> DataFrame:
     """services with the risk of their TCP port."""
-    risks = refdata.frame(conn.sparkSession, refdata.port_risks(), "risk_port int,risk_protocol string,risk_level string")
+    risks = refdata.frame(conn.sparkSession, refdata.PORT_RISKS, "risk_port int,risk_protocol string,risk_level string")
     out = services(conn, n)
     return out.join(F.broadcast(risks), (F.col("dst_port") == F.col("risk_port")) & (F.col("protocol") == F.col("risk_protocol")), "left").drop("risk_port", "risk_protocol")

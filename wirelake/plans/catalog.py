@@ -55,11 +55,11 @@ def _messages(conn: DataFrame) -> DataFrame:
     kind = F.col("src_port") % 10
     flat = lambda key, name: F.concat(F.lit(f'{{"{key}":"{name}",'), F.substring(text, F.lit(2), F.length(text)))
     value = F.when(kind < 5, F.concat(F.lit('{"conn":'), text, F.lit("}"))).when(kind < 7, flat("log_type", "conn")).when(kind == 7, flat("_path", "conn")).when(kind == 8, F.concat(F.lit("{"), F.col("flow_id"))).otherwise(flat("log_type", "mystery"))
-    return conn.select(value.alias("value"))
+    return files.spread(conn).select(value.alias("value"))
 
 
 def _normalized(conn: DataFrame) -> DataFrame:
-    good, _ = normalize.split_dead_letters(normalize.parse_envelope(_messages(conn)))
+    good, _ = normalize.split_dead_letters(normalize.parse_envelope(_messages(conn), log_type="conn"))
     return normalize.project_table(good, "conn").select("flow_id", "event_time", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "conn_state", "orig_bytes", "resp_bytes", "event_type", "event_class", "event_year", "event_month", "event_day", "event_hour", "event_weekday", "src_ip_is_private", "dst_ip_is_private", "direction", "service")
 
 
@@ -102,9 +102,10 @@ add("format_bytes", "conn", lambda c: c.select("flow_id", S.format_bytes(F.col("
 add("os_from_user_agent", "http", lambda h: h.groupBy(S.os_from_user_agent(F.col("user_agent")).alias("os")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN lower(user_agent) LIKE '%windows nt 10%' THEN 'Windows 10/11' WHEN lower(user_agent) LIKE '%mac os x%' THEN 'macOS' WHEN lower(user_agent) LIKE '%linux%' THEN 'Linux' ELSE '' END AS os, count(*) AS n FROM http GROUP BY 1")
 add("mac_vendor", "dhcp", lambda d: assets.mac_vendor(d).select("flow_id", "mac", "vendor", S.is_local_mac(F.col("mac")).alias("is_local")), f"SELECT flow_id, mac, vendor, substr(mac, 2, 1) IN ('2','3','6','7','A','B','E','F') AS is_local FROM dhcp LEFT JOIN {refdata.values_sql(refdata.OUI_VENDORS, 'oui, vendor')} ON substr(mac, 1, 8) = oui")
 add("ja3_app", "ssl", lambda s: assets.ja3_app(s).select("flow_id", "ja3", "app"), f"SELECT flow_id, ssl.ja3, app FROM ssl LEFT JOIN {refdata.values_sql(refdata.JA3_APPS, 'ja3, app')} ON ssl.ja3 = t.ja3")
+# the levels of the ports that the table holds, written out: the query's own list is what is tested
 add("port_risk", "conn", lambda c: network.service_risk(c), f"""
 , s AS (SELECT dst_port, protocol, count(*) AS connections, count(DISTINCT src_ip) AS sources, {SUM.format(B)} AS bytes FROM conn GROUP BY 1, 2 ORDER BY connections DESC, dst_port, protocol NULLS FIRST LIMIT 20)
-SELECT dst_port, s.protocol, connections, sources, bytes, risk_level FROM s LEFT JOIN {refdata.values_sql(refdata.port_risks(), 'port, protocol, risk_level', (0,))} ON dst_port = port AND s.protocol = t.protocol""".lstrip("\n"))
+SELECT dst_port, protocol, connections, sources, bytes, CASE WHEN protocol = 'tcp' THEN CASE dst_port WHEN 4444 THEN 'critical' WHEN 31337 THEN 'critical' WHEN 3389 THEN 'medium' WHEN 8080 THEN 'low' END END AS risk_level FROM s""".lstrip("\n"))
 add("age_label", "alerts", lambda a: a.groupBy(S.age_label(F.col("event_time"), NOW_MS).alias("age")).agg(F.count(F.lit(1)).alias("n")), f"SELECT CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age, count(*) AS n FROM (SELECT greatest(0, ({NOW_MS} - event_time) // 1000) AS s FROM alerts) GROUP BY 1")
 add("ingest_ts", "dns", lambda d: d.select("flow_id", F.unix_millis(S.ingest_ts(F.when(F.col("event_time") % 2000 == 0, F.col("event_time").cast("string")).otherwise((F.col("event_time") / 1000).cast("long").cast("string")))).alias("ms")), "SELECT flow_id, event_time AS ms FROM dns")
 add("latency", "conn", lambda c: c.select((F.col("resp_bytes") % 7000).alias("ms")).groupBy(F.when(F.col("ms") <= 10, 10).when(F.col("ms") <= 50, 50).when(F.col("ms") <= 100, 100).when(F.col("ms") <= 500, 500).when(F.col("ms") <= 1000, 1000).when(F.col("ms") <= 5000, 5000).otherwise(-1).alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN ms <= 10 THEN 10 WHEN ms <= 50 THEN 50 WHEN ms <= 100 THEN 100 WHEN ms <= 500 THEN 500 WHEN ms <= 1000 THEN 1000 WHEN ms <= 5000 THEN 5000 ELSE -1 END AS bucket, count(*) AS n FROM (SELECT resp_bytes % 7000 AS ms FROM conn) GROUP BY 1")

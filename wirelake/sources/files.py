@@ -19,6 +19,12 @@ def read_kafka_raw(spark: SparkSession, brokers: str, topic: str, streaming: boo
     return rows.select(F.col("value").cast("string").alias("value"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a source of fewer files than there are cores, dealt out over all cores before costly work; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_zeek_json(spark: SparkSession, path: str, log_type: str) -> DataFrame:
     """JSON lines of one log type with declared types; bad lines are left out; ids renamed, ingest_time is ts."""
     rows = spark.read.schema(schemas.raw_schema(log_type)).option("mode", "DROPMALFORMED").json(path)
