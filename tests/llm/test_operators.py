@@ -152,9 +152,10 @@ def test_join_on_tiny_sets(spark):
 
 def templates_by_hand(rows):
     """Kept text of each row, by the docstring's rules."""
-    split = lambda line: line.strip(" ").split(" ")
-    mask = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in split(line))
-    lines = [{(line, mask(line)) for line in (t or "").split("\n") if len(split(line)) >= 4} for _, t in rows]
+    cut = lambda t: re.findall(r".*?[.!?] |.*\n|.+\Z", t or "")
+    split = lambda part: part.strip(" \n").split(" ")
+    mask = lambda part: tuple("<*>" if re.search("[0-9]", t) else t for t in split(part))
+    lines = [{(part.strip(" \n"), mask(part)) for part in cut(t) if len(split(part)) >= 4} for _, t in rows]
     docs = collections.Counter(m for own in lines for _, m in own)
     leaf = lambda m: (len(m), *m[:3])
     fresh = [sum(len(x) for x, m in own if docs[m] > 1) <= 0.5 * sum(len(x) for x, _ in own) and bool(own) for own in lines]
@@ -174,13 +175,16 @@ def templates_by_hand(rows):
                     fixed[i] = token
             if len(fixed) >= 0.7 * k[0]:
                 template |= {m: k for m in kinds if all(m[i] == t for i, t in fixed.items())}
-    by_line, by_leaf = collections.Counter(), collections.Counter()
+    by_line, others = collections.Counter(), set()
     for ok, own in zip(fresh, lines):
+        found = {m for _, m in own} | {("leaf", template[m]) for _, m in own if m in template}
         if ok:
-            by_line.update(m for _, m in own)
-            by_leaf.update({template[m] for _, m in own if m in template})
-    gone = {m for m, n in by_line.items() if n >= 3} | {m for m, k in template.items() if by_leaf[k] >= 3}
-    return [t if t is None else "\n".join(x for x in t.split("\n") if not (len(split(x)) >= 4 and mask(x) in gone)) for _, t in rows]
+            by_line.update(found)
+        else:
+            others |= found
+    by_line.update(others)
+    gone = {m for m, n in by_line.items() if n >= 3} | {m for m, k in template.items() if by_line["leaf", k] >= 3}
+    return [t if t is None else "".join(x for x in cut(t) if not (len(split(x)) >= 4 and mask(x) in gone)) for _, t in rows]
 
 
 def test_templates_by_hand(spark):
@@ -203,6 +207,32 @@ def test_templates_by_hand(spark):
     assert "rights" not in "".join(t or "" for t in found.values()) and found[100] == rows[7][1]
 
 
+def test_passages_inside_lines_go(spark):
+    """Sentences of a passage set into long lines; copies of whole documents keep their text."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 8)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randrange(6, 14))) + "."
+    passage = [sentence() for _ in range(6)]
+    rows = []
+    for i in range(40):
+        own = [sentence() for _ in range(20)]
+        at = rng.randrange(20)
+        rows.append((i, " ".join(own[:at] + (passage if i % 5 == 0 else []) + own[at:])))
+    rows += [(100 + i, rows[1][1]) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in linetemplates.drop_recurring(frame).collect()}
+    assert found == dict(zip([d for d, _ in rows], templates_by_hand(rows)))
+    assert not any(s in t for s in passage for t in found.values())
+    assert all(found[d] == t for d, t in rows if d % 5 or d >= 100)
+
+
+def test_parts_join_to_the_text(spark, docs):
+    rng = random.Random(22)
+    rows = [("".join(rng.choice(["a", "b ", ". ", ".", "\n", "? ", "! ", " ", "é"]) for _ in range(rng.randrange(30))),) for _ in range(500)]
+    frame = spark.createDataFrame(rows, "text string").unionByName(docs.select("text"))
+    assert frame.filter(F.array_join(linetemplates.parts_of(F.col("text")), "") != F.col("text")).count() == 0
+
+
 def test_templates_odd(odd, empty):
     out = linetemplates.drop_recurring(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)

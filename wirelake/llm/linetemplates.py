@@ -1,22 +1,25 @@
 """Line dedup by a log-template tree.
 
-Tokens lie between single spaces. Lines are parsed at a fixed depth: by token count, then by their first ``LEADING`` tokens, tokens with a digit
-standing for any such token. Lines that agree so far lie in one leaf. Within a leaf a position whose most
-common token makes up ``STEADY`` of the leaf's lines is fixed, any other is a variable field; if at least
-``FIXED`` of the positions are fixed, the lines that have all fixed tokens share the leaf's template. Every
-other line is a template of its own, tokens with a digit left variable.
-
-A template recurs if it stands in ``MIN_DOCS`` documents that are not copies of others: documents of whose
-lines (by characters) at most ``COPIED`` stand elsewhere too. Lines of recurring templates are dropped, in
-every document. So boilerplate and passages that many documents share go, while copies of whole documents are
-left for a near-duplicate operator and keep their text. Lines under ``MIN_TOKENS`` tokens always stay.
-
-All statistics are over all lines of all documents, and pre-aggregated before they are shuffled; rows of a
-common line meet only as counts. Template identity is a 64-bit hash.
-
-Defined cases: a null text is empty and stays null; empty texts and blank lines stay; repeated rows count
-once for each row; rows with null ids take part; an empty table gives no rows; further columns stay as they
-are.
+A text is cut into lines, and these after sentence ends (a point, question or exclamation mark and a space), so
+a passage that stands inside long lines recurs as its sentences. The parts, trimmed of spaces and line ends, are
+parsed at a fixed depth: by token count (tokens lie between single spaces), then by their first ``LEADING``
+tokens, tokens with a digit standing for any such token. Parts that agree so far lie in one leaf. Within a leaf a
+position whose most common token makes up ``STEADY`` of the leaf's parts is fixed, any other is a variable field;
+if at least ``FIXED`` of the positions are fixed, the parts that have all fixed tokens share the leaf's template.
+Every other part is a template of its own, tokens with a digit left variable.
+
+A template recurs if it has ``MIN_DOCS`` witnesses. A document is one if at most ``COPIED`` of its parts (by
+characters) stand elsewhere too; all other documents, copies and near copies above all, count as one witness
+together. So boilerplate and passages that many documents share go, while copies of whole documents are left for
+a near-duplicate operator and keep their text. Parts of recurring templates are dropped in every document; those
+under ``MIN_TOKENS`` tokens always stay.
+
+All statistics are over all parts of all documents, and pre-aggregated before they are shuffled; rows of a
+common part meet only as counts. Template identity is a 64-bit hash.
+
+Defined cases: a null text has no parts and stays null; empty texts and blank lines stay; repeated rows count
+once for each row; rows with null ids take part; texts of any length are cut by one pass; an empty table gives no
+rows; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -34,54 +37,59 @@ STEADY, FIXED, COPIED = 0.6, 0.7, 0.5
 FIELD = "<*>"
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, "\n")
+#: A part: up to and with a sentence end or line end, or what is left of the last line.
+PART = r"[^\n]*?(?:[.!?] |\n)|[^\n]+"
 
 
-def masked(line: Column) -> Column:
-    """The line between its outer spaces, with every token that holds a digit as a variable field."""
-    line = F.trim(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
+def parts_of(text: Column) -> Column:
+    """The parts in order; joined they are the text again."""
+    return F.regexp_extract_all(text, F.lit(PART), F.lit(0))
 
 
-def line_table(documents: DataFrame) -> DataFrame:
-    """A row for each different line of each document: doc_id, its template's hash, its leaf, its size.
+def masked(part: Column) -> Column:
+    """The part between its outer spaces and line ends, with every token that holds a digit as a variable field."""
+    part = F.trim(part, F.lit(" \n"))
+    return F.when(part.rlike("[0-9]"), F.regexp_replace(part, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(part)
 
-    Counts and leading tokens come from the text itself; only lines that need it are cut into tokens later.
+
+def part_table(documents: DataFrame) -> DataFrame:
+    """A row for each different part of each document: doc_id, its template's hash, its leaf, its size.
+
+    Counts and leading tokens come from the text itself; only parts that need it are cut into tokens later.
     """
-    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(lines_of(text_of()))).alias("line"))
-    lines = lines.select("doc_id", F.char_length("line").alias("chars"), masked(F.col("line")).alias("masked"))
+    parts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.transform(parts_of(text_of()), lambda x: F.trim(x, F.lit(" \n"))))).alias("part"))
+    parts = parts.select("doc_id", F.char_length("part").alias("chars"), masked(F.col("part")).alias("masked"))
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n", n).filter(F.col("n") >= MIN_TOKENS)
-    return lines.select("doc_id", "chars", "masked", F.xxhash64("masked").alias("line_hash"), F.xxhash64("n", F.substring_index("masked", " ", LEADING)).alias("leaf"))
+    parts = parts.withColumn("n", n).filter(F.col("n") >= MIN_TOKENS)
+    return parts.select("doc_id", "chars", "masked", F.xxhash64("masked").alias("line_hash"), F.xxhash64("n", F.substring_index("masked", " ", LEADING)).alias("leaf"))
 
 
 def recurring(lines: DataFrame, parsed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """line_hash of all lines whose template recurs. lines: the written line table; parsed: the same with the masked text."""
-    counts = lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf"))
-    counts = written(counts, "counts")
-    again = counts.filter("docs > 1").select("line_hash", F.lit(True).alias("again"))
+    """line_hash of all parts whose template recurs. lines: the written part table; parsed: the same with the masked text."""
+    counts = written(lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf")), "counts")
+    again = few(counts.filter("docs > 1").select("line_hash", F.lit(True).alias("again")), "again")
     shares = lines.join(again, "line_hash", "left").groupBy("doc_id").agg((F.sum(F.when(F.col("again"), F.col("chars")).otherwise(0)) <= COPIED * F.sum("chars")).alias("own"))
-    own = shares.filter("own").select(F.col("doc_id").alias("own_id"))
+    own = shares.filter("own").select(F.col("doc_id").alias("own_id"), F.lit(1).alias("own"))
     # leaves in which several templates might be one
     mixed = counts.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds")).filter((F.col("docs") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
-    template = written(leaf_templates(parsed.join(few(mixed, "leaves"), "leaf", "left_semi").select("leaf", "line_hash", F.split("masked", " ").alias("tokens"))), "templates")
-    # documents per line, then per template: only lines that could reach the count are followed
-    maybe = counts.filter(F.col("docs") >= min_docs).select("line_hash").unionByName(template.select("line_hash")).distinct()
-    followed = lines.join(maybe, "line_hash", "left_semi").join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi").select("doc_id", "line_hash")
-    by_line = followed.groupBy("line_hash").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("line_hash")
-    named = followed.join(template, "line_hash").select("doc_id", "leaf").distinct()
-    by_leaf = named.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
+    kinds = parsed.join(few(mixed, "leaves"), "leaf", "left_semi").groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("docs"), F.first("masked").alias("masked"))
+    template = few(leaf_templates(written(kinds, "kinds").select("leaf", "line_hash", "docs", F.split("masked", " ").alias("tokens"))), "templates")
+    # witnesses per part, then per template: only parts that could reach the count are followed
+    maybe = few(counts.filter(F.col("docs") >= min_docs).select("line_hash").unionByName(template.select("line_hash")).distinct(), "maybe")
+    followed = lines.join(maybe, "line_hash", "left_semi").select("doc_id", "line_hash").join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "line_hash", F.coalesce("own", F.lit(0)).alias("own"))
+    witnesses = F.sum("own") + F.max(1 - F.col("own"))
+    by_line = followed.groupBy("line_hash").agg(witnesses.alias("n")).filter(F.col("n") >= min_docs).select("line_hash")
+    named = followed.join(template, "line_hash").select("doc_id", "leaf", "own").distinct()
+    by_leaf = named.groupBy("leaf").agg(witnesses.alias("n")).filter(F.col("n") >= min_docs).select("leaf")
     return by_line.unionByName(template.join(by_leaf, "leaf", "left_semi").select("line_hash")).distinct()
 
 
-def leaf_templates(lines: DataFrame) -> DataFrame:
-    """leaf and line_hash of the lines that have all fixed tokens of their leaf's template.
+def leaf_templates(kinds: DataFrame) -> DataFrame:
+    """leaf and line_hash of the parts that have all fixed tokens of their leaf's template.
 
-    lines: leaf, line_hash, tokens; one row for each document that holds the line.
+    kinds: leaf, line_hash, docs, tokens; one row for each different part.
     """
-    by_kind = lines.groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("docs"), F.first("tokens").alias("tokens"))
-    parts = by_kind.select("leaf", "line_hash", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
+    parts = kinds.select("leaf", "line_hash", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
     common = parts.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("docs"))
     place = Window.partitionBy("leaf", "pos")
     fixed = common.withColumn("all", F.sum("docs").over(place)).filter(F.col("docs") >= STEADY * F.col("all")).select("leaf", "pos", F.col("token").alias("fixed"))
@@ -91,30 +99,31 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
 
 
 def _with_drops(documents: DataFrame, min_docs: int) -> DataFrame:
-    """The documents with _drop, the hashes of their lines that recur (null: none)."""
-    parsed = line_table(documents)
+    """The documents with _drop, the hashes of their parts that recur (null: none)."""
+    parsed = part_table(documents)
     lines = written(parsed.select("doc_id", "line_hash", "leaf", "chars"), "lines")
-    drops = lines.join(recurring(lines, parsed, min_docs), "line_hash", "left_semi").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_hash").alias("_drop"))
+    drops = lines.join(few(recurring(lines, parsed, min_docs), "recurring"), "line_hash", "left_semi").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_hash").alias("_drop"))
     return documents.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
 
 
-def _kept(lines: Column, drop: Column) -> Column:
-    """A line goes if its template is among the document's drops (which hold no short ones)."""
-    return F.filter(lines, lambda x: ~F.array_contains(drop, F.xxhash64(masked(x))))
+def _kept(parts: Column, drop: Column) -> Column:
+    """A part goes if its template is among the document's drops (which hold no short ones)."""
+    return F.filter(parts, lambda x: ~F.array_contains(drop, F.xxhash64(masked(x))))
 
 
 def report(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Per document: n_lines, n_dropped, and size and digest of what is left."""
-    rows = _with_drops(documents.select("doc_id", "text"), min_docs).select("doc_id", lines_of(text_of()).alias("lines"), "_drop")
-    rows = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("_drop").isNull(), F.col("lines")).otherwise(_kept(F.col("lines"), F.col("_drop"))).alias("kept"))
-    rows = rows.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), F.array_join("kept", "\n").alias("text"))
+    """Per document: n_lines (its parts), n_dropped, and size and digest of what is left."""
+    rows = _with_drops(documents.select("doc_id", "text"), min_docs).select("doc_id", "text", "_drop", parts_of(text_of()).alias("parts"))
+    kept = F.when(F.col("_drop").isNull(), F.col("parts")).otherwise(_kept(F.col("parts"), F.col("_drop")))
+    rows = rows.select("doc_id", F.size("parts").cast("long").alias("n_lines"), kept.alias("kept"))
+    rows = rows.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), F.array_join("kept", "").alias("text"))
     return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_dropped"), F.char_length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with recurring lines taken out of text (n_chars, where there is one, follows)."""
+    """The documents with recurring parts taken out of text (n_chars, where there is one, follows)."""
     rows = _with_drops(documents, min_docs)
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(_kept(lines_of(F.col("text")), F.col("_drop")), "\n"))
+    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(_kept(parts_of(F.col("text")), F.col("_drop")), ""))
     rows = rows.withColumn("text", text)
     if "n_chars" in documents.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))

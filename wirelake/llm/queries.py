@@ -124,9 +124,9 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w
  c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT c.doc_id, t.b FROM c JOIN t ON t.a = c.r)
 SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY 1""",
     "op5_line_templates": rf"""
-WITH l AS (SELECT doc_id, pos, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END for x in string_split(trim(line), ' ')] AS tokens
-  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
- u AS (SELECT doc_id, tokens, length(line) AS chars FROM (SELECT DISTINCT doc_id, line, tokens FROM l) WHERE len(tokens) >= {linetemplates.MIN_TOKENS}),
+WITH l AS (SELECT doc_id, pos, part, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END for x in string_split(trim(part, ' ' || chr(10)), ' ')] AS tokens
+  FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{linetemplates.PART}') AS parts FROM documents))),
+ u AS (SELECT doc_id, tokens, length(part) AS chars FROM (SELECT DISTINCT doc_id, trim(part, ' ' || chr(10)) AS part, tokens FROM l) WHERE len(tokens) >= {linetemplates.MIN_TOKENS}),
  k AS (SELECT tokens, count(*) AS docs, [len(tokens)::VARCHAR] || tokens[1:{linetemplates.LEADING}] AS leaf FROM u GROUP BY tokens),
  own AS (SELECT doc_id FROM u JOIN k USING (tokens) GROUP BY 1 HAVING sum(CASE WHEN docs > 1 THEN chars ELSE 0 END) <= {linetemplates.COPIED} * sum(chars)),
  mixed AS (SELECT leaf FROM k GROUP BY 1 HAVING sum(docs) >= {linetemplates.MIN_DOCS} AND count(*) > 1),
@@ -135,11 +135,11 @@ WITH l AS (SELECT doc_id, pos, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN
  fixed AS (SELECT leaf, pos, token FROM (SELECT *, sum(docs) OVER (PARTITION BY leaf, pos) AS every FROM common) WHERE docs >= {linetemplates.STEADY} * every),
  sizes AS (SELECT leaf, count(*) AS n_fixed FROM fixed GROUP BY 1),
  template AS (SELECT leaf, tokens FROM (SELECT leaf, tokens, count(*) AS met FROM parts JOIN fixed USING (leaf, pos, token) GROUP BY ALL) JOIN sizes USING (leaf) WHERE met = n_fixed AND n_fixed >= {linetemplates.FIXED} * len(tokens)),
- followed AS (SELECT doc_id, tokens FROM u JOIN own USING (doc_id)),
- gone AS (SELECT tokens FROM followed GROUP BY 1 HAVING count(*) >= {linetemplates.MIN_DOCS}
-  UNION SELECT tokens FROM template WHERE leaf IN (SELECT leaf FROM followed JOIN template USING (tokens) GROUP BY 1 HAVING count(DISTINCT doc_id) >= {linetemplates.MIN_DOCS})),
- kept AS (SELECT l.doc_id, pos, line, gone.tokens IS NOT NULL AS out FROM l LEFT JOIN gone ON gone.tokens = l.tokens AND len(l.tokens) >= {linetemplates.MIN_TOKENS})
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out)::INT AS n_dropped, length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT out), '')) AS kept_chars, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT out), '')) AS kept_sha256 FROM kept GROUP BY 1""",
+ followed AS (SELECT u.doc_id, tokens, own.doc_id IS NOT NULL AS own FROM u LEFT JOIN own ON own.doc_id = u.doc_id),
+ gone AS (SELECT tokens FROM followed GROUP BY 1 HAVING count(*) FILTER (own) + max((NOT own)::INT) >= {linetemplates.MIN_DOCS}
+  UNION SELECT tokens FROM template WHERE leaf IN (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, own FROM followed JOIN template USING (tokens)) GROUP BY 1 HAVING count(*) FILTER (own) + max((NOT own)::INT) >= {linetemplates.MIN_DOCS})),
+ kept AS (SELECT l.doc_id, pos, part, gone.tokens IS NOT NULL AS out FROM l LEFT JOIN gone ON gone.tokens = l.tokens AND len(l.tokens) >= {linetemplates.MIN_TOKENS})
+SELECT d.doc_id, count(pos) AS n_lines, (count(*) FILTER (out))::INT AS n_dropped, length(coalesce(string_agg(part, '' ORDER BY pos) FILTER (NOT out), '')) AS kept_chars, sha256(coalesce(string_agg(part, '' ORDER BY pos) FILTER (NOT out), '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id GROUP BY 1""",
     "op7_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
  t AS (SELECT *, coalesce(lag(role) OVER w, '') AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS last,
