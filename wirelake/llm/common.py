@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import tempfile
 import uuid
 
@@ -9,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents in one Arrow batch: keeps a batch of long texts well inside a Python worker's memory.
-BATCH_ROWS = 1000
+#: Documents in one Arrow batch, and bytes: keeps a batch of long texts well inside a Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 32_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,19 +19,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size of the session where it is larger than BATCH_ROWS."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches where they are larger than BATCH_ROWS rows or BATCH_BYTES bytes.
+
+    The bounds stay set, as tasks read them when they run.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where no such folder is set (tests, a local session) a temporary one is made and set.
+    Only in a local session (tests, one machine) a temporary one is made and set where there is none.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="wirelake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -53,7 +60,11 @@ MOST_BROADCAST = 300_000
 
 def few(df: DataFrame, name: str) -> DataFrame:
     """A narrow table written down, to be broadcast if it is counted to be small; else joined by shuffle."""
-    df = written(df, name)
+    return light(written(df, name))
+
+
+def light(df: DataFrame) -> DataFrame:
+    """A narrow table that is written already, to be broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
@@ -68,3 +79,18 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
 
 def batch_of(schema: pa.Schema, columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+class Taken:
+    """Spans that are taken already: tells by halving whether another one overlaps any of them."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []  # the farthest end of all spans up to this one
+        for a, b in sorted(spans):
+            self.starts.append(a)
+            self.ends.append(max(b, self.ends[-1]) if self.ends else b)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)  # spans that begin before the end
+        return k > 0 and self.ends[k - 1] > start

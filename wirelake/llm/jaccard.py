@@ -19,10 +19,14 @@ connected. Where a run still spans several components, its pairs across componen
 exact bound on the difference from parity bit maps. So no link between different texts is lost, while
 a group of copies costs a star and not all its pairs. Equal sets are one class from the start.
 
+Rows are told apart by a key of their own: the doc_id, where all rows with it hold one text; else a hash of doc_id
+and text, which is checked to be no other row's key.
+
 Defined cases: a text with fewer than five words is one shingle; a null or empty text, or one without words,
-has none and links with nothing; repeated rows and rows of equal id are one document each, under their
-common id; null ids take part as an id of their own; an empty table gives no rows; further columns are
-ignored. Hash values stand for shingles: two different ones of a pair agree with probability 2**-64.
+has none and links with nothing; every row is a document, also where ids repeat: rows of one id and different
+texts have a set and links each, and link with each other only if they are alike; a component is named by its
+smallest doc_id that is not null, rows of null ids alone by null; an empty table gives no rows; further columns
+are ignored. Hash values stand for shingles: two different ones of a pair agree with probability 2**-64.
 """
 
 from __future__ import annotations
@@ -34,10 +38,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import batch_of, bounded_batches, few, text_of, written
+from wirelake.llm.common import batch_of, bounded_batches, few, light, text_of, written
 
 WORDS = 5
 #: Documents link from this similarity on, in percent; the bands' growth of 5/4 goes with it.
@@ -54,7 +58,8 @@ GROUP = 48
 FIRST_RUNS = 128
 #: Bits of the parity map: 64 for each of its columns.
 MAP_WORDS = 8
-NULL_ID = -(1 << 63)
+#: The column of every row's key.
+KEY = "_jaccard_key"
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -281,6 +286,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
     while True:
+        labels = light(labels)  # where they are few, a hub of many edges is no one task's work
         near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before"))
         jump = step.select(F.col("id").alias("to"), F.col("component").alias("further"))
@@ -292,12 +298,42 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def keyed(documents: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(the documents with every row's key, keys and doc_ids where some key is no doc_id, characters in all).
+
+    Rows of equal doc_id and text share a key.
+    """
+    own, mark = F.col("doc_id").cast("long"), F.xxhash64(text_of())
+    by_id = documents.groupBy(own.alias("_id")).agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.sum(F.char_length(text_of()) + ROW_CHARS).alias("chars"))
+    shared = F.col("_id").isNull() | (F.col("low") != F.col("high"))
+    chars, n_shared = by_id.agg(F.sum("chars"), F.count_if(shared)).first()
+    if not n_shared:
+        return documents.withColumn(KEY, own), None, chars or 0
+    several = few(by_id.filter(shared).select(F.col("_id").alias("_key_id"), F.lit(True).alias("_key_shared")), "shared")
+    rows = documents.join(several, own.eqNullSafe(F.col("_key_id")), "left")
+    for seed in range(64):
+        numbered = rows.withColumn(KEY, F.when(F.col("_key_shared"), F.xxhash64(F.lit(seed), own, mark)).otherwise(own)).drop("_key_id", "_key_shared")
+        texts = numbered.groupBy(KEY).agg(F.min(F.struct(own, mark)).alias("low"), F.max(F.struct(own, mark)).alias("high"))
+        if texts.filter(~F.col("low").eqNullSafe(F.col("high"))).isEmpty():
+            return numbered, written(numbered.select(F.col(KEY).alias("id"), own.alias("doc_id")).distinct(), "names"), chars
+    raise ValueError("no seed gives every row a key of its own")
+
+
 def join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    spark = documents.sparkSession
+    rows, names, chars = keyed(documents)
+    found = _join(rows.select(F.col(KEY).alias("id"), text_of().alias("text")), chars)
+    if names is None:
+        return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    named = written(found.join(names, "id"), "named")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(smallest, "component").select("doc_id", "n_shingles", "component_id")
+
+
+def _join(rows: DataFrame, chars: int) -> DataFrame:
+    """id, n_shingles and component (the smallest id reachable) of every row. rows: id, text."""
+    spark = rows.sparkSession
     bounded_batches(spark)
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_of().alias("text"))
-    chars = rows.agg(F.sum(F.char_length("text") + ROW_CHARS)).first()[0] or 0
     buckets = max(LEAST_BUCKETS, chars // BUCKET_CHARS)
     dealt = rows.mapInArrow(lambda batches: Dealer(buckets).batches(batches), DEALT)
     met = written(dealt.repartition(int(buckets), "bucket").groupBy("bucket").applyInArrow(_meet, MET), "met")
@@ -334,11 +370,8 @@ def join(documents: DataFrame) -> DataFrame:
     more = written(verified(texts, across).filter("linked").select("a", "b"), "more")
     if not more.isEmpty():
         found = components(links.filter("linked").select("a", "b").unionByName(more))
-    found = found.withColumnRenamed("id", "class")
-    out = member.join(found, "class", "left")
-    component = F.coalesce(F.col("component"), F.col("class"), F.col("id"))
-    back = lambda c: F.when(c == NULL_ID, F.lit(None).cast("long")).otherwise(c)
-    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"))
+    out = member.join(light(found.withColumnRenamed("id", "class")), "class", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "id").alias("component"))
 
 
 def _in_classes(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -352,13 +385,21 @@ def _in_classes(pairs: DataFrame, named: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents that are the first (smallest doc_id) of their component, in their own columns.
 
-    Documents without words stay. Of rows with one doc_id in a component's first place, one stays.
+    Documents without words stay, each. Of rows of equal doc_id and text one stays; of a component that knows
+    no doc_id one row.
     """
-    found = join(documents)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("_first")).distinct()
-    key: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    kept = documents.join(first, key == F.col("_first"), "left_semi")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if repeated:  # rare: rows of one id; without words they all stay
-        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter((F.col("_n") == 1) | (F.trim(text_of()) == "")).drop("_n")
+    rows, names, chars = keyed(documents)
+    found = _join(rows.select(F.col(KEY).alias("id"), text_of().alias("text")), chars)
+    place = found
+    if names is not None:
+        place = written(found.distinct().join(names, "id"), "place")
+        first = place.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("id")))["id"].alias("_first")).select("_first")
+        place = place.drop("component").join(first, F.col("id") == F.col("_first"), "left").withColumnRenamed("_first", "component")
+    chosen = place.filter((F.col("id") == F.col("component")) | (F.col("n_shingles") == 0)).select(F.col("id").alias(KEY)).distinct()
+    kept = rows.join(chosen, KEY, "left_semi")
+    if not found.filter("n_shingles > 0").groupBy("id").count().filter("count > 1").isEmpty():  # repeated rows
+        row = F.struct(*documents.columns)
+        words = text_of().rlike(r"[^\x20\x09-\x0D]")
+        one = kept.filter(words).groupBy(KEY).agg(F.min(F.struct(F.xxhash64(F.to_json(row)), row))["col2"].alias("row")).select("row.*")
+        return one.unionByName(kept.filter(~words).select(*documents.columns))
     return kept.select(*documents.columns)
