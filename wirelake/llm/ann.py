@@ -1,17 +1,19 @@
 """Nearest neighbours by an adaptive dimension scan within probed lists.
 
 A bounded sample fixes the centres of the lists and how many a query has to probe to meet most of its true
-neighbours; every vector goes to the list of its nearest centre. Within a list, vectors and query are turned by one random rotation, and distances
-are summed block of columns by block: after each block a test compares the partial distance, scaled to all
-columns, with the tenth best distance so far; a candidate that is farther beyond chance is given up. What is
-left is measured exactly on the original vectors.
+neighbours; every vector goes to the list of its nearest centre. Within a list, vectors and query are turned by
+one random rotation, and distances are summed block of columns by block: after each block a test compares the
+partial distance, scaled to all columns, with the tenth best distance so far; a candidate that is farther beyond
+chance is given up. What is left is measured exactly on the original vectors.
 
 Lists are dealt out in chunks of bounded size, and so are the queries that probe them, so a list that holds a
 third of all vectors is many tasks' work. Every vector is indexed; no candidate is capped.
 
-Defined cases: vectors that are null, zero, of another length than most or that hold null or non-finite
-components take no part, nor do rows with a null id; rows of equal id are never each other's neighbours;
-ties go to the smaller id; an empty table gives no rows; further columns are ignored.
+Defined cases: vectors that are null, zero or that hold null or non-finite components take no part, nor do rows
+with a null id or (as no distance is defined) a vector of another length than most. Every other row is a
+candidate for every query row but itself, also where ids repeat: each query row has a ranking of its own, equal
+rows the same one, and rows of its own id may stand in it. Equal rows (id and vector) are searched once and
+counted; ties go to the smaller id; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(-1, dim)
 
 
-_LISTED = pa.schema([("list", pa.int32()), ("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+_LISTED = pa.schema([("list", pa.int32()), ("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("copies", pa.int64())])
 
 
 def _listed(vectors: DataFrame, index, dim: int, probes: int = 0) -> DataFrame:
@@ -120,13 +122,14 @@ def _listed(vectors: DataFrame, index, dim: int, probes: int = 0) -> DataFrame:
             else:
                 row, lists = np.arange(len(x)), at.nearest(x)
             taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), taken.column(0), taken.column(1).cast(pa.list_(pa.float64()))], schema=_LISTED)
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), taken.column(0), taken.column(1).cast(pa.list_(pa.float64())), taken.column(2)], schema=_LISTED)
 
-    return vectors.mapInArrow(task, "list int, vec_id long, embedding array<double>")
+    return vectors.select("vec_id", "embedding", "copies").mapInArrow(task, "list int, vec_id long, embedding array<double>, copies long")
 
 
-FOUND = "query_id long, vec_id long, score double"
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+#: query: a hash of the query's vector, which tells rows of one id apart; copies: equal query rows.
+FOUND = "query_id long, query long, copies long, vec_id long, score double"
+_FOUND = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("copies", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def scan(query: np.ndarray, turned_query: np.ndarray, x: np.ndarray, turned: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
@@ -166,48 +169,54 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
         return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (("query_id", "long"), ("rank", "int"), ("vec_id", "long"), ("score", "double"))))
     dim, total = by_dim["dim"], by_dim["count"]
     rows = rows.filter(F.size("embedding") == dim)
+    if rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    else:
+        rows = rows.groupBy("vec_id", "embedding", "asked").agg(F.count(F.lit(1)).alias("copies"))
     picked = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     sample = np.array(picked["embedding"].tolist(), np.float64)
     at = Index(centres(sample, max(1, min(MOST_LISTS, round(total**0.5)))), rotation(dim), np.zeros(0))
     index = spark.sparkContext.broadcast(at)
-    candidates = _listed(rows.select("vec_id", "embedding"), index, dim)
+    candidates = _listed(rows, index, dim)
     sizes = candidates.groupBy("list").count().collect()  # a row for each list, MOST_LISTS at most
     at.sizes = np.zeros(len(at.centres), np.int64)
     for r in sizes:
         at.sizes[r["list"]] = r["count"]
     index = spark.sparkContext.broadcast(at)
-    asked = _listed(rows.filter("asked").select("vec_id", "embedding"), index, dim, probes_for(sample, at.centres, k))
+    asked = _listed(rows.filter("asked"), index, dim, probes_for(sample, at.centres, k))
     probed = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
     chunks = F.array(*(F.lit(int(-(-max(n, 1) // CHUNK))) for n in at.sizes))
     groups = F.array(*(F.lit(int(-(-max(probed.get(i, 0), 1) // QUERY_CHUNK))) for i in range(len(at.sizes))))
-    own_chunk, own_group = F.pmod(F.xxhash64("vec_id"), F.get(chunks, F.col("list"))), F.pmod(F.xxhash64("vec_id"), F.get(groups, F.col("list")))
+    own_chunk, own_group = F.pmod(F.xxhash64("vec_id", "embedding"), F.get(chunks, F.col("list"))), F.pmod(F.xxhash64("embedding"), F.get(groups, F.col("list")))
     all_chunks, all_groups = F.explode(F.sequence(F.lit(0), F.get(chunks, F.col("list")) - 1)), F.explode(F.sequence(F.lit(0), F.get(groups, F.col("list")) - 1))
-    left = asked.select("list", own_group.cast("int").alias("group"), all_chunks.alias("chunk"), "vec_id", "embedding")
-    right = candidates.filter(F.col("list").isin(sorted(probed))).select("list", own_chunk.cast("int").alias("chunk"), all_groups.alias("group"), "vec_id", "embedding")
+    left = asked.select("list", own_group.cast("int").alias("group"), all_chunks.alias("chunk"), "vec_id", "embedding", "copies", F.xxhash64("embedding").alias("query"))
+    right = candidates.filter(F.col("list").isin(sorted(probed))).select("list", own_chunk.cast("int").alias("chunk"), all_groups.alias("group"), "vec_id", "embedding", "copies")
 
     def meet(queries: pa.Table, others: pa.Table) -> pa.Table:
         out: dict[str, list] = {n: [] for n in _FOUND.names}
         if queries.num_rows and others.num_rows:
             turn = index.value.rotation
-            ids, x = others.column("vec_id").to_numpy(), _matrix(others.column("embedding"), dim)
-            order = np.argsort(ids, kind="stable")
+            ids, x, copies = others.column("vec_id").to_numpy(), _matrix(others.column("embedding"), dim), others.column("copies").to_numpy()
+            order = np.repeat(np.arange(len(ids)), np.minimum(copies, k + 1))  # more of them are in no ranking
+            order = order[np.argsort(ids[order], kind="stable")]
             ids, x = ids[order], x[order]
             turned = x @ turn
             q = _matrix(queries.column("embedding"), dim)
-            for query, at_q, turned_query in zip(queries.column("vec_id").to_pylist(), q, q @ turn, strict=True):
-                own = np.searchsorted(ids, query, "left"), np.searchsorted(ids, query, "right")
-                if own[0] < own[1]:
-                    rest = np.r_[0 : own[0], own[1] : len(ids)]
-                    found, score = scan(at_q, turned_query, x[rest], turned[rest], ids[rest], k)
-                    found = rest[found]
-                else:
-                    found, score = scan(at_q, turned_query, x, turned, ids, k)
+            for i, (query, at_q, turned_query) in enumerate(zip(queries.column("vec_id").to_pylist(), q, q @ turn, strict=True)):
+                same = np.arange(np.searchsorted(ids, query, "left"), np.searchsorted(ids, query, "right"))
+                same = same[(x[same] == at_q).all(axis=1)][:1]  # the query's own row, if it lies in this chunk
+                rest = np.delete(np.arange(len(ids)), same) if len(same) else slice(None)
+                found, score = scan(at_q, turned_query, x[rest], turned[rest], ids[rest], k)
                 out["query_id"] += [query] * len(found)
-                out["vec_id"] += ids[found].tolist()
+                out["query"] += [queries.column("query")[i].as_py()] * len(found)
+                out["copies"] += [queries.column("copies")[i].as_py()] * len(found)
+                out["vec_id"] += ids[rest][found].tolist()
                 out["score"] += score.tolist()
         return pa.Table.from_batches([batch_of(_FOUND, out)])
 
     keys = ("list", "chunk", "group")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))
+    found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    found = found.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))  # equal query rows have equal rankings
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
