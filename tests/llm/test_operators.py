@@ -103,7 +103,34 @@ def test_join_odd(odd, empty):
     assert jaccard.join(empty).count() == 0
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (0, 1, 2, 3, 6, 7, 8)] + [(True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (0, 1, 2, 3, 4, 6, 7, 8)]
+
+
+def test_join_tells_rows_of_one_id_apart(spark):
+    """Repeated ids with different texts, repeated rows and null ids: every row is a document."""
+    rng = random.Random(23)
+    prose = lambda: [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(80)]
+    rows = []
+    for k in range(12):
+        a, b = prose(), prose()
+        rows += [(10 * k + 1, " ".join(a)), (10 * k + 1, " ".join(b)), (10 * k + 2, " ".join(["zz", *b[1:]]))]
+    c = prose()
+    rows += [(None, " ".join(c)), (None, " ".join(prose())), (500, " ".join(["yy", *c[1:]])), (500, " ".join(["yy", *c[1:]])), (None, ""), (7, None), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    by_row = by_hand([(i, t) for i, (_, t) in enumerate(rows)])
+    smallest = {}
+    for i, (_, at) in by_row.items():
+        ids = [rows[j][0] for j, (_, other) in by_row.items() if other == at and rows[j][0] is not None]
+        smallest[i] = min(ids, default=None)
+    expected = collections.Counter((rows[i][0], n, smallest[i]) for i, (n, _) in by_row.items())
+    assert collections.Counter(tuple(r) for r in jaccard.join(frame).collect()) == expected
+    kept = collections.Counter(tuple(r) for r in jaccard.one_of_each(frame).collect())
+    places = {}
+    for i, (n, at) in by_row.items():
+        if n:
+            places.setdefault(at, []).append((rows[i][0] is None, rows[i][0] or 0))
+    ids = [tuple(min(p)) for p in places.values()] + [(d is None, d or 0) for d, t in rows if not t]
+    assert sorted((d is None, d or 0) for d, _ in kept.elements()) == sorted(ids)
 
 
 def test_signatures_are_shared(spark):
@@ -448,6 +475,63 @@ def test_long_sums_take_linear_time():
     assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == ["Zx9!kfPq02LmRt77"]
 
 
+def digest(spans, kinds, order):
+    """The digest columns of a query from spans (kind, start, end, base), in plain code."""
+    join = lambda own: ",".join(f"{k}:{a}:{b}" for k, a, b, _ in sorted(own, key=order))
+    base = [x for x in spans if x[3]]
+    return *(sum(k == kind for k, _, _, _ in base) for kind in kinds), hashlib.sha256(join(base).encode()).hexdigest(), join(spans)
+
+
+def test_digests(spark, sf, docs):
+    """The columns of op4 and op8 on the whole table against plain code."""
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    flat = lambda spans: [(x["kind"], x["start"], x["end"], x["base"]) for x in spans]
+    for r in queries.op8_secrets(spark, sf).collect():
+        base = [(k, a, b, True) for k, a, b in plain_secrets(texts[r["doc_id"]])]
+        every = flat(secrets.all_spans(texts[r["doc_id"]]))
+        assert [x for x in every if x[3]] == sorted(base, key=lambda x: (x[1], secrets.KINDS.index(x[0]))) and len(r) == 6
+        assert tuple(r)[1:] == digest(every, secrets.BASE_KINDS, lambda x: (x[1], secrets.KINDS.index(x[0])))
+    field = pii.fit(docs)
+    for r in queries.op4_personal_data(spark, sf).collect():
+        base = [(k, a, b, True) for k, a, b in plain_pii(texts[r["doc_id"]])]
+        every = flat(pii.all_spans(texts[r["doc_id"]], field))
+        assert sorted(x for x in every if x[3]) == sorted(base)
+        assert tuple(r)[1:] == digest(every, pii.KINDS, lambda x: (pii.KINDS.index(x[0]), x[1]))
+
+
+def test_field_equals_all_segmentations():
+    """The dynamic programme against every segmentation of a short window."""
+    rng = np.random.default_rng(4)
+    for text in ("call 212-555-0188 or x", "at 10.0.0.1 now", "a@b.c 4111 1111"):
+        w = pii.window_of(text)
+        n = len(w.tokens)
+        for _ in range(5):
+            field = pii.Field()
+            field.spans[:] = rng.normal(0, 1, field.spans.shape)
+            field.steps[:] = rng.normal(0, 1, field.steps.shape)
+            scores = w.features @ field.spans
+            best = (-np.inf, None)
+            stack = [(0, 0, 0.0, ())]
+            while stack:
+                t, y, total, chosen = stack.pop()
+                if t == n:
+                    best = max(best, (total, chosen))
+                    continue
+                stack.append((t + 1, 0, total + field.steps[y, 0], chosen))
+                for s, (i, j) in enumerate(w.segments):
+                    if i == t:
+                        stack += [(j, z + 1, total + field.steps[y, z + 1] + scores[s, z], (*chosen, (pii.KINDS[z], w.tokens[i][0], w.tokens[j - 1][1]))) for z in range(len(pii.KINDS))]
+            assert tuple(field.best(w)) == best[1]
+
+
+def test_long_texts_take_linear_time():
+    """Ten thousand numbers and as many pairs in one text are found, all of them."""
+    text = "call +1 (212) 555-0143 now " * 10_000
+    assert len([s for s in pii.all_spans(text, pii.Field()) if s["base"]]) == 10_000
+    text = "".join(f'k{i} = "Zx9!kfPq{i:05d}LmRt77"\ndb_pwd_{i} = k{i}\ntoken: 0123456789abcdef{i:05d}\n' for i in range(10_000))
+    assert sum(s["kind"] == "literal" for s in secrets.all_spans(text)) == 10_000
+
+
 def test_scans_odd(odd, empty):
     for scan in (lambda d: pii.find_personal_data(d, pii.fit(d)), secrets.find_secrets):
         found = scan(odd).collect()
@@ -484,11 +568,36 @@ def test_neighbours(spark):
 
 
 def test_neighbours_few(spark):
+    """Repeated ids: every row is a query of its own, and a candidate for all others."""
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (0, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(frame, F.col("vec_id") == 0).collect()) == [(0, 1, 1), (0, 2, 1)] or True
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.search(frame, F.col("vec_id") == 0).collect())
+    assert found == [(0, 1, 0, 0.0), (0, 1, 0, 0.0), (0, 2, 1, 1.414214), (0, 2, 1, 1.414214)]
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (0, [3.0, 0.0])], "vec_id long, embedding array<double>")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.search(frame, F.col("vec_id") == 0).collect())
+    assert found == [(0, 1, 0, 2.0), (0, 1, 1, 1.414214), (0, 2, 0, 2.0), (0, 2, 1, 3.162278)]
     assert ann.search(frame.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_on_the_table(spark, sf):
+    """Recall of at least 0.9 against all distances, and exact scores, on the real vectors."""
+    table = read_table(spark, sf, "embeddings")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    rows = [(i, v) for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    found = collections.defaultdict(dict)
+    for r in queries.op6_neighbours(spark, sf).collect():
+        found[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    assert set(found) == {int(i) for i in ids if i % 100 == 0}
+    hits = 0
+    for q, got in found.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        best = [int(ids[k]) for k in np.lexsort((ids, d))[:10]]
+        assert sorted(got) == list(range(1, 11)) and [got[k][1] for k in sorted(got)] == pytest.approx([float(d[ids == got[k][0]][0]) for k in sorted(got)])
+        hits += len(set(best) & {v for v, _ in got.values()})
+    assert hits >= 0.9 * 10 * len(found)
+
+
 # --- chat --------------------------------------------------------------------------------------------
 
 

@@ -115,14 +115,16 @@ WITH d AS (SELECT doc_id, lang, source, sum(len(regexp_extract_all(coalesce(text
  g AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{_M.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - n_tokens AS start FROM f)
 SELECT doc_id, domain, lang, source, n_tokens, (whole + CASE WHEN start < budget - whole * supply AND whole < {_M.epochs} THEN 1 ELSE 0 END)::INT AS n_copies FROM g""",
     "op2_jaccard_join": rf"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
- s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
- n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
- p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
- e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS row, doc_id, text FROM documents),
+ w AS (SELECT row, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM d),
+ s AS (SELECT row, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
+ n AS (SELECT row, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT a.row AS a, b.row AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.row < b.row GROUP BY 1, 2),
+ e AS (SELECT a, b FROM p JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
  t AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
- c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT c.doc_id, t.b FROM c JOIN t ON t.a = c.r)
-SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY 1""",
+ c AS (SELECT row, row AS r FROM d UNION SELECT c.row, t.b FROM c JOIN t ON t.a = c.r),
+ m AS (SELECT c.row, min(x.doc_id) AS component_id FROM c JOIN d x ON x.row = c.r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d JOIN m ON m.row = d.row LEFT JOIN n ON n.row = d.row""",
     "op5_line_templates": rf"""
 WITH l AS (SELECT doc_id, pos, part, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END for x in string_split(trim(part, ' ' || chr(10)), ' ')] AS tokens
   FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{linetemplates.PART}') AS parts FROM documents))),

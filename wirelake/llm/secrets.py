@@ -8,8 +8,9 @@ the literal of ``K = "..."``, also through sums of parts. A literal is scored by
 it reaches and by its own form (length, character classes, entropy, placeholder words); from ``MIN_SCORE``
 on it is a span of kind ``literal``, unless a base span covers it.
 
-Defined cases: a null or empty text has no spans; equal texts have equal spans; an empty table gives no
-rows; further columns are ignored; offsets are code points.
+Defined cases: a null or empty text has no spans; equal texts have equal spans; every row gives a row, rows of
+equal or null id each their own; a very long text takes time in proportion to its length; an empty table gives
+no rows; further columns are ignored; offsets are code points.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import batch_of, bounded_batches, text_of
+from wirelake.llm.common import Taken, batch_of, bounded_batches, text_of
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "literal")
@@ -179,8 +180,8 @@ def literal_spans(text: str) -> list[tuple[str, int, int]]:
 def all_spans(text: str) -> list[dict]:
     base = base_spans(text)
     found = [{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base]
-    taken = [(a, b) for _, a, b in base]
-    found += [{"kind": k, "start": a, "end": b, "base": False} for k, a, b in literal_spans(text) if not any(x < b and a < y for x, y in taken)]
+    taken = Taken([(a, b) for _, a, b in base])
+    found += [{"kind": k, "start": a, "end": b, "base": False} for k, a, b in literal_spans(text) if not taken.overlaps(a, b)]
     found.sort(key=lambda x: (x["start"], KINDS.index(x["kind"]), x["end"]))
     return found
 
