@@ -14,8 +14,9 @@ together. So boilerplate and passages that many documents share go, while copies
 a near-duplicate operator and keep their text. Parts of recurring templates are dropped in every document; those
 under ``MIN_TOKENS`` tokens always stay.
 
-All statistics are over all parts of all documents, and pre-aggregated before they are shuffled; rows of a
-common part meet only as counts. Template identity is a 64-bit hash.
+All statistics are over all different parts of all documents, and pre-aggregated before they are shuffled; rows
+of a common part meet only as counts. Template identity is a 64-bit hash. The hashes that recur go to the documents
+where these stand, as a broadcast set, if they are counted to be few; else they are joined to the documents.
 
 Defined cases: a null text has no parts and stays null; empty texts and blank lines stay; repeated rows count
 once for each row; rows with null ids take part; texts of any length are cut by one pass; an empty table gives no
@@ -24,10 +25,16 @@ rows; further columns stay as they are.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wirelake.llm.common import few, text_of, written
+from wirelake.llm.common import MOST_BROADCAST, bounded_batches, few, text_of, written
 
 LEADING = 3
 MIN_TOKENS = 4
@@ -41,9 +48,26 @@ FIELD = "<*>"
 PART = r"[^\n]*?(?:[.!?] |\n)|[^\n]+"
 
 
+ENDS = (". ", "! ", "? ", "\n")
+#: Set between parts to split there; a text that holds it is cut by the pattern.
+_MARK = "\x01"
+
+
+def _marked(text: Column, bare: bool) -> Column:
+    for end in ENDS:
+        text = F.replace(text, F.lit(end), F.lit((end[:-1] if bare else end) + _MARK))
+    return F.array_remove(F.split(text, _MARK), "")
+
+
 def parts_of(text: Column) -> Column:
     """The parts in order; joined they are the text again."""
-    return F.regexp_extract_all(text, F.lit(PART), F.lit(0))
+    return F.when(F.contains(text, F.lit(_MARK)), F.regexp_extract_all(text, F.lit(PART), F.lit(0))).otherwise(_marked(text, False))
+
+
+def bare_parts(text: Column) -> Column:
+    """The different parts, each without the space or line end that it ends with."""
+    plain = F.transform(F.regexp_extract_all(text, F.lit(PART), F.lit(0)), lambda x: F.regexp_replace(x, r"([.!?]) \z|\n\z", "$1"))
+    return F.array_distinct(F.when(F.contains(text, F.lit(_MARK)), plain).otherwise(_marked(text, True)))
 
 
 def masked(part: Column) -> Column:
@@ -57,8 +81,8 @@ def part_table(documents: DataFrame) -> DataFrame:
 
     Counts and leading tokens come from the text itself; only parts that need it are cut into tokens later.
     """
-    parts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.transform(parts_of(text_of()), lambda x: F.trim(x, F.lit(" \n"))))).alias("part"))
-    parts = parts.select("doc_id", F.char_length("part").alias("chars"), masked(F.col("part")).alias("masked"))
+    parts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(bare_parts(text_of())).alias("part"))
+    parts = parts.select("doc_id", F.trim("part").alias("part")).select("doc_id", F.char_length("part").alias("chars"), masked(F.col("part")).alias("masked"))
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     parts = parts.withColumn("n", n).filter(F.col("n") >= MIN_TOKENS)
     return parts.select("doc_id", "chars", "masked", F.xxhash64("masked").alias("line_hash"), F.xxhash64("n", F.substring_index("masked", " ", LEADING)).alias("leaf"))
@@ -67,9 +91,11 @@ def part_table(documents: DataFrame) -> DataFrame:
 def recurring(lines: DataFrame, parsed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """line_hash of all parts whose template recurs. lines: the written part table; parsed: the same with the masked text."""
     counts = written(lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf")), "counts")
-    again = few(counts.filter("docs > 1").select("line_hash", F.lit(True).alias("again")), "again")
-    shares = lines.join(again, "line_hash", "left").groupBy("doc_id").agg((F.sum(F.when(F.col("again"), F.col("chars")).otherwise(0)) <= COPIED * F.sum("chars")).alias("own"))
-    own = shares.filter("own").select(F.col("doc_id").alias("own_id"), F.lit(1).alias("own"))
+    again = few(counts.filter("docs > 1").select("line_hash"), "again")
+    shared = lines.join(again, "line_hash", "left_semi").groupBy("doc_id").agg(F.sum("chars").alias("shared"))
+    totals = lines.groupBy(F.col("doc_id").alias("own_id")).agg(F.sum("chars").alias("chars"))
+    shares = totals.join(shared, F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
+    own = shares.filter(F.coalesce("shared", F.lit(0)) <= COPIED * F.col("chars")).select("own_id", F.lit(1).alias("own"))
     # leaves in which several templates might be one
     mixed = counts.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds")).filter((F.col("docs") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
     kinds = parsed.join(few(mixed, "leaves"), "leaf", "left_semi").groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("docs"), F.first("masked").alias("masked"))
@@ -98,33 +124,80 @@ def leaf_templates(kinds: DataFrame) -> DataFrame:
     return met.join(sizes, "leaf").filter((F.col("met") == F.col("n_fixed")) & (F.col("n_fixed") >= FIXED * F.col("n"))).select("leaf", "line_hash")
 
 
-def _with_drops(documents: DataFrame, min_docs: int) -> DataFrame:
-    """The documents with _drop, the hashes of their parts that recur (null: none)."""
-    parsed = part_table(documents)
-    lines = written(parsed.select("doc_id", "line_hash", "leaf", "chars"), "lines")
-    drops = lines.join(few(recurring(lines, parsed, min_docs), "recurring"), "line_hash", "left_semi").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_hash").alias("_drop"))
-    return documents.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
+_TOKEN = re.compile(r"(?<![^ ])[^ 0-9]*[0-9][^ ]*")
+_DIGIT = re.compile(r"[0-9]")
+
+
+def _cut(text: str) -> list[str]:
+    """parts_of in a task."""
+    if _MARK in text:
+        return re.findall(PART, text)
+    for end in ENDS:
+        text = text.replace(end, end + _MARK)
+    return [x for x in text.split(_MARK) if x]
 
 
-def _kept(parts: Column, drop: Column) -> Column:
-    """A part goes if its template is among the document's drops (which hold no short ones)."""
-    return F.filter(parts, lambda x: ~F.array_contains(drop, F.xxhash64(masked(x))))
+def _goes(part: str, gone: frozenset[int]) -> bool:
+    """Whether a part's template is among the recurring ones (which hold no short ones)."""
+    part = part.strip(" \n")
+    if part.count(" ") < MIN_TOKENS - 1:
+        return False
+    if _DIGIT.search(part):
+        part = _TOKEN.sub(FIELD, part)
+    return xxhash.xxh64_intdigest(part.encode("utf-8", "replace"), 42) in gone
+
+
+def _in_place(documents: DataFrame, gone: frozenset[int]) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(gone)
+    bounded_batches(documents.sparkSession)
+    at = documents.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes, drops = [], [], []
+            for text in batch.column(at):
+                text = text.as_py()
+                parts = _cut(text or "")
+                kept = [x for x in parts if not _goes(x, shared.value)]
+                texts.append(text if len(kept) == len(parts) else "".join(kept))
+                sizes.append(len(parts))
+                drops.append(len(parts) - len(kept))
+            names = [*batch.schema.names, "_parts", "_dropped"]
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int32()), pa.array(drops, pa.int32())], names=names)
+
+    schema = T.StructType([*documents.schema.fields, T.StructField("_parts", T.IntegerType()), T.StructField("_dropped", T.IntegerType())])
+    return documents.mapInArrow(task, schema)
+
+
+def _joined(documents: DataFrame, lines: DataFrame, gone: DataFrame) -> DataFrame:
+    drops = lines.join(gone, "line_hash", "left_semi").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_hash").alias("_drop"))
+    rows = documents.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")), "left").withColumn("_all", parts_of(text_of()))
+    kept = F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(masked(x)))))
+    rows = rows.withColumn("_kept", kept).withColumn("_parts", F.size("_all")).withColumn("_dropped", F.size("_all") - F.size("_kept"))
+    text = F.when(F.col("_dropped") == 0, F.col("text")).otherwise(F.array_join("_kept", ""))
+    return rows.withColumn("text", text).select(*documents.columns, "_parts", "_dropped")
+
+
+def _cleaned(documents: DataFrame, min_docs: int, most: int = MOST_BROADCAST) -> DataFrame:
+    """The documents without recurring parts in text, and _parts, _dropped: parts before, and dropped ones."""
+    parsed = part_table(documents)
+    lines = written(parsed.select("doc_id", "line_hash", "leaf", "chars"), "lines")
+    gone = written(recurring(lines, parsed, min_docs), "recurring")
+    if gone.count() <= most:
+        return _in_place(documents, frozenset(r[0] % (1 << 64) for r in gone.toLocalIterator()))
+    return _joined(documents, lines, gone)
 
 
 def report(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per document: n_lines (its parts), n_dropped, and size and digest of what is left."""
-    rows = _with_drops(documents.select("doc_id", "text"), min_docs).select("doc_id", "text", "_drop", parts_of(text_of()).alias("parts"))
-    kept = F.when(F.col("_drop").isNull(), F.col("parts")).otherwise(_kept(F.col("parts"), F.col("_drop")))
-    rows = rows.select("doc_id", F.size("parts").cast("long").alias("n_lines"), kept.alias("kept"))
-    rows = rows.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), F.array_join("kept", "").alias("text"))
-    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_dropped"), F.char_length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    rows = _cleaned(documents.select("doc_id", "text"), min_docs)
+    return rows.select("doc_id", F.col("_parts").cast("long").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.char_length(text_of()).cast("long").alias("kept_chars"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
 
 
 def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with recurring parts taken out of text (n_chars, where there is one, follows)."""
-    rows = _with_drops(documents, min_docs)
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(_kept(parts_of(F.col("text")), F.col("_drop")), ""))
-    rows = rows.withColumn("text", text)
+    rows = _cleaned(documents, min_docs)
     if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col("_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
     return rows.select(*documents.columns)

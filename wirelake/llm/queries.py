@@ -128,7 +128,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d JOIN m ON m
     "op5_line_templates": rf"""
 WITH l AS (SELECT doc_id, pos, part, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END for x in string_split(trim(part, ' ' || chr(10)), ' ')] AS tokens
   FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{linetemplates.PART}') AS parts FROM documents))),
- u AS (SELECT doc_id, tokens, length(part) AS chars FROM (SELECT DISTINCT doc_id, trim(part, ' ' || chr(10)) AS part, tokens FROM l) WHERE len(tokens) >= {linetemplates.MIN_TOKENS}),
+ u AS (SELECT doc_id, tokens, length(part) AS chars FROM (SELECT doc_id, trim(part, ' ') AS part, tokens FROM (SELECT DISTINCT doc_id, regexp_replace(part, '([.!?]) \z|\n\z', '\1') AS part, tokens FROM l)) WHERE len(tokens) >= {linetemplates.MIN_TOKENS}),
  k AS (SELECT tokens, count(*) AS docs, [len(tokens)::VARCHAR] || tokens[1:{linetemplates.LEADING}] AS leaf FROM u GROUP BY tokens),
  own AS (SELECT doc_id FROM u JOIN k USING (tokens) GROUP BY 1 HAVING sum(CASE WHEN docs > 1 THEN chars ELSE 0 END) <= {linetemplates.COPIED} * sum(chars)),
  mixed AS (SELECT leaf FROM k GROUP BY 1 HAVING sum(docs) >= {linetemplates.MIN_DOCS} AND count(*) > 1),
