@@ -201,7 +201,7 @@ def templates_by_hand(rows):
                 token, n = c.most_common(1)[0]
                 if n >= 0.6 * sum(kinds.values()):
                     fixed[i] = token
-            if len(fixed) >= 0.7 * k[0]:
+            if len(fixed) - 3 >= 0.7 * (k[0] - 3):
                 template |= {m: k for m in kinds if all(m[i] == t for i, t in fixed.items())}
     by_line, others = collections.Counter(), set()
     for ok, own in zip(fresh, lines):

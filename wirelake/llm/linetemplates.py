@@ -5,7 +5,8 @@ a passage that stands inside long lines recurs as its sentences. The parts, trim
 parsed at a fixed depth: by token count (tokens lie between single spaces), then by their first ``LEADING``
 tokens, tokens with a digit standing for any such token. Parts that agree so far lie in one leaf. Within a leaf a
 position whose most common token makes up ``STEADY`` of the leaf's parts is fixed, any other is a variable field;
-if at least ``FIXED`` of the positions are fixed, the parts that have all fixed tokens share the leaf's template.
+if at least ``FIXED`` of the positions after the leading ones are fixed, the parts that have all fixed tokens share
+the leaf's template.
 Every other part is a template of its own, tokens with a digit left variable.
 
 A template recurs if it has ``MIN_DOCS`` witnesses. A document is one if at most ``COPIED`` of its parts (by
@@ -77,19 +78,19 @@ def masked(part: Column) -> Column:
 
 
 def part_table(documents: DataFrame) -> DataFrame:
-    """A row for each different part of each document: doc_id, its template's hash, its leaf, its size.
+    """A row for each different part of each document: doc_id, the part, its leaf.
 
-    Counts and leading tokens come from the text itself; only parts that need it are cut into tokens later.
+    The leaf comes from the leading tokens alone; what takes the whole part is worked out where it is needed.
     """
     parts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(bare_parts(text_of())).alias("part"))
-    parts = parts.select("doc_id", F.trim("part").alias("part")).select("doc_id", F.char_length("part").alias("chars"), masked(F.col("part")).alias("masked"))
-    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    parts = parts.withColumn("n", n).filter(F.col("n") >= MIN_TOKENS)
-    return parts.select("doc_id", "chars", "masked", F.xxhash64("masked").alias("line_hash"), F.xxhash64("n", F.substring_index("masked", " ", LEADING)).alias("leaf"))
+    part = F.trim("part")
+    n = F.octet_length(part) - F.octet_length(F.replace(part, F.lit(" "), F.lit(""))) + 1
+    parts = parts.filter(n >= MIN_TOKENS).select("doc_id", part.alias("part"), n.alias("n"))
+    return parts.select("doc_id", "part", F.xxhash64("n", masked(F.substring_index("part", " ", LEADING))).alias("leaf"))
 
 
 def recurring(lines: DataFrame, parsed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """line_hash of all parts whose template recurs. lines: the written part table; parsed: the same with the masked text."""
+    """line_hash of all parts whose template recurs. lines: the written part table; parsed: the parts themselves."""
     counts = written(lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf")), "counts")
     again = few(counts.filter("docs > 1").select("line_hash"), "again")
     shared = lines.join(again, "line_hash", "left_semi").groupBy("doc_id").agg(F.sum("chars").alias("shared"))
@@ -98,7 +99,8 @@ def recurring(lines: DataFrame, parsed: DataFrame, min_docs: int = MIN_DOCS) ->
     own = shares.filter(F.coalesce("shared", F.lit(0)) <= COPIED * F.col("chars")).select("own_id", F.lit(1).alias("own"))
     # leaves in which several templates might be one
     mixed = counts.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds")).filter((F.col("docs") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
-    kinds = parsed.join(few(mixed, "leaves"), "leaf", "left_semi").groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("docs"), F.first("masked").alias("masked"))
+    kinds = parsed.join(few(mixed, "leaves"), "leaf", "left_semi").select("leaf", masked(F.col("part")).alias("masked"))
+    kinds = kinds.groupBy("leaf", F.xxhash64("masked").alias("line_hash")).agg(F.count(F.lit(1)).alias("docs"), F.first("masked").alias("masked"))
     template = few(leaf_templates(written(kinds, "kinds").select("leaf", "line_hash", "docs", F.split("masked", " ").alias("tokens"))), "templates")
     # witnesses per part, then per template: only parts that could reach the count are followed
     maybe = few(counts.filter(F.col("docs") >= min_docs).select("line_hash").unionByName(template.select("line_hash")).distinct(), "maybe")
@@ -121,7 +123,7 @@ def leaf_templates(kinds: DataFrame) -> DataFrame:
     fixed = common.withColumn("all", F.sum("docs").over(place)).filter(F.col("docs") >= STEADY * F.col("all")).select("leaf", "pos", F.col("token").alias("fixed"))
     sizes = fixed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_fixed"))
     met = parts.join(fixed, ["leaf", "pos"]).filter(F.col("token") == F.col("fixed")).groupBy("leaf", "line_hash", "n").agg(F.count(F.lit(1)).alias("met"))
-    return met.join(sizes, "leaf").filter((F.col("met") == F.col("n_fixed")) & (F.col("n_fixed") >= FIXED * F.col("n"))).select("leaf", "line_hash")
+    return met.join(sizes, "leaf").filter((F.col("met") == F.col("n_fixed")) & (F.col("n_fixed") - LEADING >= FIXED * (F.col("n") - LEADING))).select("leaf", "line_hash")
 
 
 _TOKEN = re.compile(r"(?<![^ ])[^ 0-9]*[0-9][^ ]*")
@@ -182,7 +184,7 @@ def _joined(documents: DataFrame, lines: DataFrame, gone: DataFrame) -> DataFram
 def _cleaned(documents: DataFrame, min_docs: int, most: int = MOST_BROADCAST) -> DataFrame:
     """The documents without recurring parts in text, and _parts, _dropped: parts before, and dropped ones."""
     parsed = part_table(documents)
-    lines = written(parsed.select("doc_id", "line_hash", "leaf", "chars"), "lines")
+    lines = written(parsed.select("doc_id", F.xxhash64(masked(F.col("part"))).alias("line_hash"), "leaf", F.char_length("part").alias("chars")), "lines")
     gone = written(recurring(lines, parsed, min_docs), "recurring")
     if gone.count() <= most:
         return _in_place(documents, frozenset(r[0] % (1 << 64) for r in gone.toLocalIterator()))

@@ -136,7 +136,7 @@ WITH l AS (SELECT doc_id, pos, part, [CASE WHEN regexp_matches(x, '[0-9]') THEN
  common AS (SELECT leaf, pos, token, sum(docs) AS docs FROM parts GROUP BY ALL),
  fixed AS (SELECT leaf, pos, token FROM (SELECT *, sum(docs) OVER (PARTITION BY leaf, pos) AS every FROM common) WHERE docs >= {linetemplates.STEADY} * every),
  sizes AS (SELECT leaf, count(*) AS n_fixed FROM fixed GROUP BY 1),
- template AS (SELECT leaf, tokens FROM (SELECT leaf, tokens, count(*) AS met FROM parts JOIN fixed USING (leaf, pos, token) GROUP BY ALL) JOIN sizes USING (leaf) WHERE met = n_fixed AND n_fixed >= {linetemplates.FIXED} * len(tokens)),
+ template AS (SELECT leaf, tokens FROM (SELECT leaf, tokens, count(*) AS met FROM parts JOIN fixed USING (leaf, pos, token) GROUP BY ALL) JOIN sizes USING (leaf) WHERE met = n_fixed AND n_fixed - {linetemplates.LEADING} >= {linetemplates.FIXED} * (len(tokens) - {linetemplates.LEADING})),
  followed AS (SELECT u.doc_id, tokens, own.doc_id IS NOT NULL AS own FROM u LEFT JOIN own ON own.doc_id = u.doc_id),
  gone AS (SELECT tokens FROM followed GROUP BY 1 HAVING count(*) FILTER (own) + max((NOT own)::INT) >= {linetemplates.MIN_DOCS}
   UNION SELECT tokens FROM template WHERE leaf IN (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, own FROM followed JOIN template USING (tokens)) GROUP BY 1 HAVING count(*) FILTER (own) + max((NOT own)::INT) >= {linetemplates.MIN_DOCS})),
