@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wirelake import fixtures, refdata
-from wirelake.operators import assets, detections, hunts, identity, matching, normalize
+from wirelake.operators import assets, detections, hunts, identity, matching, network, normalize
 from wirelake.sources import files
 
 
@@ -175,3 +175,28 @@ def test_conditions(spark):
     assert hunts.search_condition(df, ("none", "==", "x")) is None
     with pytest.raises(ValueError):
         hunts.search_condition(df, ("a b", "==", "x"))
+
+
+def test_port_risks(spark):
+    """Levels of TCP ports, written out here; other transports and ports have none."""
+    expected = {1337: "critical", 4444: "critical", 4445: "critical", 31337: "critical", 50050: "critical", 9200: "high", 9300: "high", 11211: "high", 27017: "high", 6379: "high", 9090: "medium", 3389: "medium", 445: "medium", 8443: "low", 8080: "low", 443: None}
+    rows = [("10.0.0.1", "8.8.8.8", p, "tcp", 1, 1) for p in expected] + [("10.0.0.1", "8.8.8.8", 4444, "udp", 1, 1)]
+    frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, dst_port int, protocol string, orig_bytes long, resp_bytes long")
+    found = {(r["dst_port"], r["protocol"]): r["risk_level"] for r in network.service_risk(frame, 100).collect()}
+    assert found == {(p, "tcp"): level for p, level in expected.items()} | {(4444, "udp"): None}
+    assert len(refdata.PORT_RISKS) == 50
+
+
+def test_typed_parse_in_one_and_two_steps(spark):
+    """The record that the envelope reads gives the same table as a second parse, misfits and flat messages among them."""
+    rows = ['{"conn": {"ts": 1, "uid": 5, "id.orig_p": "53", "proto": "tcp", "history": "12", "tunnel_parents": ["a"], "orig_bytes": true}}', '{"log_type": "conn", "ts": "2", "uid": "7", "proto": {"x": 1}, "service": "s"}', '{"conn": 5, "_path": "conn", "uid": "z"}', '{"conn": {"ts": 1', '{"log_type": 4, "_path": "conn"}']
+    frame = spark.createDataFrame([(r,) for r in rows], "value string")
+    tables = []
+    for log_type in (None, "conn"):
+        good, bad = normalize.split_dead_letters(normalize.parse_envelope(frame, log_type=log_type))
+        tables.append((sorted(map(repr, normalize.project_table(good, "conn").collect())), bad.count()))
+    assert tables[0] == tables[1] and tables[0][1] == 1 and len(tables[0][0]) == 4
+    found = {r["raw_log"]: r for r in normalize.project_table(good, "conn").collect()}
+    one = found[rows[0]]
+    assert (one["flow_id"], one["src_port"], one["protocol"], one["history"], one["tunnel_parents"], one["orig_bytes"]) == (None, None, "tcp", "12", '["a"]', None)
+    assert found[rows[1]]["flow_id"] == "7" and found[rows[1]]["protocol"] is None

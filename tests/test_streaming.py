@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wirelake import fixtures
-from wirelake.operators import assets
+from wirelake.operators import assets, detections, identity, normalize
 from wirelake.plans import catalog
 from wirelake.streaming import jobs
 
@@ -83,6 +85,39 @@ def test_correlation(spark, stream, tmp_path):
     assert sorted(map(tuple, found)) == [("x", 1000, 2000), ("x", 9_000_001, 9_000_002)]
 
 
+def test_correlation_equals_the_batch(spark, stream, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ABCD"), rng.choice("xy"), 100_000 + i * 7_000 + rng.randrange(7_000)) for i in range(150)]
+    frame = spark.createDataFrame(rows, "id long, signal_id string, asset_id string, event_time long")
+    for name, stages in (("abc", ("A", "B", "C")), ("aab", ("A", "A", "B"))):
+        found = run(jobs.stream_correlation(stream(frame), stages, 120_000), "append", tmp_path, f"chains_{name}").collect()
+        batch = detections.correlate_use_case(frame, stages, 120_000).select("asset_id", "start_time", "end_time").collect()
+        assert found and sorted(map(tuple, found)) == sorted(map(tuple, batch))
+
+
+def test_latency_buckets_rules_and_outcomes(spark, sf, stream, tmp_path):
+    conn = fixtures.table(spark, sf, "conn").limit(400).select("event_time", (F.col("event_time") + F.when(F.col("flow_id").like("%1"), 6000).otherwise(40)).alias("ingest_time"), F.lit("conn").alias("log_type"))
+    metrics = run(jobs.stream_metrics(stream(conn)), "append", tmp_path, "latency").collect()
+    assert metrics and all(r["le_50"] + r["slow"] == r["events"] for r in metrics)
+    slow = conn.withColumn("ingest_time", F.col("event_time") + 7000)
+    assert all(r["p95_ms"] == 7000 for r in run(jobs.stream_latency_rule(stream(slow)), "append", tmp_path, "p95").collect())
+    messages = catalog._messages(fixtures.table(spark, sf, "conn").limit(300)).withColumn("arrival", F.lit(1_700_000_000_000))
+    late = messages.limit(1).withColumn("arrival", F.lit(1_800_000_000_000))
+    parsed = normalize.parse_envelope(stream(messages.unionByName(late), order="arrival"))
+    first = min(run(jobs.stream_outcomes(parsed), "append", tmp_path, "outcomes").collect(), key=lambda r: r["window"])
+    assert first["consumed"] == 300 and first["enriched"] + first["parse_errors"] + first["dead_letters"] == 300
+
+
+def test_identity_batches_replace_themselves(spark, sf, stream, tmp_path):
+    conn = fixtures.table(spark, sf, "conn").limit(200).select("flow_id", "src_ip", "event_time")
+    bindings = identity.dhcp_bindings(fixtures.table(spark, sf, "dhcp"))
+    resolve = jobs.stream_identity(bindings, str(tmp_path / "resolved"))
+    resolve(conn, 0)
+    resolve(conn, 0)  # run again
+    found = spark.read.parquet(str(tmp_path / "resolved")).drop("batch")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, identity.resolve_ip(conn, bindings).collect()))
+
+
 def test_lookup(spark, sf, stream, tmp_path):
     conn = fixtures.table(spark, sf, "conn").limit(100)
     names = spark.createDataFrame([(443, "https")], "dst_port int, name string")

@@ -90,6 +90,29 @@ def ingest_ts(value: Column) -> Column:
     return F.when(number.isNotNull(), by_number).otherwise(F.try_to_timestamp(value.cast("string")))
 
 
+def parse_alert_time(value: Column) -> Column:
+    """A timestamp of ISO text, with Z or an offset, or of SQL text with or without a fraction; else null."""
+    return F.try_to_timestamp(F.trim(value))
+
+
+def parse_any_time(value: Column) -> Column:
+    """The same, or of a number as text: epoch milliseconds from 1e12 on, else seconds with their fraction."""
+    number = F.when(F.trim(value).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.trim(value).try_cast("double"))
+    return F.when(number.isNotNull(), F.timestamp_millis(F.when(number >= 1e12, number).otherwise(number * 1000).cast("long"))).otherwise(parse_alert_time(value))
+
+
+# Upper bounds of the latency histogram in ms.
+LATENCY_MS = (10, 50, 100, 500, 1000, 5000)
+
+
+def latency_bucket(ms: Column) -> Column:
+    """The smallest bound that holds the latency; -1 beyond the last, null for null."""
+    out = F.when(ms.isNotNull(), F.lit(-1))
+    for bound in reversed(LATENCY_MS):
+        out = F.when(ms <= bound, bound).otherwise(out)
+    return out
+
+
 def time_parts(ms: Column) -> dict[str, Column]:
     """year, month, day, hour, weekday (0 is Sunday) in UTC; all 0 unless the time is over 0."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))

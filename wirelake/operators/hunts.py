@@ -124,13 +124,13 @@ def hunt_sql(lake: dict[str, DataFrame], statement: str) -> DataFrame:
 
 def hunt_result(rows: DataFrame, name: str, reasoning: str) -> DataFrame:
     """One record: what was hunted, why, the number of matches and the rows as JSON (LIMIT rows at most)."""
-    rows = rows.limit(LIMIT)
+    rows = rows.orderBy(*(c for c, kind in rows.dtypes if not kind.startswith(("map", "variant")))).limit(LIMIT)
     return rows.agg(F.lit(name).alias("detection"), F.lit(reasoning).alias("reasoning"), F.count(F.lit(1)).alias("matches"), F.to_json(F.array_sort(F.collect_list(F.to_json(F.struct(*rows.columns))))).alias("evidence"))
 
 
 def lookup_uid(lake: dict[str, DataFrame], uid: str) -> DataFrame:
-    """The first row with this flow id in any table, tables in their order."""
-    parts = [df.filter(F.col("flow_id") == uid).limit(1).select(F.lit(i).alias("_place"), F.lit(name).alias("_source"), *df.columns) for i, (name, df) in enumerate(lake.items())]
+    """The first row with this flow id by time in any table, tables in their order."""
+    parts = [df.filter(F.col("flow_id") == uid).orderBy("event_time").limit(1).select(F.lit(i).alias("_place"), F.lit(name).alias("_source"), *df.columns) for i, (name, df) in enumerate(lake.items())]
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return found.orderBy("_place").limit(1).drop("_place")
 

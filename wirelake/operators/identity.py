@@ -115,6 +115,22 @@ def resolve_ip(events: DataFrame, bindings: DataFrame, ip: str = "src_ip") -> Da
     return rows.select(*(F.col("_event")[n].alias(n) for n in names), "mac")
 
 
+def asset_columns(events: DataFrame, bindings: DataFrame, ids: DataFrame, types: DataFrame, ip: str = "src_ip") -> DataFrame:
+    """The events with asset_id and asset_type of a trackable source, empty where unknown.
+
+    ids: mac, ip, asset_id (asset_ids with its fallback); types: asset_id, asset_type. The asset is that of the
+    MAC that holds the address at the event's time, else that of an address without a lease.
+    """
+    tracked = S.is_trackable_ip(F.col(ip))
+    by_mac = ids.filter("mac IS NOT NULL").select(F.col("mac").alias("_by_mac"), F.col("asset_id").alias("_mac_asset"))
+    by_ip = ids.filter("ip IS NOT NULL").select(F.col("ip").alias("_by_ip"), F.col("asset_id").alias("_ip_asset"))
+    kinds = types.select(F.col("asset_id").alias("_typed"), F.col("asset_type").alias("_kind"))
+    rows = resolve_ip(events.drop("asset_id", "asset_type"), bindings, ip)
+    rows = rows.join(by_mac, tracked & (F.col("mac") == F.col("_by_mac")), "left").join(by_ip, tracked & F.col("mac").isNull() & (F.trim(F.col(ip)) == F.col("_by_ip")), "left")
+    rows = rows.withColumn("asset_id", F.coalesce("_mac_asset", "_ip_asset", F.lit(""))).join(kinds, F.col("asset_id") == F.col("_typed"), "left")
+    return rows.withColumn("asset_type", F.coalesce("_kind", F.lit(""))).drop("mac", "_by_mac", "_mac_asset", "_by_ip", "_ip_asset", "_typed", "_kind")
+
+
 def fallback_assets(resolved: DataFrame, ip: str = "src_ip") -> DataFrame:
     """Trackable addresses seen without a lease, each its own asset: ip, first_seen."""
     rows = resolved.filter(F.col("mac").isNull() & S.is_trackable_ip(F.col(ip)))

@@ -129,6 +129,11 @@ def protocol_share(conn: DataFrame, n: int = 10) -> DataFrame:
     return shown.crossJoin(F.broadcast(total)).select("protocol", "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("pct"))  # one row
 
 
+def latency(rows: DataFrame) -> DataFrame:
+    """Events per log type and bucket of ingest_time - event_time (-1: beyond the last bound)."""
+    return rows.groupBy("log_type", S.latency_bucket(F.col("ingest_time") - F.col("event_time")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def overview(alerts: DataFrame, lake: dict[str, DataFrame], tables: int = 10) -> DataFrame:
     """Alerts by severity, assets, and health by the share of tables that hold rows."""
     severities = alerts.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")), F.count_distinct("asset_id").alias("assets"))

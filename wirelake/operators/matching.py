@@ -20,10 +20,11 @@ def _set(spark: SparkSession, given: DataFrame | None, rows: list, schema: str)
 
 def flag_threat_ips(df: DataFrame, threats: DataFrame | None = None) -> DataFrame:
     """Adds src_is_blacklisted and dst_is_blacklisted."""
-    threats = _set(df.sparkSession, threats, refdata.THREAT_IPS, "ip string").select("ip").distinct() if threats is not None else _set(df.sparkSession, None, refdata.THREAT_IPS, "ip string")
+    given = threats is not None
+    threats = threats.select("ip").distinct() if given else refdata.frame(df.sparkSession, refdata.THREAT_IPS, "ip string")
     for side in ("src", "dst"):
         listed = threats.select(F.col("ip").alias(f"_{side}"), F.lit(True).alias(f"_{side}_bad"))
-        df = df.join(F.broadcast(listed) if threats is None else listed, F.col(f"{side}_ip") == F.col(f"_{side}"), "left")
+        df = df.join(listed if given else F.broadcast(listed), F.col(f"{side}_ip") == F.col(f"_{side}"), "left")
         df = df.withColumn(f"{side}_is_blacklisted", F.coalesce(f"_{side}_bad", F.lit(False))).drop(f"_{side}", f"_{side}_bad")
     return df
 
@@ -35,12 +36,15 @@ def suffixes(name: Column) -> Column:
 
 
 def threat_domains(df: DataFrame, column: str = "query", domains: DataFrame | None = None) -> DataFrame:
-    """Rows whose name equals a listed domain or lies below one, with the domain.
+    """Rows whose name equals a listed domain or lies below one, each once, with the longest such domain.
 
-    Suffixes are exploded and joined by equality; only the key and the name's columns go through the explode.
+    Names become distinct first; only they are exploded into suffixes and joined by equality.
     """
     domains = _set(df.sparkSession, domains, refdata.THREAT_DOMAINS, "domain string")
-    return df.filter(F.col(column).isNotNull()).withColumn("_suffix", F.explode(suffixes(F.col(column)))).join(domains, F.col("_suffix") == F.col("domain")).drop("_suffix")
+    names = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_name")).distinct()
+    hits = names.withColumn("_suffix", F.explode(suffixes(F.col("_name")))).join(domains, F.col("_suffix") == F.col("domain"))
+    longest = hits.groupBy("_name").agg(F.max_by("domain", F.struct(F.length("domain"), "domain")).alias("domain"))
+    return df.join(longest, F.col(column) == F.col("_name")).drop("_name")
 
 
 def unknown_external_domains(df: DataFrame, column: str = "query", domains: DataFrame | None = None) -> DataFrame:

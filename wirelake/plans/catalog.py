@@ -13,6 +13,7 @@ from wirelake.functions import scalars as S
 from wirelake.operators import assets, detections, hunts, identity, logs, matching, network, normalize
 from wirelake.operators.common import total_bytes
 from wirelake.sources import files
+from wirelake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,7 +109,26 @@ add("port_risk", "conn", lambda c: network.service_risk(c), f"""
 SELECT dst_port, protocol, connections, sources, bytes, CASE WHEN protocol = 'tcp' THEN CASE dst_port WHEN 4444 THEN 'critical' WHEN 31337 THEN 'critical' WHEN 3389 THEN 'medium' WHEN 8080 THEN 'low' END END AS risk_level FROM s""".lstrip("\n"))
 add("age_label", "alerts", lambda a: a.groupBy(S.age_label(F.col("event_time"), NOW_MS).alias("age")).agg(F.count(F.lit(1)).alias("n")), f"SELECT CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age, count(*) AS n FROM (SELECT greatest(0, ({NOW_MS} - event_time) // 1000) AS s FROM alerts) GROUP BY 1")
 add("ingest_ts", "dns", lambda d: d.select("flow_id", F.unix_millis(S.ingest_ts(F.when(F.col("event_time") % 2000 == 0, F.col("event_time").cast("string")).otherwise((F.col("event_time") / 1000).cast("long").cast("string")))).alias("ms")), "SELECT flow_id, event_time AS ms FROM dns")
-add("latency", "conn", lambda c: c.select((F.col("resp_bytes") % 7000).alias("ms")).groupBy(F.when(F.col("ms") <= 10, 10).when(F.col("ms") <= 50, 50).when(F.col("ms") <= 100, 100).when(F.col("ms") <= 500, 500).when(F.col("ms") <= 1000, 1000).when(F.col("ms") <= 5000, 5000).otherwise(-1).alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN ms <= 10 THEN 10 WHEN ms <= 50 THEN 50 WHEN ms <= 100 THEN 100 WHEN ms <= 500 THEN 500 WHEN ms <= 1000 THEN 1000 WHEN ms <= 5000 THEN 5000 ELSE -1 END AS bucket, count(*) AS n FROM (SELECT resp_bytes % 7000 AS ms FROM conn) GROUP BY 1")
+_ARRIVED = "event_time + CASE WHEN log_type = 'conn' THEN 4 ELSE 1 END * (event_time // 1000 % 2000)"
+
+
+def _arrived(conn: DataFrame, dns: DataFrame) -> DataFrame:
+    """Events of both tables with a time of arrival, later by up to 8 s."""
+    rows = logs.tagged({"conn": conn, "dns": dns}, "event_time")
+    return rows.withColumn("ingest_time", F.col("event_time") + F.when(F.col("log_type") == "conn", 4).otherwise(1) * (F.floor(F.col("event_time") / 1000) % 2000))
+
+
+add("latency", "conn dns", lambda c, d: logs.latency(_arrived(c, d)), f"SELECT log_type, CASE WHEN ms <= 10 THEN 10 WHEN ms <= 50 THEN 50 WHEN ms <= 100 THEN 100 WHEN ms <= 500 THEN 500 WHEN ms <= 1000 THEN 1000 WHEN ms <= 5000 THEN 5000 ELSE -1 END AS bucket, count(*) AS n FROM (SELECT log_type, {_ARRIVED} - event_time AS ms FROM (SELECT 'conn' AS log_type, event_time FROM conn UNION ALL SELECT 'dns', event_time FROM dns)) GROUP BY 1, 2")
+
+
+def _time_texts(alerts: DataFrame) -> DataFrame:
+    """Alert times in all notations: ISO with Z, SQL text with and without a fraction, epoch seconds and milliseconds."""
+    ts, k = F.timestamp_millis("event_time"), F.col("id") % 6
+    text = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS")).when(k == 3, (F.col("event_time") / 1000).cast("long").cast("string")).when(k == 4, F.col("event_time").cast("string")).otherwise("soon")
+    return alerts.select("id", text.alias("text"))
+
+
+add("parse_times", "alerts", lambda a: _time_texts(a).select("id", F.unix_millis(S.parse_any_time(F.col("text"))).alias("any_ms"), F.unix_millis(S.parse_alert_time(F.when(F.col("id") % 6 < 3, F.col("text")))).alias("alert_ms")), "SELECT id, CASE WHEN id % 6 < 5 THEN event_time END AS any_ms, CASE WHEN id % 6 < 3 THEN event_time END AS alert_ms FROM alerts")
 
 # --- log analytics -----------------------------------------------------------------------------------
 
@@ -235,6 +255,21 @@ add("resolver_metrics", "conn dhcp", lambda c, d: identity.resolver_metrics(iden
 add("asset_known_ips", "dhcp", lambda d: identity.asset_known_ips(identity.dhcp_bindings(d), identity.mac_assets(identity.dhcp_bindings(d))))
 SQL["asset_known_ips"] = _recursive("dhcp", "SELECT root, string_agg(ip, ',' ORDER BY ip) AS ips FROM (SELECT DISTINCT a.root, h.ip FROM (SELECT ip, mac FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY event_time DESC, mac DESC) AS r FROM b) WHERE r = 1) h JOIN a ON a.mac = h.mac) GROUP BY 1")
 
+def _asset_columns(conn: DataFrame, dhcp: DataFrame) -> DataFrame:
+    """Assets of the events' sources; types by the vendor of an asset's first MAC."""
+    events, bindings = conn.select("flow_id", "src_ip", "event_time"), identity.dhcp_bindings(dhcp)
+    found = identity.mac_assets(bindings)
+    ids = identity.asset_ids(found, identity.fallback_assets(identity.resolve_ip(events, bindings)))
+    zero = F.lit(0)
+    kinds = assets.mac_vendor(found.select(F.col("root").alias("mac")).distinct()).join(ids, "mac").select("asset_id", assets.asset_type(F.col("vendor"), zero, zero, zero).alias("asset_type"))
+    return identity.asset_columns(events, bindings, ids, kinds).select("flow_id", "asset_id", "asset_type")
+
+
+add("asset_columns", "conn dhcp", _asset_columns)
+SQL["asset_columns"] = _recursive("conn dhcp", f"""
+SELECT e.flow_id, coalesce(m.asset_id, i.asset_id, '') AS asset_id, CASE WHEN m.asset_id IS NULL THEN '' ELSE CASE substr(m.key, 1, 8) WHEN '00:50:56' THEN 'docker' WHEN '00:00:0C' THEN 'network_device' WHEN '18:B4:30' THEN 'iot' ELSE 'workstation' END END AS asset_type
+FROM e LEFT JOIN (SELECT DISTINCT mac, root FROM a) r ON r.mac = e.mac AND {TRACK('e.src_ip')} LEFT JOIN n m ON m.key = r.root LEFT JOIN n i ON i.key = trim(e.src_ip) AND e.mac IS NULL AND {TRACK('e.src_ip')}""").replace(" \nSELECT e.flow_id", f", {_RESOLVED}, n AS (SELECT key, printf('AST-%04d', row_number() OVER (ORDER BY first_seen, key)) AS asset_id FROM (SELECT DISTINCT root AS key, first_seen FROM a UNION ALL SELECT trim(src_ip), min(event_time) FROM e WHERE mac IS NULL AND {TRACK('src_ip')} GROUP BY 1)) SELECT e.flow_id")
+
 # --- asset profiles ----------------------------------------------------------------------------------
 
 P = "conn dns http ssl"
@@ -340,11 +375,20 @@ add("effective_threshold", "alerts", lambda a: a.select("id", detections.effecti
 _OFF = "SELECT * FROM VALUES ('SIG-001', false, CAST(NULL AS BIGINT)), ('SIG-002', true, CAST(1705000000000 AS BIGINT)), ('SIG-003', true, CAST(NULL AS BIGINT)) AS t(signal_id, enabled, until_ms)"
 add("apply_suppressions", "raw_signals", lambda s: detections.apply_suppressions(s, s.sparkSession.sql(_OFF)).select("id", "signal_id"), "SELECT id, signal_id FROM raw_signals WHERE visibility_mode <> 'hidden' AND signal_id <> 'SIG-001' AND NOT (signal_id = 'SIG-002' AND event_time < 1705000000000)")
 add("dedup_alerts", "alerts", lambda a: detections.dedup_alerts(a).select("id", "signal_id", "asset_id", "event_time"))
+SQL["dedup_alerts"] = f"""WITH RECURSIVE alerts AS ({fixtures.sql('alerts')}),
+ o AS (SELECT id, signal_id, asset_id, event_time, row_number() OVER w AS r, lag(event_time) OVER w AS last FROM alerts WINDOW w AS (PARTITION BY signal_id, asset_id ORDER BY event_time, id)),
+ k AS (SELECT *, true AS ok, event_time AS kept FROM o WHERE r = 1 UNION ALL SELECT o.*, o.event_time - o.last >= 300000 AND o.event_time - k.kept >= 900000, CASE WHEN o.event_time - o.last >= 300000 AND o.event_time - k.kept >= 900000 THEN o.event_time ELSE k.kept END FROM k JOIN o ON o.signal_id = k.signal_id AND o.asset_id = k.asset_id AND o.r = k.r + 1)
+SELECT id, signal_id, asset_id, event_time FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, event_time // 3600000 ORDER BY event_time, id) AS n FROM k WHERE ok) WHERE n <= 10"""
 add("escalate_severity", "alerts dhcp", lambda a, d: detections.escalate_severity(a, d.groupBy(F.col("assigned_addr").alias("asset_id")).agg(F.min("event_time").alias("first_seen")), refdata.frame(a.sparkSession, ["198.51.100.7", "198.51.100.12"], "ip string")).select("id", "level", "escalated"), """
 , f AS (SELECT assigned_addr, min(event_time) AS first_seen FROM dhcp GROUP BY 1), o AS (SELECT *, count(*) OVER (PARTITION BY asset_id, signal_id ORDER BY event_time // 1000 RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM alerts),
  l AS (SELECT id, CAST(least(3, CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN dst_ip IN ('198.51.100.7','198.51.100.12') THEN 1 ELSE 0 END + CASE WHEN """.lstrip("\n") + f"{HOUR} < 6 OR {HOUR} >= 22" + """ THEN 1 ELSE 0 END + CASE WHEN event_time - first_seen < 604800000 THEN 1 ELSE 0 END + CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS INTEGER) AS level FROM o LEFT JOIN f ON f.assigned_addr = o.asset_id)
 SELECT id, level, ['low','medium','high','critical'][level + 1] AS escalated FROM l""")
-add("correlate_use_case", "raw_signals", lambda s: detections.correlate_use_case(s, ("SIG-004", "SIG-005"), 86_400_000))
+# three stages over days: the first later signal of each next stage is a minimum from the far end
+add("correlate_use_case", "raw_signals", lambda s: detections.correlate_use_case(s.withColumn("asset_id", F.substring_index("asset_id", ".", 3)), ("SIG-000", "SIG-004", "SIG-008"), 86_400_000), """
+, o AS (SELECT regexp_extract(asset_id, '^(.*)\\.[0-9]+$', 1) AS asset_id, signal_id, id, event_time FROM raw_signals WHERE signal_id IN ('SIG-000','SIG-004','SIG-008')),
+ c AS (SELECT *, min(CASE WHEN signal_id = 'SIG-008' THEN {'t': event_time, 'k': id} END) OVER (PARTITION BY asset_id ORDER BY event_time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n2 FROM o),
+ b AS (SELECT *, min(CASE WHEN signal_id = 'SIG-004' AND n2 IS NOT NULL THEN {'t': n2.t, 'b': id, 'k': n2.k} END) OVER (PARTITION BY asset_id ORDER BY event_time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n1 FROM c)
+SELECT asset_id, event_time AS start_time, n1.t AS end_time, id || ',' || n1.b || ',' || n1.k AS signal_ids FROM b WHERE signal_id = 'SIG-000' AND n1.t - event_time <= 86400000""".lstrip("\n"))
 add("correlate_one_asset", "raw_signals", lambda s: detections.correlate_use_case(s.withColumn("asset_id", F.substring_index("asset_id", ".", 3)), ("SIG-004", "SIG-005"), 3_600_000), """
 , o AS (SELECT regexp_extract(asset_id, '^(.*)\\.[0-9]+$', 1) AS asset_id, signal_id, id, event_time FROM raw_signals WHERE signal_id IN ('SIG-004','SIG-005')),
  n AS (SELECT *, min(CASE WHEN signal_id = 'SIG-005' THEN {'t': event_time, 'i': id} END) OVER (PARTITION BY asset_id ORDER BY event_time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM o)
@@ -352,4 +396,4 @@ SELECT asset_id, event_time AS start_time, nx.t AS end_time, id || ',' || nx.i A
 add("zscore_baseline", "conn", lambda c: detections.zscore_baseline(c.groupBy("src_ip").agg(F.sum(total_bytes()).alias("bytes")).withColumn("peers", F.substring_index("src_ip", ".", 1)), "src_ip", "peers", "bytes").select("src_ip", "bytes", F.round("zscore", 4).alias("zscore")), f", s AS (SELECT src_ip, split_part(src_ip, '.', 1) AS peers, {SUM.format(B)} AS bytes FROM conn GROUP BY 1), g AS (SELECT peers, avg(bytes) AS m, stddev_pop(bytes) AS d, count(*) AS k FROM s GROUP BY 1) SELECT src_ip, bytes, round(CASE WHEN d > 0 THEN (bytes - m) / d ELSE 0.0 END, 4) AS zscore FROM s JOIN g ON g.peers = s.peers WHERE k >= 5")
 add("shadow_promotion", "raw_signals", detections.shadow_promotion, f"SELECT *, CASE detection_method WHEN 'rule' THEN days >= 1 AND events >= 10 AND assets >= 1 WHEN 'zscore' THEN days >= 3 AND events >= 50 AND assets >= 5 WHEN 'hybrid' THEN days >= 5 AND events >= 75 AND assets >= 8 ELSE days >= 7 AND events >= 100 AND assets >= 10 END AS promoted FROM (SELECT signal_id, detection_method, count(DISTINCT {DAY}) AS days, count(*) AS events, count(DISTINCT asset_id) AS assets FROM raw_signals GROUP BY 1, 2)")
 add("auto_demotion", "alerts", lambda a: detections.auto_demotion(a.groupBy("signal_id").agg((F.count_if(F.col("status") == "resolved") / F.count(F.lit(1)) / 2).alias("fp_rate_7d"), (F.count_if(F.col("severity") == "high") / F.count(F.lit(1))).alias("drift_3d"), (F.count(F.lit(1)) / 30).alias("events_per_day_14d"))).select("signal_id", "action"), "SELECT signal_id, CASE WHEN fp >= 0.25 THEN 'shadow' WHEN drift >= 0.5 THEN 'retrain' WHEN per_day < 5 THEN 'review' ELSE 'keep' END AS action FROM (SELECT signal_id, count(*) FILTER (status = 'resolved') / count(*) / 2 AS fp, count(*) FILTER (severity = 'high') / count(*) AS drift, count(*) / 30 AS per_day FROM alerts GROUP BY 1)")
-add("activity_sessions", "conn", lambda c: c.groupBy("src_ip", F.session_window(F.timestamp_millis("event_time"), "30 minutes").alias("s")).agg(F.count(F.lit(1)).alias("n")).select("src_ip", F.unix_millis(F.col("s.start")).alias("session_start"), "n"), ", o AS (SELECT src_ip, event_time, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY src_ip ORDER BY event_time) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM conn), g AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT src_ip, min(event_time) AS session_start, count(*) AS n FROM g GROUP BY src_ip, k")
+add("activity_sessions", "conn", jobs.stream_sessions, ", o AS (SELECT src_ip, event_time, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY src_ip ORDER BY event_time) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM conn), g AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT src_ip, min(event_time) AS session_start, count(*) AS n FROM g GROUP BY src_ip, k")

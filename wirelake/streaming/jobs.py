@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wirelake import schemas
+from wirelake.functions import scalars as S
 from wirelake.operators import assets, identity, normalize
 
 WATERMARK = "10 minutes"
@@ -57,29 +59,39 @@ def profile_merger(path: Callable[[int], str]) -> Callable[[DataFrame, int], Non
 
 
 def stream_identity(bindings: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over events: resolves them by the bindings known so far and appends them to path."""
+    """For foreachBatch over events: resolves them by the bindings known so far and writes them below path.
+
+    A batch has a folder of its own, so a batch that is run again replaces its rows.
+    """
 
     def resolve(batch: DataFrame, number: int) -> None:
-        identity.resolve_ip(batch, bindings).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        identity.resolve_ip(batch, bindings).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return resolve
 
 
-# Upper bounds of the latency histogram in ms.
-LATENCY_MS = (10, 50, 100, 500, 1000, 5000)
+def stream_metrics(rows: DataFrame) -> DataFrame:
+    """Per minute and log type: events, their latency percentile, and a count for each latency bucket.
+
+    rows: with event_time, ingest_time, log_type.
+    """
+    late = F.col("ingest_time") - F.col("event_time")
+    buckets = [F.count_if(S.latency_bucket(late) == bound).alias(f"le_{bound}") for bound in S.LATENCY_MS]
+    return with_event_time(rows).groupBy(F.window("ts", "1 minute"), "log_type").agg(F.count(F.lit(1)).alias("events"), F.percentile_approx(late, 0.95).alias("p95_ms"), *buckets, F.count_if(late > S.LATENCY_MS[-1]).alias("slow"))
 
 
-def latency_bucket(ms: Column) -> Column:
-    out = F.lit(-1)
-    for bound in reversed(LATENCY_MS):
-        out = F.when(ms <= bound, bound).otherwise(out)
-    return out
+def stream_outcomes(parsed: DataFrame) -> DataFrame:
+    """Per minute of arrival: messages consumed, enriched, and dead letters by kind. parsed: from parse_envelope, with arrival (ms)."""
+    known = F.col("sound") & F.coalesce(F.col("log_type").isin(*schemas.LOG_TYPES), F.lit(False))
+    rows = parsed.withColumn("ts", F.timestamp_millis("arrival")).withWatermark("ts", WATERMARK)
+    return rows.groupBy(F.window("ts", "1 minute")).agg(F.count(F.lit(1)).alias("consumed"), F.count_if(known).alias("enriched"), F.count_if(~F.col("sound")).alias("parse_errors"), F.count_if(F.col("sound") & ~known).alias("dead_letters"))
 
 
-def stream_metrics(rows: DataFrame) -> DataFrame:
-    """Per minute and log type: events and their latency percentile. rows: with event_time, ingest_time, log_type."""
+def stream_latency_rule(rows: DataFrame, bound_ms: int = 5000, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Sliding windows in which the 95th percentile of latency is over its bound."""
     late = F.col("ingest_time") - F.col("event_time")
-    return with_event_time(rows).groupBy(F.window("ts", "1 minute"), "log_type").agg(F.count(F.lit(1)).alias("events"), F.percentile_approx(late, 0.95).alias("p95_ms"), F.count_if(late > 5000).alias("slow"))
+    found = with_event_time(rows).groupBy(F.window("ts", length, slide)).agg(F.percentile_approx(late, 0.95).alias("p95_ms"))
+    return found.filter(F.col("p95_ms") > bound_ms).select(F.unix_millis("window.start").alias("window_start"), "p95_ms")
 
 
 def stream_alert_rules(metrics: DataFrame, name: str, least: int, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
@@ -112,38 +124,36 @@ def stream_sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 CORRELATED = T.StructType([T.StructField("asset_id", T.StringType()), T.StructField("start_time", T.LongType()), T.StructField("end_time", T.LongType())])
-_STATE = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
+_STATE = T.StructType([T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("stages", T.ArrayType(T.LongType()))])
 
 
 def stream_correlation(signals: DataFrame, stages: tuple[str, ...], within_ms: int = 3_600_000) -> DataFrame:
-    """Per entity: stages in order within the time, as they complete.
+    """Per entity: stages in order within the time, as they complete; the chains of detections.correlate_use_case.
 
-    State holds, for each stage but the last, the latest start of a chain that got so far: of two chains at one
-    stage the later start is never worse. State expires by event time.
+    State holds the open chains, each its start and the stages it has met: a signal moves every chain that waits
+    for it. Chains older than the time go, so an entity's state is bounded by its first stages within that time;
+    all of it expires by event time.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        starts = list(state.get[0]) if state.exists else [-1] * (len(stages) - 1)
+        chains = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
         out, last = [], 0
         rows = pd.concat(list(batches)).sort_values(["event_time", "id"], kind="stable")
-        for signal, t in zip(rows["signal_id"], rows["event_time"], strict=True):
-            last = max(last, int(t))
-            k = stages.index(signal)
-            if k == 0:
-                starts[0] = int(t)
-            elif starts[k - 1] >= 0 and t - starts[k - 1] <= within_ms:
-                if k == len(stages) - 1:
-                    out.append((key[0], starts[k - 1], int(t)))
-                    starts = [-1] * (len(stages) - 1)
-                else:
-                    starts[k] = starts[k - 1]
-        state.update((starts,))
+        for signal, t in zip(rows["signal_id"], rows["event_time"].astype(int).tolist(), strict=True):
+            last = max(last, t)
+            chains = [x for x in chains if t - x[0] <= within_ms]
+            for chain in chains:
+                chain[1] += stages[chain[1]] == signal
+            out += [(key[0], start, t) for start, met in chains if met == len(stages)]
+            chains = [x for x in chains if x[1] < len(stages)]
+            if signal == stages[0]:
+                chains.append([t, 1])
+        state.update(([x[0] for x in chains], [int(x[1]) for x in chains]))
         state.setTimeoutTimestamp(max(last + within_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[f.name for f in CORRELATED])
 
     rows = with_event_time(signals.filter(F.col("signal_id").isin(*stages)).select("asset_id", "signal_id", "id", "event_time"))
     return rows.groupBy("asset_id").applyInPandasWithState(step, CORRELATED, _STATE, "append", "EventTimeTimeout")
-
