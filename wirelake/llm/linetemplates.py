@@ -92,7 +92,8 @@ def part_table(documents: DataFrame) -> DataFrame:
 def recurring(lines: DataFrame, parsed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """line_hash of all parts whose template recurs. lines: the written part table; parsed: the parts themselves."""
     counts = written(lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf")), "counts")
-    again = few(counts.filter("docs > 1").select("line_hash"), "again")
+    # what grows with the parts is joined by shuffle at any size
+    again = counts.filter("docs > 1").select("line_hash").hint("merge")
     shared = lines.join(again, "line_hash", "left_semi").groupBy("doc_id").agg(F.sum("chars").alias("shared"))
     totals = lines.groupBy(F.col("doc_id").alias("own_id")).agg(F.sum("chars").alias("chars"))
     shares = totals.join(shared, F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
@@ -103,7 +104,7 @@ def recurring(lines: DataFrame, parsed: DataFrame, min_docs: int = MIN_DOCS) ->
     kinds = kinds.groupBy("leaf", F.xxhash64("masked").alias("line_hash")).agg(F.count(F.lit(1)).alias("docs"), F.first("masked").alias("masked"))
     template = few(leaf_templates(written(kinds, "kinds").select("leaf", "line_hash", "docs", F.split("masked", " ").alias("tokens"))), "templates")
     # witnesses per part, then per template: only parts that could reach the count are followed
-    maybe = few(counts.filter(F.col("docs") >= min_docs).select("line_hash").unionByName(template.select("line_hash")).distinct(), "maybe")
+    maybe = counts.filter(F.col("docs") >= min_docs).select("line_hash").unionByName(template.select("line_hash")).distinct().hint("merge")
     followed = lines.join(maybe, "line_hash", "left_semi").select("doc_id", "line_hash").join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "line_hash", F.coalesce("own", F.lit(0)).alias("own"))
     witnesses = F.sum("own") + F.max(1 - F.col("own"))
     by_line = followed.groupBy("line_hash").agg(witnesses.alias("n")).filter(F.col("n") >= min_docs).select("line_hash")
