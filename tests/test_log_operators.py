@@ -200,3 +200,31 @@ def test_typed_parse_in_one_and_two_steps(spark):
     one = found[rows[0]]
     assert (one["flow_id"], one["src_port"], one["protocol"], one["history"], one["tunnel_parents"], one["orig_bytes"]) == (None, None, "tcp", "12", '["a"]', None)
     assert found[rows[1]]["flow_id"] == "7" and found[rows[1]]["protocol"] is None
+
+
+def test_alert_activity_falls_back_to_signal_and_asset(spark):
+    alerts = spark.createDataFrame(
+        [(1, "S", "a", " x , y", 10), (2, "S", "a", "", 10), (3, "S", "a", None, 10), (4, "", "a", "", 10), (5, "S", None, "", 10), (6, "S", "a", "z", 2_000_000)],
+        "id long, signal_id string, asset_id string, ftx_ids string, event_time long",
+    )
+    features = '{"features": {"bytes_in": 5, "orig_bytes": 2}}'
+    signals = spark.createDataFrame(
+        [(7, "S", "a", "x", 0, "h", "", features), (8, "S", "a", "", 20, "h", "k", features), (9, "S", "a", "z", 3_000_000, "h", "k", features), (10, "T", "a", "x,y", 30, "", "k", None)],
+        "id long, signal_id string, asset_id string, ftx_ids string, event_time long, src_ip string, dst_ip string, evidence string",
+    )
+    got = {r["alert_id"]: tuple(r)[1:] for r in detections.alert_activity(alerts, signals).collect()}
+    # 6 has a signal of its log id, though out of reach, so nothing else counts for it
+    assert got == {1: (0, 2, 5, 2, 1, 1), 2: (0, 2, 10, 4, 1, 1), 3: (0, 2, 10, 4, 1, 1)}
+    got = detections.alert_activity(alerts, signals, newest=2).filter("alert_id = 2").collect()
+    assert [r["events"] for r in got] == [1]
+
+
+def test_asset_ids_over_ranges(spark):
+    rows = [(f"{i:012x}", f"{i:012x}", (i * 7919) % 500) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "mac string, root string, first_seen long")
+    want = {mac: f"AST-{n:04d}" for n, (_, mac) in enumerate(sorted((t, m) for m, _, t in rows), 1)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r["mac"]: r["asset_id"] for r in identity.asset_ids(frame).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -95,21 +95,30 @@ def contributing_logs(signals: DataFrame, wanted: DataFrame) -> DataFrame:
     return signals.join(hits, F.col("id") == F.col("hit"), "left_semi")
 
 
-def alert_activity(alerts: DataFrame, signals: DataFrame, within_ms: int = 900_000) -> DataFrame:
+def alert_activity(alerts: DataFrame, signals: DataFrame, within_ms: int = 900_000, newest: int = 1000) -> DataFrame:
     """Per alert and minute: events, bytes in and out and peers of its signals within so much time of it.
 
-    Signals are those that share a log id with the alert, joined by equality.
+    Signals are those that share a log id with the alert, joined by equality; for alerts without any such signal
+    at any time, the newest ones of the alert's signal_id and asset. Empty log ids, names and peers match nothing.
     """
-    a = alerts.select(F.col("id").alias("alert_id"), F.col("event_time").alias("alert_time"), F.explode(F.array_distinct(F.split("ftx_ids", ","))).alias("ftx_id"))
-    s = signals.select("id", "event_time", "src_ip", "dst_ip", "evidence", F.explode(F.array_distinct(F.split("ftx_ids", ","))).alias("ftx_id"))
-    rows = a.join(s, "ftx_id").filter(F.abs(F.col("event_time") - F.col("alert_time")) <= within_ms).dropDuplicates(["alert_id", "id"])
+    ids = lambda: F.explode(F.array_distinct(F.transform(F.split("ftx_ids", ","), lambda x: F.trim(x)))).alias("ftx_id")
+    a = alerts.select(F.col("id").alias("alert_id"), F.col("event_time").alias("alert_time"), ids()).filter("ftx_id <> ''")
+    s = signals.select("id", "event_time", "src_ip", "dst_ip", "evidence", ids()).filter("ftx_id <> ''")
+    near = F.abs(F.col("event_time") - F.col("alert_time")) <= within_ms
+    held = ["alert_id", "id", "event_time", "src_ip", "dst_ip", "evidence"]
+    rows = a.join(s, "ftx_id").filter(near).dropDuplicates(["alert_id", "id"]).select(held)
+    known = a.join(s.select("ftx_id"), "ftx_id", "left_semi").select("alert_id").distinct()
+    rest = alerts.filter("signal_id <> '' AND asset_id <> ''").select(F.col("id").alias("alert_id"), F.col("event_time").alias("alert_time"), "signal_id", "asset_id").join(known, "alert_id", "left_anti")
+    latest = Window.partitionBy("signal_id", "asset_id").orderBy(F.col("event_time").desc(), F.col("id").desc())
+    last = signals.select("id", "event_time", "src_ip", "dst_ip", "evidence", "signal_id", "asset_id").withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= newest)
+    rows = rows.unionByName(rest.join(last, ["signal_id", "asset_id"]).filter(near).dropDuplicates(["alert_id", "id"]).select(held))
     pick = lambda *names: F.coalesce(*(F.get_json_object("evidence", f"$.features.{n}").try_cast("long") for n in names), F.lit(0))
     return rows.groupBy("alert_id", F.floor(F.col("event_time") / 60_000).cast("long").alias("minute")).agg(
         F.count(F.lit(1)).alias("events"),
         F.sum(pick("bytes_in", "resp_bytes")).alias("bytes_in"),
         F.sum(pick("bytes_out", "orig_bytes")).alias("bytes_out"),
-        F.count_distinct("src_ip").alias("sources"),
-        F.count_distinct("dst_ip").alias("destinations"),
+        F.count_distinct(F.nullif("src_ip", F.lit(""))).alias("sources"),
+        F.count_distinct(F.nullif("dst_ip", F.lit(""))).alias("destinations"),
     )
 
 

@@ -80,13 +80,18 @@ def _cut(df: DataFrame) -> DataFrame:
 def asset_ids(assets: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     """mac, ip, asset_id (AST-0001 on, by first sight): assets by MAC, then addresses without a lease.
 
-    The numbers go over the different assets alone, not over events.
+    The numbers go over the different assets alone, not over events: within ranges of first sight, after the
+    counts of the ranges before; one row for each range is all that one task sees.
     """
     keys = assets.select(F.col("root").alias("key"), "first_seen").distinct()
     if fallback is not None:
         keys = keys.unionByName(fallback.select(F.col("ip").alias("key"), "first_seen"))
-    number = F.row_number().over(Window.orderBy("first_seen", "key"))
-    named = keys.select("key", F.format_string("AST-%04d", number).alias("asset_id"))
+    # ranges of first sight are written with their place, so that counts and rows speak of the same ranges
+    ranges = _cut(keys.repartitionByRange("first_seen", "key").withColumn("range", F.spark_partition_id()))
+    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    ahead = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("ahead"))
+    number = F.col("ahead") + F.row_number().over(Window.partitionBy("range").orderBy("first_seen", "key"))
+    named = ranges.join(ahead, "range").select("key", F.format_string("AST-%04d", number).alias("asset_id"))
     out = assets.select("mac", F.lit(None).cast("string").alias("ip"), F.col("root").alias("key"))
     if fallback is not None:
         out = out.unionByName(fallback.select(F.lit(None).cast("string").alias("mac"), "ip", F.col("ip").alias("key")))
