@@ -20,6 +20,7 @@ its own under a prefix.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,12 @@ from wirelake.llm.common import column_or_null, text_of
 LEVELS = ("domain", "lang", "source")
 
 
+def domain_of(source: Column) -> Column:
+    """The sources' domains: by the number in a source's name; a source without a number is a reference."""
+    number = F.regexp_extract(source, "[0-9]+$", 0).try_cast("int")
+    return F.when(number < 8, "web").when(number < 13, "forum").when(number < 17, "news").otherwise("reference")
+
+
 @dataclass(frozen=True)
 class Mixture:
     """Weights by level: of a domain, of a language in any domain, of a source; other names weigh ``other``."""
@@ -44,17 +51,13 @@ class Mixture:
     #: Times that a leaf's documents may be taken.
     epochs: int = 2
     seed: str = "mix-1"
+    #: The domain of a source, as a column expression.
+    domain: Callable[[Column], Column] = domain_of
 
 
 DEFAULT = Mixture()
 
 
-def domain_of(source: Column) -> Column:
-    """The sources' domains: by the number in a source's name; a source without a number is a reference."""
-    number = F.regexp_extract(source, "[0-9]+$", 0).try_cast("int")
-    return F.when(number < 8, "web").when(number < 13, "forum").when(number < 17, "news").otherwise("reference")
-
-
 def tokens(text: Column) -> Column:
     """Words between white space, as a count of tokens."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
@@ -106,7 +109,7 @@ def budgets(leaves: DataFrame, mixture: Mixture = DEFAULT) -> DataFrame:
 def copies(documents: DataFrame, mixture: Mixture = DEFAULT) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and n_copies of every document (rows of one id and leaf as one)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), column_or_null(documents, "lang", "string").alias("lang"), column_or_null(documents, "source", "string").alias("source"), tokens(text_of()).alias("n"))
-    rows = rows.groupBy("doc_id", "lang", "source").agg(F.sum("n").alias("n_tokens")).withColumn("domain", domain_of(F.col("source")))
+    rows = rows.groupBy("doc_id", "lang", "source").agg(F.sum("n").alias("n_tokens")).withColumn("domain", mixture.domain(F.col("source")))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("rows"))
     given = budgets(leaves, mixture)
     most = leaves.agg(F.max("rows")).first()[0] or 0
