@@ -4,6 +4,11 @@ sources are mixed to their weights, and the rest is tokenised and packed.
 Each stage gets the documents that its predecessor kept, written and read again, and returns the columns of
 documents; the last returns the packed pieces. SQL cannot express the stages (a trained classifier, the
 tokenizer), so ORACLE_SQL is None; tests hold each stage against a plain version.
+
+Defined cases, by stage as the operators' own docstrings say: a null or empty text is scored as one without words, has no lines, is linked
+with nothing and has no tokens, and is packed as the closing id alone; null ids take part; repeated rows go through
+toxicity and line dedup as they are and leave one of each group behind; an empty table gives no pieces; further
+columns of documents stay up to packing. Where a leaf is seen twice in mixing, its documents are packed twice.
 """
 
 from __future__ import annotations
