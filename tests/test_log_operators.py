@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wirelake import fixtures, refdata
-from wirelake.operators import assets, detections, hunts, identity, matching, network, normalize
+from wirelake.operators import assets, detections, hunts, identity, logs, matching, network, normalize
 from wirelake.sources import files
 
 
@@ -122,6 +122,34 @@ def test_lake_round_trip(spark, sf, tmp_path):
     assert files.schema_catalog(spark, lake).filter("field = 'orig_bytes'").first()["type"] == "bigint"
 
 
+def test_one_folder_a_type(spark, sf, tmp_path):
+    fixtures.table(spark, sf, "dns").limit(20).write.parquet(str(tmp_path / "dns"))
+    (tmp_path / "http").mkdir()
+    lake = files.open_lake(spark, str(tmp_path), views=False)
+    assert list(lake) == ["dns"] and lake["dns"].count() == 20
+
+
+def test_compact_hours(spark, sf, tmp_path):
+    conn = fixtures.table(spark, sf, "conn").withColumn("log_type", F.lit("conn")).withColumn("ingest_time", F.col("event_time")).withColumn("ftx_id", F.col("flow_id"))
+    base, to, before = str(tmp_path / "lake"), str(tmp_path / "compact"), 1704412800000
+    for part in conn.randomSplit([1.0, 1.0, 1.0], seed=1):
+        files.write_lake(part.filter(F.col("event_time") < before + 7_200_000), base)
+    for _ in range(2):  # the second run replaces the first
+        files.compact_hours(spark, base, to, before)
+    rows = files.open_lake(spark, to, views=False)["conn"]
+    assert sorted(r[0] for r in rows.select("flow_id").collect()) == sorted(r[0] for r in conn.filter(F.col("event_time") < before).select("flow_id").collect())
+    assert rows.select("day", "hour", F.input_file_name().alias("file")).groupBy("day", "hour").agg(F.count_distinct("file").alias("files")).filter("files > 1").isEmpty()
+
+
+def test_bundle_is_written_by_window_and_source(spark, sf, tmp_path):
+    lake = fixtures.lake(spark, sf, "conn", "dns")
+    bundle = logs.lake_bundle(lake, ("24h", "all"), fixtures.NOW_MS)
+    logs.write_bundle(bundle, str(tmp_path / "bundle"))
+    back = spark.read.parquet(str(tmp_path / "bundle")).select(bundle.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, bundle.collect()))
+    assert back.filter("window = 'all' AND log_type = 'dns' AND widget = 'hour'").agg(F.sum("n")).first()[0] == lake["dns"].count()
+
+
 def test_reference_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text("# head\n\n a , b,c, d \nx,y,z\n")
     assert sorted(tuple(r) for r in files.load_reference_csv(spark, str(tmp_path / "x.csv"), ["p", "q", "r"]).collect()) == [("a", "b", "c, d"), ("x", "y", "z")]

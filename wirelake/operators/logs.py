@@ -156,3 +156,46 @@ def analytics_bundle(conn: DataFrame, n: int = 10) -> DataFrame:
     """, rows=rows)
     rank = F.row_number().over(Window.partitionBy("widget").orderBy(F.desc("n"), "value"))
     return sets.filter(F.col("value").isNotNull()).withColumn("rank", rank).filter((F.col("rank") <= n) | F.col("widget").isin("hour", "day")).drop("rank")
+
+
+#: The top lists of each source's dashboard and the values that they leave out.
+LISTS: dict[str, dict[str, tuple[str, ...]]] = {
+    "conn": {"protocol": (), "src_ip": (), "dst_ip": ()},
+    "dns": {"query": ("", "-")},
+    "http": {"host": ("", "-"), "status_code": ()},
+}
+
+
+def lake_bundle(lake: dict[str, DataFrame], windows: tuple[str, ...], now_ms: int, n: int = 10) -> DataFrame:
+    """All top lists and trends of every source and window: (log_type, window, widget, value, n).
+
+    Each table is read once. An event is counted for the narrowest window it lies in; as the windows lie within
+    one another, a wider one adds up the counts of those inside it. As in in_window, small times are seconds.
+    """
+    lengths = sorted(((window_ms(w), w) for w in windows), key=lambda x: (x[0] is None, x[0] or 0))
+    time = F.when(F.col("event_time") <= 1_000_000_000_000, F.col("event_time") * 1000).otherwise(F.col("event_time"))
+    age = F.lit(now_ms) - time
+    narrowest = F.coalesce(*(F.when(age <= length if length is not None else F.lit(True), i) for i, (length, _) in enumerate(lengths)))
+    inside = F.array(*(F.lit(w) for _, w in lengths))
+    parts = []
+    for name, df in lake.items():
+        values = {}
+        for column, skip in LISTS.get(name, {}).items():
+            value = F.coalesce(F.col(column), F.lit("unknown")) if column == "protocol" else F.col(column).cast("string")
+            values[column] = F.when(~value.isin(*skip), value) if skip else value
+        values |= {"hour": S.hour_of(time).cast("string"), "day": S.day_of(time).cast("string")}
+        rows = in_window(df, lengths[-1][1], now_ms).select(narrowest.alias("narrowest"), *(v.alias(c) for c, v in values.items()))
+        sets = rows.groupingSets([["narrowest", F.col(c)] for c in values], "narrowest", *values).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"))
+        # the bit of the one value that a set groups by is 0
+        every = (1 << len(values)) - 1
+        widget = F.coalesce(*(F.when(F.col("_set") == every - (1 << (len(values) - 1 - i)), c) for i, c in enumerate(values)))
+        parts.append(sets.select(F.lit(name).alias("log_type"), "narrowest", widget.alias("widget"), F.coalesce(*values).alias("value"), "n").filter(F.col("value").isNotNull()))
+    counts = _union(parts).withColumn("window", F.explode(F.slice(inside, F.col("narrowest") + 1, len(lengths))))
+    counts = counts.groupBy("log_type", "window", "widget", "value").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("log_type", "window", "widget").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("rank", rank).filter((F.col("rank") <= n) | F.col("widget").isin("hour", "day")).drop("rank")
+
+
+def write_bundle(bundle: DataFrame, path: str) -> None:
+    """The bundle as Parquet by window and log type, for dashboards that read one of them."""
+    bundle.repartition("window", "log_type").sortWithinPartitions("widget", F.desc("n"), "value").write.mode("overwrite").partitionBy("window", "log_type").parquet(path)

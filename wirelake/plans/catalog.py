@@ -72,6 +72,27 @@ SELECT flow_id, event_time, src_ip, dst_ip, CAST(src_port AS INTEGER) AS src_por
 FROM (SELECT *, TIMESTAMP '1970-01-01' + to_milliseconds(event_time) AS t FROM conn WHERE src_port % 10 < 8)""")
 
 
+def _typed(log_type: str, fields: dict[str, str], shown: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """A table's rows as raw messages of its type, nested and flat ones by turns, and parsed again."""
+
+    def build(rows: DataFrame) -> DataFrame:
+        text = F.to_json(F.struct((F.col("event_time") / 1000).alias("ts"), *(F.expr(e).alias(f) for f, e in fields.items())))
+        flat = F.concat(F.lit(f'{{"_path":"{log_type}",'), F.substring(text, F.lit(2), F.length(text)))
+        value = F.when(F.col("event_time") % 2000 == 0, F.concat(F.lit(f'{{"{log_type}":'), text, F.lit("}"))).otherwise(flat)
+        good, _ = normalize.split_dead_letters(normalize.parse_envelope(files.spread(rows).select(value.alias("value")), log_type=log_type))
+        return normalize.project_table(good, log_type).select("flow_id", "event_time", *shown, "event_hour", "event_day", "direction", "service")
+
+    return build
+
+
+_WHEN = f"{HOUR} AS event_hour, CAST(day(TIMESTAMP '1970-01-01' + to_milliseconds(event_time)) AS INTEGER) AS event_day"
+_ENDS = {"uid": "flow_id", "id.orig_h": "src_ip", "id.resp_h": "dst_ip"}
+add("normalize_dns", "dns", _typed("dns", {**_ENDS, "id.resp_p": "53", "proto": "protocol", "query": "query", "qtype_name": "qtype_name", "rcode_name": "rcode_name", "answers": "array(query, 'x')", "AA": "query = '-'"}, ["src_ip", "dst_ip", "id_resp_p", "protocol", "query", "qtype_name", "rcode_name", "answers", "AA"]), f"""SELECT flow_id, event_time, src_ip, dst_ip, CAST(53 AS INTEGER) AS id_resp_p, protocol, query, qtype_name, rcode_name, '["' || query || '","x"]' AS answers, query = '-' AS "AA", {_WHEN}, {DIRECTION} AS direction, protocol AS service FROM dns""")
+add("normalize_http", "http", _typed("http", {**_ENDS, "id.resp_p": "dst_port", "method": "method", "host": "host", "uri": "uri", "user_agent": "user_agent", "status_code": "status_code", "password": "password"}, ["src_ip", "dst_ip", "dst_port", "method", "host", "uri", "user_agent", "status_code", "password"]), f"""SELECT flow_id, event_time, src_ip, dst_ip, CAST(dst_port AS INTEGER) AS dst_port, method, host, uri, user_agent, CAST(status_code AS INTEGER) AS status_code, password, {_WHEN}, {DIRECTION} AS direction, {SERVICE} AS service FROM http""")
+add("normalize_ssl", "ssl", _typed("ssl", {**_ENDS, "id.resp_p": "dst_port", "ja3": "ja3"}, ["src_ip", "dst_ip", "dst_port", "ja3"]), f"""SELECT flow_id, event_time, src_ip, dst_ip, CAST(dst_port AS INTEGER) AS dst_port, ja3, {_WHEN}, {DIRECTION} AS direction, {SERVICE} AS service FROM ssl""")
+add("normalize_dhcp", "dhcp", _typed("dhcp", {"uid": "flow_id", "mac": "mac", "assigned_addr": "assigned_addr", "host_name": "host_name", "lease_time": "CAST(lease_time AS int)"}, ["mac", "assigned_addr", "host_name", "lease_time"]), f"""SELECT flow_id, event_time, mac, assigned_addr, host_name, CAST(lease_time AS INTEGER) AS lease_time, {_WHEN}, '' AS direction, '' AS service FROM dhcp""")
+
+
 def _letters(conn: DataFrame) -> DataFrame:
     _, bad = normalize.split_dead_letters(normalize.parse_envelope(_messages(conn)))
     return bad.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
@@ -158,6 +179,17 @@ add("overview", "alerts " + LAKE, lambda a, *f: logs.overview(a, _lake(*f)), f"S
 _WIDGETS = " UNION ALL ".join(f"SELECT '{w}' AS widget, CAST({e} AS STRING) AS value, count(*) AS n FROM conn WHERE {e} IS NOT NULL GROUP BY 2" for w, e in (("protocol", "coalesce(protocol,'unknown')"), ("src_ip", "src_ip"), ("dst_ip", "dst_ip"), ("hour", HOUR), ("day", DAY)))
 add("analytics_bundle", "conn", logs.analytics_bundle, f"SELECT widget, value, n FROM (SELECT *, row_number() OVER (PARTITION BY widget ORDER BY n DESC, value) AS r FROM ({_WIDGETS})) WHERE r <= 10 OR widget IN ('hour', 'day')")
 
+#: Per source: its widgets and the SQL of their values.
+_LISTS = {
+    "conn": {"protocol": "coalesce(protocol, 'unknown')", "src_ip": "src_ip", "dst_ip": "dst_ip"},
+    "dns": {"query": "CASE WHEN query NOT IN ('', '-') THEN query END"},
+    "http": {"host": "CASE WHEN host NOT IN ('', '-') THEN host END", "status_code": "status_code"},
+    "ssl": {},
+}
+_SPANS = {"24h": 86400000, "7d": 604800000, "30d": 2592000000, "all": NOW_MS}
+_BUNDLE = " UNION ALL ".join(f"SELECT '{t}' AS log_type, '{w}' AS \"window\", '{c}' AS widget, CAST({e} AS STRING) AS value, CAST(count(*) AS BIGINT) AS n FROM {t} WHERE event_time >= {NOW_MS - ms} AND {e} IS NOT NULL GROUP BY 4" for t, lists in _LISTS.items() for w, ms in _SPANS.items() for c, e in (lists | {"hour": HOUR, "day": DAY}).items())
+add("lake_bundle", "conn dns http ssl", lambda *f: logs.lake_bundle(lake_of("conn dns http ssl")(*f), tuple(_SPANS), NOW_MS), f"SELECT log_type, \"window\", widget, value, n FROM (SELECT *, row_number() OVER (PARTITION BY log_type, \"window\", widget ORDER BY n DESC, value) AS r FROM ({_BUNDLE})) WHERE r <= 10 OR widget IN ('hour', 'day')")
+
 # --- network analytics -------------------------------------------------------------------------------
 
 add("network_kpis", "conn", network.network_kpis, f"SELECT count(*) AS total_flows, {SUM.format(B)} AS total_bytes, count(DISTINCT src_ip || '->' || dst_ip) AS unique_pairs, count(*) FILTER ({EXTERNAL}) AS external_flows, count(*) FILTER (lower(coalesce(protocol,'')) IN ('ssl','tls')) AS encrypted_flows, round(100.0 * count(*) FILTER (lower(coalesce(protocol,'')) IN ('ssl','tls')) / count(*), 1) AS encrypted_pct FROM conn")

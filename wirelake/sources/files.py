@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +13,14 @@ from wirelake import schemas
 from wirelake.functions import scalars as S
 
 
-def read_kafka_raw(spark: SparkSession, brokers: str, topic: str, streaming: bool = True) -> DataFrame:
-    """A topic's messages as value text, from the earliest offset. Needs Spark's Kafka connector."""
+def read_kafka_raw(spark: SparkSession, brokers: str, topic: str, streaming: bool = True, most: int | None = None) -> DataFrame:
+    """A topic's messages as value text, from the earliest offset. Needs Spark's Kafka connector.
+
+    most: messages that a stream takes at once, so that the first batch over a full topic stays bounded.
+    """
     reader = spark.readStream if streaming else spark.read
+    if streaming and most:
+        reader = reader.option("maxOffsetsPerTrigger", most)
     rows = reader.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic).option("startingOffsets", "earliest").load()
     return rows.select(F.col("value").cast("string").alias("value"))
 
@@ -57,26 +63,46 @@ def read_packet_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_lake(spark: SparkSession, base: str, types: tuple[str, ...] = schemas.LOG_TYPES, views: bool = True) -> dict[str, DataFrame]:
-    """One table per log type that has files under base; with views also as temporary views."""
+    """One table per log type that has files under base, in log_type=<type> or <type>; with views also as temporary views."""
     found = {}
-    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     for name in types:
-        at = f"{base.rstrip('/')}/log_type={name}"
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at)):
-            found[name] = spark.read.option("basePath", base).parquet(at).drop("log_type")
+        for folder in (f"log_type={name}", name):
+            try:
+                rows = spark.read.option("basePath", base).parquet(f"{base.rstrip('/')}/{folder}")
+            except AnalysisException as e:
+                # no such folder, or none with files
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+                continue
+            found[name] = rows.drop("log_type")
             if views:
                 found[name].createOrReplaceTempView(name)
+            break
     return found
 
 
 def write_lake(df: DataFrame, base: str, by: str = "ingest_time", files_per_hour: int = 1, mode: str = "append") -> None:
-    """Parquet by log_type, year, month, day, hour of the given time; so many files an hour and type."""
+    """Parquet by log_type, year, month, day, hour of the given time; so many files an hour and type.
+
+    mode overwrite replaces the hours that df has rows of, and leaves the others.
+    """
     ts = F.timestamp_millis(by)
     rows = df.withColumns({"year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM"), "day": F.date_format(ts, "dd"), "hour": F.date_format(ts, "HH")})
     keys = ["log_type", "year", "month", "day", "hour"]
     salt = [F.pmod(F.xxhash64("ftx_id"), F.lit(files_per_hour))] if files_per_hour > 1 else []
-    rows.repartition(*keys, *salt).write.mode(mode).partitionBy(*keys).parquet(base)
+    rows.repartition(*keys, *salt).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(base)
+
+
+def compact_hours(spark: SparkSession, base: str, to: str, before_ms: int, since_ms: int = 0, files_per_hour: int = 1) -> None:
+    """The hours of a lake that a stream wrote in many small files, as few large ones in the lake at to.
+
+    Takes the hours of ingest_time that begin at since_ms or later and end by before_ms; the scan reads those
+    alone. A run that is repeated replaces the hours it wrote before. The stream's own files stay as they are.
+    """
+    hour = F.make_timestamp(*(F.col(c).cast("int") for c in ("year", "month", "day", "hour")), F.lit(0), F.lit(0))
+    for name, rows in open_lake(spark, base, views=False).items():
+        past = rows.filter((F.unix_millis(hour) >= since_ms) & (F.unix_millis(hour) + 3_600_000 <= before_ms))
+        write_lake(past.withColumn("log_type", F.lit(name)), to, files_per_hour=files_per_hour, mode="overwrite")
 
 
 def table_counts(lake: dict[str, DataFrame]) -> DataFrame:

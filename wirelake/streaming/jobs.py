@@ -31,7 +31,7 @@ def stream_normalize(messages: DataFrame, value: str = "value") -> tuple[DataFra
 
 
 def stream_to_lake(rows: DataFrame, base: str, checkpoint: str, available_now: bool = False):
-    """Append to the partitioned lake every few seconds; compact hours once they are past.
+    """Append to the partitioned lake every few seconds; files.compact_hours makes few files of the hours that are past.
 
     rows: with log_type and ingest_time in ms.
     """
