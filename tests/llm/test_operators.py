@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -252,7 +253,7 @@ def test_passages_inside_lines_go(spark):
     assert found == dict(zip([d for d, _ in rows], templates_by_hand(rows)))
     assert not any(s in t for s in passage for t in found.values())
     assert all(found[d] == t for d, t in rows if d % 5 or d >= 100)
-    many = linetemplates._cleaned(frame, 3, most=0).select("doc_id", "text")  # by a join, as where many recur
+    many = linetemplates._cleaned(frame, 3, most=0)[0].select("doc_id", "text")  # by a join, as where many recur
     assert {r["doc_id"]: r["text"] for r in many.collect()} == found
 
 
@@ -265,6 +266,18 @@ def test_parts_join_to_the_text(spark, docs):
     assert all("".join(r["parts"]) == r["text"] and r["parts"] == r["by_pattern"] == linetemplates._cut(r["text"]) for r in found)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as the operators' own names come back with their values, also from the other way of each."""
+    names = ["_parts", "_dropped", "_drop_id", "_Drop", "_all", "_kept", "_mix_id", "_mix_lang", "_mix_source", "_mix_copies", "_jaccard_key", "_key_id", "_key_shared", "low", "high", "chars", "row"]
+    rows = [(d, f"{SAME} number {d} of words {' '.join(f'q{d}z{i}' for i in range(40))}", "en", "src1", *(70 + d + k for k in range(len(names)))) for d in range(4)]
+    rows.append((3, "another text of the same id", "en", "src1", *rows[3][4:]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    whole = sorted(map(tuple, frame.collect()))
+    joined, *_ = linetemplates._cleaned(frame, 3, most=0)
+    for out in (linetemplates.drop_recurring(frame, 100), joined.select(*frame.columns), jaccard.one_of_each(frame), mixing.mix(frame, mixing.Mixture(share=1, of=1, epochs=1))):
+        assert out.columns == frame.columns and sorted(map(tuple, out.collect())) == whole
+
+
 def test_templates_odd(odd, empty):
     out = linetemplates.drop_recurring(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)
@@ -365,11 +378,17 @@ def test_word_rows():
 # --- personal data and secrets -----------------------------------------------------------------------
 
 
+def plain_luhn(digits):
+    doubled = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(digits[::-1])]
+    return sum(doubled) % 10 == 0
+
+
 def plain_pii(text):
-    found = [("email", *m.span()) for m in pii.EMAIL.finditer(text)]
-    found += [("ip", *m.span()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
-    found += [("card", *m.span()) for m in pii.CARD.finditer(text) if 16 <= len(re.sub(r"\D", "", m.group())) <= 19 and pii.luhn(re.sub(r"\D", "", m.group()))]
-    found += [("phone", *m.span()) for m in pii.PHONE.finditer(text) if 8 <= len(re.sub(r"\D", "", m.group())) <= 15]
+    digits = lambda m: re.sub(r"[^0-9]", "", m.group())
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    found += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and plain_luhn(digits(m))]
+    found += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
     return found
 
 
@@ -440,7 +459,8 @@ def test_field_gradient():
 
 
 def plain_secrets(text):
-    found = [("assign", *m.span()) for m in secrets.ASSIGN.finditer(text) if len(m.group(2)) >= 12]
+    names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    found = [("assign", *m.span()) for m in re.finditer(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m.group(2)) >= 12]
     found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 18]
     return found + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 16]
 
@@ -537,6 +557,32 @@ def test_long_texts_take_linear_time():
     assert sum(s["kind"] == "literal" for s in secrets.all_spans(text)) == 10_000
 
 
+def seconds(f, text):
+    began = time.process_time()
+    f(text)
+    return time.process_time() - began
+
+
+def test_unbroken_runs_take_linear_time():
+    """Runs of digits, of points and digits, of escaped quotes, a million characters each."""
+    field = pii.Field()
+    for text in ("1" * 1_000_000 + ".1.1.x", "1.1 " * 250_000, "9" * 300_000 + "." + "9" * 300_000 + ".", "+1" * 300_000, "a@" * 300_000):
+        assert seconds(pii.base_spans, text) < 20
+    assert seconds(lambda t: pii.all_spans(t, field), "1" * 300_000 + ".1.1.x") < 30
+    for text in ('k = "' + '\\"' * 300_000, "k = '" + "\\'" * 300_000 + "\n", "k = " + "\"'" * 200_000 + '"' + "\\\\" * 100_000):
+        assert seconds(secrets.all_spans, text) < 20
+
+
+def test_lexer_equals_its_pattern():
+    """The tokens against one pattern with strings in it."""
+    string = r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|"""
+    plain = re.compile(string + secrets._LEX.pattern.replace("quote", "other0"))
+    rng = random.Random(30)
+    for _ in range(20_000):
+        text = "".join(rng.choice(['"', "'", "\\", "\n", "a", " ", "=", "--k", ":", "é"]) for _ in range(rng.randrange(16)))
+        assert list(secrets.tokens(text)) == [(m.lastgroup.rstrip("0"), *m.span()) for m in plain.finditer(text)]
+
+
 def test_scans_odd(odd, empty):
     for scan in (lambda d: pii.find_personal_data(d, pii.fit(d)), secrets.find_secrets):
         found = scan(odd).collect()

@@ -68,6 +68,17 @@ def light(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as set it apart from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A null text counts as the empty one."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import batch_of, bounded_batches, few, light, text_of, written
+from wirelake.llm.common import batch_of, bounded_batches, few, fresh, light, text_of, written
 
 WORDS = 5
 #: Documents link from this similarity on, in percent; the bands' growth of 5/4 goes with it.
@@ -58,8 +58,6 @@ GROUP = 48
 FIRST_RUNS = 128
 #: Bits of the parity map: 64 for each of its columns.
 MAP_WORDS = 8
-#: The column of every row's key.
-KEY = "_jaccard_key"
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -298,31 +296,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def keyed(documents: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
-    """(the documents with every row's key, keys and doc_ids where some key is no doc_id, characters in all).
+def keyed(documents: DataFrame) -> tuple[DataFrame, str, DataFrame | None, int]:
+    """(documents with every row's key, its column, keys and doc_ids where some key is no doc_id, characters in all).
 
     Rows of equal doc_id and text share a key.
     """
+    key, key_id, key_shared = fresh(documents, "_jaccard_key", "_key_id", "_key_shared")
     own, mark = F.col("doc_id").cast("long"), F.xxhash64(text_of())
     by_id = documents.groupBy(own.alias("_id")).agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.sum(F.char_length(text_of()) + ROW_CHARS).alias("chars"))
     shared = F.col("_id").isNull() | (F.col("low") != F.col("high"))
     chars, n_shared = by_id.agg(F.sum("chars"), F.count_if(shared)).first()
     if not n_shared:
-        return documents.withColumn(KEY, own), None, chars or 0
-    several = few(by_id.filter(shared).select(F.col("_id").alias("_key_id"), F.lit(True).alias("_key_shared")), "shared")
-    rows = documents.join(several, own.eqNullSafe(F.col("_key_id")), "left")
+        return documents.withColumn(key, own), key, None, chars or 0
+    several = few(by_id.filter(shared).select(F.col("_id").alias(key_id), F.lit(True).alias(key_shared)), "shared")
+    rows = documents.join(several, own.eqNullSafe(F.col(key_id)), "left")
     for seed in range(64):
-        numbered = rows.withColumn(KEY, F.when(F.col("_key_shared"), F.xxhash64(F.lit(seed), own, mark)).otherwise(own)).drop("_key_id", "_key_shared")
-        texts = numbered.groupBy(KEY).agg(F.min(F.struct(own, mark)).alias("low"), F.max(F.struct(own, mark)).alias("high"))
+        numbered = rows.withColumn(key, F.when(F.col(key_shared), F.xxhash64(F.lit(seed), own, mark)).otherwise(own)).drop(key_id, key_shared)
+        texts = numbered.groupBy(key).agg(F.min(F.struct(own, mark)).alias("low"), F.max(F.struct(own, mark)).alias("high"))
         if texts.filter(~F.col("low").eqNullSafe(F.col("high"))).isEmpty():
-            return numbered, written(numbered.select(F.col(KEY).alias("id"), own.alias("doc_id")).distinct(), "names"), chars
+            return numbered, key, written(numbered.select(F.col(key).alias("id"), own.alias("doc_id")).distinct(), "names"), chars
     raise ValueError("no seed gives every row a key of its own")
 
 
 def join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    rows, names, chars = keyed(documents)
-    found = _join(rows.select(F.col(KEY).alias("id"), text_of().alias("text")), chars)
+    rows, key, names, chars = keyed(documents)
+    found = _join(rows.select(F.col(key).alias("id"), text_of().alias("text")), chars)
     if names is None:
         return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
     named = written(found.join(names, "id"), "named")
@@ -388,18 +387,18 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     Documents without words stay, each. Of rows of equal doc_id and text one stays; of a component that knows
     no doc_id one row.
     """
-    rows, names, chars = keyed(documents)
-    found = _join(rows.select(F.col(KEY).alias("id"), text_of().alias("text")), chars)
+    rows, key, names, chars = keyed(documents)
+    found = _join(rows.select(F.col(key).alias("id"), text_of().alias("text")), chars)
     place = found
     if names is not None:
         place = written(found.distinct().join(names, "id"), "place")
         first = place.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("id")))["id"].alias("_first")).select("_first")
         place = place.drop("component").join(first, F.col("id") == F.col("_first"), "left").withColumnRenamed("_first", "component")
-    chosen = place.filter((F.col("id") == F.col("component")) | (F.col("n_shingles") == 0)).select(F.col("id").alias(KEY)).distinct()
-    kept = rows.join(chosen, KEY, "left_semi")
+    chosen = place.filter((F.col("id") == F.col("component")) | (F.col("n_shingles") == 0)).select(F.col("id").alias(key)).distinct()
+    kept = rows.join(chosen, key, "left_semi")
     if not found.filter("n_shingles > 0").groupBy("id").count().filter("count > 1").isEmpty():  # repeated rows
         row = F.struct(*documents.columns)
         words = text_of().rlike(r"[^\x20\x09-\x0D]")
-        one = kept.filter(words).groupBy(KEY).agg(F.min(F.struct(F.xxhash64(F.to_json(row)), row))["col2"].alias("row")).select("row.*")
+        one = kept.filter(words).groupBy(key).agg(F.min(F.struct(F.xxhash64(F.to_json(row)), row))["col2"].alias("row")).select("row.*")
         return one.unionByName(kept.filter(~words).select(*documents.columns))
     return kept.select(*documents.columns)

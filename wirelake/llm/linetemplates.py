@@ -21,7 +21,7 @@ where these stand, as a broadcast set, if they are counted to be few; else they
 
 Defined cases: a null text has no parts and stays null; empty texts and blank lines stay; repeated rows count
 once for each row; rows with null ids take part; texts of any length are cut by one pass; an empty table gives no
-rows; further columns stay as they are.
+rows; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirelake.llm.common import MOST_BROADCAST, bounded_batches, few, text_of, written
+from wirelake.llm.common import MOST_BROADCAST, bounded_batches, few, fresh, text_of, written
 
 LEADING = 3
 MIN_TOKENS = 4
@@ -150,7 +150,7 @@ def _goes(part: str, gone: frozenset[int]) -> bool:
     return xxhash.xxh64_intdigest(part.encode("utf-8", "replace"), 42) in gone
 
 
-def _in_place(documents: DataFrame, gone: frozenset[int]) -> DataFrame:
+def _in_place(documents: DataFrame, gone: frozenset[int], counts: list[str]) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(gone)
     bounded_batches(documents.sparkSession)
     at = documents.columns.index("text")
@@ -165,42 +165,44 @@ def _in_place(documents: DataFrame, gone: frozenset[int]) -> DataFrame:
                 texts.append(text if len(kept) == len(parts) else "".join(kept))
                 sizes.append(len(parts))
                 drops.append(len(parts) - len(kept))
-            names = [*batch.schema.names, "_parts", "_dropped"]
+            names = [*batch.schema.names, *counts]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int32()), pa.array(drops, pa.int32())], names=names)
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("_parts", T.IntegerType()), T.StructField("_dropped", T.IntegerType())])
+    schema = T.StructType([*documents.schema.fields, *(T.StructField(c, T.IntegerType()) for c in counts)])
     return documents.mapInArrow(task, schema)
 
 
-def _joined(documents: DataFrame, lines: DataFrame, gone: DataFrame) -> DataFrame:
-    drops = lines.join(gone, "line_hash", "left_semi").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_hash").alias("_drop"))
-    rows = documents.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")), "left").withColumn("_all", parts_of(text_of()))
-    kept = F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(masked(x)))))
-    rows = rows.withColumn("_kept", kept).withColumn("_parts", F.size("_all")).withColumn("_dropped", F.size("_all") - F.size("_kept"))
-    text = F.when(F.col("_dropped") == 0, F.col("text")).otherwise(F.array_join("_kept", ""))
-    return rows.withColumn("text", text).select(*documents.columns, "_parts", "_dropped")
+def _joined(documents: DataFrame, lines: DataFrame, gone: DataFrame, counts: list[str]) -> DataFrame:
+    drop_id, drop, whole, rest = fresh(documents, "_drop_id", "_drop", "_all", "_kept")
+    drops = lines.join(gone, "line_hash", "left_semi").groupBy(F.col("doc_id").alias(drop_id)).agg(F.collect_set("line_hash").alias(drop))
+    rows = documents.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(drop_id)), "left").withColumn(whole, parts_of(text_of()))
+    kept = F.when(F.col(drop).isNull(), F.col(whole)).otherwise(F.filter(whole, lambda x: ~F.array_contains(F.col(drop), F.xxhash64(masked(x)))))
+    rows = rows.withColumn(rest, kept).withColumn(counts[0], F.size(whole)).withColumn(counts[1], F.size(whole) - F.size(rest))
+    text = F.when(F.col(counts[1]) == 0, F.col("text")).otherwise(F.array_join(rest, ""))
+    return rows.withColumn("text", text).select(*documents.columns, *counts)
 
 
-def _cleaned(documents: DataFrame, min_docs: int, most: int = MOST_BROADCAST) -> DataFrame:
-    """The documents without recurring parts in text, and _parts, _dropped: parts before, and dropped ones."""
+def _cleaned(documents: DataFrame, min_docs: int, most: int = MOST_BROADCAST) -> tuple[DataFrame, str, str]:
+    """The documents without recurring parts in text, and the names of two columns more: parts before, dropped ones."""
+    counts = fresh(documents, "_parts", "_dropped")
     parsed = part_table(documents)
     lines = written(parsed.select("doc_id", F.xxhash64(masked(F.col("part"))).alias("line_hash"), "leaf", F.char_length("part").alias("chars")), "lines")
     gone = written(recurring(lines, parsed, min_docs), "recurring")
     if gone.count() <= most:
-        return _in_place(documents, frozenset(r[0] % (1 << 64) for r in gone.toLocalIterator()))
-    return _joined(documents, lines, gone)
+        return _in_place(documents, frozenset(r[0] % (1 << 64) for r in gone.toLocalIterator()), counts), *counts
+    return _joined(documents, lines, gone, counts), *counts
 
 
 def report(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per document: n_lines (its parts), n_dropped, and size and digest of what is left."""
-    rows = _cleaned(documents.select("doc_id", "text"), min_docs)
-    return rows.select("doc_id", F.col("_parts").cast("long").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.char_length(text_of()).cast("long").alias("kept_chars"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
+    rows, parts, dropped = _cleaned(documents.select("doc_id", "text"), min_docs)
+    return rows.select("doc_id", F.col(parts).cast("long").alias("n_lines"), F.col(dropped).alias("n_dropped"), F.char_length(text_of()).cast("long").alias("kept_chars"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256"))
 
 
 def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with recurring parts taken out of text (n_chars, where there is one, follows)."""
-    rows = _cleaned(documents, min_docs)
+    rows, _, dropped = _cleaned(documents, min_docs)
     if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col(dropped) == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
     return rows.select(*documents.columns)

@@ -14,8 +14,7 @@ many tasks' work.
 Defined cases: a null or empty text has no tokens and is taken in every epoch its leaf gives in full, and in
 the last one if its place lies before the budget's end; nulls in lang or source are a leaf of their own;
 rows of one doc_id and leaf stand and fall together, null ids among them; ties of the hash go by doc_id;
-an empty table gives no rows; columns that clash with the tree's names are left alone, as the operator keeps
-its own under a prefix.
+an empty table gives no rows; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import column_or_null, text_of
+from wirelake.llm.common import column_or_null, fresh, text_of
 
 LEVELS = ("domain", "lang", "source")
 
@@ -135,6 +134,7 @@ def copies(documents: DataFrame, mixture: Mixture = DEFAULT) -> DataFrame:
 
 def mix(documents: DataFrame, mixture: Mixture = DEFAULT) -> DataFrame:
     """The documents' rows, each as often as the mixture takes it, in the documents' own columns."""
-    taken = copies(documents, mixture).filter("n_copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("lang").alias("_mix_lang"), F.col("source").alias("_mix_source"), F.col("n_copies").alias("_mix_copies"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & column_or_null(documents, "lang", "string").eqNullSafe(F.col("_mix_lang")) & column_or_null(documents, "source", "string").eqNullSafe(F.col("_mix_source"))
-    return documents.join(taken, same).withColumn("_mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies")))).select(*documents.columns)
+    key, lang, source, times = fresh(documents, "_mix_id", "_mix_lang", "_mix_source", "_mix_copies")
+    taken = copies(documents, mixture).filter("n_copies > 0").select(F.col("doc_id").alias(key), F.col("lang").alias(lang), F.col("source").alias(source), F.col("n_copies").alias(times))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & column_or_null(documents, "lang", "string").eqNullSafe(F.col(lang)) & column_or_null(documents, "source", "string").eqNullSafe(F.col(source))
+    return documents.join(taken, same).withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*documents.columns)

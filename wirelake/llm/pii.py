@@ -44,6 +44,8 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The matches of IP, tried only where a run of digits begins (a later digit of it leads no further) and never given back.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9]+|@|\((?:at|dot)\)|\[(?:at|dot)\]|(?<=\s)dot(?=\s)")
@@ -77,7 +79,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return found
     if text.count(".") >= 3:
-        found += [("ip", *m.span()) for m in IP.finditer(text) if all(_small(p) for p in m.group().split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(_small(p) for p in m.group().split("."))]
     for m in CARD.finditer(text):
         if 16 <= len(d := digits_of(m.group())) <= 19 and luhn(d):
             found.append(("card", *m.span()))

@@ -60,8 +60,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- lexing ------------------------------------------------------------------------------------------
 
 _LEX = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-    r"""|(?P<arrow>=>|:=|={2,3}|!=|<=|>=)|(?P<op>[=:+,;(){}\[\]<>])|(?P<dash>--[A-Za-z][\w-]*)"""
+    r"""(?P<quote>["'])|(?P<arrow>=>|:=|={2,3}|!=|<=|>=)|(?P<op>[=:+,;(){}\[\]<>])|(?P<dash>--[A-Za-z][\w-]*)"""
     r"""|(?P<word>[A-Za-z0-9_$/.@+~!%^&*-]+)|(?P<line>\n)|(?P<other>\S)"""
 )
 _ASSIGNS = ("=", ":", "=>", ":=")
@@ -69,12 +68,41 @@ _ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<\s]+)\s*</\1\s*
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
+#: What a string holds after its quote, up to the quote that closes it or the line end.
+_BODY = {q: re.compile(rf"[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+") for q in "\"'"}
+
+
+def tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """(sort, start, end) of all tokens; a quote that nothing closes is one by itself.
+
+    Where nothing closes a quote, nothing closes the same quotes after it up to there (each of them is escaped),
+    so a line is looked through once for each sort of quote.
+    """
+    open_to, at, more = {'"': 0, "'": 0}, 0, True
+    while more:
+        more = False
+        for m in _LEX.finditer(text, at):
+            start, end = m.span()
+            if m.lastgroup != "quote":
+                yield m.lastgroup, start, end
+                continue
+            quote = text[start]
+            if start >= open_to[quote]:
+                end = _BODY[quote].match(text, end).end()
+                if text.startswith(quote, end):
+                    yield "string", start, end + 1
+                    at, more = end + 1, True
+                    break
+                open_to[quote] = end
+            yield "other", start, start + 1
+
+
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """(name, its right side's strings and words as (sort, start, end)) in the order of the text."""
     before: tuple[str, int, int] | None = None
     name, parts, want = None, [], False
-    for m in _LEX.finditer(text):
-        sort, value = m.lastgroup, m.group()
+    for sort, start, end in tokens(text):
+        value = text[start:end]
         if sort == "dash":  # --name value
             if name and parts:
                 yield name, parts
@@ -91,7 +119,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
             before = None
             continue
         if sort in ("string", "word"):
-            token = (sort, m.start(), m.end())
+            token = (sort, start, end)
             if want:
                 parts.append(token)
                 want = False
