@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import ann, chat, fingerprint, jaccard, linetemplates, mixing, packing, pii, secrets, toxicity
-from wirelake.llm.common import read_table
+from wirelake.llm import ann, chat, fingerprint, jaccard, linetemplates, mixing, packing, pii, secrets, toxicity, turnrepair
+from wirelake.llm.common import read_table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -68,6 +68,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turnrepair.damaged(read_table(spark, sf_dir, "conversations"))
+    found = written(turnrepair.audits(rows), "audits")
+    digests = turnrepair.digests(turnrepair.repaired(rows, found)).select(F.col("conv_id").alias("repaired_id"), "repaired_sha256")
+    return found.join(digests, F.col("conv_id").eqNullSafe(F.col("repaired_id"))).drop("repaired_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -79,6 +86,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_fingerprint": op9_fingerprint,
     "op10_packing": op10_packing,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,6 +98,31 @@ def _weights(name: str, weights: dict) -> str:
     return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {_M.other} END" if weights else str(_M.other)
 
 
+#: A table crc(t) of one row: the 256 remainders.
+_CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII expression, where crc(t) is at hand."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def _step(state: str, cost: str, letter: str) -> str:
+    """A state (cost in eight digits, then the audit so far) after one more edit."""
+    return f"(lpad(({state}[1:8]::INT + {cost})::VARCHAR, 8, '0') || {state}[9:] || '{letter}')"
+
+
+#: The least audits that end without a turn (p), after s, u and a; a cost of 50 million: none.
+_NONE = "'50000000'"
+_INSERTED_U = f"least(u, {_step('p', '5', 'I')}, {_step('s', '5', 'I')}, {_step('a', '5', 'I')})"
+_TURN_COST = "CASE WHEN f = 't' THEN 5 ELSE 0 END"
+
+
+def _filled(want: str, state: str) -> str:
+    """A turn kept or given another role after a state."""
+    return f"CASE WHEN f IN ('b', 'd') THEN {_NONE} WHEN c = '{want}' THEN {_step(state, _TURN_COST, 'K')} ELSE {_step(state, f'1 + {_TURN_COST}', 'R')} END"
+
+
 def _shared(children: str, parent: str, name: str) -> str:
     """children (capacity, weight, total, and names) with budget: the parent's total shared among them."""
     order = f"PARTITION BY {parent} ORDER BY capacity / weight, {name} NULLS FIRST"
@@ -150,4 +183,24 @@ WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversat
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars,
  bool_and(before || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AND (NOT last OR role = 'assistant')) AS valid FROM t GROUP BY 1""",
+    "op13_structure_repair": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+ k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc),
+ d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE k WHEN 0 THEN []::INT[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+ r AS (SELECT conv_id, turn, i, role, text, CASE role WHEN '' THEN '?' ELSE role[1] END AS c,
+  CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN body[-1] IN ('.', '!', '?') THEN '-' ELSE 't' END AS f FROM o),
+ b AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM r) GROUP BY 1),
+ dp AS (SELECT conv_id, 0::BIGINT AS i, '00000000' AS p, {_NONE} AS s, {_NONE} AS u, {_NONE} AS a FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL SELECT conv_id, i + 1, {_step('p', '2', 'D')}, least({_step('s', '2', 'D')}, CASE WHEN c = 's' AND f IN ('-', 't') THEN {_step('p', _TURN_COST, 'K')} ELSE {_NONE} END),
+   least({_step('u', '2', 'D')}, {_filled('u', 'p')}, {_filled('u', 's')}, {_filled('u', 'a')}), least({_step('a', '2', 'D')}, {_filled('a', 'u')})
+   FROM (SELECT e.* EXCLUDE (a), least(e.a, {_step('e.u', '5', 'I')}) AS a, r.c, r.f FROM (SELECT conv_id, i, p, s, {_INSERTED_U} AS u, a FROM dp) e JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i + 1)),
+ best AS (SELECT conv_id, least(p, a, {_step('u', '5', 'I')}) AS state FROM dp JOIN b USING (conv_id) WHERE dp.i = b.n UNION ALL SELECT NULL, least(p, a, {_step('u', '5', 'I')}) FROM dp JOIN b ON dp.conv_id IS NULL AND b.conv_id IS NULL WHERE dp.i = b.n),
+ l AS (SELECT conv_id, unnest(string_split(state[9:], '')) AS letter, generate_subscripts(string_split(state[9:], ''), 1) AS nth FROM best),
+ m AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS place, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id) % 2 AS odd FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
+ g AS (SELECT m.conv_id, string_agg(CASE letter WHEN 'K' THEN r.role || ':' || r.text ELSE CASE (place - odd) % 2 WHEN 1 THEN 'user:' ELSE 'assistant:' END || CASE letter WHEN 'R' THEN r.text ELSE '' END END, chr(10) ORDER BY nth) AS body
+  FROM m LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.i = m.i WHERE letter <> 'D' GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(state[1:8]::BIGINT, 0) AS cost, coalesce(state[9:], '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
