@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import ann, chat, fingerprint, jaccard, linetemplates, mixing, packing, pii, secrets, toxicity, turnrepair
+from wirelake.llm import ann, chat, fingerprint, jaccard, langid, linetemplates, mixing, packing, pii, secrets, toxicity, turnrepair
 from wirelake.llm.common import read_table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +68,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.fit(documents))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turnrepair.damaged(read_table(spark, sf_dir, "conversations"))
     found = written(turnrepair.audits(rows), "audits")
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_fingerprint": op9_fingerprint,
     "op10_packing": op10_packing,
+    "op12_language": op12_language,
     "op13_structure_repair": op13_structure_repair,
 }
 
