@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
 import duckdb
 import pytest
 
-from wirelake.llm import queries, turnrepair
+from wirelake.llm import prefixtrie, queries, turnrepair
 
 KIND = "conv_id long, turn long, role string, text string, audit string, cost long, kind int, digest string, block int, depth int"
 LONG = "word " * 100_000 + "end."
@@ -43,6 +44,59 @@ def check_sql(spark, folder, name):
     assert sorted(map(str, map(tuple, found.select(*sorted(found.columns)).collect()))) == sorted(map(str, wanted.select(*(f'"{c}"' for c in sorted(wanted.columns))).fetchall()))
 
 
+# --- prefix trie -------------------------------------------------------------------------------------
+
+
+def plain_trie(conversations):
+    """conv_id, depth: (parent, members, children, leaves, savings, digest) of every node, by plain dictionaries."""
+    members, words = {}, {(): 0}
+    for conv, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(conv)
+            if d:
+                words[tuple(turns[:d])] = len(turns[d - 1][1].split())
+    name = {key: (min(m), len(key)) for key, m in members.items()}
+    below = {key: [] for key in members}
+    for key in members:
+        if key:
+            below[key[:-1]].append(key)
+    leaves, saved = {}, {}
+    for key in sorted(members, key=len, reverse=True):
+        leaves[key] = sum(leaves[k] for k in below[key]) or 1
+        saved[key] = sum(saved[k] for k in below[key]) + (len(members[key]) - 1) * words[key]
+    ended = {key: ",".join(map(str, sorted(c for c in m if len(conversations[c]) == len(key)))) for key, m in members.items()}
+    return {name[key]: (name[key[:-1]][0] if key else None, len(m), len(below[key]), leaves[key], saved[key], hashlib.sha256(ended[key].encode()).hexdigest()) for key, m in members.items()}
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges as small as a cluster's are many: none are merged."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_trie_equals_dictionaries(spark, many_ranges):
+    """Shared beginnings, one very long conversation, a node with many children; lists ranked on several levels."""
+    rng = random.Random(8)
+    conversations = {0: [], 1: [("user", f"w{i} of it") for i in range(300)]}
+    for c in range(2, 120):
+        other = conversations[rng.choice(sorted(conversations))]
+        conversations[c] = other[: rng.randrange(len(other) + 1)] + [("user", f"a b{rng.randrange(3)}") for _ in range(rng.randrange(4))]
+    conversations |= {c: [("assistant", f"own {c} words")] for c in range(200, 300)}
+    conversations |= {c: conversations[1] for c in range(300, 340)}
+    rows = [(c, d, role, text) for c, turns in conversations.items() for d, (role, text) in enumerate(turns, 1)] + [(c, 0, None, "") for c, turns in conversations.items() if not turns]
+    frame = spark.createDataFrame(rows, "conv_id long, depth int, role string, text string")
+    turns = frame.selectExpr("conv_id", "depth", "depth div 50 AS block", "xxhash64(role, text) AS a", "xxhash64(text, role) AS b", "CAST(regexp_count(text, '[^ ]+') AS LONG) AS words")
+    found = {tuple(r[:2]): tuple(r[2:]) for r in prefixtrie.trie(turns, most=12).collect()}
+    assert found == plain_trie(conversations)
+
+
+def test_trie_odd(spark, odd, many_ranges):
+    check_sql(spark, odd, "op11_prefix_trie")
+    assert queries.QUERIES["op11_prefix_trie"](spark, f"{odd}/none").count() == 0
+
+
 # --- structure repair --------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake.llm import ann, chat, fingerprint, jaccard, langid, linetemplates, mixing, packing, pii, secrets, toxicity, turnrepair
+from wirelake.llm import ann, chat, fingerprint, jaccard, langid, linetemplates, mixing, packing, pii, prefixtrie, secrets, toxicity, turnrepair
 from wirelake.llm.common import read_table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(prefixtrie.shared_first(read_table(spark, sf_dir, "conversations")))
+
+
 def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return langid.identify(documents, langid.fit(documents))
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_fingerprint": op9_fingerprint,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_language": op12_language,
     "op13_structure_repair": op13_structure_repair,
 }
@@ -189,6 +194,18 @@ WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversat
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars,
  bool_and(before || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AND (NOT last OR role = 'assistant')) AS valid FROM t GROUP BY 1""",
+    "op11_prefix_trie": rf"""
+WITH {_CRC_TABLE},
+ o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32('conv_id::VARCHAR')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o), crc),
+ r AS (SELECT c.conv_id, 0 AS own, place, role, text FROM c JOIN o ON o.conv_id = c.base AND place <= h UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND place > h),
+ t AS (SELECT conv_id, row_number() OVER w AS depth, text, list(md5(len(role) || ':' || role || text)) OVER w AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)),
+ m AS (SELECT conv_id, depth, key, len(regexp_extract_all(text, '{_WORD}')) AS words FROM t UNION ALL SELECT conv_id, 0, []::VARCHAR[], 0 FROM c),
+ e AS (SELECT conv_id, max(depth) AS last FROM m GROUP BY 1),
+ n AS (SELECT depth, key, min(m.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (depth = last) AS ended FROM m JOIN e USING (conv_id) GROUP BY 1, 2),
+ f AS (SELECT n.*, (SELECT count(*) FROM n k WHERE k.depth = n.depth + 1 AND k.key[1:n.depth] = n.key) AS n_children, p.conv_id AS parent_conv_id FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.key = n.key[1:n.depth - 1]),
+ s AS (SELECT f.depth, f.key, count(*) FILTER (d.n_children = 0) AS n_leaves, sum(d.saved)::BIGINT AS saved_tokens FROM f JOIN f d ON d.depth >= f.depth AND d.key[1:f.depth] = f.key GROUP BY 1, 2)
+SELECT conv_id, f.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ended, '')) AS ends_sha256 FROM f JOIN s ON s.depth = f.depth AND s.key = f.key""",
     "op13_structure_repair": rf"""
 WITH RECURSIVE {_CRC_TABLE},
  k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc),
