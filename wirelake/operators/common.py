@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Labels of time windows, in milliseconds; "all" has none.
@@ -31,6 +34,56 @@ def in_window(df: DataFrame, label: str, now_ms: int, column: str = "event_time"
     return df.filter((c >= low) | ((c <= 1_000_000_000_000) & (c >= low // 1000)))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a local session may go without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="wirelake-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, so that rounds pile up no lineage and a lost executor costs no earlier step."""
+    path = f"{shared_folder(df.sparkSession)}/wirelake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Blocks of time in which the rows of one entity are worked on, in milliseconds.
+BLOCK_MS = 3_600_000
+
+
+def in_blocks(df: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
+    """df with _block: the stretch of time that event_time lies in. An entity's rows are worked on block by block."""
+    return df.withColumn("_block", F.floor(F.col("event_time") / block_ms))
+
+
+def with_block_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of facts, which has one row for each block of the keys (nulls among them)."""
+    own = [*keys, "_block"]
+    named = facts.select(*(F.col(k).alias(f"_f{i}") for i, k in enumerate(own)), *(c for c in facts.columns if c not in own))
+    same = [F.col(k).eqNullSafe(F.col(f"_f{i}")) for i, k in enumerate(own)]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    return rows.join(named, condition).drop(*(f"_f{i}" for i in range(len(own))))
+
+
+def with_last_time(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """rows (with _block) with _last: the event_time of the row before, in the order of event_time and the columns given.
+
+    The row before a block's first one is the last of the block before, known from one row for each block.
+    """
+    ends = rows.groupBy(*keys, "_block").agg(F.max("event_time").alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block"))).drop("_end")
+    within = Window.partitionBy(*keys, "_block").orderBy("event_time", *order)
+    held = with_block_facts(rows, ends, keys)
+    return held.withColumn("_last", F.coalesce(F.lag("event_time").over(within), F.col("_before"))).drop("_before")
+
+
 def top(df: DataFrame, n: int, value: str, *keys: str) -> DataFrame:
     """The n rows of the largest value; ties go by the keys, nulls first."""
     return df.orderBy(F.col(value).desc(), *(F.col(k).asc_nulls_first() for k in keys)).limit(n)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wirelake.functions import scalars as S
 from wirelake.functions.scalars import escape_like
-from wirelake.operators.common import page, top
+from wirelake.operators.common import BLOCK_MS, in_blocks, page, top, with_block_facts, with_last_time
 
 SEVERITIES = ("critical", "high", "medium", "low")
 # Points of a signal by its method.
@@ -177,10 +177,15 @@ def signal_points(signals: DataFrame) -> DataFrame:
     return signals.withColumn("points", points).filter(F.col("points") >= HIDDEN_BELOW)
 
 
-def risk_ledger(points: DataFrame, entity: str = "asset_id") -> DataFrame:
-    """Running total of points per entity in time order."""
-    order = Window.partitionBy(entity).orderBy("event_time", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.select(F.col(entity).alias("entity"), "id", "event_time", "points", F.sum("points").over(order).alias("running_total"))
+def risk_ledger(points: DataFrame, entity: str = "asset_id", block_ms: int = BLOCK_MS) -> DataFrame:
+    """Running total of points per entity in time order: totals of its blocks of time first, then within each."""
+    rows = in_blocks(points.select(F.col(entity).alias("entity"), "id", "event_time", "points"), block_ms)
+    before = Window.partitionBy("entity").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("entity", "_block").agg(F.sum("points").alias("_sum"))
+    blocks = blocks.withColumn("_ahead", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    order = Window.partitionBy("entity", "_block").orderBy("event_time", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = with_block_facts(rows, blocks, ["entity"])
+    return held.select("entity", "id", "event_time", "points", (F.col("_ahead") + F.sum("points").over(order)).alias("running_total"))
 
 
 def decayed(times: list[int], points: list[int]) -> list[int]:
@@ -195,19 +200,28 @@ def decayed(times: list[int], points: list[int]) -> list[int]:
     return out
 
 
-def risk_decay(points: DataFrame, entity: str = "asset_id") -> DataFrame:
-    """Risk with decay after each entry, as a closed form over two running windows.
+def risk_decay(points: DataFrame, entity: str = "asset_id", block_ms: int = BLOCK_MS) -> DataFrame:
+    """Risk with decay after each entry, as a closed form over running sums.
 
     With whole steps of decay between neighbours, the risk before the floor is a running sum of points less
-    decay; the floor at 0 lifts it by the lowest value that the sum has had just before any entry.
+    decay; the floor at 0 lifts it by the lowest value that the sum has had just before any entry. A block of an entity's
+    time is the map risk -> max(risk + sum, rise): its sum, and its lowest value, which compose; so each
+    block is worked out by itself, then the blocks in order, one row for each.
     """
-    order = Window.partitionBy(entity).orderBy("event_time", "id")
+    rows = with_last_time(in_blocks(points.select(F.col(entity).alias("entity"), "id", "event_time", "points"), block_ms), ["entity"], "id")
+    gap = F.floor((F.col("event_time") - F.col("_last")) / DECAY_MS)
+    order = Window.partitionBy("entity", "_block").orderBy("event_time", "id")
     until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = F.floor((F.col("event_time") - F.lag("event_time").over(order)) / DECAY_MS)
-    rows = points.select(F.col(entity).alias(entity), "id", "event_time", "points", (F.coalesce(gap, F.lit(0)) * DECAY_POINTS).cast("long").alias("fall"))
-    rows = rows.withColumn("free", F.sum(F.col("points") - F.col("fall")).over(until))
-    lowest = F.least(F.lit(0), F.min(F.col("free") - F.col("points")).over(until))
-    return rows.select(F.col(entity).alias("entity"), "id", "event_time", "points", (F.col("free") - lowest).alias("risk")).withColumn("severity", S.risk_severity(F.col("risk")))
+    rows = rows.withColumn("_fall", (F.coalesce(gap, F.lit(0)) * DECAY_POINTS).cast("long"))
+    rows = rows.withColumn("_free", F.sum(F.col("points") - F.col("_fall")).over(until))
+    blocks = rows.groupBy("entity", "_block").agg(F.sum(F.col("points") - F.col("_fall")).alias("_sum"), F.min(F.col("_free") - F.col("points")).alias("_low"))
+    before = Window.partitionBy("entity").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_ahead", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_lowest", F.min(F.col("_ahead") + F.col("_low")).over(before)).drop("_sum", "_low")
+    held = with_block_facts(rows, blocks, ["entity"])
+    lowest = F.least(F.lit(0), F.col("_lowest"), F.col("_ahead") + F.min(F.col("_free") - F.col("points")).over(until))
+    risk = F.col("_ahead") + F.col("_free") - lowest
+    return held.select("entity", "id", "event_time", "points", risk.alias("risk")).withColumn("severity", S.risk_severity(F.col("risk")))
 
 
 # Factors on a threshold by sensitivity.
@@ -245,25 +259,24 @@ def kept_alerts(times: list[int], within_ms: int, cooldown_ms: int) -> list[bool
 def dedup_alerts(alerts: DataFrame, within_ms: int = 300_000, cooldown_ms: int = 900_000, per_hour: int = 10) -> DataFrame:
     """Repeats of (signal, asset), then the cooldown after a kept alert, then so many per asset and hour.
 
-    The greedy part streams over rows sorted by (signal, asset, time), with three numbers of state.
+    An alert within_ms after the one before is never kept; that is told by columns, in blocks of time. So the greedy
+    part, which streams over what is left in the order of (signal, asset, time), sees at most one alert of a pair for each within_ms,
+    however many there were.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last, kept = None, 0, None
+        key, kept = None, 0
         for rows in batches:
             keep = []
             for signal, asset, t in zip(rows["signal_id"], rows["asset_id"], rows["event_time"], strict=True):
-                if key != (signal, asset):
-                    key, kept, ok = (signal, asset), None, True
-                else:
-                    ok = t - last >= within_ms and (kept is None or t - kept >= cooldown_ms)
+                ok = key != (signal, asset) or t - kept >= cooldown_ms
                 keep.append(ok)
-                last = t
                 if ok:
-                    kept = t
+                    key, kept = (signal, asset), t
             yield rows[pd.Series(keep, index=rows.index, dtype=bool)]
 
-    ordered = alerts.repartition("signal_id", "asset_id").sortWithinPartitions("signal_id", "asset_id", "event_time", "id")
+    apart = with_last_time(in_blocks(alerts), ["signal_id", "asset_id"], "id").filter(F.col("_last").isNull() | (F.col("event_time") - F.col("_last") >= within_ms)).select(*alerts.columns)
+    ordered = apart.repartition("signal_id", "asset_id").sortWithinPartitions("signal_id", "asset_id", "event_time", "id")
     kept = ordered.mapInPandas(walk, alerts.schema)
     rank = F.row_number().over(Window.partitionBy("asset_id", F.floor(F.col("event_time") / 3_600_000)).orderBy("event_time", "id"))
     return kept.withColumn("_rank", rank).filter(F.col("_rank") <= per_hour).drop("_rank")
@@ -290,19 +303,24 @@ def correlate_use_case(signals: DataFrame, stages: tuple[str, ...], within_ms: i
     """Per entity the starts from which all stages follow in order within the window, earliest match of each.
 
     Stage by stage: the first later signal of the next stage is the smallest one after, a running minimum from
-    the far end, so no pairs of signals are formed.
+    the far end, so no pairs of signals are formed. A chain ends within_ms after its start at the latest, so it lies in the
+    block of that length that it starts in, or in that and the next: each signal stands in its own block and in the one before, and
+    an entity is as many tasks as blocks. kill_chain: the stages in order with the time of each, as JSON.
     """
     rows = signals.filter(F.col("signal_id").isin(*stages)).select("asset_id", "signal_id", "id", "event_time")
-    later = Window.partitionBy("asset_id").orderBy("event_time", "id").rowsBetween(1, Window.unboundedFollowing)
+    own = F.floor(F.col("event_time") / within_ms)
+    rows = rows.withColumn("_own", own).withColumn("_block", F.explode(F.array(own, own - 1)))
+    later = Window.partitionBy("asset_id", "_block").orderBy(F.col("event_time").desc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
     k = len(stages) - 1
-    rows = rows.withColumn(f"chain{k}", F.when(F.col("signal_id") == stages[k], F.struct(F.col("event_time").alias("end"), F.array("id").alias("ids"))))
+    rows = rows.withColumn(f"chain{k}", F.when(F.col("signal_id") == stages[k], F.struct(F.col("event_time").alias("end"), F.array("id").alias("ids"), F.array("event_time").alias("times"))))
     for j in range(k - 1, -1, -1):  # the best chain from here on: this signal, then the earliest ending of the next stage
         rows = rows.withColumn("next", F.min(f"chain{j + 1}").over(later))
-        chain = F.struct(F.col("next.end").alias("end"), F.concat(F.array("id"), F.col("next.ids")).alias("ids"))
+        chain = F.struct(F.col("next.end").alias("end"), F.concat(F.array("id"), F.col("next.ids")).alias("ids"), F.concat(F.array("event_time"), F.col("next.times")).alias("times"))
         rows = rows.withColumn(f"chain{j}", F.when((F.col("signal_id") == stages[j]) & F.col("next").isNotNull(), chain)).drop("next")
-    done = rows.filter(F.col("chain0").isNotNull() & (F.col("chain0.end") - F.col("event_time") <= within_ms))
+    done = rows.filter((F.col("_own") == F.col("_block")) & F.col("chain0").isNotNull() & (F.col("chain0.end") - F.col("event_time") <= within_ms))
     ids = F.array_join(F.transform("chain0.ids", lambda x: x.cast("string")), ",")
-    return done.select("asset_id", F.col("event_time").alias("start_time"), F.col("chain0.end").alias("end_time"), ids.alias("signal_ids"))
+    named = F.zip_with(F.array(*map(F.lit, stages)), "chain0.times", lambda s, t: F.concat(F.lit('{"signal_id":"'), s, F.lit('","time":'), t.cast("string"), F.lit("}")))
+    return done.select("asset_id", F.col("event_time").alias("start_time"), F.col("chain0.end").alias("end_time"), ids.alias("signal_ids"), F.concat(F.lit("["), F.array_join(named, ","), F.lit("]")).alias("kill_chain"))
 
 
 def zscore_baseline(df: DataFrame, entity: str, peer: str, value: str, least: int = 5, seed_mean: float | None = None, seed_std: float | None = None, real: float = 0.7) -> DataFrame:

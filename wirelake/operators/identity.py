@@ -1,18 +1,20 @@
 """Stable host identities from DHCP: bindings, leases, assets, as-of resolution.
 
-Bindings are few against events. Resolution never joins ranges: events and bindings of an address go into one
-window and each event takes the last binding before it.
+Bindings are few against events. Resolution never joins ranges: where the bindings are counted to be few, each address has
+a sorted list of them, which goes to the events and is searched by halving; else events and bindings of an address go into
+one window and each event takes the last binding before it.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelake.functions import scalars as S
+from wirelake.operators.common import cut
 
+#: Bindings, and addresses with bindings, of at most about 60 bytes each that may be broadcast.
+FEW = 200_000
 DEFAULT_LEASE_S = 3600
 
 
@@ -50,14 +52,17 @@ def mac_assets(bindings: DataFrame) -> DataFrame:
     """
     by_name = Window.partitionBy("hostname").orderBy("event_time", "mac", "ip")
     first = Window.partitionBy("mac").orderBy("event_time", "ip")
-    rows = bindings.withColumn("named", F.when(F.col("hostname") != "", F.lag("mac").over(by_name))).withColumn("rank", F.row_number().over(first)).filter("rank = 1")
+    # bindings without a name belong to no name's window, where they could be one task's
+    unnamed = bindings.filter("hostname = ''").withColumn("named", F.lit(None).cast("string"))
+    rows = bindings.filter("hostname <> ''").withColumn("named", F.lag("mac").over(by_name)).unionByName(unnamed)
+    rows = rows.withColumn("rank", F.row_number().over(first)).filter("rank = 1")
     parent = F.when(S.is_local_mac(F.col("mac")) & F.col("named").isNotNull(), F.col("named")).otherwise(F.col("mac"))
     links = rows.select("mac", parent.alias("root"), F.col("event_time").alias("first_seen"))
-    links = _cut(links)
+    links = cut(links, "links")
     while True:
         up = links.select(F.col("mac").alias("_mac"), F.col("root").alias("_root"))
         further = links.join(up, F.col("root") == F.col("_mac")).select("mac", F.col("_root").alias("root"), "first_seen", (F.col("_root") != F.col("root")).alias("moved"))
-        further = _cut(further)
+        further = cut(further, "links")
         done = further.filter("moved").limit(1).count() == 0
         links = further.drop("moved")
         if done:
@@ -66,17 +71,6 @@ def mac_assets(bindings: DataFrame) -> DataFrame:
     return links.join(seen, F.col("root") == F.col("_mac")).select("mac", "root", F.col("_seen").alias("first_seen"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write and read back, so rounds don't pile up lineage; in the shared checkpoint folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/wirelake-identity-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def asset_ids(assets: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     """mac, ip, asset_id (AST-0001 on, by first sight): assets by MAC, then addresses without a lease.
 
@@ -87,7 +81,7 @@ def asset_ids(assets: DataFrame, fallback: DataFrame | None = None) -> DataFrame
     if fallback is not None:
         keys = keys.unionByName(fallback.select(F.col("ip").alias("key"), "first_seen"))
     # ranges of first sight are written with their place, so that counts and rows speak of the same ranges
-    ranges = _cut(keys.repartitionByRange("first_seen", "key").withColumn("range", F.spark_partition_id()))
+    ranges = cut(keys.repartitionByRange("first_seen", "key").withColumn("range", F.spark_partition_id()), "ranges")
     sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     ahead = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("ahead"))
     number = F.col("ahead") + F.row_number().over(Window.partitionBy("range").orderBy("first_seen", "key"))
@@ -98,10 +92,45 @@ def asset_ids(assets: DataFrame, fallback: DataFrame | None = None) -> DataFrame
     return out.join(named, "key").select("mac", "ip", "asset_id")
 
 
-def resolve_ip(events: DataFrame, bindings: DataFrame, ip: str = "src_ip") -> DataFrame:
+def resolve_ip(events: DataFrame, bindings: DataFrame, ip: str = "src_ip", few: int = FEW) -> DataFrame:
     """The events with mac: of the address's last binding at or before their time, else null.
 
-    An address of many events is split by day: each day starts from the last binding before it, so the
+    Up to so many bindings, their lists go to the events, which stay where they are. With more bindings of few addresses, only
+    the events of these addresses move; else all with an address do. Events of null address never move.
+    """
+    counted = bindings.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ip").alias("addresses")).first()
+    if counted["n"] <= few:
+        return _looked_up(events, bindings, ip)
+    known = F.col(ip).isNotNull()
+    if counted["addresses"] <= few:
+        held = F.broadcast(bindings.select(F.col("ip").alias("_held")).distinct())
+        rest = events.join(held, F.col(ip) == F.col("_held"), "left_anti")  # null addresses among them
+        events = events.join(held, F.col(ip) == F.col("_held"), "left_semi")
+    else:
+        rest, events = events.filter(~known), events.filter(known)
+    return _by_windows(events, bindings, ip).unionByName(rest.withColumn("mac", F.lit(None).cast("string")))
+
+
+def last_before(times: Column, values: Column, t: Column, most: int) -> Column:
+    """Of values whose sorted times are at most t the last one, else null, by halving; most: the longest list's length."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, int(most).bit_length())))))
+    n = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(times, low + step - 1) <= t, low + step).otherwise(low))
+    return F.when(n > 0, F.get(values, n - 1))
+
+
+def _looked_up(events: DataFrame, bindings: DataFrame, ip: str) -> DataFrame:
+    # of equal times the last MAC counts; a binding without a MAC (there is none from dhcp_bindings) tells nothing
+    last = bindings.filter("mac IS NOT NULL").groupBy("ip", "event_time").agg(F.max("mac").alias("mac"))
+    lists = last.groupBy("ip").agg(F.sort_array(F.collect_list(F.struct("event_time", "mac"))).alias("_list"))
+    most = lists.agg(F.max(F.size("_list"))).first()[0] or 0
+    lists = lists.select(F.col("ip").alias("_held"), F.col("_list.event_time").alias("_times"), F.col("_list.mac").alias("_macs"))
+    found = last_before(F.col("_times"), F.col("_macs"), F.col("event_time"), most)
+    rows = events.join(F.broadcast(lists), F.col(ip) == F.col("_held"), "left")
+    return rows.select(*(F.col(c) for c in events.columns), found.alias("mac"))
+
+
+def _by_windows(events: DataFrame, bindings: DataFrame, ip: str) -> DataFrame:
+    """An address of many events is split by day: each day starts from the last binding before it, so the
     busiest address is as many tasks as days.
     """
     names = events.columns

@@ -425,12 +425,12 @@ SELECT id, level, ['low','medium','high','critical'][level + 1] AS escalated FRO
 add("correlate_use_case", "raw_signals", lambda s: detections.correlate_use_case(s.withColumn("asset_id", F.substring_index("asset_id", ".", 3)), ("SIG-000", "SIG-004", "SIG-008"), 86_400_000), """
 , o AS (SELECT regexp_extract(asset_id, '^(.*)\\.[0-9]+$', 1) AS asset_id, signal_id, id, event_time FROM raw_signals WHERE signal_id IN ('SIG-000','SIG-004','SIG-008')),
  c AS (SELECT *, min(CASE WHEN signal_id = 'SIG-008' THEN {'t': event_time, 'k': id} END) OVER (PARTITION BY asset_id ORDER BY event_time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n2 FROM o),
- b AS (SELECT *, min(CASE WHEN signal_id = 'SIG-004' AND n2 IS NOT NULL THEN {'t': n2.t, 'b': id, 'k': n2.k} END) OVER (PARTITION BY asset_id ORDER BY event_time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n1 FROM c)
-SELECT asset_id, event_time AS start_time, n1.t AS end_time, id || ',' || n1.b || ',' || n1.k AS signal_ids FROM b WHERE signal_id = 'SIG-000' AND n1.t - event_time <= 86400000""".lstrip("\n"))
+ b AS (SELECT *, min(CASE WHEN signal_id = 'SIG-004' AND n2 IS NOT NULL THEN {'t': n2.t, 'b': id, 'k': n2.k, 's': event_time} END) OVER (PARTITION BY asset_id ORDER BY event_time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n1 FROM c)
+SELECT asset_id, event_time AS start_time, n1.t AS end_time, id || ',' || n1.b || ',' || n1.k AS signal_ids, printf('[{"signal_id":"SIG-000","time":%d},{"signal_id":"SIG-004","time":%d},{"signal_id":"SIG-008","time":%d}]', event_time, n1.s, n1.t) AS kill_chain FROM b WHERE signal_id = 'SIG-000' AND n1.t - event_time <= 86400000""".lstrip("\n"))
 add("correlate_one_asset", "raw_signals", lambda s: detections.correlate_use_case(s.withColumn("asset_id", F.substring_index("asset_id", ".", 3)), ("SIG-004", "SIG-005"), 3_600_000), """
 , o AS (SELECT regexp_extract(asset_id, '^(.*)\\.[0-9]+$', 1) AS asset_id, signal_id, id, event_time FROM raw_signals WHERE signal_id IN ('SIG-004','SIG-005')),
  n AS (SELECT *, min(CASE WHEN signal_id = 'SIG-005' THEN {'t': event_time, 'i': id} END) OVER (PARTITION BY asset_id ORDER BY event_time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM o)
-SELECT asset_id, event_time AS start_time, nx.t AS end_time, id || ',' || nx.i AS signal_ids FROM n WHERE signal_id = 'SIG-004' AND nx.t - event_time <= 3600000""".lstrip("\n"))
+SELECT asset_id, event_time AS start_time, nx.t AS end_time, id || ',' || nx.i AS signal_ids, printf('[{"signal_id":"SIG-004","time":%d},{"signal_id":"SIG-005","time":%d}]', event_time, nx.t) AS kill_chain FROM n WHERE signal_id = 'SIG-004' AND nx.t - event_time <= 3600000""".lstrip("\n"))
 add("zscore_baseline", "conn", lambda c: detections.zscore_baseline(c.groupBy("src_ip").agg(F.sum(total_bytes()).alias("bytes")).withColumn("peers", F.substring_index("src_ip", ".", 1)), "src_ip", "peers", "bytes").select("src_ip", "bytes", F.round("zscore", 4).alias("zscore")), f", s AS (SELECT src_ip, split_part(src_ip, '.', 1) AS peers, {SUM.format(B)} AS bytes FROM conn GROUP BY 1), g AS (SELECT peers, avg(bytes) AS m, stddev_pop(bytes) AS d, count(*) AS k FROM s GROUP BY 1) SELECT src_ip, bytes, round(CASE WHEN d > 0 THEN (bytes - m) / d ELSE 0.0 END, 4) AS zscore FROM s JOIN g ON g.peers = s.peers WHERE k >= 5")
 add("shadow_promotion", "raw_signals", detections.shadow_promotion, f"SELECT *, CASE detection_method WHEN 'rule' THEN days >= 1 AND events >= 10 AND assets >= 1 WHEN 'zscore' THEN days >= 3 AND events >= 50 AND assets >= 5 WHEN 'hybrid' THEN days >= 5 AND events >= 75 AND assets >= 8 ELSE days >= 7 AND events >= 100 AND assets >= 10 END AS promoted FROM (SELECT signal_id, detection_method, count(DISTINCT {DAY}) AS days, count(*) AS events, count(DISTINCT asset_id) AS assets FROM raw_signals GROUP BY 1, 2)")
 add("auto_demotion", "alerts", lambda a: detections.auto_demotion(a.groupBy("signal_id").agg((F.count_if(F.col("status") == "resolved") / F.count(F.lit(1)) / 2).alias("fp_rate_7d"), (F.count_if(F.col("severity") == "high") / F.count(F.lit(1))).alias("drift_3d"), (F.count(F.lit(1)) / 30).alias("events_per_day_14d"))).select("signal_id", "action"), "SELECT signal_id, CASE WHEN fp >= 0.25 THEN 'shadow' WHEN drift >= 0.5 THEN 'retrain' WHEN per_day < 5 THEN 'review' ELSE 'keep' END AS action FROM (SELECT signal_id, count(*) FILTER (status = 'resolved') / count(*) / 2 AS fp, count(*) FILTER (severity = 'high') / count(*) AS drift, count(*) / 30 AS per_day FROM alerts GROUP BY 1)")
