@@ -12,6 +12,7 @@ from wirelake import fixtures
 from wirelake.operators import assets, detections, identity, normalize
 from wirelake.plans import catalog
 from wirelake.streaming import jobs
+from wirelake.streaming.profile_log import ProfileLog
 
 
 @pytest.fixture
@@ -46,12 +47,22 @@ def test_profiles(spark, sf, stream, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, assets.asset_profiles({"conn": conn}).collect()))
 
 
-def test_profile_merger(spark, sf, stream, tmp_path):
+def test_profile_log_in_a_stream(spark, sf, stream, tmp_path):
     conn = fixtures.table(spark, sf, "conn").limit(400)
-    path = lambda n: str(tmp_path / f"profiles-{n}")
-    query = assets.sides({"conn": stream(conn)}).writeStream.foreachBatch(jobs.profile_merger(path)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    log = ProfileLog(str(tmp_path / "profiles"), fan=2)
+    query = assets.sides({"conn": stream(conn)}).writeStream.foreachBatch(log.merge).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(path(2)).collect())) == sorted(map(tuple, assets.asset_profiles({"conn": conn}).collect()))
+    found = log.profiles(spark).drop(*assets.PEERS)
+    wanted = assets.asset_profiles({"conn": conn})
+    assert sorted(map(tuple, found.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_profiles_by_window_leave_state(spark, sf, stream, tmp_path):
+    conn = fixtures.table(spark, sf, "conn").limit(400)
+    parts = run(jobs.stream_profiles({"conn": stream(conn)}, "1 day"), "append", tmp_path, "windows")
+    whole = {r["ip"]: r["total_events"] for r in assets.asset_profiles({"conn": conn}).collect()}
+    found = {r["ip"]: r["n"] for r in parts.groupBy("ip").agg(F.sum("total_events").alias("n")).collect()}
+    assert found and all(n <= whole[ip] for ip, n in found.items())  # the last window stays open
 
 
 def test_threshold(spark, sf, stream, tmp_path):
@@ -111,7 +122,7 @@ def test_latency_buckets_rules_and_outcomes(spark, sf, stream, tmp_path):
 def test_identity_batches_replace_themselves(spark, sf, stream, tmp_path):
     conn = fixtures.table(spark, sf, "conn").limit(200).select("flow_id", "src_ip", "event_time")
     bindings = identity.dhcp_bindings(fixtures.table(spark, sf, "dhcp"))
-    resolve = jobs.stream_identity(bindings, str(tmp_path / "resolved"))
+    resolve = jobs.batch_identity(bindings, str(tmp_path / "resolved"))
     resolve(conn, 0)
     resolve(conn, 0)  # run again
     found = spark.read.parquet(str(tmp_path / "resolved")).drop("batch")

@@ -27,12 +27,22 @@ def sides(lake: dict[str, DataFrame]) -> DataFrame:
     return both.select("log_type", "event_time", "orig_bytes", "resp_bytes", "side.role", "side.ip", "side.peer").filter(S.is_trackable_ip(F.col("ip")))
 
 
-def counters(rows: DataFrame) -> DataFrame:
-    """The additive part of a profile, by address."""
+#: Sketches of different peers: 2**SKETCH registers, about one per cent of error, and exact for few peers.
+SKETCH = 13
+
+
+def counters(rows: DataFrame, *keys: Column, sketched: bool = False) -> DataFrame:
+    """The additive part of a profile, by address (and more keys): counts, times, and, sketched, mergeable sketches of its peers.
+
+    peers_out and peers_in hold the different trackable destinations and sources.
+    """
     src = F.col("role") == "src"
     of = lambda kind: F.count_if(src & (F.col("log_type") == kind))
     conn = src & (F.col("log_type") == "conn")
-    return rows.groupBy("ip").agg(
+    peer = lambda role: F.when((F.col("role") == role) & S.is_trackable_ip(F.col("peer")), F.col("peer"))
+    sketches = [F.hll_sketch_agg(peer(role), F.lit(SKETCH)).alias(name) for role, name in (("src", "peers_out"), ("dst", "peers_in"))] if sketched else []
+    return rows.groupBy("ip", *keys).agg(
+        *sketches,
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(~src).alias("conn_in"),
         F.count_if(src).alias("conn_out"),
@@ -47,22 +57,36 @@ def counters(rows: DataFrame) -> DataFrame:
     )
 
 
-def asset_profiles(lake: dict[str, DataFrame]) -> DataFrame:
-    return counters(sides(lake))
+def asset_profiles(lake: dict[str, DataFrame], sketched: bool = False) -> DataFrame:
+    return counters(sides(lake), sketched=sketched)
+
+
+PEERS = ("peers_out", "peers_in")
 
 
 def merge_profiles(old: DataFrame, delta: DataFrame) -> DataFrame:
-    """Profiles of all events from those of a part and of the rest."""
-    both = old.select("ip", *COUNTERS, "first_seen", "last_seen").unionByName(delta.select("ip", *COUNTERS, "first_seen", "last_seen"))
-    return both.groupBy("ip").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    """Profiles of all events from those of a part and of the rest; sketches where both have them."""
+    held = [*COUNTERS, "first_seen", "last_seen", *(p for p in PEERS if p in old.columns and p in delta.columns)]
+    return summed(old.select("ip", *held).unionByName(delta.select("ip", *held)))
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """One profile of each address from any number of its parts."""
+    sketches = [F.hll_union_agg(p).alias(p) for p in PEERS if p in parts.columns]
+    return parts.groupBy("ip").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *sketches)
+
+
+def peer_estimates(profiles: DataFrame) -> DataFrame:
+    """ip, destinations, sources: different peers as the sketches tell."""
+    n = lambda c: F.coalesce(F.hll_sketch_estimate(c), F.lit(0).cast("long"))
+    return profiles.select("ip", n("peers_out").alias("destinations"), n("peers_in").alias("sources"))
 
 
 def unique_peers(lake: dict[str, DataFrame], approximate: bool = False) -> DataFrame:
-    """Different trackable destinations and sources of each address."""
+    """Different trackable destinations and sources of each address, of those that have any; exact, or by sketches."""
     rows = sides(lake).filter(S.is_trackable_ip(F.col("peer")))
     if approximate:
-        sketch = lambda role: F.approx_count_distinct(F.when(F.col("role") == role, F.col("peer")), 0.02)
-        return rows.groupBy("ip").agg(sketch("src").alias("destinations"), sketch("dst").alias("sources"))
+        return peer_estimates(counters(rows, sketched=True))
     pairs = rows.select("ip", "role", "peer").distinct()
     return pairs.groupBy("ip").agg(F.count_if(F.col("role") == "src").alias("destinations"), F.count_if(F.col("role") == "dst").alias("sources"))
 

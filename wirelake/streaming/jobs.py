@@ -5,6 +5,7 @@ A batch result equals the stream's for rows in time order; rows behind the water
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -41,25 +42,70 @@ def stream_to_lake(rows: DataFrame, base: str, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
-def stream_profiles(lake: dict[str, DataFrame]) -> DataFrame:
-    """Running counters of each address; update mode."""
-    return assets.counters(assets.sides(lake))
+def stream_profiles(lake: dict[str, DataFrame], ttl: str | None = None) -> DataFrame:
+    """Counters of each address; update mode.
+
+    With a ttl: per tumbling window of that length, in append mode, so that state goes once the watermark has passed a window;
+    profile_log.ProfileLog sums them up. Without one, state holds every address for good.
+    """
+    rows = assets.sides(lake)
+    if ttl is None:
+        return assets.counters(rows)
+    return assets.counters(with_event_time(rows), F.window("ts", ttl))
+
+
+_BOUND = "_ip string, _event string, mac string"
+_HELD = T.StructType([T.StructField(n, T.ArrayType(k)) for n, k in (("times", T.LongType()), ("macs", T.StringType()), ("waiting", T.LongType()), ("events", T.StringType()))])
 
 
-def profile_merger(path: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merges a batch's profiles into the last written ones. path: of a version's table."""
+def stream_identity(events: DataFrame, bindings: DataFrame, ip: str = "src_ip", delay: str = WATERMARK, salts: int = 8) -> DataFrame:
+    """A stream of events with mac, resolved by a stream of bindings (as dhcp_bindings gives): what resolve_ip gives in batch.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        delta = assets.counters(batch)
-        if number:
-            delta = assets.merge_profiles(batch.sparkSession.read.parquet(path(number - 1)), delta)
-        delta.write.mode("overwrite").parquet(path(number))
+    State of an address: its bindings and the events that wait. An event waits until the watermark has passed its time,
+    so bindings that come late by up to the delay still count for it; a timer at the earliest one lets them go. Of the
+    bindings behind the watermark only the last is kept, so state is one binding and what the delay holds. An
+    address's events are dealt over so many salts, each with all of its bindings, so that a busy address is several tasks.
+    Events without an address go by at once.
+    """
+    names = events.columns
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+    known = events.filter(F.col(ip).isNotNull())
+    salt = F.pmod(F.xxhash64(*(n for n, k in events.dtypes if k != "variant" and not k.startswith("map"))), F.lit(salts)).cast("int")
+    left = known.select(F.col(ip).alias("_ip"), salt.alias("_salt"), F.col("event_time").cast("long").alias("event_time"), F.lit(None).cast("string").alias("_mac"), F.to_json(F.struct(*names), form).alias("_event"))
+    right = bindings.filter("mac IS NOT NULL AND ip IS NOT NULL").select(F.col("ip").alias("_ip"), F.explode(F.array(*map(F.lit, range(salts)))).alias("_salt"), F.col("event_time").cast("long").alias("event_time"), F.col("mac").alias("_mac"), F.lit(None).cast("string").alias("_event"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        times, macs, waiting, held = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        for rows in [] if state.hasTimedOut else batches:
+            for t, mac, event in zip(rows["event_time"].tolist(), rows["_mac"].tolist(), rows["_event"].tolist(), strict=True):
+                (times if event is None else waiting).append(int(t))
+                (macs if event is None else held).append(mac if event is None else event)
+        bound = sorted(zip(times, macs, strict=True))
+        passed = state.getCurrentWatermarkMs()
+        out = []
+        for t, event in zip(waiting, held, strict=True):
+            if t <= passed:
+                k = bisect.bisect_right(bound, t, key=lambda x: x[0])
+                out.append((key[0], event, bound[k - 1][1] if k else None))
+        left = [(t, event) for t, event in zip(waiting, held, strict=True) if t > passed]
+        bound = bound[max(0, bisect.bisect_right(bound, passed, key=lambda x: x[0]) - 1) :]
+        if bound or left:
+            state.update(([t for t, _ in bound], [m for _, m in bound], [t for t, _ in left], [e for _, e in left]))
+            if left:
+                state.setTimeoutTimestamp(min(t for t, _ in left))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["_ip", "_event", "mac"], dtype=object)
 
-    return merge
+    both = with_event_time(left.unionByName(right), delay)
+    found = both.groupBy("_ip", "_salt").applyInPandasWithState(step, _BOUND, _HELD, "append", "EventTimeTimeout")
+    row = F.from_json("_event", events.schema, {"timestampFormat": form["timestampFormat"]})
+    resolved = found.withColumn("_row", row).select(*(F.col("_row")[n].alias(n) for n in names), "mac")
+    return resolved.unionByName(events.filter(F.col(ip).isNull()).withColumn("mac", F.lit(None).cast("string")))
 
 
-def stream_identity(bindings: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over events: resolves them by the bindings known so far and writes them below path.
+def batch_identity(bindings: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over events: resolves them by a table of bindings and writes them below path.
 
     A batch has a folder of its own, so a batch that is run again replaces its rows.
     """
