@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,15 +22,46 @@ def window_ms(label: str) -> int | None:
     return WINDOWS[label]
 
 
-def in_window(df: DataFrame, label: str, now_ms: int, column: str = "event_time") -> DataFrame:
-    """Rows from now minus the window on; a number up to 1e12 in the column counts as seconds.
+#: The folders of the lake, of the ingest time.
+HOUR_PARTS = ("year", "month", "day", "hour")
 
-    The bound compares the column itself where it holds milliseconds, so a scan can prune by it.
+
+def in_hours(df: DataFrame, low_ms: int | None = None, high_ms: int | None = None) -> DataFrame:
+    """Rows of a table of the lake whose folder's hour may hold times from low_ms on and before high_ms; other tables as they are.
+
+    The condition is on the folders' columns alone, so that a scan lists and reads those hours only. Times in seconds lie in
+    folders of 1970, which stay.
+    """
+    if not set(HOUR_PARTS) <= set(df.columns):
+        return df
+    year, month, day, hour = (F.col(c).cast("int") for c in HOUR_PARTS)
+    number = ((year * 100 + month) * 100 + day) * 100 + hour
+    at = lambda ms: int(time.strftime("%Y%m%d%H", time.gmtime(ms // 1000)))
+    if low_ms is not None:
+        df = df.filter((number >= at(low_ms)) | (year == 1970))
+    if high_ms is not None:
+        df = df.filter(number <= at(high_ms - 1))
+    return df
+
+
+def time_column(df: DataFrame) -> str:
+    """The time that windows go by: of ingest, where a table has it."""
+    return "ingest_time" if "ingest_time" in df.columns else "event_time"
+
+
+def in_window(df: DataFrame, label: str, now_ms: int, column: str | None = None) -> DataFrame:
+    """Rows from now minus the window on, by ingest time unless a column is named; a number up to 1e12 counts as seconds.
+
+    On a table of the lake the window reads the folders of its hours alone. The bound compares the column itself where it
+    holds milliseconds, so a scan can prune by it.
     """
     length = window_ms(label)
     if length is None:
         return df
     low = now_ms - length
+    column = column or time_column(df)
+    if column == "ingest_time":
+        df = in_hours(df, low)
     c = F.col(column)
     return df.filter((c >= low) | ((c <= 1_000_000_000_000) & (c >= low // 1000)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelake.functions import scalars as S
-from wirelake.operators.common import in_window, top, total_bytes, window_ms
+from wirelake.operators.common import in_window, time_column, top, total_bytes, window_ms
 
 # The sources of the dashboards, in their order.
 SOURCES = ("conn", "dns", "http", "ssl", "ssh", "ftp", "smtp", "dhcp", "rdp", "smb_files", "smb_mapping", "kerberos", "ntlm", "sip", "snmp", "files", "weird", "notice")
@@ -166,34 +166,78 @@ LISTS: dict[str, dict[str, tuple[str, ...]]] = {
 }
 
 
+def _alerting(name: str) -> Column | None:
+    """Whether an event of a source counts for the alert trend."""
+    if name == "conn":
+        return F.col("conn_state").isin(*FAILED_STATES)
+    if name == "dns":
+        return F.col("rcode_name") == "NXDOMAIN"
+    return F.col("status_code") >= 400 if name == "http" else None
+
+
+def millis(column: str) -> Column:
+    """A time column in milliseconds; as in in_window, small numbers are seconds."""
+    return F.when(F.col(column) <= 1_000_000_000_000, F.col(column) * 1000).otherwise(F.col(column))
+
+
+def widgets(name: str) -> dict[str, Column]:
+    """The values that a source's dashboard counts, by widget: its top lists, hours, days, hours of alerts, and all events."""
+    out = {}
+    for column, skip in LISTS.get(name, {}).items():
+        value = F.coalesce(F.col(column), F.lit("unknown")) if column == "protocol" else F.col(column).cast("string")
+        out[column] = F.when(~value.isin(*skip), value) if skip else value
+    hour = S.hour_of(millis("event_time")).cast("string")
+    out |= {"hour": hour, "day": S.day_of(millis("event_time")).cast("string")}
+    if (alerting := _alerting(name)) is not None:
+        out["alert_hour"] = F.when(alerting, hour)
+    return out | {"events": F.lit("all")}
+
+
+#: Widgets that are no top lists.
+WHOLE = ("hour", "day", "alert_hour", "events")
+
+
+def counted_widgets(name: str, rows: DataFrame, key: Column, label: str) -> DataFrame:
+    """log_type, the key by its label, widget, value, n: one pass over rows by grouping sets."""
+    values = widgets(name)
+    rows = rows.select(key.alias(label), *(v.alias(c) for c, v in values.items()))
+    sets = rows.groupingSets([[label, F.col(c)] for c in values], label, *values).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"))
+    # the bit of the one value that a set groups by is 0
+    every = (1 << len(values)) - 1
+    widget = F.coalesce(*(F.when(F.col("_set") == every - (1 << (len(values) - 1 - i)), c) for i, c in enumerate(values)))
+    return sets.select(F.lit(name).alias("log_type"), label, widget.alias("widget"), F.coalesce(*values).alias("value"), "n").filter(F.col("value").isNotNull())
+
+
+def ranked_widgets(counts: DataFrame, n: int) -> DataFrame:
+    """The first n of each top list, and all of the rest. counts: log_type, window, widget, value, n."""
+    rank = F.row_number().over(Window.partitionBy("log_type", "window", "widget").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("rank", rank).filter((F.col("rank") <= n) | F.col("widget").isin(*WHOLE)).drop("rank")
+
+
+def ingest_rates(bundle: DataFrame) -> DataFrame:
+    """Events a second of each source and window of a bundle, four decimals; all time counts as 30 days."""
+    seconds = F.lit(window_ms("30d") / 1000)
+    for label in ("1h", "6h", "24h", "7d"):
+        seconds = F.when(F.col("window") == label, window_ms(label) / 1000).otherwise(seconds)
+    return bundle.filter("widget = 'events'").select("log_type", "window", F.col("n").alias("total"), F.round(F.col("n") / seconds, 4).alias("rate"))
+
+
 def lake_bundle(lake: dict[str, DataFrame], windows: tuple[str, ...], now_ms: int, n: int = 10) -> DataFrame:
     """All top lists and trends of every source and window: (log_type, window, widget, value, n).
 
     Each table is read once. An event is counted for the narrowest window it lies in; as the windows lie within
-    one another, a wider one adds up the counts of those inside it. As in in_window, small times are seconds.
+    one another, a wider one adds up the counts of those inside it. Windows go by ingest time, where a table has it; small times
+    are seconds.
     """
     lengths = sorted(((window_ms(w), w) for w in windows), key=lambda x: (x[0] is None, x[0] or 0))
-    time = F.when(F.col("event_time") <= 1_000_000_000_000, F.col("event_time") * 1000).otherwise(F.col("event_time"))
-    age = F.lit(now_ms) - time
-    narrowest = F.coalesce(*(F.when(age <= length if length is not None else F.lit(True), i) for i, (length, _) in enumerate(lengths)))
     inside = F.array(*(F.lit(w) for _, w in lengths))
     parts = []
     for name, df in lake.items():
-        values = {}
-        for column, skip in LISTS.get(name, {}).items():
-            value = F.coalesce(F.col(column), F.lit("unknown")) if column == "protocol" else F.col(column).cast("string")
-            values[column] = F.when(~value.isin(*skip), value) if skip else value
-        values |= {"hour": S.hour_of(time).cast("string"), "day": S.day_of(time).cast("string")}
-        rows = in_window(df, lengths[-1][1], now_ms).select(narrowest.alias("narrowest"), *(v.alias(c) for c, v in values.items()))
-        sets = rows.groupingSets([["narrowest", F.col(c)] for c in values], "narrowest", *values).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"))
-        # the bit of the one value that a set groups by is 0
-        every = (1 << len(values)) - 1
-        widget = F.coalesce(*(F.when(F.col("_set") == every - (1 << (len(values) - 1 - i)), c) for i, c in enumerate(values)))
-        parts.append(sets.select(F.lit(name).alias("log_type"), "narrowest", widget.alias("widget"), F.coalesce(*values).alias("value"), "n").filter(F.col("value").isNotNull()))
+        age = F.lit(now_ms) - millis(time_column(df))
+        narrowest = F.coalesce(*(F.when(age <= length if length is not None else F.lit(True), i) for i, (length, _) in enumerate(lengths)))
+        parts.append(counted_widgets(name, in_window(df, lengths[-1][1], now_ms), narrowest, "narrowest"))
     counts = _union(parts).withColumn("window", F.explode(F.slice(inside, F.col("narrowest") + 1, len(lengths))))
-    counts = counts.groupBy("log_type", "window", "widget", "value").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("log_type", "window", "widget").orderBy(F.desc("n"), "value"))
-    return counts.withColumn("rank", rank).filter((F.col("rank") <= n) | F.col("widget").isin("hour", "day")).drop("rank")
+    return ranked_widgets(counts.groupBy("log_type", "window", "widget", "value").agg(F.sum("n").alias("n")), n)
 
 
 def write_bundle(bundle: DataFrame, path: str) -> None:

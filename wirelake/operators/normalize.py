@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelake import schemas
 from wirelake.functions import scalars as S
@@ -128,6 +131,17 @@ def project_table(parsed: DataFrame, log_type: str, ingest_ms: Column | None = N
     return rows
 
 
+@lru_cache(maxsize=len(schemas.LOG_TYPES))
+def _table_schema(log_type: str, session: object) -> T.StructType:
+    empty = session.createDataFrame([], "value string")
+    return project_table(parse_envelope(empty, log_type=log_type), log_type).schema
+
+
+def table_schema(spark: SparkSession, log_type: str) -> T.StructType:
+    """The columns of a log type's typed table, all nullable."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in _table_schema(log_type, spark).fields])
+
+
 def enrich(rows: DataFrame, network: bool = True) -> DataFrame:
     """Adds time parts, private flags, direction and service to canonical columns."""
     has = rows.columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from wirelake import fixtures, refdata
 from wirelake.fixtures import NOW_MS
 from wirelake.functions import scalars as S
-from wirelake.operators import assets, detections, hunts, identity, logs, matching, network, normalize
-from wirelake.operators.common import total_bytes
+from wirelake.operators import assets, detections, hunts, identity, logs, matching, network, normalize, rollup
+from wirelake.operators.common import shared_folder, total_bytes
 from wirelake.sources import files
 from wirelake.streaming import jobs
 
@@ -36,6 +37,11 @@ def lake_of(names: str) -> Callable[..., dict[str, DataFrame]]:
     return lambda *frames: dict(zip(names.split(), frames, strict=True))
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder for a query's kept state, in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/wirelake-{name}-{uuid.uuid4().hex}"
+
+
 B = "coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0)"
 EXTERNAL = "NOT (" + " OR ".join(f"dst_ip LIKE '{p}'" for p in S.INTERNAL_LIKE) + ")"
 HOUR = "CAST((event_time // 3600000) % 24 AS INTEGER)"
@@ -186,9 +192,24 @@ _LISTS = {
     "http": {"host": "CASE WHEN host NOT IN ('', '-') THEN host END", "status_code": "status_code"},
     "ssl": {},
 }
+_ALERTING = {"conn": "conn_state IN ('REJ','S0','RSTO','RSTR')", "dns": "rcode_name = 'NXDOMAIN'", "http": "status_code >= 400"}
 _SPANS = {"24h": 86400000, "7d": 604800000, "30d": 2592000000, "all": NOW_MS}
-_BUNDLE = " UNION ALL ".join(f"SELECT '{t}' AS log_type, '{w}' AS \"window\", '{c}' AS widget, CAST({e} AS STRING) AS value, CAST(count(*) AS BIGINT) AS n FROM {t} WHERE event_time >= {NOW_MS - ms} AND {e} IS NOT NULL GROUP BY 4" for t, lists in _LISTS.items() for w, ms in _SPANS.items() for c, e in (lists | {"hour": HOUR, "day": DAY}).items())
-add("lake_bundle", "conn dns http ssl", lambda *f: logs.lake_bundle(lake_of("conn dns http ssl")(*f), tuple(_SPANS), NOW_MS), f"SELECT log_type, \"window\", widget, value, n FROM (SELECT *, row_number() OVER (PARTITION BY log_type, \"window\", widget ORDER BY n DESC, value) AS r FROM ({_BUNDLE})) WHERE r <= 10 OR widget IN ('hour', 'day')")
+_BUNDLE = " UNION ALL ".join(f"SELECT '{t}' AS log_type, '{w}' AS \"window\", '{c}' AS widget, CAST({e} AS STRING) AS value, CAST(count(*) AS BIGINT) AS n FROM {t} WHERE event_time >= {NOW_MS - ms} AND {e} IS NOT NULL GROUP BY 4" for t, lists in _LISTS.items() for w, ms in _SPANS.items() for c, e in (lists | {"hour": HOUR, "day": DAY, "events": "'all'"} | ({"alert_hour": f"CASE WHEN {_ALERTING[t]} THEN {HOUR} END"} if t in _ALERTING else {})).items())
+_RANKED = f"SELECT log_type, \"window\", widget, value, n FROM (SELECT *, row_number() OVER (PARTITION BY log_type, \"window\", widget ORDER BY n DESC, value) AS r FROM ({_BUNDLE})) WHERE r <= 10 OR widget IN ('hour', 'day', 'alert_hour', 'events')"
+add("lake_bundle", "conn dns http ssl", lambda *f: logs.lake_bundle(lake_of("conn dns http ssl")(*f), tuple(_SPANS), NOW_MS), _RANKED)
+
+
+def _refreshed(*frames: DataFrame) -> DataFrame:
+    """Dashboards from hourly counts, refreshed twice: up to two days ago, then the hours since."""
+    lake, spark = lake_of("conn dns http ssl")(*frames), frames[0].sparkSession
+    log = rollup.dashboard_log(fresh_path(spark, "dashboards"))
+    rollup.refresh_dashboards(lake, log, None, NOW_MS - 172_800_000)
+    rollup.refresh_dashboards(lake, log, NOW_MS - 172_800_000, NOW_MS)
+    return rollup.dashboards(spark, log, tuple(_SPANS), NOW_MS)
+
+
+add("dashboards", "conn dns http ssl", _refreshed, _RANKED)
+add("ingest_rates", "conn dns http", lambda *f: logs.ingest_rates(logs.lake_bundle(_T(*f), ("24h", "7d"), NOW_MS)), " UNION ALL ".join(f"SELECT '{t}' AS log_type, '{w}' AS \"window\", count(*) AS total, round(count(*) / {ms / 1000}, 4) AS rate FROM {t} WHERE event_time >= {NOW_MS - ms} HAVING count(*) > 0" for t in ("conn", "dns", "http") for w, ms in (("24h", 86_400_000), ("7d", 604_800_000))))
 
 # --- network analytics -------------------------------------------------------------------------------
 
@@ -432,6 +453,25 @@ add("correlate_one_asset", "raw_signals", lambda s: detections.correlate_use_cas
  n AS (SELECT *, min(CASE WHEN signal_id = 'SIG-005' THEN {'t': event_time, 'i': id} END) OVER (PARTITION BY asset_id ORDER BY event_time, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM o)
 SELECT asset_id, event_time AS start_time, nx.t AS end_time, id || ',' || nx.i AS signal_ids, printf('[{"signal_id":"SIG-004","time":%d},{"signal_id":"SIG-005","time":%d}]', event_time, nx.t) AS kill_chain FROM n WHERE signal_id = 'SIG-004' AND nx.t - event_time <= 3600000""".lstrip("\n"))
 add("zscore_baseline", "conn", lambda c: detections.zscore_baseline(c.groupBy("src_ip").agg(F.sum(total_bytes()).alias("bytes")).withColumn("peers", F.substring_index("src_ip", ".", 1)), "src_ip", "peers", "bytes").select("src_ip", "bytes", F.round("zscore", 4).alias("zscore")), f", s AS (SELECT src_ip, split_part(src_ip, '.', 1) AS peers, {SUM.format(B)} AS bytes FROM conn GROUP BY 1), g AS (SELECT peers, avg(bytes) AS m, stddev_pop(bytes) AS d, count(*) AS k FROM s GROUP BY 1) SELECT src_ip, bytes, round(CASE WHEN d > 0 THEN (bytes - m) / d ELSE 0.0 END, 4) AS zscore FROM s JOIN g ON g.peers = s.peers WHERE k >= 5")
+
+
+def _day_baselines(conn: DataFrame) -> DataFrame:
+    """Moments of the bytes of flows, kept by hour in two steps; the last day's baselines against its flows."""
+    spark = conn.sparkSession
+    rows = conn.select("flow_id", "event_time", "src_ip", F.substring_index("src_ip", ".", 2).alias("peers"), total_bytes().alias("bytes"))
+    log = rollup.baseline_log(fresh_path(spark, "baselines"))
+    rollup.refresh_baselines(rows, log, "src_ip", "peers", "bytes", None, NOW_MS - 43_200_000)
+    rollup.refresh_baselines(rows, log, "src_ip", "peers", "bytes", NOW_MS - 43_200_000, NOW_MS)
+    own, groups = rollup.baselines(spark, log, NOW_MS, 24, (1_000_000.0, 500_000.0))
+    last = rows.filter(F.col("event_time") >= NOW_MS - 86_400_000)
+    return rollup.scored(last, own, groups, "src_ip", "peers", "bytes").select("flow_id", "src_ip", F.round("zscore_asset", 4).alias("zscore_asset"), F.round("zscore_peers", 4).alias("zscore_peers"))
+
+
+add("day_baselines", "conn", _day_baselines, f"""
+, r AS (SELECT flow_id, src_ip, split_part(src_ip, '.', 1) || '.' || split_part(src_ip, '.', 2) AS peers, {B} AS bytes FROM conn WHERE event_time >= {NOW_MS - 86400000}),
+ a AS (SELECT src_ip, avg(bytes) AS m, stddev_pop(bytes) AS d FROM r GROUP BY 1),
+ g AS (SELECT peers, 0.7 * avg(bytes) + 0.3 * 1000000.0 AS m, 0.7 * stddev_pop(bytes) + 0.3 * 500000.0 AS d FROM r GROUP BY 1 HAVING count(DISTINCT src_ip) >= 5)
+SELECT flow_id, r.src_ip, round(CASE WHEN a.d > 0 THEN (bytes - a.m) / a.d ELSE 0.0 END, 4) AS zscore_asset, round(CASE WHEN g.d > 0 THEN (bytes - g.m) / g.d WHEN g.d IS NOT NULL THEN 0.0 END, 4) AS zscore_peers FROM r JOIN a ON a.src_ip = r.src_ip LEFT JOIN g ON g.peers = r.peers""".lstrip("\n"))
 add("shadow_promotion", "raw_signals", detections.shadow_promotion, f"SELECT *, CASE detection_method WHEN 'rule' THEN days >= 1 AND events >= 10 AND assets >= 1 WHEN 'zscore' THEN days >= 3 AND events >= 50 AND assets >= 5 WHEN 'hybrid' THEN days >= 5 AND events >= 75 AND assets >= 8 ELSE days >= 7 AND events >= 100 AND assets >= 10 END AS promoted FROM (SELECT signal_id, detection_method, count(DISTINCT {DAY}) AS days, count(*) AS events, count(DISTINCT asset_id) AS assets FROM raw_signals GROUP BY 1, 2)")
 add("auto_demotion", "alerts", lambda a: detections.auto_demotion(a.groupBy("signal_id").agg((F.count_if(F.col("status") == "resolved") / F.count(F.lit(1)) / 2).alias("fp_rate_7d"), (F.count_if(F.col("severity") == "high") / F.count(F.lit(1))).alias("drift_3d"), (F.count(F.lit(1)) / 30).alias("events_per_day_14d"))).select("signal_id", "action"), "SELECT signal_id, CASE WHEN fp >= 0.25 THEN 'shadow' WHEN drift >= 0.5 THEN 'retrain' WHEN per_day < 5 THEN 'review' ELSE 'keep' END AS action FROM (SELECT signal_id, count(*) FILTER (status = 'resolved') / count(*) / 2 AS fp, count(*) FILTER (severity = 'high') / count(*) AS drift, count(*) / 30 AS per_day FROM alerts GROUP BY 1)")
 add("activity_sessions", "conn", jobs.stream_sessions, ", o AS (SELECT src_ip, event_time, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY src_ip ORDER BY event_time) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM conn), g AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT src_ip, min(event_time) AS session_start, count(*) AS n FROM g GROUP BY src_ip, k")

@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelake import schemas
 from wirelake.functions import scalars as S
+from wirelake.operators import normalize
+from wirelake.operators.common import HOUR_PARTS
 
 
 def read_kafka_raw(spark: SparkSession, brokers: str, topic: str, streaming: bool = True, most: int | None = None) -> DataFrame:
@@ -62,19 +65,32 @@ def read_packet_text(spark: SparkSession, path: str) -> DataFrame:
     return packet_rows(spark.read.text(path), F.input_file_name())
 
 
-def open_lake(spark: SparkSession, base: str, types: tuple[str, ...] = schemas.LOG_TYPES, views: bool = True) -> dict[str, DataFrame]:
-    """One table per log type that has files under base, in log_type=<type> or <type>; with views also as temporary views."""
+def lake_schema(spark: SparkSession, log_type: str) -> T.StructType:
+    """The declared columns of a log type's table in the lake, and its folders' columns."""
+    parts = [T.StructField(c, T.IntegerType()) for c in HOUR_PARTS]
+    return T.StructType([*normalize.table_schema(spark, log_type).fields, *parts])
+
+
+def open_lake(spark: SparkSession, base: str, types: tuple[str, ...] = schemas.LOG_TYPES, views: bool = True, declared: bool = True) -> dict[str, DataFrame]:
+    """One table per log type that has files under base, in log_type=<type> or <type>; with views also as temporary views.
+
+    Tables have the declared columns of their types, whatever single files hold: missing ones are null, and no file is opened to
+    find out. Not declared: the columns that the files have.
+    """
     found = {}
     for name in types:
         for folder in (f"log_type={name}", name):
             try:
-                rows = spark.read.option("basePath", base).parquet(f"{base.rstrip('/')}/{folder}")
+                reader = spark.read.option("basePath", base)
+                if declared:
+                    reader = reader.schema(lake_schema(spark, name))
+                rows = reader.parquet(f"{base.rstrip('/')}/{folder}")
             except AnalysisException as e:
                 # no such folder, or none with files
                 if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                     raise
                 continue
-            found[name] = rows.drop("log_type")
+            found[name] = rows.drop("log_type", "batch")
             if views:
                 found[name].createOrReplaceTempView(name)
             break
@@ -100,7 +116,7 @@ def compact_hours(spark: SparkSession, base: str, to: str, before_ms: int, since
     alone. A run that is repeated replaces the hours it wrote before. The stream's own files stay as they are.
     """
     hour = F.make_timestamp(*(F.col(c).cast("int") for c in ("year", "month", "day", "hour")), F.lit(0), F.lit(0))
-    for name, rows in open_lake(spark, base, views=False).items():
+    for name, rows in open_lake(spark, base, views=False, declared=False).items():
         past = rows.filter((F.unix_millis(hour) >= since_ms) & (F.unix_millis(hour) + 3_600_000 <= before_ms))
         write_lake(past.withColumn("log_type", F.lit(name)), to, files_per_hour=files_per_hour, mode="overwrite")
 
