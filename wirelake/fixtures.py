@@ -138,6 +138,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files."""
+    base, columns, condition = TABLES[name]
+    path = f"{sf_dir}/{base}.parquet"
+    schema = spark.read.parquet(path).schema
+    rows = spark.readStream.schema(schema).parquet(path if "*" in path else f"{path}*")
+    if condition:
+        rows = rows.filter(condition)
+    return rows.selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
+
+
 def lake(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: table(spark, sf_dir, n) for n in names or TABLES}
 

@@ -12,9 +12,10 @@ from wirelake import fixtures, refdata
 from wirelake.fixtures import NOW_MS
 from wirelake.functions import scalars as S
 from wirelake.operators import assets, detections, hunts, identity, logs, matching, network, normalize, rollup
-from wirelake.operators.common import shared_folder, total_bytes
+from wirelake.operators.common import in_window, shared_folder, total_bytes
 from wirelake.sources import files
-from wirelake.streaming import jobs
+from wirelake.streaming import enrich, jobs
+from wirelake.streaming.profile_log import ProfileLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,13 +57,17 @@ DIRECTION = f"CASE WHEN coalesce(src_ip,'') = '' OR coalesce(dst_ip,'') = '' THE
 
 
 def _messages(conn: DataFrame) -> DataFrame:
+    return _message(files.spread(conn))
+
+
+def _message(conn: DataFrame) -> DataFrame:
     """The connections as raw messages: nested, flat with log_type, flat with _path, broken, of unknown type."""
     body = F.struct((F.col("event_time") / 1000).alias("ts"), F.col("flow_id").alias("uid"), F.col("src_ip").alias("id.orig_h"), F.col("src_port").cast("int").alias("id.orig_p"), F.col("dst_ip").alias("id.resp_h"), F.col("dst_port").alias("id.resp_p"), F.col("protocol").alias("proto"), "conn_state", "orig_bytes", "resp_bytes", "duration")
     text = F.to_json(body)
     kind = F.col("src_port") % 10
     flat = lambda key, name: F.concat(F.lit(f'{{"{key}":"{name}",'), F.substring(text, F.lit(2), F.length(text)))
     value = F.when(kind < 5, F.concat(F.lit('{"conn":'), text, F.lit("}"))).when(kind < 7, flat("log_type", "conn")).when(kind == 7, flat("_path", "conn")).when(kind == 8, F.concat(F.lit("{"), F.col("flow_id"))).otherwise(flat("log_type", "mystery"))
-    return files.spread(conn).select(value.alias("value"))
+    return conn.select(value.alias("value"))
 
 
 def _normalized(conn: DataFrame) -> DataFrame:
@@ -323,6 +328,53 @@ SQL["asset_columns"] = _recursive("conn dhcp", f"""
 SELECT e.flow_id, coalesce(m.asset_id, i.asset_id, '') AS asset_id, CASE WHEN m.asset_id IS NULL THEN '' ELSE CASE substr(m.key, 1, 8) WHEN '00:50:56' THEN 'docker' WHEN '00:00:0C' THEN 'network_device' WHEN '18:B4:30' THEN 'iot' ELSE 'workstation' END END AS asset_type
 FROM e LEFT JOIN (SELECT DISTINCT mac, root FROM a) r ON r.mac = e.mac AND {TRACK('e.src_ip')} LEFT JOIN n m ON m.key = r.root LEFT JOIN n i ON i.key = trim(e.src_ip) AND e.mac IS NULL AND {TRACK('e.src_ip')}""").replace(" \nSELECT e.flow_id", f", {_RESOLVED}, n AS (SELECT key, printf('AST-%04d', row_number() OVER (ORDER BY first_seen, key)) AS asset_id FROM (SELECT DISTINCT root AS key, first_seen FROM a UNION ALL SELECT trim(src_ip), min(event_time) FROM e WHERE mac IS NULL AND {TRACK('src_ip')} GROUP BY 1)) SELECT e.flow_id")
 
+
+
+def _context(conn: DataFrame, dhcp: DataFrame) -> enrich.Context:
+    bindings = identity.dhcp_bindings(dhcp)
+    found = identity.mac_assets(bindings)
+    ids = identity.asset_ids(found, identity.fallback_assets(identity.resolve_ip(conn.select("flow_id", "src_ip", "event_time"), bindings)))
+    zero = F.lit(0)
+    kinds = assets.mac_vendor(found.select(F.col("root").alias("mac")).distinct()).join(ids, "mac").select("asset_id", assets.asset_type(F.col("vendor"), zero, zero, zero).alias("asset_type"))
+    return enrich.Context(bindings, ids, kinds, _THREAT(conn.sparkSession))
+
+
+def _one_job(spark: SparkSession, sf_dir: str, assets_too: bool = False) -> tuple[str, str, str]:
+    """The whole enrichment as a stream over the connections' messages; the folders of its outputs."""
+    conn, dhcp = (fixtures.table(spark, sf_dir, t) for t in ("conn", "dhcp"))
+    base = fresh_path(spark, "enrich")
+    messages = fixtures.stream(spark, sf_dir, "conn")
+    job = enrich.enrich_job(f"{base}/lake", enrich.to_folder(f"{base}/records"), enrich.to_folder(f"{base}/letters"), (lambda: _context(conn, dhcp)) if assets_too else None)
+    query = _message(messages).writeStream.foreachBatch(job).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return f"{base}/lake", f"{base}/records", f"{base}/letters"
+
+
+def _streamed(name: str, part: Callable[[SparkSession, tuple[str, str, str]], DataFrame], assets_too: bool = False) -> None:
+    QUERIES[name] = lambda spark, sf_dir: part(spark, _one_job(spark, sf_dir, assets_too))
+
+
+_streamed("enriched_records", lambda spark, out: spark.read.parquet(out[1]).select(F.col("uid").alias("flow_id"), "asset_id", "asset_type", "src_is_blacklisted", "dst_is_blacklisted"), assets_too=True)
+SQL["enriched_records"] = SQL["asset_columns"].replace("SELECT e.flow_id, coalesce(m", "SELECT t.*, bad.* EXCLUDE (flow_id) FROM (SELECT e.flow_id, coalesce(m") + ") t JOIN (SELECT DISTINCT flow_id, src_ip IN ('198.51.100.10','203.0.113.9','10.0.0.1') AS src_is_blacklisted, dst_ip IN ('198.51.100.10','203.0.113.9','10.0.0.1') AS dst_is_blacklisted FROM conn WHERE src_port % 10 < 8) bad ON bad.flow_id = t.flow_id"
+_streamed("enriched_tables", lambda spark, out: in_window(files.open_lake(spark, out[0], ("conn",), views=False)["conn"], "24h", NOW_MS).select("flow_id", "event_time", "src_ip", "dst_ip", "dst_port", "service", "direction", "orig_bytes", F.sha2("raw_log", 256).isNotNull().alias("raw"), (F.length("ftx_id") == 64).alias("named")))
+SQL["enriched_tables"] = f"WITH conn AS ({fixtures.sql('conn')}) SELECT flow_id, event_time, src_ip, dst_ip, dst_port, {SERVICE} AS service, {DIRECTION} AS direction, orig_bytes, true AS raw, true AS named FROM conn WHERE src_port % 10 < 8 AND event_time >= {NOW_MS - 86400000}"
+_streamed("enriched_letters", lambda spark, out: spark.read.parquet(out[2]).groupBy("error_type").agg(F.count(F.lit(1)).alias("n")))
+SQL["enriched_letters"] = SQL["dead_letters"]
+
+
+def _stream_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and bindings as two streams; without delay the end of the data lets all events go."""
+    base = fresh_path(spark, "identity")
+    events = fixtures.stream(spark, sf_dir, "conn").select("flow_id", "src_ip", "event_time")
+    found = jobs.stream_identity(events, identity.dhcp_bindings(fixtures.stream(spark, sf_dir, "dhcp")).select("event_time", "mac", "ip"), delay="0 seconds")
+    query = found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{base}/out")
+
+
+QUERIES["stream_identity"] = _stream_identity
+SQL["stream_identity"] = SQL["resolve_ip"]
+
 # --- asset profiles ----------------------------------------------------------------------------------
 
 P = "conn dns http ssl"
@@ -343,6 +395,32 @@ def _merged(*f: DataFrame) -> DataFrame:
 
 
 add("merge_profiles", P, _merged, "SELECT * FROM p", _X)
+
+
+def _profile_log(*frames: DataFrame) -> DataFrame:
+    """The profiles after ten batches of a log of parts, cut by day."""
+    rows = assets.sides(_p(*frames))
+    log = ProfileLog(fresh_path(rows.sparkSession, "profiles"), fan=4)
+    for n in range(10):
+        log.merge(rows.filter(F.floor(F.col("event_time") / 86_400_000) % 10 == n), n)
+    return log.profiles(rows.sparkSession).drop(*assets.PEERS)
+
+
+add("profile_log", P, _profile_log, "SELECT * FROM p", _X)
+
+
+def _peer_sketches(*frames: DataFrame) -> DataFrame:
+    """Per address whether sketches of three parts, merged, tell what one sketch does, and lie within 5 % of the exact numbers."""
+    lake = _p(*frames)
+    part = lambda k: assets.asset_profiles({n: df.filter(F.floor(F.col("event_time") / 1000) % 3 == k) for n, df in lake.items()}, sketched=True)
+    name = lambda df, to: df.select("ip", *(F.col(c).alias(f"{to}_{c}") for c in ("destinations", "sources")))
+    merged = name(assets.peer_estimates(assets.merge_profiles(assets.merge_profiles(part(0), part(1)), part(2))), "m")
+    rows = assets.unique_peers(lake).join(merged, "ip").join(name(assets.unique_peers(lake, approximate=True), "w"), "ip")
+    near = lambda c: F.abs(F.col(f"m_{c}") - F.col(c)) <= 0.05 * F.col(c)
+    return rows.select("ip", ((F.col("m_destinations") == F.col("w_destinations")) & (F.col("m_sources") == F.col("w_sources"))).alias("merges"), (near("destinations") & near("sources")).alias("near"))
+
+
+add("peer_sketches", P, _peer_sketches, f"SELECT DISTINCT ip, true AS merges, true AS near FROM x WHERE {TRACK('peer')}", _X)
 _OUI = refdata.values_sql(refdata.OUI_VENDORS, "oui, vendor")
 _APPS = refdata.values_sql(refdata.JA3_APPS, "ja3, app")
 _OS = "CASE WHEN lower(user_agent) LIKE '%windows nt 10%' THEN 'Windows 10/11' WHEN lower(user_agent) LIKE '%mac os x%' THEN 'macOS' WHEN lower(user_agent) LIKE '%linux%' THEN 'Linux' ELSE '' END"
