@@ -91,6 +91,28 @@ TABLES: dict[str, tuple[str, dict[str, str], str]] = {
         },
         "",
     ),
+    "ntlm": (
+        "events",
+        {
+            "flow_id": "concat('N', CAST(event_id AS STRING))",
+            "event_time": _time("event_id*15485863"),
+            "src_ip": _host("user_id"),
+            "dst_ip": "'10.0.0.10'",
+            "hostname": "CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('NT-', CAST(user_id % 30 AS STRING)) END",
+        },
+        "event_type = 'signup'",
+    ),
+    "kerberos": (
+        "events",
+        {
+            "flow_id": "concat('K', CAST(event_id AS STRING))",
+            "event_time": _time("event_id*1299709"),
+            "src_ip": f"CASE WHEN user_id % 3 = 0 THEN concat('10.7.0.', CAST(user_id % 200 AS STRING)) ELSE {_host('user_id')} END",
+            "dst_ip": "'10.0.0.10'",
+            "client": "CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('user', CAST(user_id % 60 AS STRING), '/EXAMPLE') END",
+        },
+        "event_type = 'purchase'",
+    ),
     "alerts": (
         "orders",
         {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wirelake import refdata
 from wirelake.functions import scalars as S
+from wirelake.operators import identity
 from wirelake.operators.common import page, top
 
 COUNTERS = ("total_events", "conn_in", "conn_out", "dns_queries", "http_requests", "ssl_connections", "ssh_sessions", "bytes_out", "bytes_in")
@@ -31,8 +32,8 @@ def sides(lake: dict[str, DataFrame]) -> DataFrame:
 SKETCH = 13
 
 
-def counters(rows: DataFrame, *keys: Column, sketched: bool = False) -> DataFrame:
-    """The additive part of a profile, by address (and more keys): counts, times, and, sketched, mergeable sketches of its peers.
+def counters(rows: DataFrame, *keys: Column, sketched: bool = False, by: str = "ip") -> DataFrame:
+    """The additive part of a profile, by address or another column (and more keys): counts, times, and, sketched, mergeable sketches of its peers.
 
     peers_out and peers_in hold the different trackable destinations and sources.
     """
@@ -41,7 +42,7 @@ def counters(rows: DataFrame, *keys: Column, sketched: bool = False) -> DataFram
     conn = src & (F.col("log_type") == "conn")
     peer = lambda role: F.when((F.col("role") == role) & S.is_trackable_ip(F.col("peer")), F.col("peer"))
     sketches = [F.hll_sketch_agg(peer(role), F.lit(SKETCH)).alias(name) for role, name in (("src", "peers_out"), ("dst", "peers_in"))] if sketched else []
-    return rows.groupBy("ip", *keys).agg(
+    return rows.groupBy(by, *keys).agg(
         *sketches,
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(~src).alias("conn_in"),
@@ -61,6 +62,20 @@ def asset_profiles(lake: dict[str, DataFrame], sketched: bool = False) -> DataFr
     return counters(sides(lake), sketched=sketched)
 
 
+def profiles_by_asset(lake: dict[str, DataFrame], bindings: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Profiles by asset_id, through all addresses that an asset has had, with last_ip, the address of its last event.
+
+    ids: of identity.asset_ids; without them the assets are those of the bindings and of the addresses without a lease.
+    """
+    rows = sides(lake)
+    if ids is None:
+        unleased = identity.fallback_assets(identity.resolve_ip(rows.select("ip", "event_time"), bindings, "ip"), "ip")
+        ids = identity.asset_ids(identity.mac_assets(bindings), unleased)
+    held = identity.with_asset(rows, bindings, ids).filter("asset_id IS NOT NULL")
+    last = held.groupBy("asset_id").agg(F.max(F.struct("event_time", "ip"))["ip"].alias("last_ip"))
+    return counters(held, by="asset_id").join(last, "asset_id")
+
+
 PEERS = ("peers_out", "peers_in")
 
 
@@ -102,10 +117,15 @@ def ja3_app(df: DataFrame) -> DataFrame:
     return df.join(apps, F.col("ja3") == F.col("known_ja3"), "left").drop("known_ja3")
 
 
-def identity_attributes(bindings: DataFrame, ssl: DataFrame, http: DataFrame) -> DataFrame:
-    """Per address: mac (last binding), vendor (first known), hostname (last named), app (first known), os_hint (first known)."""
+def identity_attributes(bindings: DataFrame, ssl: DataFrame, http: DataFrame, ntlm: DataFrame | None = None, kerberos: DataFrame | None = None) -> DataFrame:
+    """Per address: mac (last binding), vendor (first known), hostname (last named), app (first known), os_hint (first known).
+
+    A host name is the last of leases and NTLM, else the first Kerberos client. Vendors go by the MAC as its event wrote it,
+    where the bindings hold that (raw_mac).
+    """
     at = lambda c: F.struct("event_time", c)
-    vendors = mac_vendor(bindings)
+    written = bindings.withColumn("mac", F.col("raw_mac")) if "raw_mac" in bindings.columns else bindings
+    vendors = mac_vendor(written).withColumn("mac", F.upper("mac"))
     a = vendors.groupBy("ip").agg(
         F.max(at("mac"))["mac"].alias("mac"),
         F.min(F.when(F.col("vendor").isNotNull(), at("vendor")))["vendor"].alias("vendor"),
@@ -114,7 +134,17 @@ def identity_attributes(bindings: DataFrame, ssl: DataFrame, http: DataFrame) ->
     b = ja3_app(ssl).filter("app IS NOT NULL").groupBy(F.col("src_ip").alias("ip")).agg(F.min(at("app"))["app"].alias("app"))
     os = http.withColumn("os", S.os_from_user_agent(F.col("user_agent"))).filter("os <> ''")
     c = os.groupBy(F.col("src_ip").alias("ip")).agg(F.min(at("os"))["os"].alias("os_hint"))
-    return a.join(b, "ip", "full").join(c, "ip", "full")
+    out = a.join(b, "ip", "full").join(c, "ip", "full")
+    if ntlm is None and kerberos is None:
+        return out
+    none = bindings.select(F.col("ip").alias("src_ip"), "event_time", F.lit("").alias("name")).limit(0)
+    told = none if ntlm is None else ntlm.select("src_ip", "event_time", F.col("hostname").alias("name"))
+    clients = none if kerberos is None else kerberos.select("src_ip", "event_time", F.col("client").alias("name"))
+    names = bindings.select(F.col("ip").alias("src_ip"), "event_time", F.col("hostname").alias("name")).unionByName(told).filter("name <> ''")
+    last = names.groupBy(F.col("src_ip").alias("ip")).agg(F.max(at("name"))["name"].alias("_last"))
+    first = clients.filter("name <> ''").groupBy(F.col("src_ip").alias("ip")).agg(F.min(at("name"))["name"].alias("_first"))
+    out = out.join(last, "ip", "full").join(first, "ip", "full")
+    return out.withColumn("hostname", F.coalesce("_last", "_first")).drop("_last", "_first")
 
 
 def asset_type(vendor: Column, conn_in: Column, conn_out: Column, ssh: Column) -> Column:
@@ -234,11 +264,12 @@ def detections_for_ip(alerts: DataFrame, n: int = 10) -> DataFrame:
 
 
 def fleet_analytics(cards: DataFrame) -> DataFrame:
-    """Counts by type and risk band, coverage of fields in percent, mean maturity."""
+    """Counts by type, risk band and maturity band, coverage of fields in percent (role: a type that is known), mean maturity."""
     kinds = [F.count_if(F.col("asset_type") == k).alias(f"n_{k}") for k in ("workstation", "server", "docker", "iot", "network_device")]
     risks = [F.count_if(F.col("risk_level") == k).alias(f"risk_{k}") for k in ("critical", "high", "medium", "low")]
-    cover = [F.round(100.0 * F.count_if(F.coalesce(F.col(c) != "", F.lit(False))) / F.count(F.lit(1)), 1).alias(f"{c}_pct") for c in ("hostname", "vendor", "os_hint")]
-    return cards.agg(F.count(F.lit(1)).alias("assets"), *kinds, *risks, *cover, F.round(F.avg("maturity"), 1).alias("mean_maturity"))
+    cover = [F.round(100.0 * F.count_if(F.coalesce(F.col(c) != "", F.lit(False))) / F.count(F.lit(1)), 1).alias(f"{c}_pct") for c in ("hostname", "vendor", "os_hint", "asset_type")]
+    bands = [F.count_if(F.col("maturity_band") == k).alias(f"n_{k}") for k in ("mature", "learning", "sparse")]
+    return cards.agg(F.count(F.lit(1)).alias("assets"), *kinds, *risks, *bands, *cover, F.round(F.avg("maturity"), 1).alias("mean_maturity"))
 
 
 def fleet_top(cards: DataFrame, n: int = 10) -> DataFrame:
@@ -258,6 +289,28 @@ def fingerprint_coverage(ssl: DataFrame, http: DataFrame, conn: DataFrame) -> Da
     return every.join(named, "src_ip", "left").agg(F.count(F.lit(1)).alias("assets"), F.count("named").alias("fingerprinted"), (F.count(F.lit(1)) - F.count("named")).alias("flow_only"), F.round(100.0 * F.count("named") / F.count(F.lit(1)), 1).alias("pct"))
 
 
+# The protocols whose tables count for the coverage.
+INSPECTED = ("dns", "http", "ssl", "ssh", "dhcp", "ftp", "smtp", "kerberos", "ntlm", "rdp")
+#: Columns that tell an application, by table.
+FINGERPRINTS = {"ssl": ("ja3", "ja3s", "server_name"), "http": ("user_agent",)}
+
+
+def deep_inspection(lake: dict[str, DataFrame]) -> DataFrame:
+    """Shares in percent of the inspected protocols that have events (protocol_coverage), of flows (flow_coverage: 100 or 0), and
+    their mean (hybrid_coverage), each half to even; assets, those with any fingerprint, and those known from flows alone.
+    """
+    parts = []
+    for name, df in lake.items():
+        told = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) != "", F.lit(False)) for c in FINGERPRINTS.get(name, ()) if c in df.columns], F.lit(False))
+        parts.append(df.select(F.lit(name).alias("log_type"), F.col("src_ip") if "src_ip" in df.columns else F.lit(None).cast("string").alias("src_ip"), told.alias("told")))
+    rows = reduce(DataFrame.unionByName, parts).groupBy("log_type", "src_ip").agg(F.max("told").alias("told"))
+    hosts = rows.filter("src_ip IS NOT NULL").groupBy("src_ip").agg(F.max("told").alias("told")).agg(F.count(F.lit(1)).alias("total_assets"), F.count_if("told").alias("fingerprinted"))
+    present = rows.groupBy("log_type").agg(F.lit(1).alias("one")).agg(F.count_if(F.col("log_type").isin(*INSPECTED)).alias("n"), F.count_if(F.col("log_type") == "conn").alias("flows"))
+    share = F.bround(100.0 * F.col("n") / len(INSPECTED)).cast("int")
+    rows = present.select(share.alias("protocol_coverage"), (F.col("flows") * 100).cast("int").alias("flow_coverage")).crossJoin(F.broadcast(hosts))  # one row each
+    return rows.select("protocol_coverage", "flow_coverage", F.bround((F.col("protocol_coverage") + F.col("flow_coverage")) / 2).cast("int").alias("hybrid_coverage"), "total_assets", "fingerprinted", (F.col("total_assets") - F.col("fingerprinted")).alias("flow_only"))
+
+
 def distinct_hosts(conn: DataFrame) -> DataFrame:
     """Number of different addresses on either side."""
     return conn.select(F.col("src_ip").alias("ip")).union(conn.select("dst_ip")).filter("ip IS NOT NULL").distinct().agg(F.count(F.lit(1)).alias("hosts"))

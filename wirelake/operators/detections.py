@@ -105,12 +105,16 @@ def alert_activity(alerts: DataFrame, signals: DataFrame, within_ms: int = 900_0
     a = alerts.select(F.col("id").alias("alert_id"), F.col("event_time").alias("alert_time"), ids()).filter("ftx_id <> ''")
     s = signals.select("id", "event_time", "src_ip", "dst_ip", "evidence", ids()).filter("ftx_id <> ''")
     near = F.abs(F.col("event_time") - F.col("alert_time")) <= within_ms
+    bucket = lambda c: F.floor(F.col(c) / within_ms)
     held = ["alert_id", "id", "event_time", "src_ip", "dst_ip", "evidence"]
-    rows = a.join(s, "ftx_id").filter(near).dropDuplicates(["alert_id", "id"]).select(held)
+    # a log id that is used again meets its alerts in three stretches of time alone
+    timed = a.withColumn("_bucket", F.explode(F.array(*(bucket("alert_time") + i for i in (-1, 0, 1)))))
+    rows = timed.join(s.withColumn("_bucket", bucket("event_time")), ["ftx_id", "_bucket"]).filter(near).dropDuplicates(["alert_id", "id"]).select(held)
     known = a.join(s.select("ftx_id"), "ftx_id", "left_semi").select("alert_id").distinct()
     rest = alerts.filter("signal_id <> '' AND asset_id <> ''").select(F.col("id").alias("alert_id"), F.col("event_time").alias("alert_time"), "signal_id", "asset_id").join(known, "alert_id", "left_anti")
     latest = Window.partitionBy("signal_id", "asset_id").orderBy(F.col("event_time").desc(), F.col("id").desc())
-    last = signals.select("id", "event_time", "src_ip", "dst_ip", "evidence", "signal_id", "asset_id").withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= newest)
+    asked = rest.select("signal_id", "asset_id").distinct()
+    last = signals.join(asked, ["signal_id", "asset_id"], "left_semi").select("id", "event_time", "src_ip", "dst_ip", "evidence", "signal_id", "asset_id").withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= newest)
     rows = rows.unionByName(rest.join(last, ["signal_id", "asset_id"]).filter(near).dropDuplicates(["alert_id", "id"]).select(held))
     pick = lambda *names: F.coalesce(*(F.get_json_object("evidence", f"$.features.{n}").try_cast("long") for n in names), F.lit(0))
     return rows.groupBy("alert_id", F.floor(F.col("event_time") / 60_000).cast("long").alias("minute")).agg(

@@ -185,8 +185,13 @@ def dns_http_conn(dns: DataFrame, http: DataFrame, conn: DataFrame, n: int = 50)
     d = d.orderBy("src_ip", "event_time", "dns_id").limit(n)  # and so does each of their lookups
     before = F.sum("joined").over(Window.orderBy("src_ip", "event_time", "dns_id").rowsBetween(Window.unboundedPreceding, -1))  # n rows at most
     d = d.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < n).drop("joined", "before")
-    h = http.select("src_ip", "dst_ip", F.col("flow_id").alias("http_id"), "host")
-    c = conn.select("src_ip", "dst_ip", F.col("flow_id").alias("conn_id"), "orig_bytes")
+    # of a lookup's rows only the first n are asked for: so only the first n requests that have connections, and n connections of each pair
+    sources = F.broadcast(d.select("src_ip").distinct())
+    met = conn.join(sources, "src_ip", "left_semi").select("src_ip", "dst_ip").distinct()
+    h = http.join(sources, "src_ip", "left_semi").join(met, ["src_ip", "dst_ip"], "left_semi").select("src_ip", "dst_ip", F.col("flow_id").alias("http_id"), "host")
+    h = h.withColumn("_rank", F.row_number().over(Window.partitionBy("src_ip").orderBy("http_id", "dst_ip"))).filter(F.col("_rank") <= n).drop("_rank")
+    c = conn.join(sources, "src_ip", "left_semi").select("src_ip", "dst_ip", F.col("flow_id").alias("conn_id"), "orig_bytes")
+    c = c.withColumn("_rank", F.row_number().over(Window.partitionBy("src_ip", "dst_ip").orderBy("conn_id"))).filter(F.col("_rank") <= n).drop("_rank")
     out = F.broadcast(d).join(h, "src_ip").join(c, ["src_ip", "dst_ip"])
     return out.select("src_ip", "dst_ip", "event_time", "dns_id", "http_id", "conn_id", "query", "host", "orig_bytes").orderBy("src_ip", "event_time", "dns_id", "http_id", "conn_id").limit(n)
 

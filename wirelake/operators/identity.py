@@ -18,13 +18,16 @@ FEW = 200_000
 DEFAULT_LEASE_S = 3600
 
 
-def dhcp_bindings(dhcp: DataFrame) -> DataFrame:
-    """event_time, mac (upper case), ip, hostname (lower case), lease_s of events that hold a MAC and an address."""
+def dhcp_bindings(dhcp: DataFrame, raw: bool = False) -> DataFrame:
+    """event_time, mac (upper case), ip, hostname (lower case), lease_s of events that hold a MAC and an address.
+
+    raw: also raw_mac, the MAC as the event writes it, by which vendors are looked up.
+    """
     ip = F.nullif(F.col("assigned_addr"), F.lit(""))
     if "client_addr" in dhcp.columns:
         ip = F.coalesce(ip, F.nullif(F.col("client_addr"), F.lit("")))
     lease = F.when(F.col("lease_time") > 0, F.col("lease_time")).otherwise(DEFAULT_LEASE_S)
-    rows = dhcp.select("event_time", F.upper("mac").alias("mac"), ip.alias("ip"), F.lower(F.trim(F.coalesce("host_name", F.lit("")))).alias("hostname"), lease.alias("lease_s"))
+    rows = dhcp.select("event_time", F.upper("mac").alias("mac"), ip.alias("ip"), F.lower(F.trim(F.coalesce("host_name", F.lit("")))).alias("hostname"), lease.alias("lease_s"), *([F.col("mac").alias("raw_mac")] if raw else []))
     return rows.filter("mac <> '' AND ip IS NOT NULL")
 
 
@@ -165,6 +168,14 @@ def asset_columns(events: DataFrame, bindings: DataFrame, ids: DataFrame, types:
     return rows.withColumn("asset_type", F.coalesce("_kind", F.lit(""))).drop("mac", "_by_mac", "_mac_asset", "_by_ip", "_ip_asset", "_typed", "_kind")
 
 
+def with_asset(rows: DataFrame, bindings: DataFrame, ids: DataFrame, ip: str = "ip") -> DataFrame:
+    """rows with asset_id: of the MAC that holds the address at event_time, else of the address; null where neither is known."""
+    by_mac = ids.filter("mac IS NOT NULL").select(F.col("mac").alias("_by_mac"), F.col("asset_id").alias("_mac_asset"))
+    by_ip = ids.filter("ip IS NOT NULL").select(F.col("ip").alias("_by_ip"), F.col("asset_id").alias("_ip_asset"))
+    found = resolve_ip(rows, bindings, ip).join(by_mac, F.col("mac") == F.col("_by_mac"), "left").join(by_ip, F.col("mac").isNull() & (F.col(ip) == F.col("_by_ip")), "left")
+    return found.select(*(F.col(c) for c in rows.columns), F.coalesce("_mac_asset", "_ip_asset").alias("asset_id"))
+
+
 def fallback_assets(resolved: DataFrame, ip: str = "src_ip") -> DataFrame:
     """Trackable addresses seen without a lease, each its own asset: ip, first_seen."""
     rows = resolved.filter(F.col("mac").isNull() & S.is_trackable_ip(F.col(ip)))

@@ -430,6 +430,21 @@ _IDENT = f"""{_BIND}, v AS (SELECT b.*, vendor FROM b LEFT JOIN {_OUI} ON substr
  i3 AS (SELECT src_ip AS ip, min({{'t': event_time, 'v': {_OS}}}).v AS os_hint FROM http WHERE {_OS} <> '' GROUP BY 1),
  ident AS (SELECT coalesce(i1.ip, i2.ip, i3.ip) AS ip, mac, vendor, hostname, app, os_hint FROM i1 FULL JOIN i2 ON i1.ip = i2.ip FULL JOIN i3 ON coalesce(i1.ip, i2.ip) = i3.ip)"""
 add("identity_attributes", "dhcp ssl http", lambda d, s, h: assets.identity_attributes(identity.dhcp_bindings(d), s, h), "SELECT * FROM ident", _IDENT)
+add("identity_names", "dhcp ssl http ntlm kerberos", lambda d, s, h, n, k: assets.identity_attributes(identity.dhcp_bindings(d, raw=True), s, h, n, k),
+    "SELECT coalesce(ident.ip, nm.ip, kb.ip) AS ip, mac, vendor, coalesce(nm.name, kb.name) AS hostname, app, os_hint FROM ident FULL JOIN nm ON nm.ip = ident.ip FULL JOIN kb ON kb.ip = coalesce(ident.ip, nm.ip)",
+    _IDENT + """, nm AS (SELECT ip, max({'t': event_time, 'v': name}).v AS name FROM (SELECT ip, event_time, hostname AS name FROM b UNION ALL SELECT src_ip, event_time, hostname FROM ntlm) WHERE name <> '' GROUP BY 1),
+ kb AS (SELECT src_ip AS ip, min({'t': event_time, 'v': client}).v AS name FROM kerberos WHERE client <> '' GROUP BY 1)""")
+add("profiles_by_asset", P + " dhcp", lambda *f: assets.profiles_by_asset(_p(*f[:4]), identity.dhcp_bindings(f[4])).select("asset_id", "total_events", "conn_in", "conn_out", "bytes_out", "bytes_in", "dns_queries", "first_seen", "last_seen", "last_ip"))
+SQL["profiles_by_asset"] = _recursive(P + " dhcp", f""", {_SIDES},
+ y AS (SELECT x.*, b.mac FROM x ASOF LEFT JOIN (SELECT ip, event_time, max(mac) AS mac FROM b GROUP BY 1, 2) b ON x.ip = b.ip AND x.event_time >= b.event_time),
+ n AS (SELECT key, printf('AST-%04d', row_number() OVER (ORDER BY first_seen, key)) AS asset_id FROM (SELECT DISTINCT root AS key, first_seen FROM a UNION ALL SELECT ip, min(event_time) FROM y WHERE mac IS NULL GROUP BY 1)),
+ z AS (SELECT y.*, coalesce(m.asset_id, i.asset_id) AS asset_id FROM y LEFT JOIN (SELECT DISTINCT mac, root FROM a) r ON r.mac = y.mac LEFT JOIN n m ON m.key = r.root LEFT JOIN n i ON i.key = y.ip AND y.mac IS NULL)
+SELECT asset_id, count(*) AS total_events, count(*) FILTER (role = 'dst') AS conn_in, count(*) FILTER (role = 'src') AS conn_out, CAST(coalesce(sum(orig_bytes) FILTER (role = 'src'), 0) AS BIGINT) AS bytes_out, CAST(coalesce(sum(resp_bytes) FILTER (role = 'src'), 0) AS BIGINT) AS bytes_in,
+ count(*) FILTER (role = 'src' AND log_type = 'dns') AS dns_queries, min(event_time) AS first_seen, max(event_time) AS last_seen, max({{'t': event_time, 'v': ip}}).v AS last_ip FROM z GROUP BY 1""")
+add("deep_inspection", "conn dns http ssl dhcp ntlm kerberos", lambda *f: assets.deep_inspection(lake_of("conn dns http ssl dhcp ntlm kerberos")(*f)), """
+, e AS (SELECT src_ip FROM conn UNION SELECT src_ip FROM dns UNION SELECT src_ip FROM http UNION SELECT src_ip FROM ssl UNION SELECT src_ip FROM ntlm UNION SELECT src_ip FROM kerberos), f AS (SELECT src_ip FROM ssl WHERE ja3 <> '' UNION SELECT src_ip FROM http WHERE user_agent <> ''),
+ p AS (SELECT CAST(round_even(100.0 * ((SELECT count(*) > 0 FROM dns)::INT + (SELECT count(*) > 0 FROM http)::INT + (SELECT count(*) > 0 FROM ssl)::INT + (SELECT count(*) > 0 FROM dhcp)::INT + (SELECT count(*) > 0 FROM ntlm)::INT + (SELECT count(*) > 0 FROM kerberos)::INT) / 10, 0) AS INTEGER) AS z, CAST(100 * (SELECT count(*) > 0 FROM conn)::INT AS INTEGER) AS c)
+SELECT z AS protocol_coverage, c AS flow_coverage, CAST(round_even((z + c) / 2, 0) AS INTEGER) AS hybrid_coverage, (SELECT count(*) FROM e) AS total_assets, (SELECT count(*) FROM f) AS fingerprinted, (SELECT count(*) FROM e) - (SELECT count(*) FROM f) AS flow_only FROM p""".lstrip("\n"))
 _TYPE = "CASE " + " ".join(f"WHEN contains(lower(coalesce(vendor,'')), '{v}') THEN '{t}'" for v, t in refdata.VENDOR_TYPES) + " WHEN conn_in > 3 * conn_out AND conn_in > 50 THEN 'server' WHEN ssh_sessions > 10 AND conn_in > conn_out THEN 'server' ELSE 'workstation' END"
 CARDS = "conn dns http ssl dhcp alerts"
 _KNOWN = " + ".join(f"CASE WHEN coalesce(CAST({c} AS STRING), '') NOT IN ('', 'unknown') THEN 1 ELSE 0 END" for c in assets.MATURITY_FIELDS)
@@ -452,7 +467,7 @@ add("asset_card", "conn dns http ssl alerts", lambda c, d, h, s, a: assets.asset
     "SELECT p.ip, total_events, conn_in + conn_out AS connections, CASE WHEN last_seen > first_seen THEN round(total_events / ((last_seen - first_seen) / 1000.0), 2) ELSE 0.0 END AS eps, CASE WHEN conn_out > 0 THEN round(conn_in / conn_out, 2) ELSE CAST(conn_in AS DOUBLE) END AS in_out_ratio, coalesce(risk_score, 0) AS risk_score, CASE WHEN coalesce(risk_score, 0) >= 70 THEN 'critical' WHEN coalesce(risk_score, 0) >= 50 THEN 'high' WHEN coalesce(risk_score, 0) >= 30 THEN 'medium' ELSE 'low' END AS risk_level FROM p LEFT JOIN (SELECT asset_id AS ip, max(risk_score) AS risk_score FROM alerts GROUP BY 1) r ON r.ip = p.ip", _X)
 add("list_assets", CARDS, lambda *f: assets.list_assets(_cards(*f), "vm", number=1, size=20).select("ip", "vendor", "risk_score"), "SELECT ip, vendor, risk_score FROM cards WHERE contains(lower(coalesce(vendor,'')), 'vm') OR contains(lower(coalesce(hostname,'')), 'vm') OR contains(ip, 'vm') OR contains(asset_type, 'vm') ORDER BY risk_score DESC, ip LIMIT 20", _CARDS)
 _COVER = lambda c: f"round(100.0 * count(*) FILTER (coalesce({c}, '') <> '') / count(*), 1) AS {c}_pct"
-add("fleet_analytics", CARDS, lambda *f: assets.fleet_analytics(_cards(*f)), "SELECT count(*) AS assets, " + ", ".join(f"count(*) FILTER (asset_type = '{k}') AS n_{k}" for k in ("workstation", "server", "docker", "iot", "network_device")) + ", " + ", ".join(f"count(*) FILTER (risk_level = '{k}') AS risk_{k}" for k in detections.SEVERITIES) + ", " + ", ".join(map(_COVER, ("hostname", "vendor", "os_hint"))) + ", round(avg(maturity), 1) AS mean_maturity FROM cards", _CARDS)
+add("fleet_analytics", CARDS, lambda *f: assets.fleet_analytics(_cards(*f)), "SELECT count(*) AS assets, " + ", ".join(f"count(*) FILTER (asset_type = '{k}') AS n_{k}" for k in ("workstation", "server", "docker", "iot", "network_device")) + ", " + ", ".join(f"count(*) FILTER (risk_level = '{k}') AS risk_{k}" for k in detections.SEVERITIES) + ", " + ", ".join(f"count(*) FILTER ({c}) AS n_{k}" for k, c in (("mature", "maturity >= 70"), ("learning", "maturity >= 40 AND maturity < 70"), ("sparse", "maturity < 40"))) + ", " + ", ".join(map(_COVER, ("hostname", "vendor", "os_hint", "asset_type"))) + ", round(avg(maturity), 1) AS mean_maturity FROM cards", _CARDS)
 add("fleet_top", CARDS, lambda *f: assets.fleet_top(_cards(*f)), "SELECT ip, eps, total_events FROM cards ORDER BY eps DESC, ip LIMIT 10", _CARDS)
 add("fleet_bottom", CARDS, lambda *f: assets.fleet_bottom(_cards(*f)), "SELECT ip, maturity FROM cards ORDER BY maturity, ip LIMIT 10", _CARDS)
 add("role_index", CARDS, lambda *f: assets.role_index(_cards(*f)), "SELECT DISTINCT asset_type, ip FROM cards", _CARDS)
