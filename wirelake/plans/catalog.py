@@ -568,3 +568,64 @@ SELECT flow_id, r.src_ip, round(CASE WHEN a.d > 0 THEN (bytes - a.m) / a.d ELSE
 add("shadow_promotion", "raw_signals", detections.shadow_promotion, f"SELECT *, CASE detection_method WHEN 'rule' THEN days >= 1 AND events >= 10 AND assets >= 1 WHEN 'zscore' THEN days >= 3 AND events >= 50 AND assets >= 5 WHEN 'hybrid' THEN days >= 5 AND events >= 75 AND assets >= 8 ELSE days >= 7 AND events >= 100 AND assets >= 10 END AS promoted FROM (SELECT signal_id, detection_method, count(DISTINCT {DAY}) AS days, count(*) AS events, count(DISTINCT asset_id) AS assets FROM raw_signals GROUP BY 1, 2)")
 add("auto_demotion", "alerts", lambda a: detections.auto_demotion(a.groupBy("signal_id").agg((F.count_if(F.col("status") == "resolved") / F.count(F.lit(1)) / 2).alias("fp_rate_7d"), (F.count_if(F.col("severity") == "high") / F.count(F.lit(1))).alias("drift_3d"), (F.count(F.lit(1)) / 30).alias("events_per_day_14d"))).select("signal_id", "action"), "SELECT signal_id, CASE WHEN fp >= 0.25 THEN 'shadow' WHEN drift >= 0.5 THEN 'retrain' WHEN per_day < 5 THEN 'review' ELSE 'keep' END AS action FROM (SELECT signal_id, count(*) FILTER (status = 'resolved') / count(*) / 2 AS fp, count(*) FILTER (severity = 'high') / count(*) AS drift, count(*) / 30 AS per_day FROM alerts GROUP BY 1)")
 add("activity_sessions", "conn", jobs.stream_sessions, ", o AS (SELECT src_ip, event_time, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY src_ip ORDER BY event_time) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM conn), g AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT src_ip, min(event_time) AS session_start, count(*) AS n FROM g GROUP BY src_ip, k")
+
+# --- streams -----------------------------------------------------------------------------------------
+
+
+def _drained(df: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives once it has read all there is: the last result in complete mode, all batches' rows in append mode."""
+    base = fresh_path(df.sparkSession, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={0 if mode == 'complete' else number}")
+
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out").select(*df.columns)
+
+
+def _stream(name: str, tables: str, build: Callable[..., DataFrame], mode: str, sql: str, extra: str = "") -> None:
+    """build gets the tables as streams."""
+    names = tables.split()
+    QUERIES[name] = lambda spark, sf_dir: _drained(build(*(fixtures.stream(spark, sf_dir, n) for n in names)), mode)
+    SQL[name] = "WITH " + ", ".join([f"{n} AS ({fixtures.sql(n)})" for n in names] + ([extra] if extra else [])) + (sql if sql.startswith(",") else " " + sql)
+
+
+_stream("stream_profiles", P, lambda *f: jobs.stream_profiles(_p(*f)), "complete", "SELECT * FROM p", _X)
+_stream("stream_thresholds", "conn", lambda c: jobs.stream_threshold_signals(c, "src_ip", "conn_state IN ('REJ', 'S0')", 3, "1 hour"), "complete", "SELECT src_ip AS entity, (event_time // 3600000) * 3600000 AS window_start, count(*) AS n FROM conn WHERE conn_state IN ('REJ','S0') GROUP BY 1, 2 HAVING count(*) >= 3")
+
+
+def _minutes(conn: DataFrame) -> DataFrame:
+    late = F.col("event_time") + F.col("src_port") % 7000
+    found = jobs.stream_metrics(conn.select("event_time", late.alias("ingest_time"), F.lit("conn").alias("log_type")))
+    return found.select(F.unix_millis("window.start").alias("window_start"), "log_type", "events", *(f"le_{b}" for b in S.LATENCY_MS), "slow")
+
+
+_LATE = "src_port % 7000"
+_BUCKETS = ", ".join(f"count(*) FILTER ({_LATE} <= {b} AND {_LATE} > {a}) AS le_{b}" for a, b in zip((-1, *S.LATENCY_MS[:-1]), S.LATENCY_MS, strict=True))
+_stream("stream_metrics", "conn", _minutes, "complete", f"SELECT (event_time // 60000) * 60000 AS window_start, 'conn' AS log_type, count(*) AS events, {_BUCKETS}, count(*) FILTER ({_LATE} > {S.LATENCY_MS[-1]}) AS slow FROM conn GROUP BY 1")
+_stream("stream_alert_rules", "http", lambda h: jobs.stream_alert_rules(h.select("event_time", F.lit("errors").alias("metric"), (F.col("status_code") >= 400).cast("long").alias("value")), "errors", 1, "1 hour", "20 minutes"), "complete",
+    "SELECT 'errors' AS metric, w AS window_start, CAST(sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END) AS BIGINT) AS \"value\" FROM (SELECT status_code, unnest([k * 1200000, (k - 1) * 1200000, (k - 2) * 1200000]) AS w FROM (SELECT *, event_time // 1200000 AS k FROM http)) GROUP BY 2 HAVING sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END) > 1")
+
+
+def _chains(signals: DataFrame) -> DataFrame:
+    return jobs.stream_correlation(signals.withColumn("asset_id", F.substring_index("asset_id", ".", 3)), ("SIG-000", "SIG-004", "SIG-008"), 86_400_000)
+
+
+QUERIES["stream_correlation"] = lambda spark, sf_dir: _drained(_chains(fixtures.stream(spark, sf_dir, "raw_signals")), "append")
+SQL["stream_correlation"] = f"SELECT asset_id, start_time, end_time FROM ({SQL['correlate_use_case']})"
+_PORTS = "SELECT * FROM VALUES (443, 'https'), (22, 'ssh') AS t(dst_port, port_name)"
+_stream("stream_lookup", "conn", lambda c: jobs.stream_lookup(c.select("flow_id", "dst_port"), c.sparkSession.sql(_PORTS), "dst_port"), "append", "SELECT dst_port, flow_id, CASE dst_port WHEN 443 THEN 'https' WHEN 22 THEN 'ssh' END AS port_name FROM conn")
+
+
+def _stream_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lake of a stream, compacted into another; the rows of its last day by hour."""
+    base = fresh_path(spark, "lake")
+    rows = fixtures.stream(spark, sf_dir, "dns").filter(F.col("event_time") >= NOW_MS - 259_200_000).withColumns({"log_type": F.lit("dns"), "ingest_time": F.col("event_time"), "ftx_id": F.col("flow_id")})
+    jobs.stream_to_lake(rows, f"{base}/fresh", f"{base}/cp", available_now=True).awaitTermination()
+    files.compact_hours(spark, f"{base}/fresh", f"{base}/lake", NOW_MS)
+    dns = files.open_lake(spark, f"{base}/lake", ("dns",), views=False)["dns"]
+    return in_window(dns, "24h", NOW_MS).groupBy("day", "hour").agg(F.count(F.lit(1)).alias("n"), F.count("query").alias("named"))
+
+
+QUERIES["stream_lake"] = _stream_lake
+SQL["stream_lake"] = f"WITH dns AS ({fixtures.sql('dns')}) SELECT CAST(day(t) AS INTEGER) AS day, CAST(hour(t) AS INTEGER) AS hour, count(*) AS n, count(query) AS named FROM (SELECT *, TIMESTAMP '1970-01-01' + to_milliseconds(event_time) AS t FROM dns) WHERE event_time >= {NOW_MS - 86400000} GROUP BY 1, 2"
