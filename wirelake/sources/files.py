@@ -90,6 +90,8 @@ def open_lake(spark: SparkSession, base: str, types: tuple[str, ...] = schemas.L
                 if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                     raise
                 continue
+            if declared and not rows.inputFiles():
+                continue
             found[name] = rows.drop("log_type", "batch")
             if views:
                 found[name].createOrReplaceTempView(name)
