@@ -365,6 +365,30 @@ def test_toxicity_odd(spark, odd, empty):
     assert out.columns == odd.columns and out.count() == len(ODD)
 
 
+def test_scores_equal_a_plain_forward_pass(spark):
+    """Every filter at every position of every text, by loops, against the batched scores."""
+    rng = np.random.default_rng(6)
+    k = len(toxicity.WIDTHS)
+    normal = lambda *shape: rng.normal(0, 0.5, shape).astype(np.float32)
+    model = toxicity.Model(normal(toxicity.ROWS, toxicity.DIM), [normal(w, toxicity.DIM, toxicity.FILTERS) for w in toxicity.WIDTHS], normal(k, toxicity.FILTERS), normal(k * toxicity.FILTERS), -0.2)
+    texts = ["", "one", "one two", "One two, three! four", "é ü", SAME * 3, None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(frame, model).collect()}
+    for i, text in enumerate(texts):
+        words = []
+        for word in toxicity.words_of(text or ""):
+            rows, _ = toxicity.hashed([word])
+            words.append(sum((model.table[r].astype(np.float64) for r in rows), np.zeros(toxicity.DIM)))
+        padded = words + [np.zeros(toxicity.DIM)] * (toxicity.PAD + 1)
+        pooled = []
+        for q, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float((padded + [np.zeros(toxicity.DIM)] * width)[p + j] @ model.filters[q][j][:, f].astype(np.float64)) for j in range(width)) for p in range(len(words) + toxicity.PAD + 1))
+                pooled.append(max(0.0, best + float(model.bias[q][f])))
+        z = sum(a * float(b) for a, b in zip(pooled, model.out)) + model.shift
+        assert abs(found[i] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 def test_word_rows():
     words = [b"a", b"abc", b"abcd", b"loweilo", b"loweiig"]
     rows, starts = toxicity.hashed(words)
@@ -411,6 +435,8 @@ def test_field_finds_altered_writing():
     kinds = lambda t: [(s["kind"], t[s["start"] : s["end"]]) for s in pii.all_spans(t, field)]
     assert ("phone", "212-555-0188") in kinds("please call 212-555-0188 today")
     assert ("card", "4111.1111.1111.1111") in kinds("the card 4111.1111.1111.1111 was used")
+    assert kinds("please mail user58[at]site8.example.com today") == [("email", "user58[at]site8.example.com")]
+    assert kinds("or write to jane at example dot com now") == [("email", "jane at example dot com")]
     assert kinds("we met on 2021-03-04 and 12 others came") == []
     text = "mail x.y@z.example.com or +1 (212) 555-0143 4111111111111111"
     assert {tuple(s) for s in plain_pii(text)} <= {(s["kind"], s["start"], s["end"]) for s in pii.all_spans(text, field)}
@@ -649,6 +675,29 @@ def test_neighbours_on_the_table(spark, sf):
     assert hits >= 0.9 * 10 * len(found)
 
 
+def recall(spark, vectors, every):
+    """Share of the ten true neighbours found, over all rows whose id is divisible by every."""
+    x = np.array(vectors, np.float64)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in ann.search(frame, F.col("vec_id") % every == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), every):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    return hits / (10 * len(range(0, len(x), every)))
+
+
+def test_neighbours_recall_on_larger_tables(spark):
+    """A hundred queries over the vectors of the larger table; five hundred over clustered ones."""
+    rows = [r["embedding"] for r in read_table(spark, "/root/testdata/sf0.1", "embeddings").orderBy("vec_id").collect()]
+    assert recall(spark, [v for v in rows if v is not None and any(v) and all(c is not None and np.isfinite(c) for c in v)], 20) >= 0.9
+    rng = np.random.default_rng(17)
+    assert recall(spark, rng.normal(0, 1, (100, 32))[rng.integers(0, 100, 10_000)] + rng.normal(0, 0.3, (10_000, 32)), 20) >= 0.9
+
+
 # --- chat --------------------------------------------------------------------------------------------
 
 

@@ -33,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents at most that the weights are learnt from, taken in the order of a hash of doc_id.
 TRAIN_DOCS = 4000
 TRAIN_WINDOWS = 300
+#: Altered copies of each built-in example that holds an entity.
+COPIES = 40
 MAX_TOKENS = 16
 #: Characters round a trigger that a window holds.
 BEFORE, AFTER = 48, 48
@@ -162,7 +164,7 @@ def _padded(text: str, lo: int, hi: int, left: bool, right: bool) -> tuple[int,
     return start, text[start:end], lo, hi
 
 
-N_FEATURES = 35
+N_FEATURES = 36
 
 
 def _features(text: str, start: int, end: int, cue: str) -> list[int]:
@@ -187,6 +189,8 @@ def _features(text: str, start: int, end: int, cue: str) -> list[int]:
         on.append(16 if span[0] in "+(" else 17)
     if letters and not at and not worded:
         on.append(18)
+    if letters and _INNER_SPACE.search(_WORDED.sub("", span)):
+        on.append(35)  # more words than an address is written with
     on.append(19 if not marks else 20 if len(marks - {" "}) <= 1 else 21 if not marks - set(" +().-") else 22)
     on.append(23 if span[0].isdigit() else 24 if span[0] in "+(" else 25 if span[0].isalpha() else 26)
     clean = (start == 0 or not (text[start - 1].isalnum() or text[start - 1] in "+@._-")) and (end == len(text) or not (text[end].isalnum() or text[end] in "@_-"))
@@ -199,6 +203,8 @@ def _features(text: str, start: int, end: int, cue: str) -> list[int]:
 
 _DIGIT_RUNS = re.compile(r"[0-9]+")
 _AT_WORD = re.compile(r"\((?:at)\)|\[(?:at)\]|\sat\s")
+_WORDED = re.compile(r"\s*(?:\((?:at|dot)\)|\[(?:at|dot)\])\s*|\s(?:at|dot)(?=\s)\s")
+_INNER_SPACE = re.compile(r"\s")
 _DOT_WORD = re.compile(r"\((?:dot)\)|\[(?:dot)\]|\sdot\s")
 
 
@@ -373,6 +379,9 @@ def train(texts: list[str], seed: int = 7, rounds: int = 12) -> Field:
             examples.append((w, truth))
 
     texts = sorted(texts)
+    for text in _EXAMPLES:  # as often as the ways of writing need, whatever the sample holds
+        for _ in range(COPIES if base_spans(text) else 0):
+            take(*altered(text, base_spans(text), rng))
     for text in [*_EXAMPLES, *(rng.sample(texts, TRAIN_WINDOWS) if len(texts) > TRAIN_WINDOWS else texts)]:
         spans = base_spans(text)
         take(text, spans)
