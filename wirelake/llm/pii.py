@@ -164,7 +164,7 @@ def _padded(text: str, lo: int, hi: int, left: bool, right: bool) -> tuple[int,
     return start, text[start:end], lo, hi
 
 
-N_FEATURES = 36
+N_FEATURES = 37
 
 
 def _features(text: str, start: int, end: int, cue: str) -> list[int]:
@@ -191,6 +191,8 @@ def _features(text: str, start: int, end: int, cue: str) -> list[int]:
         on.append(18)
     if letters and _INNER_SPACE.search(_WORDED.sub("", span)):
         on.append(35)  # more words than an address is written with
+    if worded and _ADDRESS.fullmatch(span):
+        on.append(36)
     on.append(19 if not marks else 20 if len(marks - {" "}) <= 1 else 21 if not marks - set(" +().-") else 22)
     on.append(23 if span[0].isdigit() else 24 if span[0] in "+(" else 25 if span[0].isalpha() else 26)
     clean = (start == 0 or not (text[start - 1].isalnum() or text[start - 1] in "+@._-")) and (end == len(text) or not (text[end].isalnum() or text[end] in "@_-"))
@@ -205,6 +207,8 @@ _DIGIT_RUNS = re.compile(r"[0-9]+")
 _AT_WORD = re.compile(r"\((?:at)\)|\[(?:at)\]|\sat\s")
 _WORDED = re.compile(r"\s*(?:\((?:at|dot)\)|\[(?:at|dot)\])\s*|\s(?:at|dot)(?=\s)\s")
 _INNER_SPACE = re.compile(r"\s")
+#: The shape of a written-out address as a whole.
+_ADDRESS = re.compile(r"[\w.%+-]++\s*(?:\(at\)|\[at\]|(?<=\s)at(?=\s))\s*[\w-]++(?:\s*(?:\.|\((?:dot)\)|\[(?:dot)\]|(?<=\s)dot(?=\s))\s*[\w-]++)++")
 _DOT_WORD = re.compile(r"\((?:dot)\)|\[(?:dot)\]|\sdot\s")
 
 
