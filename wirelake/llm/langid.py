@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import batch_of, bounded_batches, text_of
+from wirelake.llm.common import batch_of, bounded_batches, text_of, written
 
 UNKNOWN = "und"
 #: Pieces of each language's dictionary at most, and characters of each.
@@ -94,8 +94,13 @@ def fit(documents: DataFrame) -> Model:
     labelled = documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text_of().alias("text")).filter(F.col("text").rlike(r"\p{L}"))
     labelled = labelled.select("lang", "text", F.xxhash64("text").alias("mark"))
     # one row for each different text, so that many copies are one piece; then the first of each language
-    marks = labelled.groupBy("lang", "mark").agg(F.count(F.lit(1)).alias("n"))
-    ranked = marks.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).filter(F.col("rank") <= PIECES)
+    marks = written(labelled.groupBy("lang", "mark").agg(F.count(F.lit(1)).alias("n")), "marks")
+    known = {r["lang"]: r for r in marks.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).collect()}  # a row for each language
+    # hashes are spread evenly, so that the first ones of a language lie below a bound known from their number
+    low = F.lit(False)
+    for lang, r in known.items():
+        low = F.when(F.col("lang") == lang, F.col("mark") <= min((1 << 63) - 1, (1 << 64) * 4 * PIECES // r["texts"] - (1 << 63))).otherwise(low)
+    ranked = marks.filter(low).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).filter(F.col("rank") <= PIECES)
     place = F.pmod(F.col("mark"), F.greatest(F.char_length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1
     piece = F.substring(F.col("text"), place, F.lit(PIECE))
     sample = labelled.join(F.broadcast(ranked.select("lang", "mark")), ["lang", "mark"], "left_semi")  # PIECES rows a language
@@ -104,8 +109,7 @@ def fit(documents: DataFrame) -> Model:
     for lang, mark, text in sample.collect():
         if words := words_of(text):
             pieces.setdefault(lang, []).append((mark, words))
-    rows = {r["lang"]: r["n"] for r in marks.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    order = sorted(pieces, key=lambda lang: (-rows[lang], lang))
+    order = sorted(pieces, key=lambda lang: (-known[lang]["n"], lang))
     return Model({lang: b" ".join(words for _, words in sorted(pieces[lang])) for lang in order})
 
 
