@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from wirelake.llm import ann, chat, fingerprint, jaccard, linetemplates, mixing, packing, pii, queries, secrets, toxicity
@@ -780,6 +781,34 @@ def test_fingerprints_odd(odd, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def test_next_documents_with_hot_ids(spark):
+    rng = random.Random(16)
+    rows = [(rng.choice([None, 7, 7, 7, rng.randrange(-50, 4000)]), f"text {rng.randrange(700)}") for _ in range(3000)]
+    rows += [(-(1 << 63), "least"), ((1 << 63) - 1, "most"), (8, None), (9, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def place(row):
+        text = (row[1] or "").encode()
+        return -(1 << 63) if row[0] is None else row[0], xxhash.xxh64_intdigest(text, 42) >> 1, text
+
+    order = sorted(rows, key=place)
+    pairs = sorted((place(a), (order[(i + 1) % len(order)][1] or "").encode()) for i, a in enumerate(order))
+    for range_rows, most in ((10_000, 8), (100, 1000), (100, 4), (20, 3)):
+        ranges = collections.defaultdict(list)
+        for r in fingerprint.with_next(frame, range_rows, most).collect():
+            ranges[r["block"], r["slice"], r["part"]].append(r)
+        got = []
+        for own in ranges.values():
+            own.sort(key=lambda r: (r["copy"], *(place(r) if not r["copy"] else ())))
+            assert [r["copy"] for r in own] == [False] * (len(own) - 1) + [True]
+            got += [(place(a), b["text"].encode()) for a, b in zip(own, own[1:], strict=False)]
+        assert sorted(got) == pairs
+        # an id that fills several blocks is cut; one that fills less than a block may stay in one range
+        blocks = max(1, min(most, len(rows) // range_rows))
+        assert max(map(len, ranges.values())) <= 2 * len(rows) / blocks
+        assert blocks == 1 or sum(any(r["key"] == 7 for r in own) for own in ranges.values()) > blocks // 2
+
+
 # --- packing -----------------------------------------------------------------------------------------
 
 

@@ -9,13 +9,15 @@ Two fingerprints agree in a bin by chance with probability 2**-BITS; ``likeness`
 Words are lower-cased and lie between runs of space, tab, line ends, \\v and \\f. A text of fewer words
 than a shingle has counts as one shingle; one without words as one fixed shingle.
 
-Defined cases: a null text is the empty one; equal texts have equal fingerprints; equal ids are ordered by
-text; null ids come first; an empty table gives no rows; further columns are ignored.
+Defined cases: a null text is the empty one; equal texts have equal fingerprints; equal ids are ordered by a
+hash of their text, then by text; a null id counts as the smallest number; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ from wirelake.llm.common import text_of
 
 WORDS = 5
 BINS, BITS = 128, 4
-#: Rows that a range of ids holds at about, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 4000, 32768
+#: Rows that a range holds at about; blocks of ranges, and ranges in a slice of a block, at most.
+RANGE_ROWS, MOST_BLOCKS, MOST_PARTS = 4000, 32768, 64
 _TOP = BINS.bit_length() - 1
 
 
@@ -72,25 +74,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (F.size(F.array_intersect(a, b)) / BINS - chance) / (1 - chance))
 
 
-def with_next(documents: DataFrame) -> DataFrame:
-    """doc_id, text and the next row's text by ascending doc_id (then text), after the last the first's.
+def with_next(documents: DataFrame, range_rows: int = RANGE_ROWS, most: int = MOST_BLOCKS) -> DataFrame:
+    """doc_id, text, whether the row is a copy, and its range: block, slice, part; copies close their ranges.
 
-    Rows are dealt out by ranges of ids; each range also gets a copy of the first rows of the next one, so no
-    task sees more than its range. Ranges are bounds on ids alone: at most MOST_RANGES numbers reach the driver.
+    Rows are dealt out by ranges of (doc_id, hash of text), each also getting a copy of the first row of the next
+    one (the last range that of the first), so no task sees more than its range. An id that fills several blocks is
+    cut by the hashes of its texts. Only the bounds of the blocks, at most ``most`` numbers, reach the driver; where
+    blocks would hold more than ``range_rows`` rows, each is cut into parts by its own bounds. Rows of one id that
+    fill less than a block, and rows alike in id and text, stay in one range.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
-    n = rows.count()
-    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    bounds = sorted(set(rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0])) if ranges > 1 and n else []
-    place = _range(key, bounds)
-    firsts = rows.groupBy(place.alias("range")).agg(F.min(key).alias("first")).orderBy("range").collect()
-    before = {firsts[i]["first"]: firsts[i - 1]["range"] for i in range(len(firsts))}  # the first range's goes to the last one
-    copies = rows.filter(key.isin(list(before))) if before else rows.limit(0)
-    order = sorted(before)
-    to = F.get(_numbers([before[x] for x in order]), _range(key, order) - 1)
-    dealt = rows.select("doc_id", "text", place.alias("range"), F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "text", to.cast("int").alias("range"), F.lit(True).alias("copy")))
-    return dealt.repartition(max(len(firsts), 1), "range")
+    rows = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "hash": F.shiftrightunsigned(F.xxhash64("text"), 1)})
+    wanted = max(1, rows.count() // range_rows)
+    blocks = min(most, wanted)
+    found = rows.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks))).first()[0] if blocks > 1 else []
+    bounds = Counter(found)
+    order = sorted(bounds)
+    rows = rows.withColumns({"block": _range(F.col("key"), order), "slice": F.lit(0), "at": F.col("key")})
+    if any(n > 1 for n in bounds.values()):
+        # an id that is a bound n times has the rows of n blocks: these go by hash, the block's other ids behind them
+        n = F.get(_numbers([1, *(bounds[k] for k in order)]), F.col("block"))
+        hot = (n > 1) & (F.col("key") == F.get(_numbers([0, *order]), F.col("block")))
+        rows = rows.withColumns({"slice": F.when(hot, F.shiftright(F.shiftright("hash", 39) * n, 24)).otherwise(n).cast("int"), "at": F.when(hot, F.col("hash")).otherwise(F.col("key"))})
+    place = ["block", "slice", "part"]
+    parts = min(MOST_PARTS, -(-wanted // blocks))
+    if parts > 1:
+        cuts = rows.groupBy("block", "slice").agg(F.percentile_approx("at", [i / parts for i in range(1, parts)]).alias("cuts"))
+        rows = rows.join(F.broadcast(cuts), ["block", "slice"]).withColumn("part", F.size(F.filter("cuts", lambda x: x <= F.col("at"))))
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    # the ranges, at most 2 * most * MOST_PARTS rows of numbers, in one row of order: each one's first row goes to the one before
+    along = Window.orderBy(*place)
+    here = F.struct(*place)
+    before = F.coalesce(F.lag(here).over(along), F.last(here).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = rows.groupBy(*place).agg(F.min("at").alias("at")).select(*place, "at", before.alias("to"))
+    copies = rows.join(F.broadcast(firsts), [*place, "at"]).groupBy("to").agg(F.min(F.struct("hash", "text")).alias("row"))
+    copies = copies.select(F.lit(None).cast("long").alias("doc_id"), "row.text", F.lit(None).cast("long").alias("key"), "row.hash", F.lit(True).alias("copy"), *(F.col("to")[c].alias(c) for c in place))
+    dealt = rows.select("doc_id", "text", "key", "hash", F.lit(False).alias("copy"), *place).unionByName(copies)
+    return dealt.repartition(wanted, *place)
 
 
 def _numbers(values: list[int]) -> Column:
@@ -111,7 +132,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     The edited text has the last quarter of the characters replaced by as many from the next document's start.
     """
-    follow = Window.partitionBy("range").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
+    follow = Window.partitionBy("block", "slice", "part").orderBy("copy", "key", "hash", "text")
     rows = with_fingerprint(with_next(documents), "text", "bins")
     rows = rows.select("doc_id", "text", "bins", "copy", F.lead("text").over(follow).alias("next"), F.lead("bins").over(follow).alias("next_bins")).filter(~F.col("copy"))
     n = F.char_length("text")
