@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake import fixtures, refdata
+from wirelake import fixtures, refdata, schemas
 from wirelake.fixtures import NOW_MS
 from wirelake.functions import scalars as S
 from wirelake.operators import assets, detections, hunts, identity, logs, matching, network, normalize, rollup
@@ -104,6 +105,62 @@ add("normalize_ssl", "ssl", _typed("ssl", {**_ENDS, "id.resp_p": "dst_port", "ja
 add("normalize_dhcp", "dhcp", _typed("dhcp", {"uid": "flow_id", "mac": "mac", "assigned_addr": "assigned_addr", "host_name": "host_name", "lease_time": "CAST(lease_time AS int)"}, ["mac", "assigned_addr", "host_name", "lease_time"]), f"""SELECT flow_id, event_time, mac, assigned_addr, host_name, CAST(lease_time AS INTEGER) AS lease_time, {_WHEN}, '' AS direction, '' AS service FROM dhcp""")
 
 
+# --- every log type: connections dealt out to the 22 types, a field of each kind, numbers now and then as text ---
+
+
+def _shown(field: str, kind: str) -> tuple[str, str]:
+    """A field in a message as JSON text, and its typed value as text, both as SQL."""
+    own = {"uid": "flow_id", "id.orig_h": "src_ip", "id.resp_h": "dst_ip", "id.orig_p": "CAST(src_port AS STRING)", "id.resp_p": "CAST(dst_port AS STRING)", "proto": "'udp'"}
+    port = "CAST(dst_port AS STRING)"
+    if field == "ts":
+        return "CAST(CAST(event_time / 1000 AS BIGINT) AS STRING)", ""
+    if field in own:
+        return own[field] if kind == "int" else f"""concat('"', {own[field]}, '"')""", own[field]
+    if kind == "string":
+        return f"""concat('"{field}-', {port}, '"')""", f"concat('{field}-', {port})"
+    if kind == "boolean":
+        flag = "CASE WHEN dst_port < 1000 THEN 'true' ELSE 'false' END"
+        return flag, flag
+    if kind == "double":
+        return f"concat({port}, '.5')", f"concat({port}, '.5')"
+    return f"""CASE WHEN src_port % 5 = 0 THEN '"x"' ELSE {port} END""", f"CASE WHEN src_port % 5 = 0 THEN '~' ELSE {port} END"
+
+
+def _kept(log_type: str) -> list[str]:
+    """The raw fields with a column of their own."""
+    promoted = schemas.promotions(log_type)
+    return [f for f in schemas.raw_fields(log_type) if f not in promoted and not (log_type == "conn" and f == "service")]
+
+
+def _raw_message(log_type: str) -> str:
+    """A connection as a message of the type: below the type's key, or flat."""
+    fields = ", ',', ".join(f"""'"{f}":', {_shown(f, k)[0]}""" for f, k in schemas.raw_fields(log_type).items())
+    return f"""CASE WHEN dst_port % 2 = 0 THEN concat('{{"{log_type}":{{', {fields}, '}}}}') ELSE concat('{{"_path":"{log_type}",', {fields}, '}}') END"""
+
+
+def _every_type(conn: DataFrame) -> DataFrame:
+    tables = []
+    for i, log_type in enumerate(schemas.LOG_TYPES):
+        messages = conn.filter(F.col("src_port") % len(schemas.LOG_TYPES) == i).select(F.expr(_raw_message(log_type)).alias("value"))
+        good, _ = normalize.split_dead_letters(normalize.parse_envelope(messages, log_type=log_type))
+        table = normalize.project_table(good, log_type)
+        address = {c: F.col(c) if c in table.columns else F.lit(None).cast("string") for c in ("src_ip", "dst_ip")}
+        content = F.concat_ws("|", *(F.coalesce(F.col(schemas.table_column(log_type, f)).cast("string"), F.lit("~")) for f in _kept(log_type)))
+        tables.append(table.select(F.lit(log_type).alias("log_type"), "ftx_id", F.length("raw_log").alias("raw_chars"), "event_type", "event_class", "event_time", "flow_id", *(c.alias(n) for n, c in address.items()), "event_hour", "direction", content.alias("content")))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _every_type_sql(i: int, log_type: str) -> str:
+    fields = schemas.raw_fields(log_type)
+    content = ", ".join(_shown(f, fields[f])[1] for f in _kept(log_type))
+    src, dst, direction = ("src_ip", "dst_ip", DIRECTION) if schemas.has_network(log_type) else ("NULL", "NULL", "''")
+    return f"""SELECT '{log_type}' AS log_type, sha256(concat('{log_type}', raw)) AS ftx_id, CAST(length(raw) AS INTEGER) AS raw_chars, '{schemas.EVENT_TYPE[log_type]}' AS event_type, '{schemas.EVENT_CLASS[log_type]}' AS event_class, event_time, {"flow_id" if "uid" in fields else "NULL"} AS flow_id, {src} AS src_ip, {dst} AS dst_ip, {HOUR} AS event_hour, {direction} AS direction, concat_ws('|', {content}) AS content
+FROM (SELECT *, {_raw_message(log_type)} AS raw FROM conn WHERE src_port % {len(schemas.LOG_TYPES)} = {i})"""
+
+
+add("typed_tables", "conn", _every_type, " UNION ALL ".join(_every_type_sql(i, t) for i, t in enumerate(schemas.LOG_TYPES)))
+
+
 def _letters(conn: DataFrame) -> DataFrame:
     _, bad = normalize.split_dead_letters(normalize.parse_envelope(_messages(conn)))
     return bad.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
