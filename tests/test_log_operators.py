@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wirelake import fixtures, refdata
-from wirelake.operators import assets, detections, hunts, identity, logs, matching, network, normalize
+from wirelake.operators import assets, common, detections, hunts, identity, logs, matching, network, normalize
 from wirelake.sources import files
 
 
@@ -256,3 +256,10 @@ def test_asset_ids_over_ranges(spark):
         assert {r["mac"]: r["asset_id"] for r in identity.asset_ids(frame).collect()} == want
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_clean_result(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, double('NaN'), array(float('Infinity'), float(1)), timestamp'2024-01-01 00:00:00', date'2024-01-02'), (2, 0.5D, array(CAST(NULL AS float)), timestamp'2024-01-01 00:00:00.25', NULL), (3, NULL, NULL, NULL, NULL) AS t(n, `a.b`, c, t, d)")
+    found = [tuple(r) for r in common.clean_result(rows).orderBy("n").collect()]
+    assert found == [(1, None, [None, 1.0], "2024-01-01T00:00:00", "2024-01-02"), (2, 0.5, [None], "2024-01-01T00:00:00.250000", None), (3, None, None, None, None)]
+    assert common.clean_result(rows.limit(0)).count() == 0

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wirelake.functions import scalars as S
+
 #: Labels of time windows, in milliseconds; "all" has none.
 WINDOWS = {"1h": 3_600_000, "6h": 21_600_000, "24h": 86_400_000, "7d": 604_800_000, "30d": 2_592_000_000}
 _ALIASES = {"last hour": "1h", "last 1 hour": "1h", "last 6 hours": "6h", "last 24 hours": "24h", "last 7 days": "7d", "last 30 days": "30d", "all time": "all"}
@@ -132,3 +134,20 @@ def total_bytes() -> Column:
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
     return df.offset((number - 1) * size).limit(size)
+
+
+def clean_result(df: DataFrame) -> DataFrame:
+    """A result as it is handed out: numbers that are none or infinite become null (in arrays too), times ISO text."""
+
+    def cleaned(name: str, kind: str) -> Column:
+        c = F.col(f"`{name.replace('`', '``')}`")
+        if kind in ("double", "float"):
+            return S.finite_or_null(c)
+        if kind in ("array<double>", "array<float>"):
+            return F.transform(c, S.finite_or_null)
+        if kind in ("timestamp", "timestamp_ntz"):
+            whole = F.date_trunc("second", c) == c
+            return F.when(whole, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+        return c.cast("string") if kind == "date" else c
+
+    return df.select(*(cleaned(n, k).alias(n) for n, k in df.dtypes))

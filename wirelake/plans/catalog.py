@@ -13,7 +13,7 @@ from wirelake import fixtures, refdata, schemas
 from wirelake.fixtures import NOW_MS
 from wirelake.functions import scalars as S
 from wirelake.operators import assets, detections, hunts, identity, logs, matching, network, normalize, rollup
-from wirelake.operators.common import in_window, shared_folder, total_bytes
+from wirelake.operators.common import clean_result, in_window, shared_folder, total_bytes
 from wirelake.sources import files
 from wirelake.streaming import enrich, jobs
 from wirelake.streaming.profile_log import ProfileLog
@@ -182,6 +182,15 @@ SELECT source_id, CAST(sum(n) AS BIGINT) AS total, string_agg(protocol, ',' ORDE
 add("kafka_records", "dns", lambda d: files.kafka_records(d.select("flow_id", "query")), """SELECT flow_id AS "key", '{"flow_id":"' || flow_id || '","query":"' || query || '"}' AS "value" FROM dns""")
 add("dropped_packets", "raw_signals", lambda s: files.extract_dropped_packets(s.select(F.col("signal_id").alias("source"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("Dropped = "), (F.col("id") % 7).cast("string"), F.lit(" packets"))).when(F.col("id") % 3 == 1, "packet drop seen").otherwise("fine").alias("message"))),
     "SELECT signal_id AS source, CAST(sum(CASE WHEN id % 3 = 0 THEN id % 7 WHEN id % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM raw_signals GROUP BY 1")
+add("clean_result", "conn", lambda c: clean_result(c.select("flow_id", F.timestamp_millis(F.col("event_time") + F.col("dst_port") % 2).alias("at"), F.expr("CASE dst_port WHEN 53 THEN double('NaN') WHEN 22 THEN double('Infinity') WHEN 80 THEN double('-Infinity') ELSE orig_bytes / 2D END").alias("half"))), """
+SELECT flow_id, strftime(TIMESTAMP '1970-01-01' + to_milliseconds(event_time), '%Y-%m-%dT%H:%M:%S') || CASE WHEN dst_port % 2 = 1 THEN '.001000' ELSE '' END AS "at", CASE WHEN dst_port IN (53, 22, 80) THEN NULL ELSE orig_bytes / 2 END AS half FROM conn""")
+# requests as the log lines of three services
+_LINE = "CASE length(uri) % 5 WHEN 0 THEN concat('fine: ', uri) WHEN 1 THEN concat('Request FAILED ', flow_id) WHEN 2 THEN concat(repeat('x', 450), ' warn: slow ', flow_id) WHEN 3 THEN concat('packet drop, not critical ', flow_id) ELSE concat('error ', uri) END"
+_FILE, _LINE_NO = "concat('service-', CAST(status_code % 3 AS STRING))", "CAST(substr(flow_id, 2) AS BIGINT)"
+add("triage_lines", "http", lambda h: files.triage_lines(h.select(F.expr(_FILE).alias("file"), F.expr(_LINE_NO).alias("line_no"), F.expr(_LINE).alias("value"))), f"""
+, l AS (SELECT {_FILE} AS file, {_LINE_NO} AS line_no, {_LINE} AS value FROM http),
+k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no DESC) AS place FROM l WHERE regexp_matches(lower(value), 'critical|error|warning|warn|drop|failed|exception'))
+SELECT file, line_no, CASE WHEN value ILIKE '%critical%' THEN 'critical' WHEN value ILIKE '%error%' THEN 'error' WHEN value ILIKE '%warn%' THEN 'warning' WHEN value ILIKE '%drop%' THEN 'drop' ELSE 'info' END AS level, right(value, 400) AS line FROM k WHERE place <= 80""".lstrip("\n"))
 add("packet_text", "conn", lambda c: files.packet_rows(c.select(F.concat(F.format_string("%.3f", F.col("event_time") / 1000), F.lit(" IP "), "src_ip", F.lit("."), F.col("src_port").cast("string"), F.lit(" > "), "dst_ip", F.lit("."), F.col("dst_port").cast("string"), F.lit(": flags"))
     .alias("value")), F.lit("x")).drop("flow_id"), "SELECT event_time, src_ip, dst_ip, CAST(src_port AS INTEGER) AS src_port, CAST(dst_port AS INTEGER) AS dst_port, CASE WHEN concat(src_ip, '.', src_port, ' ', dst_ip, '.', dst_port) LIKE '%.67%' OR concat(src_ip, '.', src_port, ' ', dst_ip, '.', dst_port) LIKE '%.68%' THEN 'udp' ELSE 'ip' END AS protocol, CASE WHEN dst_port = 67 THEN 'dhcp' ELSE '' END AS service FROM conn")
 
