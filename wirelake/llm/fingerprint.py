@@ -27,7 +27,7 @@ from wirelake.llm.common import text_of
 WORDS = 5
 BINS, BITS = 128, 4
 #: Rows that a range holds at about; blocks of ranges, and ranges in a slice of a block, at most.
-RANGE_ROWS, MOST_BLOCKS, MOST_PARTS = 4000, 32768, 64
+RANGE_ROWS, MOST_BLOCKS, MOST_PARTS = 4000, 32768, 16
 _TOP = BINS.bit_length() - 1
 
 
