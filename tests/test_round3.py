@@ -16,3 +16,13 @@ def test_session_sql_leaves_no_tie_to_chance():
     assert given != body
     expected = [("a", 1000, 2), ("a", 9000000, 4)]
     assert sorted(duckdb.sql(body).fetchall()) == sorted(duckdb.sql(given).fetchall()) == expected
+
+
+def test_peer_estimates_follow_from_the_peers_alone(spark):
+    peers = spark.range(3000).selectExpr("'10.0.0.1' AS ip", "'src' AS role", "concat('10.1.', CAST(id % 30 AS STRING), '.', CAST(CAST(id / 30 AS INT) AS STRING)) AS peer", "'conn' AS log_type", "0L AS orig_bytes", "0L AS resp_bytes", "id AS event_time")
+    whole = assets.counters(peers.coalesce(1), sketched=True)
+    parts = [assets.counters(peers.filter(f"event_time % 3 = {k}").coalesce(1), sketched=True) for k in range(3)]
+    merged = assets.merge_profiles(assets.merge_profiles(parts[2], parts[0]), parts[1])
+    found = [tuple(assets.peer_estimates(df).collect()[0]) for df in (whole, merged)]
+    assert found[0] == found[1]
+    assert abs(found[0][1] - 3000) <= 150
