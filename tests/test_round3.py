@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 
-from wirelake.operators import assets
+from wirelake.operators import assets, matching
 from wirelake.plans import catalog
 
 
@@ -26,3 +26,14 @@ def test_peer_estimates_follow_from_the_peers_alone(spark):
     found = [tuple(assets.peer_estimates(df).collect()[0]) for df in (whole, merged)]
     assert found[0] == found[1]
     assert abs(found[0][1] - 3000) <= 150
+
+
+def test_scanner_addresses_are_split_once(spark):
+    rows = spark.createDataFrame([("10.0.3.7",), ("10.0.0.1",), ("10.0.4.7",), ("x",), (None,)], "src_ip string")
+    scanners = matching.blocks(spark, [["10.0.3.0/24", "scan"], ["10.0.0.1", "gate"]])
+    hits, rest = matching.scanner_hits(rows, scanners=scanners), matching.suppress_scanners(rows, scanners=scanners)
+    assert sorted(map(tuple, hits.select("src_ip", "owner").collect())) == [("10.0.0.1", "gate"), ("10.0.3.7", "scan")]
+    assert {r[0] for r in rest.collect()} == {"10.0.4.7", "x", None}
+    for df in (hits, rest):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(src_ip") <= 4  # one number takes four
