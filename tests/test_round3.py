@@ -6,6 +6,7 @@ import duckdb
 
 from wirelake.operators import assets, matching
 from wirelake.plans import catalog
+from wirelake.sources import files
 
 
 def test_session_sql_leaves_no_tie_to_chance():
@@ -37,3 +38,16 @@ def test_scanner_addresses_are_split_once(spark):
     for df in (hits, rest):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("split(src_ip") <= 4  # one number takes four
+
+
+def test_spread_bounds_a_task_by_the_splits(spark, sf):
+    key, cores = "spark.sql.files.maxPartitionBytes", spark.sparkContext.defaultParallelism
+    held = spark.conf.get(key)
+    try:
+        for size, expected in (("4k", None), ("40k", 4), ("128m", 4)):
+            spark.conf.set(key, size)
+            rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+            splits, dealt = rows.rdd.getNumPartitions(), files.spread(rows).rdd.getNumPartitions()
+            assert dealt == (splits if expected is None else max(cores, expected * splits))
+    finally:
+        spark.conf.set(key, held)
