@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import duckdb
 
-from wirelake.operators import assets, matching
+from wirelake.operators import assets, identity, matching
 from wirelake.plans import catalog
 from wirelake.sources import files
+from wirelake.streaming import enrich
 
 
 def test_session_sql_leaves_no_tie_to_chance():
@@ -51,3 +52,28 @@ def test_spread_bounds_a_task_by_the_splits(spark, sf):
             assert dealt == (splits if expected is None else max(cores, expected * splits))
     finally:
         spark.conf.set(key, held)
+
+
+def test_enrichment_keeps_no_copy_of_a_batch(spark, tmp_path):
+    batch = spark.createDataFrame([('{"conn":{"ts":1704067200.0,"uid":"C1","id.orig_h":"10.0.0.1","id.resp_h":"8.8.8.8"}}',), ("{broken",)], "value string")
+    held = {}
+    sink = lambda name: lambda rows, number: held.update({name: (rows.count(), spark._jsc.sc().getPersistentRDDs().size())})
+    enrich.enrich_job(str(tmp_path / "lake"), sink("records"), sink("letters"))(batch, 0)
+    assert held == {"records": (1, 0), "letters": (1, 0)}
+
+
+def test_asset_columns_move_no_events_for_few_bindings(spark):
+    events = spark.createDataFrame([("a", "10.0.0.1", 5), ("b", "10.0.0.1", 15), ("c", " 10.0.0.2", 5), ("d", "10.0.0.3", 5), ("e", None, 5), ("f", "10.0.0.1", 25)], "flow_id string, src_ip string, event_time long")
+    bindings = spark.createDataFrame([("10.0.0.1", 10, "M1"), ("10.0.0.1", 10, "M0"), ("10.0.0.1", 20, "M9")], "ip string, event_time long, mac string")
+    ids = spark.createDataFrame([("M1", None, "A1"), ("M0", None, "A0"), (None, "10.0.0.1", "A2"), (None, "10.0.0.2", "A3")], "mac string, ip string, asset_id string")
+    types = spark.createDataFrame([("A1", "server"), ("A3", "iot")], "asset_id string, asset_type string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # only what was counted to be small is broadcast
+    try:
+        found = identity.asset_columns(events, bindings, ids, types)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, held)
+    assert {r["flow_id"]: (r["asset_id"], r["asset_type"]) for r in found.collect()} == {"a": ("A2", ""), "b": ("A1", "server"), "c": ("A3", "iot"), "d": ("", ""), "e": ("", ""), "f": ("", "")}
+    assert "SortMergeJoin" not in plan
