@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 
-from wirelake.operators import assets, identity, matching
+from wirelake.operators import assets, detections, identity, matching
 from wirelake.plans import catalog
 from wirelake.sources import files
 from wirelake.streaming import enrich
@@ -77,3 +79,23 @@ def test_asset_columns_move_no_events_for_few_bindings(spark):
         spark.conf.set(key, held)
     assert {r["flow_id"]: (r["asset_id"], r["asset_type"]) for r in found.collect()} == {"a": ("A2", ""), "b": ("A1", "server"), "c": ("A3", "iot"), "d": ("", ""), "e": ("", ""), "f": ("", "")}
     assert "SortMergeJoin" not in plan
+
+
+def test_alert_activity_moves_pairs_of_questions_alone(spark):
+    """Alerts of one time and the same log ids are answered once; an id that two alerts have counts a signal once."""
+    alerts = spark.createDataFrame([(i, "S", "a", "x, y", 900_000) for i in range(300)] + [(7, "S", "a", "y", 950_000), (900, "S", "a", "none", 900_000), (901, "S", "a", None, 900_000)], "id long, signal_id string, asset_id string, ftx_ids string, event_time long")
+    signals = spark.createDataFrame([(i, "S", "a", "x,y" if i % 2 else "y", 1_000 * i, f"h{i % 7}", f"k{i % 3}" if i % 5 else "", '{"features": {"bytes_in": 5, "orig_bytes": 2}}') for i in range(2000)], "id long, signal_id string, asset_id string, ftx_ids string, event_time long, src_ip string, dst_ip string, evidence string")
+    result = detections.alert_activity(alerts, signals)
+    assert "hashpartitioning(alert_id" not in re.sub(r"#\d+L?", "", result._jdf.queryExecution().executedPlan().toString())
+    found = {(r["alert_id"], r["minute"]): tuple(r)[2:] for r in result.collect()}
+
+    def expected(times, newest=None):
+        near = [i for i in range(2000) if any(abs(1_000 * i - t) <= 900_000 for t in times) and (newest is None or i >= 2000 - newest)]
+        minutes = {}
+        for i in near:
+            minutes.setdefault(i // 60, []).append(i)
+        return {m: (len(x), 5 * len(x), 2 * len(x), len({i % 7 for i in x}), len({i % 3 for i in x if i % 5})) for m, x in minutes.items()}
+
+    for alert, want in [(5, expected([900_000])), (7, expected([900_000, 950_000])), (900, expected([900_000], 1000)), (901, expected([900_000], 1000))]:
+        assert {m: x for (a, m), x in found.items() if a == alert} == want
+    assert {a for a, _ in found} == {*range(300), 900, 901}
