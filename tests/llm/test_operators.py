@@ -349,6 +349,52 @@ def test_toxicity_held_out(spark):
     assert len(gone & bad) >= 0.95 * len(bad) and len(gone - bad) <= 6
 
 
+def test_toxicity_learns_from_rows_beyond_the_start(spark):
+    """A telling word and a language that only rows past the start's limits have are learnt and calibrated."""
+    rows = toxic_rows(600)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    place = {r["doc_id"]: r["h"] for r in frame.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    early = {d for y in (0, 1) for d in sorted((d for d, _, _, at in rows if at == y and zlib.crc32(str(d).encode()) % 3 != 1), key=place.get)[:60]}
+    changed = [(d, text if d in early or not y else f"{text} blorfing", lang if d in early else "fr", y) for d, text, lang, y in rows]
+    later = spark.createDataFrame(changed, frame.schema)
+    models = [toxicity.fit(f.drop("toxic"), f.select("doc_id", "toxic"), 60, 60) for f in (frame, later)]
+    assert "fr" in models[1].thresholds and "fr" not in models[0].thresholds
+    scores = [toxicity.Scorer(m).score(["hag bed blorfing cafe", "hag bed cafe"]) for m in models]
+    assert scores[1][0] - scores[1][1] > scores[0][0] - scores[0][1]
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    normal = lambda *size: rng.normal(0, 0.5, size).astype(np.float32)
+    k = len(toxicity.WIDTHS)
+    model = toxicity.Model(normal(toxicity.ROWS, toxicity.DIM), [normal(w, toxicity.DIM, toxicity.FILTERS) for w in toxicity.WIDTHS], normal(k, toxicity.FILTERS), normal(k * toxicity.FILTERS), -0.2)
+    texts, labels = ["one two three", "", "four two", "five six seven eight nine"], np.array([1, 0, 0, 1])
+
+    def sums(m):
+        own = toxicity.Gradients(m, 2.0)
+        own.add(texts, labels)
+        return own.sums()
+
+    found = sums(model)
+    assert found["loss", 0][1] == 4
+    out = model.out.size
+    for part, first in ((model.filters[1], model.filters[0].size), (model.bias, sum(w.size for w in model.filters)), (model.out, sum(w.size for w in model.filters) + model.bias.size)):
+        for i in range(0, min(part.size, out), 5):
+            held, losses = part.flat[i], []
+            for step in (1e-3, -1e-3):
+                part.flat[i] = held + step
+                losses.append(sums(model)["loss", 0][0])
+            part.flat[i] = held
+            assert abs((losses[0] - losses[1]) / 2e-3 - found["dense", first + i][0]) < 0.01
+    row = toxicity.hashed([b"two"])[0][0]
+    held, losses = model.table[row, 2], []
+    for step in (1e-3, -1e-3):
+        model.table[row, 2] = held + step
+        losses.append(sums(model)["loss", 0][0])
+    model.table[row, 2] = held
+    assert abs((losses[0] - losses[1]) / 2e-3 - found.get(("row", int(row)), [0.0] * 10)[2]) < 0.01
+
+
 def test_toxicity_flags_and_inputs(spark):
     frame = spark.createDataFrame([(i, "x", "en") for i in range(50)], "doc_id long, text string, lang string")
     found = {r["doc_id"]: r["h"] for r in frame.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
