@@ -363,6 +363,23 @@ def test_toxicity_learns_from_rows_beyond_the_start(spark):
     assert scores[1][0] - scores[1][1] > scores[0][0] - scores[0][1]
 
 
+def test_toxicity_driver_gets_steps_alone(spark):
+    """The table's sums stay where they lie: the driver gets steps of four bytes, and in the last pass none."""
+    rng = np.random.default_rng(5)
+    k = len(toxicity.WIDTHS)
+    normal = lambda *size: rng.normal(0, 0.5, size).astype(np.float32)
+    model = toxicity.Model(normal(toxicity.ROWS, toxicity.DIM), [normal(w, toxicity.DIM, toxicity.FILTERS) for w in toxicity.WIDTHS], normal(k, toxicity.FILTERS), normal(k * toxicity.FILTERS), -0.2)
+    rows = [(i % 2, i % 3 == 0, "en", f"one two w{i} w{i * 7}") for i in range(40)]
+    labelled = spark.createDataFrame(rows, "toxic int, calibrates boolean, lang string, text string").repartition(1)
+    moving, last = toxicity._summed(labelled, model, 2.0), toxicity._summed(labelled, model, 2.0, steps=False)
+    own = toxicity.Gradients(model, 2.0)
+    own.add([r[3] for r in rows if not r[1]], np.array([r[0] for r in rows if not r[1]]))
+    sums = {at: np.round(np.array(v) * toxicity.UNIT) / toxicity.UNIT for (kind, at), v in own.sums().items() if kind == "row"}
+    assert moving["rows"].dtype == np.float32 and set(moving["at"].tolist()) == set(sums)
+    assert np.allclose(moving["rows"], toxicity.row_steps(np.array([sums[at] for at in moving["at"].tolist()])), atol=1e-4)
+    assert set(last) == {"loss", "scores"} and abs(last["loss"] - moving["loss"]) <= 1 and sorted(last["scores"]) == sorted(moving["scores"])
+
+
 def test_toxicity_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(3)
     normal = lambda *size: rng.normal(0, 0.5, size).astype(np.float32)

@@ -149,16 +149,20 @@ class Scorer:
 
 
 class Gradients(Scorer):
-    """Sums over texts: of the gradients of the log loss, of their squares, of the texts that they could come from; of the loss."""
+    """Sums over texts: of the gradients of the log loss, of their squares, of the texts that they could come from; of the loss.
 
-    def __init__(self, model: Model, weight: float):
-        self.weight, self.loss, self.texts = weight, 0.0, 0
-        self.dense = np.zeros((3, len(flat(model))))
-        self.rows = np.zeros((ROWS, DIM + 2))
+    Without steps, which no model is moved by, of the loss alone.
+    """
+
+    def __init__(self, model: Model, weight: float, steps: bool = True):
+        self.weight, self.steps, self.loss, self.texts = weight, steps, 0.0, 0
+        if steps:
+            self.dense = np.zeros((3, len(flat(model))))
+            self.rows = np.zeros((ROWS, DIM + 2))
         super().__init__(model)
 
     def _clear(self) -> None:
-        if getattr(self, "known", None):
+        if self.steps and getattr(self, "known", None):
             rows, starts = hashed(list(self.known))
             held = np.diff(np.append(starts, len(rows)))
             np.add.at(self.rows, rows, np.repeat(self.words[1 : len(held) + 1], held, axis=0))
@@ -168,7 +172,7 @@ class Gradients(Scorer):
     def add(self, texts: list[str], labels: np.ndarray) -> None:
         m = self.model
         ids, starts = self.laid_out(texts)
-        if len(self.words) < len(self.vectors):
+        if self.steps and len(self.words) < len(self.vectors):
             self.words = np.concatenate([self.words, np.zeros((len(self.vectors) - len(self.words), DIM + 2))])
         x = self.vectors[ids]
         ends = np.append(starts[1:], len(x))
@@ -181,15 +185,18 @@ class Gradients(Scorer):
             for j in range(1, PAD + 1):
                 a[ends - j] = 0
             most = np.maximum.reduceat(a, starts, axis=0)
-            at, f = np.nonzero(a == most[which])
-            _, first = np.unique(which[at] * FILTERS + f, return_index=True)  # of equal responses the first
-            tops.append(at[first].reshape(len(texts), FILTERS))
+            if self.steps:
+                at, f = np.nonzero(a == most[which])
+                _, first = np.unique(which[at] * FILTERS + f, return_index=True)  # of equal responses the first
+                tops.append(at[first].reshape(len(texts), FILTERS))
             found.append(most + m.bias[k])
         z = np.maximum(np.concatenate(found, axis=1), 0).astype(np.float64)
         u = np.clip(z @ m.out + m.shift, -30, 30)
         worth = np.where(labels == 1, self.weight, 1.0)
         self.loss += float((worth * np.logaddexp(0, np.where(labels == 1, -u, u))).sum())
         self.texts += len(texts)
+        if not self.steps:
+            return
         g = (1 / (1 + np.exp(-u)) - labels) * worth
         back = g[:, None] * m.out * (z > 0)
         parts = []
@@ -209,6 +216,8 @@ class Gradients(Scorer):
         self.dense += np.stack([np.concatenate([np.ravel(part[i]) for part in parts]) for i in range(3)])
 
     def sums(self) -> dict[tuple[str, int], list[float]]:
+        if not self.steps:
+            return {("loss", 0): [self.loss, float(self.texts), *[0.0] * DIM]}
         self._clear()
         found = {("row", int(i)): self.rows[i].tolist() for i in np.flatnonzero(self.rows[:, -1])}
         found |= {("dense", i): [*column, *[0.0] * (DIM - 1)] for i, column in enumerate(self.dense.T.tolist())}
@@ -225,14 +234,19 @@ def agreed(mean: np.ndarray, square: np.ndarray) -> np.ndarray:
     return np.clip(mean / (np.sqrt(square) + 1e-3), -1, 1)
 
 
+def row_steps(rows: np.ndarray) -> np.ndarray:
+    """By how much rows of the table move, from their sums."""
+    n = rows[:, -1:]
+    return (TABLE_RATE * agreed(rows[:, :DIM] / n, rows[:, DIM : DIM + 1] / n)).astype(np.float32)
+
+
 def moved(m: Model, rows: np.ndarray, at: np.ndarray, dense: np.ndarray) -> Model:
     """The model after one step: each number moves by its gradients' mean over their root mean square, times the rate.
 
-    So what all rows agree on moves by the rate, and what few of many rows ask for moves little. rows: sums of the table's rows at.
+    So what all rows agree on moves by the rate, and what few of many rows ask for moves little. rows: row_steps of the table's rows at.
     """
     table = m.table.copy()
-    n = rows[:, -1:]
-    table[at] -= (TABLE_RATE * agreed(rows[:, :DIM] / n, rows[:, DIM : DIM + 1] / n)).astype(np.float32)
+    table[at] -= rows
     n = np.maximum(dense[:, 2], 1)
     values = flat(m) - RATE * agreed(dense[:, 0] / n, dense[:, 1] / n)
     ends = np.cumsum([w.size for w in m.filters] + [m.bias.size, m.out.size])
@@ -348,7 +362,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC,
     rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_toxic + most_clean)
     so_far = F.sum(F.char_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # of most_toxic + most_clean rows
     rows = rows.withColumn("_so_far", so_far).filter(F.col("_so_far") <= most_chars).toLocalIterator()
-    examples = [(r["doc_id"], (hashed(words_of(r["text"])), r["toxic"])) for r in rows]
+    examples = [(r["doc_id"], (tuple(x.astype(np.int32) for x in hashed(words_of(r["text"]))), r["toxic"])) for r in rows]
     kept = [x for i, x in enumerate(examples) if i % 5]
     if len({y for _, (_, y) in kept}) < 2:
         return Model(np.zeros((2, DIM), np.float32), [], np.zeros(0), np.zeros(0), 0.0, fitted=False)
@@ -360,8 +374,9 @@ def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC,
     labelled = written(texts.join(known, "doc_id").select("toxic", role.alias("calibrates"), "lang", "text"), "labelled")
     counts = {r["toxic"]: r["n"] for r in labelled.filter("NOT calibrates").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     model, best = train([x for _, x in kept]), None
+    del examples, kept  # the driver holds no text's hashes beside the sums
     for turn in range(PASSES):
-        sums = _summed(labelled, model, counts.get(0, 0) / max(1, counts.get(1, 0)))
+        sums = _summed(labelled, model, counts.get(0, 0) / max(1, counts.get(1, 0)), steps=turn < PASSES - 1)
         if best is None or sums["loss"] < best[0]:
             best = (sums["loss"], model, sums["scores"])
         if turn < PASSES - 1:
@@ -372,14 +387,20 @@ def fit(documents: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC,
 _SUMS = pa.schema([("kind", pa.string()), ("at", pa.int64()), ("lang", pa.string()), *((f"v{i}", pa.int64()) for i in range(DIM + 2))])
 
 
-def _summed(labelled: DataFrame, model: Model, weight: float) -> dict:
-    """Over all labelled rows: loss, sums of gradients (rows of the table, at which rows; all other numbers), counts of scores."""
+_STEPS = pa.schema([("at", pa.int64()), *((f"v{i}", pa.float32()) for i in range(DIM))])
+
+
+def _summed(labelled: DataFrame, model: Model, weight: float, steps: bool = True) -> dict:
+    """Over all labelled rows: loss, counts of scores, and, with steps, those of the table (rows, at which rows) and sums of gradients of all other numbers.
+
+    The sums are written, and the table's steps are worked out where they lie, so that the driver gets nothing but these.
+    """
     spark = labelled.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Gradients(shared.value, weight)
+        own = Gradients(shared.value, weight, steps)
         plain, scores = Scorer(shared.value), {}
         for batch in batches:
             toxic, calibrates, langs, texts = (batch.column(i).to_pylist() for i in range(4))
@@ -403,14 +424,25 @@ def _summed(labelled: DataFrame, model: Model, weight: float) -> dict:
             yield batch_of(_SUMS, columns | {f"v{j}": [x[3][j] for x in part] for j in range(DIM + 2)})
 
     kinds = "kind string, at long, lang string, " + ", ".join(f"v{i} long" for i in range(DIM + 2))
-    total = labelled.mapInArrow(task, kinds).groupBy("kind", "at", "lang").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM + 2))).toArrow()
-    kind, at = np.array(total["kind"].to_pylist(), dtype=object), total["at"].to_numpy()
-    values = np.stack([total[f"v{i}"].to_numpy() for i in range(DIM + 2)], axis=1)
-    rows, dense, scored = kind == "row", np.flatnonzero(kind == "dense"), np.flatnonzero(kind == "score")
+    total = written(labelled.mapInArrow(task, kinds).groupBy("kind", "at", "lang").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM + 2))), "sums")
+    shared.destroy()
+    other = total.filter("kind <> 'row'").toArrow()
+    kind, at = np.array(other["kind"].to_pylist(), dtype=object), other["at"].to_numpy()
+    values = np.stack([other[f"v{i}"].to_numpy() for i in range(DIM + 2)], axis=1)
+    scored, langs = np.flatnonzero(kind == "score"), other["lang"].to_pylist()
+    found = {"loss": int(values[kind == "loss", 0].sum()), "scores": [(langs[i], int(at[i]), int(values[i, 0]), int(values[i, 1])) for i in scored]}
+    if not steps:
+        return found
+
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = row_steps(np.stack([batch.column(f"v{i}").to_numpy() for i in range(DIM + 2)], axis=1) / UNIT)
+            yield pa.RecordBatch.from_arrays([batch.column("at"), *(pa.array(rows[:, i]) for i in range(DIM))], schema=_STEPS)
+
+    moves = total.filter("kind = 'row'").select("at", *(f"v{i}" for i in range(DIM + 2))).mapInArrow(stepped, "at long, " + ", ".join(f"v{i} float" for i in range(DIM))).toArrow()
+    dense = np.flatnonzero(kind == "dense")
     dense = dense[np.argsort(at[dense])]
-    langs = total["lang"].to_pylist()
-    scores = [(langs[i], int(at[i]), int(values[i, 0]), int(values[i, 1])) for i in scored]
-    return {"loss": int(values[kind == "loss", 0].sum()), "rows": values[rows] / UNIT, "at": at[rows], "dense": values[dense, :3] / UNIT, "scores": scores}
+    return found | {"rows": np.stack([moves[f"v{i}"].to_numpy() for i in range(DIM)], axis=1), "at": moves["at"].to_numpy(), "dense": values[dense, :3] / UNIT}
 
 
 SCORES = "doc_id long, lang string, score double, flagged boolean"
