@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
-from wirelake.operators import assets, detections, identity, matching
+from wirelake.operators import assets, detections, identity, matching, normalize
 from wirelake.plans import catalog
 from wirelake.sources import files
 from wirelake.streaming import enrich
@@ -99,3 +100,15 @@ def test_alert_activity_moves_pairs_of_questions_alone(spark):
     for alert, want in [(5, expected([900_000])), (7, expected([900_000, 950_000])), (900, expected([900_000], 1000)), (901, expected([900_000], 1000))]:
         assert {m: x for (a, m), x in found.items() if a == alert} == want
     assert {a for a, _ in found} == {*range(300), 900, 901}
+
+
+def test_stream_record_looks_at_a_message_once(spark):
+    """Fields are taken from the message in one go; messages that can be no JSON are told without the parser."""
+    rows = ['{"conn":{"uid":"C1","id.orig_h":"10.0.0.1","id.orig_p":5,"id.resp_p":"7","service":null}}', '{"_path":"conn","uid":2,"service":4,"ts":"2024-01-01T00:00:00Z"}', "{C1-2", " { x", "{'_path':'conn'}", '{ "_path":"conn"}', "{}", "[1]", ""]
+    parsed = normalize.parse_envelope(spark.createDataFrame([(r,) for r in rows], "value string"))
+    good, bad = normalize.split_dead_letters(parsed)
+    found = normalize.to_stream_record(good)
+    assert sorted(tuple(r) for r in found.select(F.coalesce("uid", F.lit("-")), F.coalesce("src_port", F.lit(-1)), F.coalesce("dst_port", F.lit(-1)), "service", "ts").collect()) == [("-", -1, -1, "", ""), ("-", -1, -1, "", ""), ("-", -1, -1, "", "2024-01-01T00:00:00Z"), ("C1", 5, -1, "", "")]
+    assert sorted(r["error_type"] for r in bad.collect()) == ["missing_log_type", "parse_error", "parse_error", "parse_error", "parse_error"]
+    plan = re.sub(r"#\d+", "", found._jdf.queryExecution().optimizedPlan().toString())
+    assert plan.count("variant_get(data") == 1
