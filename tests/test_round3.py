@@ -6,11 +6,12 @@ import re
 
 import duckdb
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelake.operators import assets, detections, identity, matching, normalize
 from wirelake.plans import catalog
 from wirelake.sources import files
-from wirelake.streaming import enrich
+from wirelake.streaming import enrich, jobs
 
 
 def test_session_sql_leaves_no_tie_to_chance():
@@ -112,3 +113,12 @@ def test_stream_record_looks_at_a_message_once(spark):
     assert sorted(r["error_type"] for r in bad.collect()) == ["missing_log_type", "parse_error", "parse_error", "parse_error", "parse_error"]
     plan = re.sub(r"#\d+", "", found._jdf.queryExecution().optimizedPlan().toString())
     assert plan.count("variant_get(data") == 1
+
+
+def test_stream_identity_holds_waiting_events_in_packs():
+    """Python is handed the state of all addresses of a task: packs take a small part of the events' own size."""
+    events = [(1_706_000_000_000 + 1000 * i, f'{{"flow_id":"C{i}-{i * 7}-{i % 9}","src_ip":"10.0.0.1","event_time":{1_706_000_000_000 + 1000 * i}}}') for i in range(jobs.PACK)]
+    pack = jobs._pack(events)
+    assert [tuple(x) for x in jobs._unpack(pack)] == events
+    assert len(pack) < sum(len(e) + 8 for _, e in events) / 3
+    assert isinstance(jobs._HELD["packs"].dataType.elementType, T.BinaryType)
