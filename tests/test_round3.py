@@ -122,3 +122,49 @@ def test_stream_identity_holds_waiting_events_in_packs():
     assert [tuple(x) for x in jobs._unpack(pack)] == events
     assert len(pack) < sum(len(e) + 8 for _, e in events) / 3
     assert isinstance(jobs._HELD["packs"].dataType.elementType, T.BinaryType)
+
+
+def test_bindings_of_many_lists_meet_their_events_without_a_sort(spark):
+    """More bindings than may be broadcast: short lists by address and block of time, events before, amid and long after them."""
+    hour = 3_600_000
+    bindings = spark.range(400).selectExpr("concat('10.0.0.', id % 4) ip", f"1700000000000 + id * {hour} event_time", "concat('M', id) mac")
+    events = spark.range(3000).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN '10.9.9.9' ELSE concat('10.0.0.', id % 4) END src_ip", f"1700000000000 + (id - 100) * {hour} + id % 2 event_time")
+    for few in (100, 3):
+        found = identity.resolve_ip(events, bindings, few=few)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort [_ip" not in plan and "Window" not in plan
+        for r in found.collect():
+            hours = r["id"] - 100
+            held = [k for k in range(400) if k % 4 == r["id"] % 4 and k <= hours] if r["id"] % 7 and r["id"] % 5 else []
+            assert r["mac"] == (f"M{held[-1]}" if held else None), r
+    crowd = bindings.unionByName(spark.range(300).selectExpr("'10.0.0.1' ip", "1700000000000 + id event_time", "concat('N', id) mac"))
+    assert "Window" in identity.resolve_ip(events, crowd, few=100)._jdf.queryExecution().executedPlan().toString()  # lists too long
+
+
+def test_short_and_long_lists_are_searched_alike(spark):
+    for n in (0, 1, 2, 5, 31, 32, 200):
+        rows = spark.range(-1, n + 2).selectExpr("id t").select("t", F.array(*(F.lit(2 * i).cast("long") for i in range(n))).cast("array<long>").alias("times"), F.array(*(F.lit(f"v{i}") for i in range(n))).cast("array<string>").alias("held"))
+        for most in {n, max(n, 31), 300}:
+            found = rows.select("t", identity.last_before(F.col("times"), F.col("held"), F.col("t"), most).alias("v")).collect()
+            assert all(r["v"] == (f"v{min(r['t'] // 2, n - 1)}" if r["t"] >= 0 and n else None) for r in found), (n, most)
+
+
+def test_mac_chains_of_one_name_take_few_rounds(spark, monkeypatch):
+    """A name's run of randomised MACs is followed at once; rounds go by names."""
+    rows = [(i, f"02:AA:BB:00:{i // 100:02d}:{i % 100:02d}", f"10.0.0.{i % 9}", "phone", 3600) for i in range(300)]
+    rows += [(400, "02:AA:BB:00:00:07", "10.0.0.1", "tablet", 3600), (401, "02:CC:00:00:00:01", "10.0.0.1", "tablet", 3600), (402, "00:50:56:00:00:01", "10.0.0.1", "phone", 3600), (403, "02:CC:00:00:00:02", "10.0.0.1", "phone", 3600), (404, "02:CC:00:00:00:03", "10.0.0.1", "", 3600)]
+    written = []
+    held = identity.cut
+    monkeypatch.setattr(identity, "cut", lambda df, name: written.append(name) or held(df, name))
+    found = {r["mac"]: (r["root"], r["first_seen"]) for r in identity.mac_assets(spark.createDataFrame(rows, "event_time long, mac string, ip string, hostname string, lease_s int")).collect()}
+    first = ("02:AA:BB:00:00:00", 0)
+    assert {found[m] for _, m, _, _, _ in rows[:300]} == {first} and found["02:CC:00:00:00:01"] == first
+    assert found["02:CC:00:00:00:02"] == found["00:50:56:00:00:01"] == ("00:50:56:00:00:01", 402) and found["02:CC:00:00:00:03"] == ("02:CC:00:00:00:03", 404)
+    assert written.count("links") <= 4
+
+
+def test_profiles_by_asset_look_events_up_once(spark, sf, monkeypatch):
+    seen = []
+    held = identity.resolve_ip
+    monkeypatch.setattr(identity, "resolve_ip", lambda *a, **k: seen.append(1) or held(*a, **k))
+    assert catalog.QUERIES["profiles_by_asset"](spark, sf).count() and len(seen) == 1
