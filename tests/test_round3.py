@@ -163,6 +163,13 @@ def test_mac_chains_of_one_name_take_few_rounds(spark, monkeypatch):
     assert written.count("links") <= 4
 
 
+def test_addresses_without_a_lease_need_no_lookup(spark):
+    events = spark.createDataFrame([("10.0.0.1", 5), ("10.0.0.1", 15), (" 10.0.0.1", 3), ("10.0.0.2", 30), ("10.0.0.3", None), ("10.0.0.3", 99), ("8.8.8.8", 1), (None, 1), ("10.0.0.4", 9)], "src_ip string, event_time long")
+    bindings = spark.createDataFrame([("10.0.0.1", 10, "M"), ("10.0.0.2", 30, "N"), ("10.0.0.3", 50, "P")], "ip string, event_time long, mac string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(identity.unleased(events, bindings)) == rows(identity.fallback_assets(identity.resolve_ip(events, bindings))) == [("10.0.0.1", 3), ("10.0.0.3", None), ("10.0.0.4", 9)]
+
+
 def test_profiles_by_asset_look_events_up_once(spark, sf, monkeypatch):
     seen = []
     held = identity.resolve_ip
