@@ -8,6 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wirelake.llm import linetemplates
 from wirelake.operators import assets, detections, identity, matching, normalize
 from wirelake.plans import catalog
 from wirelake.sources import files
@@ -175,3 +176,14 @@ def test_profiles_by_asset_look_events_up_once(spark, sf, monkeypatch):
     held = identity.resolve_ip
     monkeypatch.setattr(identity, "resolve_ip", lambda *a, **k: seen.append(1) or held(*a, **k))
     assert catalog.QUERIES["profiles_by_asset"](spark, sf).count() and len(seen) == 1
+
+
+def test_line_templates_cut_the_texts_into_parts_once(spark, monkeypatch):
+    """What a leaf's templates are made of is read from the written parts, not parsed from the documents again."""
+    plans = {}
+    held = linetemplates.written
+    monkeypatch.setattr(linetemplates, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or held(df, name))
+    rows = [(i, f"Page {i} of 99 was printed on day {i}\nown{i} words in line{i} stand here{i} alone\nthe same  words of  all ") for i in range(5)]
+    found = linetemplates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == {i: t for i, t in rows}  # two thirds of each stand elsewhere: one witness together
+    assert "Generate" in plans["lines"] and "kinds" in plans and "Generate" not in plans["kinds"]

@@ -78,19 +78,20 @@ def masked(part: Column) -> Column:
 
 
 def part_table(documents: DataFrame) -> DataFrame:
-    """A row for each different part of each document: doc_id, the part, its leaf.
+    """A row for each different part of each document: doc_id, masked (the part with its fields), line_hash, leaf, chars (of the part).
 
-    The leaf comes from the leading tokens alone; what takes the whole part is worked out where it is needed.
+    Tokens and leading ones are those of the masked part, as fields hold no space; so a part is looked through for digits once.
     """
-    parts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(bare_parts(text_of())).alias("part"))
-    part = F.trim("part")
-    n = F.octet_length(part) - F.octet_length(F.replace(part, F.lit(" "), F.lit(""))) + 1
-    parts = parts.filter(n >= MIN_TOKENS).select("doc_id", part.alias("part"), n.alias("n"))
-    return parts.select("doc_id", "part", F.xxhash64("n", masked(F.substring_index("part", " ", LEADING))).alias("leaf"))
+    parts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(bare_parts(text_of())).alias("part")).withColumn("part", F.trim("part"))
+    # with fewer tokens nothing is cut off
+    rows = parts.filter(F.substring_index("part", " ", MIN_TOKENS - 1) != F.col("part"))
+    rows = rows.select("doc_id", masked(F.col("part")).alias("masked"), F.char_length("part").alias("chars"))
+    n = F.octet_length("masked") - F.octet_length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
+    return rows.select("doc_id", "masked", F.xxhash64("masked").alias("line_hash"), F.xxhash64(n, F.substring_index("masked", " ", LEADING)).alias("leaf"), "chars")
 
 
-def recurring(lines: DataFrame, parsed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """line_hash of all parts whose template recurs. lines: the written part table; parsed: the parts themselves."""
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """line_hash of all parts whose template recurs. lines: the written part table, of which most steps read the numbers alone."""
     counts = written(lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf")), "counts")
     # what grows with the parts is joined by shuffle at any size
     again = counts.filter("docs > 1").select("line_hash").hint("merge")
@@ -100,8 +101,8 @@ def recurring(lines: DataFrame, parsed: DataFrame, min_docs: int = MIN_DOCS) ->
     own = shares.filter(F.coalesce("shared", F.lit(0)) <= COPIED * F.col("chars")).select("own_id", F.lit(1).alias("own"))
     # leaves in which several templates might be one
     mixed = counts.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("kinds")).filter((F.col("docs") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
-    kinds = parsed.join(few(mixed, "leaves"), "leaf", "left_semi").select("leaf", masked(F.col("part")).alias("masked"))
-    kinds = kinds.groupBy("leaf", F.xxhash64("masked").alias("line_hash")).agg(F.count(F.lit(1)).alias("docs"), F.first("masked").alias("masked"))
+    kinds = lines.join(few(mixed, "leaves"), "leaf", "left_semi")
+    kinds = kinds.groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("docs"), F.first("masked").alias("masked"))
     template = few(leaf_templates(written(kinds, "kinds").select("leaf", "line_hash", "docs", F.split("masked", " ").alias("tokens"))), "templates")
     # witnesses per part, then per template: only parts that could reach the count are followed
     maybe = counts.filter(F.col("docs") >= min_docs).select("line_hash").unionByName(template.select("line_hash")).distinct().hint("merge")
@@ -186,9 +187,8 @@ def _joined(documents: DataFrame, lines: DataFrame, gone: DataFrame, counts: lis
 def _cleaned(documents: DataFrame, min_docs: int, most: int = MOST_BROADCAST) -> tuple[DataFrame, str, str]:
     """The documents without recurring parts in text, and the names of two columns more: parts before, dropped ones."""
     counts = fresh(documents, "_parts", "_dropped")
-    parsed = part_table(documents)
-    lines = written(parsed.select("doc_id", F.xxhash64(masked(F.col("part"))).alias("line_hash"), "leaf", F.char_length("part").alias("chars")), "lines")
-    gone = written(recurring(lines, parsed, min_docs), "recurring")
+    lines = written(part_table(documents), "lines")
+    gone = written(recurring(lines, min_docs), "recurring")
     if gone.count() <= most:
         return _in_place(documents, frozenset(r[0] % (1 << 64) for r in gone.toLocalIterator()), counts), *counts
     return _joined(documents, lines, gone, counts), *counts
