@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from wirelake.operators import normalize
 from wirelake.plans import catalog
+from wirelake.sources import files
+from wirelake.streaming import enrich
 
 
 def test_alert_activity_by_asset_takes_all_signals(spark, sf, tmp_path):
@@ -20,3 +27,25 @@ def test_alert_activity_by_asset_takes_all_signals(spark, sf, tmp_path):
     assert found == sorted(duckdb.sql(catalog.SQL["alert_activity_by_asset"]).fetchall())
     pairs = duckdb.sql("SELECT count(*) FROM orders, range(1500) WHERE abs((o_orderkey * 104729) % 2592000 - (range * 7919) % 2592000) <= 900").fetchall()[0][0]
     assert sum(r[2] for r in found) == pairs
+
+
+def _codecs(folder) -> set[str]:
+    metadata = [pq.ParquetFile(f).metadata for f in folder.rglob("*.parquet")]
+    return {m.row_group(i).column(0).compression for m in metadata for i in range(m.num_row_groups)}
+
+
+def test_lake_is_dealt_as_messages(spark, tmp_path):
+    """Only messages move; a message whose first ts is not its own, or in no plain notation, lies in its own hour all the same."""
+    times = ["1704067200.5", "1.7040708E9", '"2024-01-01T02:30:00Z"', '"2024-01-01 03:30:00"', '"1704081600"', '"soon"']
+    rows = [f'{{"conn":{{"ts":{t},"uid":"C{i}"}}}}' for i, t in enumerate(times)]
+    rows += ['{"extra":[{"ts":9}],"_path":"conn","ts":1704085200,"uid":"C6"}', '{"_path":"conn","\\u0074s":1704088800,"uid":"C7"}', '{"_path":"dns","ts":1704067200,"uid":"D0"}']
+    good, _ = normalize.split_dead_letters(normalize.parse_envelope(spark.createDataFrame([(r,) for r in rows], "value string")))
+    enrich.write_tables(good, 0, str(tmp_path))
+    lake = files.open_lake(spark, str(tmp_path), views=False)
+    assert lake["dns"].count() == 1
+    hours = {r["flow_id"]: (r["year"], r["hour"], r["event_time"] // 3_600_000 % 24) for r in lake["conn"].collect()}
+    assert hours == {f"C{i}": (2024, i, i) for i in range(5)} | {"C5": (1970, 0, 0), "C6": (2024, 5, 5), "C7": (2024, 6, 6)}
+    assert _codecs(tmp_path) == {"ZSTD"}
+    plan = re.sub(r"#\d+L?", "", enrich.table_rows(good, "conn")._jdf.queryExecution().optimizedPlan().toString()).splitlines()
+    at = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    assert sum("Repartition" in line for line in plan) == 1 and "Project [" in plan[at + 1] and "struct" not in plan[at + 1] and plan[at + 1].count(", ") <= 2
