@@ -8,7 +8,7 @@ import duckdb
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from wirelake.operators import normalize
+from wirelake.operators import identity, normalize
 from wirelake.plans import catalog
 from wirelake.sources import files
 from wirelake.streaming import enrich
@@ -49,3 +49,39 @@ def test_lake_is_dealt_as_messages(spark, tmp_path):
     plan = re.sub(r"#\d+L?", "", enrich.table_rows(good, "conn")._jdf.queryExecution().optimizedPlan().toString()).splitlines()
     at = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
     assert sum("Repartition" in line for line in plan) == 1 and "Project [" in plan[at + 1] and "struct" not in plan[at + 1] and plan[at + 1].count(", ") <= 2
+
+
+def test_enrichment_moves_messages_for_the_lookup(spark, tmp_path, monkeypatch):
+    """With bindings too many to be broadcast, what moves is the message; the record is made of it once, afterwards."""
+    message = lambda i, ip, t, nested: (f'{{"conn":{{"ts":{t},"uid":"C{i}","id.orig_h":{ip},"conn_state":"SF"}}}}' if nested else f'{{"_path":"conn","ts":{t},"uid":"C{i}","id.orig_h":{ip},"conn_state":"SF"}}')
+    asked = [('"10.0.0.1"', "5"), ('"10.0.0.1"', "15.5"), ('"10.0.0.1"', '"1970-01-01T00:00:25Z"'), ('" 10.0.0.2"', "5"), ('"10.0.0.3"', "5"), ("null", "5"), ("7", "1.5E1"), ('"8.8.8.8"', "15")]
+    batch = spark.createDataFrame([(message(i, ip, t, i % 2 == 0),) for i, (ip, t) in enumerate(asked)] + [("{broken",)], "value string")
+    bindings = spark.createDataFrame([("10.0.0.1", 10_000, "M1"), ("10.0.0.1", 20_000, "M9"), ("8.8.8.8", 1, "M1")], "ip string, event_time long, mac string")
+    ids = spark.createDataFrame([("M1", None, "A1"), (None, "10.0.0.1", "A2"), (None, "10.0.0.2", "A3")], "mac string, ip string, asset_id string")
+    types = spark.createDataFrame([("A1", "server"), ("A3", "iot")], "asset_id string, asset_type string")
+    threats = spark.createDataFrame([("10.0.0.1",)], "ip string")
+    context = enrich.Context(bindings, ids, types, threats)
+    held = []
+    job = enrich.enrich_job(str(tmp_path / "lake"), lambda rows, number: held.append(rows), enrich.to_folder(str(tmp_path / "letters")), lambda: context)
+    job(batch, 0)
+    find = identity.resolve_ip
+    monkeypatch.setattr(identity, "resolve_ip", lambda events, bindings, ip="src_ip": find(events, bindings, ip, few=1))
+    job(batch, 1)
+    few, many = (sorted(map(tuple, rows.select(*rows.columns[:-2], F.element_at("details", "conn_state"), "event_time").collect()), key=lambda r: r[2]) for rows in held)
+    assert few == many and held[0].columns == normalize.to_stream_record(normalize.parse_envelope(batch)).columns
+    found = {r["uid"]: (r["asset_id"], r["asset_type"], r["src_is_blacklisted"], r["event_time"], r["src_ip"]) for r in held[1].collect()}
+    assert found == {
+        "C0": ("A2", "", True, 5000, "10.0.0.1"), "C1": ("A1", "server", True, 15500, "10.0.0.1"), "C2": ("", "", True, 25000, "10.0.0.1"), "C3": ("A3", "iot", False, 5000, " 10.0.0.2"),
+        "C4": ("", "", False, 5000, "10.0.0.3"), "C5": ("", "", False, 5000, None), "C6": ("", "", False, 15000, None), "C7": ("", "", False, 15000, "8.8.8.8"),
+    }
+    key = "spark.sql.debug.maxToStringFields"
+    shown = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        plan = held[1]._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(key, shown)
+    assert plan.count("sha2(") == 1 and plan.index("sha2(") < plan.index("_held#")
+    rows = held[1].limit(3)
+    enrich.to_folder(str(tmp_path / "records"))(rows, 0)
+    assert _codecs(tmp_path / "records") == _codecs(tmp_path / "letters") == {"ZSTD"}
