@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import duckdb
 import pyarrow.parquet as pq
@@ -85,3 +86,22 @@ def test_enrichment_moves_messages_for_the_lookup(spark, tmp_path, monkeypatch):
     rows = held[1].limit(3)
     enrich.to_folder(str(tmp_path / "records"))(rows, 0)
     assert _codecs(tmp_path / "records") == _codecs(tmp_path / "letters") == {"ZSTD"}
+
+
+def test_enrichment_frees_what_it_shuffled(spark, tmp_path):
+    """What one output of a batch shuffled is gone from the disk before the next output is asked for."""
+    held = lambda: {b for b in re.findall(r"shuffle_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toString())}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    batch = spark.range(500).selectExpr("""concat('{"conn":{"ts":', 1704067200 + 60 * id, ',"uid":"C', id, '"}}') AS value""")
+    before, left, setting = held(), [], spark.conf.get(key, None)
+
+    def sink(rows, number):
+        until = time.monotonic() + 10  # files go in the background
+        while held() - before and time.monotonic() < until:
+            time.sleep(0.2)
+        left.append(held() - before)
+        assert rows.repartition(3).count() == (500 if "uid" in rows.columns else 0)
+
+    enrich.enrich_job(str(tmp_path / "lake"), sink, sink)(batch, 0)
+    assert left == [set(), set()] and spark.conf.get(key, None) == setting
+    assert files.open_lake(spark, str(tmp_path / "lake"), ("conn",), views=False)["conn"].count() == 500
